@@ -1,0 +1,48 @@
+"""Places that all executors share, and cutting of lineage through them.
+
+``spark.checkpoint.dir`` names the shared folder.  Only where it is unset (a
+local session, as in tests) a folder of this process is made and set.
+"""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+_KEY = "spark.checkpoint.dir"
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The shared folder of the session."""
+    found = spark.conf.get(_KEY, None)
+    if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError(f"set {_KEY} to a folder that the driver and all executors share")
+        found = tempfile.mkdtemp(prefix="auditlake-")
+        spark.conf.set(_KEY, found)
+    return found.rstrip("/")
+
+
+def new_path(spark: SparkSession, name: str) -> str:
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def cut(df: DataFrame, name: str) -> DataFrame:
+    """df written as Parquet to the shared folder and read again.
+
+    The files outlive lost executors, and a wrong or repeated attempt of a task
+    can't change what later stages read.  ``drop`` removes them.
+    """
+    path = new_path(df.sparkSession, name)
+    df.write.parquet(path)
+    df.sparkSession.sparkContext._jvm.System.gc()  # lets Spark drop the shuffle files of plans that are done
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def drop(spark: SparkSession, path: str) -> None:
+    """Removes what new_path or cut has made."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
