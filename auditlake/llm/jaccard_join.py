@@ -153,7 +153,8 @@ def join(docs: DataFrame, n: int = SHINGLE) -> DataFrame:
     classes = slim.where("n_shingles > 0 and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("id"), F.min("k").alias("k"), F.min("need").alias("need"))
     rows = scanned.where("doc_id is not null").select("k", F.explode("h").alias("g"))
     alive = repeated(rows, ["g"], "k").groupBy("k").agg(F.count_distinct("g").alias("c"))
-    left = classes.join(alive, "k").where("c >= need").select("id", "key")
+    # written before texts are shuffled, so that the shuffles of prefixes are gone by then
+    left = cut(classes.join(alive, "k").where("c >= need").select("id", "key"), "left")
     sets = cut(whole_sets(docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(left, "id"), n), "sets")
     found = links(sets)
     named = classes.join(found, classes["id"] == found["node"], "left").select("key", F.coalesce("component", "id").alias("component"))

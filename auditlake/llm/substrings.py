@@ -154,7 +154,8 @@ def dedup(docs: DataFrame, window: int = WINDOW, start: int = START, texts: bool
     own = slim.where("doc_id is not null").groupBy("sha").agg(F.min("doc_id").alias("first_id"))
     reps = slim.where(f"n_words >= {window} and doc_id is not null").groupBy("sha").agg(F.min("doc_id").alias("doc_id"), F.min("k").alias("k")).select("doc_id", "k")
     rows = scanned.where("doc_id is not null").select("k", F.explode("h").alias("g"))
-    found = repeated(rows, ["g"], "k").groupBy("k").agg(F.collect_set("g").alias("h"))
+    # written before texts are shuffled, so that the shuffles of anchors are gone by then
+    found = cut(repeated(rows, ["g"], "k").groupBy("k").agg(F.collect_set("g").alias("h")), "anchors")
     cands = cut(docs.select(F.col("doc_id").cast("long"), "text").join(found.join(reps, "k"), "doc_id").select("doc_id", "k", "text", "h"), "candidates")
     for before, length in zip(steps, steps[1:], strict=False):
         rows = cut(extend(cands, before, length, window), f"windows{length}")
@@ -163,7 +164,7 @@ def dedup(docs: DataFrame, window: int = WINDOW, start: int = START, texts: bool
             cands = cut(cands.drop("h").join(found, ["doc_id", "k"]).select("doc_id", "k", "text", "h"), "candidates")
     if len(steps) == 1:  # the window itself was the first length
         rows = cut(extend(cands, window, window, window), "windows")
-    late = repeated(rows, ["g", "g2"], "doc_id").where("doc_id > least").groupBy("doc_id", "k").agg(F.collect_set("at").alias("at"))
+    late = cut(repeated(rows, ["g", "g2"], "doc_id").where("doc_id > least").groupBy("doc_id", "k").agg(F.collect_set("at").alias("at")), "late")
     changed = remove(cands.drop("h").join(late, ["doc_id", "k"]), window)
     changed = cut(changed if texts else changed.drop("kept"), "removed")
     copy = F.col("doc_id") > F.col("first_id")
