@@ -26,7 +26,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .store import cut, new_path
+from .store import cut, new_path, shuffles_freed
 
 MAGIC = "WARC/1.0\r\n"
 EOL, GAP = "\r\n", "\r\n\r\n"
@@ -73,7 +73,8 @@ def write(pages: DataFrame, path: str, min_bytes: int = 0, compression: str = "g
         ("Content-Type", F.lit("application/http; msgtype=response")), ("Content-Length", block_size.cast("string")),
     )
     record = F.concat(F.lit(MAGIC), head, F.lit(GAP), http, F.when(revisit, "").otherwise(F.col("payload")))
-    rows.select(record.alias("value")).write.option("lineSep", GAP).option("compression", compression).text(path)
+    with shuffles_freed(pages.sparkSession):
+        rows.select(record.alias("value")).write.option("lineSep", GAP).option("compression", compression).text(path)
 
 
 def field(head: Column, name: str) -> Column:
