@@ -13,9 +13,10 @@ exact but for hash collisions among 64 bits within one pair.
    ordered globally by class frequency, then hash.  A class with fewer than
    ceil(0.75 n) shared shingles is done.
 4. Candidates share a shingle in the rarest part of that order.  First every such
-   shingle compares its classes with one pivot; then, where a shingle's classes
-   are still in different components, those outside the largest are compared with
-   all in other components.  No pair within a component is needed or made.
+   shingle compares its classes with one pivot; where they are still in different
+   components, those outside the largest are compared with a pivot of it that the
+   shingle draws by a hash; those that are outside even then are compared with all
+   in other components.  No pair within a component is needed or made.
 5. Vertical partitioning: the global order is cut into FRAGMENTS ranges of
    hashes, a pair's overlap is counted in each on its own and summed per pair.
 
@@ -136,14 +137,23 @@ def links(classes: DataFrame) -> DataFrame:
     found = cut(verify(pairs, parts), "links")
     first = components(found)
 
-    marked = cut(head.join(first, head["id"] == first["node"], "left").select("id", "n", "g", F.coalesce("component", "id").alias("c")), "marked")
-    sizes = marked.groupBy("g", "c").agg(F.count("*").alias("m")).groupBy("g").agg(F.max(F.struct("m", "c")).alias("top"), F.count("*").alias("cs")).where("cs > 1")
-    mixed = cut(marked.join(sizes.select("g", F.col("top.c").alias("top")), "g"), "mixed")
-    few = mixed.where("c != top").select("g", F.col("id").alias("i"), F.col("n").alias("m"), F.col("c").alias("d"))
-    pairs = few.join(mixed, "g").where((F.col("c") != F.col("d")) & near_sizes("n", "m"))
-    pairs = pairs.select(F.least("id", "i").alias("a"), F.greatest("id", "i").alias("b")).distinct()
-    more = cut(verify(pairs, parts), "links")
-    return first if more.isEmpty() else components(found.union(more))
+    for last in (False, True):
+        marked = cut(head.join(first, head["id"] == first["node"], "left").select("id", "n", "g", F.coalesce("component", "id").alias("c")), "marked")
+        sizes = marked.groupBy("g", "c").agg(F.count("*").alias("m"), F.min(F.struct(F.xxhash64("id", "g").alias("r"), "id", "n")).alias("p"))
+        sizes = sizes.groupBy("g").agg(F.max(F.struct("m", "c", "p")).alias("top"), F.count("*").alias("cs")).where("cs > 1")
+        mixed = cut(marked.join(sizes.select("g", F.col("top.c").alias("top"), F.col("top.p").alias("p")), "g"), "mixed")
+        few = mixed.where("c != top")
+        if last:
+            few = few.select("g", F.col("id").alias("i"), F.col("n").alias("m"), F.col("c").alias("d"))
+            pairs = few.join(mixed, "g").where((F.col("c") != F.col("d")) & near_sizes("n", "m"))
+        else:  # each shingle has a pivot of its own in its largest component: most of those outside join it here
+            pairs = few.select("id", "n", F.col("p.id").alias("i"), F.col("p.n").alias("m")).where(near_sizes("n", "m"))
+        pairs = pairs.select(F.least("id", "i").alias("a"), F.greatest("id", "i").alias("b")).distinct()
+        more = cut(verify(pairs, parts), "links")
+        if not more.isEmpty():
+            found = found.union(more)
+            first = components(found)
+    return first
 
 
 def join(docs: DataFrame, n: int = SHINGLE) -> DataFrame:

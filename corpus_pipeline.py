@@ -20,10 +20,10 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest id; repeated rows of it go too."""
+    """Of each group of near-duplicates the document with the smallest id; repeated rows of it go too.  Rows without an id are in no group and stay."""
     groups = jaccard_join.join(docs).where("doc_id = component_id").select(F.col("doc_id").alias("__keep")).distinct()
-    one = docs.join(groups, docs["doc_id"] == groups["__keep"], "left_semi")
-    return one.dropDuplicates(["doc_id"])
+    one = docs.where("doc_id is not null").join(groups, docs["doc_id"] == groups["__keep"], "left_semi")
+    return one.dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null"))
 
 
 def keep_uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
