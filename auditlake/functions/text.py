@@ -48,10 +48,10 @@ def simhash(c: Column) -> Column:
     shingles = F.when(n == 0, F.array().cast("array<string>")).when(n < 3, F.array(F.array_join(words, " "))).otherwise(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), n - 2)), lambda i: F.array_join(F.slice(words, i, 3), " ")))
     hashes = F.transform(shingles, fnv64)
     zero = F.array_repeat(F.lit(0), 64)
-    bit = lambda h, i: F.when(i < 32, F.shiftright(h["lo"], i.cast("int"))).otherwise(F.shiftright(h["hi"], (i - 32).cast("int"))).bitwiseAND(F.lit(1).cast("long"))
+    bit = lambda h, i: F.when(i < 32, F.call_function("shiftright", h["lo"], i)).otherwise(F.call_function("shiftright", h["hi"], i - 32)).bitwiseAND(F.lit(1).cast("long"))
     places = F.sequence(F.lit(0), F.lit(63))
     votes = F.aggregate(hashes, zero, lambda v, h: F.zip_with(v, places, lambda a, i: a + F.when(bit(h, i) == 1, 1).otherwise(-1)))
-    return F.aggregate(places, F.lit(0).cast("long"), lambda a, i: a.bitwiseOR(F.when(F.get(votes, i) > 0, F.shiftleft(F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long"))))
+    return F.aggregate(places, F.lit(0).cast("long"), lambda a, i: a.bitwiseOR(F.when(F.get(votes, i) > 0, F.call_function("shiftleft", F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long"))))
 
 
 def similarity(a: Column, b: Column) -> Column:

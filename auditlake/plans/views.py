@@ -16,7 +16,7 @@ from ..project import Project
 
 #: Internal pages that were fetched well and are HTML.
 H = "is_internal = 1 and fetched = 1 and status = 200 and content_type ilike '%html%'"
-_IDX = F.expr("case indexable when 1 then 'Yes' when 0 then 'No' else '' end")
+_IDX_SQL = "case indexable when 1 then 'Yes' when 0 then 'No' else '' end"
 
 
 def counts(df: DataFrame, key: str, name: str, value: Column | None = None) -> DataFrame:
@@ -49,7 +49,7 @@ class View:
 
 
 def _internal(p: Project, f: str | None) -> DataFrame:
-    df = p["pages"].where("is_internal = 1 and fetched >= 1").withColumn("idx", _IDX)
+    df = p["pages"].where("is_internal = 1 and fetched >= 1").withColumn("idx", F.expr(_IDX_SQL))
     df = with_counts(df, counts(p["links"], "dst_id", "inlinks"), "inlinks")
     return with_counts(df, counts(p["links"], "src_id", "outlinks"), "outlinks")
 
@@ -63,7 +63,7 @@ def _responses(p: Project, f: str | None) -> DataFrame:
 
 
 def _pages(**columns: str) -> Callable[[Project, str | None], DataFrame]:
-    return lambda p, f: html_pages(p).withColumn("idx", _IDX).withColumns({k: F.expr(v) for k, v in columns.items()})
+    return lambda p, f: html_pages(p).withColumn("idx", F.expr(_IDX_SQL)).withColumns({k: F.expr(v) for k, v in columns.items()})
 
 
 def _images(p: Project, f: str | None) -> DataFrame:
@@ -87,7 +87,7 @@ def _structured(p: Project, f: str | None) -> DataFrame:
 
 def _sitemaps(p: Project, f: str | None) -> DataFrame:
     if f == "not-in-sitemap":
-        return html_pages(p).where("indexable = 1 and coalesce(in_sitemap, 0) = 0").select("url", F.lit(None).cast("string").alias("sitemap"), "status", _IDX.alias("idx"), "id")
+        return html_pages(p).where("indexable = 1 and coalesce(in_sitemap, 0) = 0").select("url", F.lit(None).cast("string").alias("sitemap"), "status", F.expr(_IDX_SQL).alias("idx"), "id")
     s = p["sitemap_urls"].select("url", "sitemap")
     pages = p["pages"].select(F.col("url").alias("__u"), "status", "indexable", "fetched", "id")
     df = s.join(pages, s["url"] == pages["__u"], "left")
@@ -95,7 +95,7 @@ def _sitemaps(p: Project, f: str | None) -> DataFrame:
         df = df.where("id is null or fetched = 0")
     if f == "non-indexable":
         df = df.where("id is not null and indexable = 0")
-    return df.select("url", "sitemap", "status", _IDX.alias("idx"), "id")
+    return df.select("url", "sitemap", "status", F.expr(_IDX_SQL).alias("idx"), "id")
 
 
 def _rendering(p: Project, f: str | None) -> DataFrame:
@@ -155,7 +155,7 @@ VIEWS: dict[str, View] = {
     "content": View("onpage", _pages(ratio="round(coalesce(text_ratio, 0), 3)"), (*_URL, "word_count", "ratio", "content_hash", "idx"), {"thin": _issue("content-thin"), "exact-duplicate": _dup("content_hash"), "near-duplicate": _issue("content-near-duplicate")}, issues=True),
     "images": View("onpage", _images, ("src", "status", "bytes", "content_type", "refs", "missing_alt"), {"over-warn": "bytes >= 204800", "over-critical": "bytes >= 512000", "missing-alt": "missing_alt > 0", "broken": "status >= 400"}, "src"),
     "canonicals": View("technical", _pages(), (*_URL, "canonical", "canonical_header", *_INDEX), {"missing": "canonical is null and canonical_header is null", "self": "canonical = url", "canonicalised": "canonical <> url", "multiple": "canonical_all is not null or canonical <> canonical_header"}, issues=True),
-    "directives": View("technical", lambda p, f: p["pages"].where("is_internal = 1 and fetched >= 1").withColumn("idx", _IDX), (*_URL, "meta_robots", "x_robots", *_INDEX), {"noindex": _ANY.format("noindex"), "nofollow": _ANY.format("nofollow"), "blocked": "fetched = 3"}, issues=True),
+    "directives": View("technical", lambda p, f: p["pages"].where("is_internal = 1 and fetched >= 1").withColumn("idx", F.expr(_IDX_SQL)), (*_URL, "meta_robots", "x_robots", *_INDEX), {"noindex": _ANY.format("noindex"), "nofollow": _ANY.format("nofollow"), "blocked": "fetched = 3"}, issues=True),
     "hreflang": View("technical", _hreflang, (*_URL, "hreflang_count", "langs"), {"with": "hreflang_count > 0"}, issues=True),
     "structured_data": View("technical", _structured, (*_URL, "sd_count", "sd_types", "sd_errors", "sd_warnings"), {"with": "sd_count > 0", "missing": "sd_count = 0", "errors": "sd_errors > 0", "warnings": "sd_warnings > 0"}, issues=True),
     "sitemaps": View("technical", _sitemaps, ("url", "sitemap", "status", "idx"), {"in-sitemap": "true", "orphan": "true", "not-in-sitemap": "true", "non-indexable": "true"}),

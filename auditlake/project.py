@@ -44,6 +44,10 @@ class Project:
     def with_tables(self, **tables: DataFrame) -> Project:
         return Project(self.spark, self.tables | tables, self.config)
 
+    def cached(self) -> Project:
+        """The project with its tables kept by Spark (memory, then disk): many queries then parse pages once.  They have no page sources."""
+        return Project(self.spark, {k: v.cache() if k != "html" else v for k, v in self.tables.items()}, self.config)
+
     def save(self, path: str) -> None:
         """Every table is overwritten on its own; absent ones become empty."""
         for name in schema.DDL:
