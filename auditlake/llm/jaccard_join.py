@@ -14,11 +14,13 @@ exact but for hash collisions among 64 bits within one pair.
    ceil(0.75 n) shared shingles is done.
 4. Candidates share a shingle in the rarest part of that order.  First every such
    shingle compares its classes with one pivot; where they are still in different
-   components, those outside the largest are compared with a pivot of it that the
-   shingle draws by a hash; those that are outside even then are compared with all
-   in other components.  No pair within a component is needed or made.
+   components, those outside the largest are compared with PIVOTS of it that the
+   shingle draws by hashes; those that are outside even then are compared with all
+   in other components.  No pair within a component is needed or made, and none
+   whose shared shingles from there on are too few for the overlap of a link.
 5. Vertical partitioning: the global order is cut into FRAGMENTS ranges of
-   hashes, a pair's overlap is counted in each on its own and summed per pair.
+   hashes, a table each; a pair's overlap is counted in each on its own and summed
+   per pair, which goes when the fragments left can't make up for what is missing.
 
 Cases.  Null, empty and blank texts have the empty set and link with nothing.
 Texts with fewer words than a shingle have their whole word sequence as the one
@@ -39,10 +41,12 @@ from pyspark.sql import functions as F
 
 from . import words
 from .components import components
-from .store import cut
+from .store import cut, forget
 from .substrings import list_column, repeated
 
 SHINGLE, PERCENT, FRAGMENTS = 5, 75, 4
+#: Pivots that a shingle draws in each round before all that is still apart is compared.
+PIVOTS = (4, 16)
 U64 = words.U64
 
 
@@ -102,21 +106,40 @@ def whole_sets(cands: DataFrame, n: int) -> DataFrame:
     return cands.select("id", "key", "text").mapInArrow(run, "id long, n long, s array<long>").dropDuplicates(["id"])
 
 
-def fragment(token: str):
-    return F.shiftrightunsigned(F.col(token), 62).cast("int") % FRAGMENTS
+def fragment(token):
+    return F.shiftrightunsigned(token, 62).cast("int") % FRAGMENTS
 
 
-def verify(pairs: DataFrame, parts: DataFrame) -> DataFrame:
-    """pairs (a, b) that link.  parts: id, n, fragment, s.  Overlaps are counted per fragment and summed per pair."""
-    left = parts.select(F.col("id").alias("a"), F.col("n").alias("na"), "fragment", F.col("s").alias("sa"))
-    right = parts.select(F.col("id").alias("b"), F.col("n").alias("nb"), "fragment", F.col("s").alias("sb"))
-    partial = pairs.join(left, "a").join(right, ["b", "fragment"]).select("a", "b", "na", "nb", F.size(F.array_intersect("sa", "sb")).alias("o"))
-    return partial.groupBy("a", "b").agg(F.first("na").alias("na"), F.first("nb").alias("nb"), F.sum("o").alias("o")).where(f"100 * o >= {PERCENT} * (na + nb - o)").select("a", "b")
+def part_of(shared: DataFrame, f: int) -> DataFrame:
+    """id, n, s (the shingles in fragment f) and rest, the number of those in later ones."""
+    own = F.transform(F.filter("s", lambda x: fragment(x["g"]) == f), lambda x: x["g"])
+    return shared.select("id", "n", own.alias("s"), F.size(F.filter("s", lambda x: fragment(x["g"]) > f)).alias("rest"))
 
 
-def near_sizes(x: str, y: str):
-    """The smaller size is at least PERCENT of the larger."""
-    return (100 * F.least(x, y)) >= (PERCENT * F.greatest(x, y))
+def verify(pairs: DataFrame, parts: list[DataFrame]) -> DataFrame:
+    """pairs (a, b) that link.  parts: for each fragment id, n, s and rest, the number of shingles in later ones.
+
+    Overlaps are counted fragment by fragment and summed per pair; a pair goes as soon as what is left of it can't make up for what is missing."""
+    alive = pairs.withColumn("o", F.lit(0))
+    for part in parts:
+        left = part.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("s").alias("sa"), F.col("rest").alias("ra"))
+        right = part.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("s").alias("sb"), F.col("rest").alias("rb"))
+        both = alive.join(left, "a").join(right, "b").select("a", "b", "na", "nb", "ra", "rb", (F.col("o") + F.size(F.array_intersect("sa", "sb"))).alias("o"))
+        alive = both.where(may_reach(F.col("o") + F.least("ra", "rb"), "na", "nb")).select("a", "b", "o")
+    return alive.select("a", "b")
+
+
+def may_reach(overlap, n: str, m: str):
+    """Whether an overlap is enough for sets of n and m shingles to link."""
+    return (100 + PERCENT) * overlap >= PERCENT * (F.col(n) + F.col(m))
+
+
+def may_link(x: str, y: str, n: str, m: str):
+    """Whether sets of n and m shingles can link if a shingle is the first that they share.
+
+    x and y are the shared shingles of each from that one on; the overlap is at
+    most the smaller.  At the first shingle that two linked sets share it holds."""
+    return may_reach(F.least(x, y), n, m)
 
 
 def links(classes: DataFrame) -> DataFrame:
@@ -126,34 +149,40 @@ def links(classes: DataFrame) -> DataFrame:
     shared = rows.join(freq, "g").groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("df", "g"))).alias("s"))
     least = F.ceil(F.col("n") * PERCENT / 100).cast("int")
     shared = cut(shared.where(F.size("s") >= least), "shared")
-    head = shared.select("id", "n", F.explode(F.slice("s", F.lit(1), F.size("s") - least + 1)).alias("x")).select("id", "n", F.col("x.g").alias("g"))
-    parts = shared.select("id", "n", F.explode(F.sequence(F.lit(0), F.lit(FRAGMENTS - 1))).alias("fragment"), "s")
-    own = F.filter(F.transform("s", lambda x: x["g"]), lambda g: F.shiftrightunsigned(g, 62).cast("int") % FRAGMENTS == F.col("fragment"))
-    parts = cut(parts.select("id", "n", "fragment", own.alias("s")), "fragments")
+    head = shared.select("id", "n", F.size("s").alias("l"), F.posexplode(F.slice("s", F.lit(1), F.size("s") - least + 1)).alias("i", "x")).select("id", "n", F.col("x.g").alias("g"), (F.col("l") - F.col("i")).alias("l"))
+    parts = [cut(part_of(shared, f), f"fragment{f}") for f in range(FRAGMENTS)]
 
-    pivot = head.groupBy("g").agg(F.min(F.struct(F.xxhash64("id").alias("r"), "id", "n")).alias("p"), F.count("*").alias("c")).where("c > 1").select("g", "p")
-    pairs = head.join(pivot, "g").where((F.col("id") != F.col("p.id")) & near_sizes("n", "p.n"))
+    pivot = head.groupBy("g").agg(F.min(F.struct(F.xxhash64("id").alias("r"), "id", "n", "l")).alias("p"), F.count("*").alias("c")).where("c > 1").select("g", "p")
+    pairs = head.join(pivot, "g").where((F.col("id") != F.col("p.id")) & may_link("l", "p.l", "n", "p.n"))
     pairs = pairs.select(F.least("id", "p.id").alias("a"), F.greatest("id", "p.id").alias("b")).distinct()
     found = cut(verify(pairs, parts), "links")
     first = components(found)
 
-    for last in (False, True):
-        marked = cut(head.join(first, head["id"] == first["node"], "left").select("id", "n", "g", F.coalesce("component", "id").alias("c")), "marked")
-        sizes = marked.groupBy("g", "c").agg(F.count("*").alias("m"), F.min(F.struct(F.xxhash64("id", "g").alias("r"), "id", "n")).alias("p"))
-        sizes = sizes.groupBy("g").agg(F.max(F.struct("m", "c", "p")).alias("top"), F.count("*").alias("cs")).where("cs > 1")
-        mixed = cut(marked.join(sizes.select("g", F.col("top.c").alias("top"), F.col("top.p").alias("p")), "g"), "mixed")
-        few = mixed.where("c != top")
-        if last:
-            few = few.select("g", F.col("id").alias("i"), F.col("n").alias("m"), F.col("c").alias("d"))
-            pairs = few.join(mixed, "g").where((F.col("c") != F.col("d")) & near_sizes("n", "m"))
-        else:  # each shingle has a pivot of its own in its largest component: most of those outside join it here
-            pairs = few.select("id", "n", F.col("p.id").alias("i"), F.col("p.n").alias("m")).where(near_sizes("n", "m"))
-        pairs = pairs.select(F.least("id", "i").alias("a"), F.greatest("id", "i").alias("b")).distinct()
-        more = cut(verify(pairs, parts), "links")
-        if not more.isEmpty():
-            found = found.union(more)
-            first = components(found)
-    return first
+    for pivots in PIVOTS:
+        marked = cut(head.join(first, head["id"] == first["node"], "left").select("id", "n", "l", "g", F.coalesce("component", "id").alias("c")), "marked")
+        drawn = F.struct(F.xxhash64("id", "g").alias("r"), "id", "n", "l")
+        sizes = marked.groupBy("g", "c", F.pmod(F.xxhash64("g", "id"), F.lit(pivots)).alias("slot")).agg(F.count("*").alias("m"), F.min(drawn).alias("p"))
+        sizes = sizes.groupBy("g", "c").agg(F.sum("m").alias("m"), F.collect_list("p").alias("ps"))
+        sizes = sizes.groupBy("g").agg(F.max(F.struct("m", "c", "ps")).alias("top"), F.count("*").alias("cs")).where("cs > 1")
+        few = marked.join(sizes.select("g", "top"), "g").where("c != top.c").select("id", "n", "l", F.explode("top.ps").alias("p"))
+        found, first = merged(few.where(may_link("l", "p.l", "n", "p.n")).select("id", F.col("p.id").alias("i")), parts, found, first)
+        forget(marked)
+
+    marked = cut(head.join(first, head["id"] == first["node"], "left").select("id", "n", "l", "g", F.coalesce("component", "id").alias("c")), "marked")
+    top = marked.groupBy("g", "c").agg(F.count("*").alias("m")).groupBy("g").agg(F.max_by("c", F.struct("m", "c")).alias("top"), F.count("*").alias("cs")).where("cs > 1")
+    mixed = cut(marked.join(top.select("g", "top"), "g"), "mixed")
+    few = mixed.where("c != top").select("g", F.col("id").alias("i"), F.col("n").alias("m"), F.col("l").alias("k"), F.col("c").alias("d"))
+    return merged(few.join(mixed, "g").where((F.col("c") != F.col("d")) & may_link("l", "k", "n", "m")), parts, found, first)[1]
+
+
+def merged(pairs: DataFrame, parts: DataFrame, found: DataFrame, first: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The links found, with those among the pairs (id, i), and the components of all."""
+    pairs = pairs.select(F.least("id", "i").alias("a"), F.greatest("id", "i").alias("b")).distinct()
+    more = cut(verify(pairs, parts), "links")
+    if more.isEmpty():
+        return found, first
+    found = found.union(more)
+    return found, components(found)
 
 
 def join(docs: DataFrame, n: int = SHINGLE) -> DataFrame:

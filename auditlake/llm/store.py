@@ -58,6 +58,12 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def forget(df: DataFrame) -> None:
+    """Removes the files of what cut has returned, once nothing will read it again."""
+    for file in df.inputFiles()[:1]:
+        drop(df.sparkSession, file.rpartition("/")[0])
+
+
 def drop(spark: SparkSession, path: str) -> None:
     """Removes what new_path or cut has made."""
     jvm = spark.sparkContext._jvm
