@@ -35,12 +35,11 @@ PROFILE = "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"
 DATE = "1970-01-01T00:00:00Z"
 
 
-def base32_sha1(payload: Column) -> Column:
-    """Each 5 hex digits are 20 bits, hence 4 letters."""
-    digest = F.sha1(payload)
+def base32(sha: str) -> Column:
+    """A column of 40 hex digits in base 32: each 5 of them are 20 bits, hence 4 letters."""
     letters = []
     for i in range(8):
-        bits = F.conv(F.substring(digest, 5 * i + 1, 5), 16, 10).cast("int")
+        bits = F.conv(F.substring(sha, 5 * i + 1, 5), 16, 10).cast("int")
         letters += [F.substring(F.lit(BASE32), F.shiftright(bits, s).bitwiseAND(F.lit(31)) + 1, F.lit(1)) for s in (15, 10, 5, 0)]
     return F.concat(*letters)
 
@@ -48,7 +47,8 @@ def base32_sha1(payload: Column) -> Column:
 def marked(pages: DataFrame, min_bytes: int) -> DataFrame:
     """pages (page_id, url, html) with payload, size, digest and first: the id that a revisit refers to."""
     payload = F.coalesce("html", F.lit(""))
-    out = pages.select("page_id", "url", payload.alias("payload")).withColumns({"size": F.octet_length("payload"), "digest": base32_sha1(F.col("payload"))})
+    out = pages.select("page_id", "url", payload.alias("payload")).withColumns({"size": F.octet_length("payload"), "sha": F.sha1("payload")})
+    out = out.withColumn("digest", base32("sha")).drop("sha")
     slim = cut(out.select("page_id", "digest", "size"), "digests")
     first = slim.where((F.col("size") >= min_bytes) & F.col("page_id").isNotNull()).groupBy("digest", "size").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1")
     later = slim.join(first, ["digest", "size"]).where("page_id > first").select("page_id", "digest", "first").distinct()
@@ -88,23 +88,23 @@ def pieces(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("seq"), "value")
 
 
-def parsed(value: Column) -> dict[str, Column]:
-    """Of a whole record without its magic line: header, length, payload's digest and size."""
-    head = F.substring_index(value, GAP, 1)
-    block = F.substring(value, F.length(head) + 5, F.length(value) - F.length(head) - 8)
-    payload = F.substring(block, F.length(F.substring_index(block, GAP, 1)) + 5, F.length(block))
-    whole = F.octet_length(head) + F.lit(8) + field(head, "Content-Length").try_cast("bigint")
-    ok = (F.length(head) < F.length(value)) & (field(head, "WARC-Type") != "")
-    return {"head": F.when(ok, head), "whole": F.when(ok, whole), "digest": base32_sha1(payload), "size": F.octet_length(payload)}
+def parsed(rows: DataFrame) -> DataFrame:
+    """rows with the parts of value, a whole record without its magic line: header, length, payload's SHA-1 in hex and size.
+
+    Each part has a projection of its own, since a later one that names it more than once would else compute it as often."""
+    rows = rows.withColumn("head", F.substring_index("value", GAP, 1))
+    ok = (F.octet_length("head") < F.octet_length("value")) & (field(F.col("head"), "WARC-Type") != "")
+    rows = rows.withColumns({"block": F.substring("value", F.length("head") + 5, F.length("value") - F.length("head") - 8), "ok": ok})
+    whole = F.octet_length("head") + F.lit(8) + field(F.col("head"), "Content-Length").try_cast("bigint")
+    rows = rows.withColumn("payload", F.substring("block", F.length(F.substring_index("block", GAP, 1)) + 5, F.length("block")))
+    return rows.withColumns({"sha": F.sha1("payload"), "size": F.octet_length("payload"), "whole": F.when(F.col("ok"), whole), "head": F.when(F.col("ok"), F.col("head"))}).drop("block", "payload", "ok")
 
 
 def candidates(spark: SparkSession, path: str) -> DataFrame:
     """Slim rows of all pieces: file, seq, at (offset of the magic), next (offset of the successor that the header claims), full (the piece is a whole record)."""
-    rows = pieces(spark, path)
-    got = parsed(F.col("value"))
-    rows = rows.withColumn("bytes", F.octet_length("value")).withColumns({"head": got["head"], "whole": got["whole"]})
+    rows = parsed(pieces(spark, path).withColumn("bytes", F.octet_length("value")))
     full = F.col("whole") == F.col("bytes")
-    rows = rows.select("file", "split", "seq", "bytes", "head", "whole", F.coalesce(full, F.lit(False)).alias("full"), F.when(full, got["digest"]).alias("digest"), F.when(full, got["size"]).alias("size"))
+    rows = rows.select("file", "split", "seq", "bytes", "head", "whole", F.coalesce(full, F.lit(False)).alias("full"), F.when(full, F.col("sha")).alias("sha"), F.when(full, F.col("size")).alias("size"))
     before = Window.partitionBy("file").orderBy("split", "seq").rowsBetween(Window.unboundedPreceding, -1)
     start = F.coalesce(F.sum(F.col("bytes") + len(MAGIC)).over(before), F.lit(0))
     rows = rows.withColumn("at", start - len(MAGIC)).withColumn("next", F.col("at") + len(MAGIC) + F.col("whole"))
@@ -138,15 +138,15 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     """Records: page_id, record_type, payload_bytes, payload_digest, refers_to, target_uri, digest_ok."""
     found = candidates(spark, path)
     good = cut(reachable(found), "records")
-    out = good.where("full").select("file", "at", "head", "digest", "size")
+    out = good.where("full").select("file", "at", "head", "sha", "size")
     broken = good.where("not full").select("file", "at", "next")
     if not broken.isEmpty():
         inside = found.select("file", "seq", F.col("at").alias("piece_at"))
         spread = inside.join(broken, "file").where("piece_at >= at and piece_at < next")
         parts = pieces(spark, path).join(spread, ["file", "seq"]).groupBy("file", "at", "next").agg(F.array_sort(F.collect_list(F.struct("piece_at", "value"))).alias("v"))
         value = F.array_join(F.transform("v", lambda x: x["value"]), MAGIC)
-        whole = parts.select("file", "at", value.alias("value"))
-        out = out.unionByName(whole.select("file", "at", *[c.alias(k) for k, c in parsed(F.col("value")).items() if k != "whole"]))
+        out = out.unionByName(parsed(parts.select("file", "at", value.alias("value"))).select(out.columns))
+    out = out.withColumn("digest", base32("sha"))
     revisit = field(F.col("head"), "WARC-Type") == "revisit"
     claimed = F.regexp_extract(field(F.col("head"), "WARC-Payload-Digest"), "^sha1:(.*)$", 1)
     number = lambda name: F.regexp_extract(field(F.col("head"), name), "^<urn:x-page:(-?[0-9]+)>$", 1).try_cast("bigint")
