@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words
-from .store import cut
+from .store import cut, forget
 
 WINDOW, START = 13, 7
 U64 = words.U64
@@ -157,16 +157,25 @@ def dedup(docs: DataFrame, window: int = WINDOW, start: int = START, texts: bool
     # written before texts are shuffled, so that the shuffles of anchors are gone by then
     found = cut(repeated(rows, ["g"], "k").groupBy("k").agg(F.collect_set("g").alias("h")), "anchors")
     cands = cut(docs.select(F.col("doc_id").cast("long"), "text").join(found.join(reps, "k"), "doc_id").select("doc_id", "k", "text", "h"), "candidates")
+    forget(found)
     for before, length in zip(steps, steps[1:], strict=False):
         rows = cut(extend(cands, before, length, window), f"windows{length}")
         if length < window:
             found = repeated(rows, ["g"], "k").groupBy("doc_id", "k").agg(F.collect_set("g").alias("h"))
-            cands = cut(cands.drop("h").join(found, ["doc_id", "k"]).select("doc_id", "k", "text", "h"), "candidates")
+            longer = cut(cands.drop("h").join(found, ["doc_id", "k"]).select("doc_id", "k", "text", "h"), "candidates")
+            forget(rows)
+            forget(cands)
+            cands = longer
     if len(steps) == 1:  # the window itself was the first length
         rows = cut(extend(cands, window, window, window), "windows")
+    # texts are read from docs again, so that no copy of them lies beside the shuffles of windows
+    forget(cands)
     late = cut(repeated(rows, ["g", "g2"], "doc_id").where("doc_id > least").groupBy("doc_id", "k").agg(F.collect_set("at").alias("at")), "late")
-    changed = remove(cands.drop("h").join(late, ["doc_id", "k"]), window)
-    changed = cut(changed if texts else changed.drop("kept"), "removed")
+    forget(rows)
+    changed = remove(docs.select(F.col("doc_id").cast("long"), "text").join(late, "doc_id").select("doc_id", "k", "text", "at"), window)
+    # repeated rows are one row here, or the join below would multiply them
+    changed = cut((changed if texts else changed.drop("kept")).dropDuplicates(["doc_id", "k"]), "removed")
+    forget(late)
     copy = F.col("doc_id") > F.col("first_id")
     out = slim.join(own, "sha", "left").join(changed, ["doc_id", "k"], "left")
     whole = copy & (F.col("n_words") >= window)

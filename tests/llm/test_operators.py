@@ -96,14 +96,17 @@ def test_pii(spark, docs):
 
 
 def test_substrings(spark, docs):
+    again = [r for r in TEXTS if r[0] in (3, 11)] + [(11, LONG + " more")]  # repeated rows that lose words, and another text under their id
+    rows = TEXTS + again
+    docs = docs.select("doc_id", "text", "k", "h").union(spark.createDataFrame([(i, t, "x", "x") for i, t in again], "doc_id long, text string, k string, h string"))
     want, first = [], {}
-    for i, t in TEXTS:
+    for i, t in rows:
         w = words(t)
         for p in range(len(w) - 12):
             if i is not None:
                 k = tuple(w[p : p + 13])
                 first[k] = min(first.get(k, i), i)
-    for i, t in TEXTS:
+    for i, t in rows:
         w = words(t)
         gone = {j for p in range(len(w) - 12) if i is not None and first[tuple(w[p : p + 13])] < i for j in range(p, p + 13)}
         want.append((str(i), len(w), len(gone), hashlib.sha256(" ".join(x for j, x in enumerate(w) if j not in gone).encode()).hexdigest()))
