@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 
+#: Values handled at once.
+BLOCK = 1 << 18
+
 
 @dataclass
 class Linear:
@@ -25,28 +29,43 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
 
 
 def dot(rows: list[tuple[np.ndarray, np.ndarray]], weights: np.ndarray) -> np.ndarray:
-    return np.array([float(v @ weights[i]) for i, v in rows])
+    return np.array([float(v.astype(float) @ weights[i]) for i, v in rows])
+
+
+def blocks(rows: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[tuple[slice, np.ndarray, np.ndarray, np.ndarray]]:
+    """Runs of rows with about BLOCK values: which rows, indices, values, and the place of each value's row in the run."""
+    ends = np.cumsum([len(i) for i, _ in rows])
+    a = 0
+    while a < len(rows):
+        z = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + BLOCK, "right")))
+        run = rows[a:z]
+        yield slice(a, z), np.concatenate([i for i, _ in run]), np.concatenate([v for _, v in run]).astype(np.float32), np.repeat(np.arange(len(run), dtype=np.int32), [len(i) for i, _ in run])
+        a = z
 
 
 def train(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, width: int, l2: float = 1e-3, steps: int = 80, rate: float = 0.05) -> Linear:
     """rows: indices and values of each row.  Every fifth row is held out and
-    only used to calibrate.  Full-batch Adam on features scaled to unit RMS."""
+    only used to calibrate.  Full-batch Adam on features scaled to unit RMS;
+    gradients are summed block by block, so that temporaries stay small."""
     held = np.arange(len(rows)) % 5 == 4
     if len(set(y[~held])) < 2:
         return Linear(np.zeros(width, np.float32), float(np.log((y.sum() + 1) / (len(y) - y.sum() + 1))))
-    fit = [r for r, h in zip(rows, held, strict=True) if not h]
-    idx, val = np.concatenate([i for i, _ in fit]), np.concatenate([v for _, v in fit])
-    row = np.repeat(np.arange(len(fit)), [len(i) for i, _ in fit])
-    scale = np.sqrt(np.bincount(idx, val * val, width) / len(fit))
+    parts = list(blocks([r for r, h in zip(rows, held, strict=True) if not h]))
+    target = y[~held].astype(float)
+    scale = np.sqrt(sum(np.bincount(idx, val.astype(float) ** 2, width) for _, idx, val, _ in parts) / len(target))
     inv = 1 / (scale + (np.median(scale[scale > 0]) if (scale > 0).any() else 1.0))
-    val, target = val * inv[idx], y[~held].astype(float)
+    for _, idx, val, _ in parts:
+        val *= inv[idx]
     share = target.mean()
     cost = np.where(target > 0, 0.5 / share, 0.5 / (1 - share)) ** 0.5
     w, b, m, v, mb, vb = np.zeros(width), 0.0, np.zeros(width), np.zeros(width), 0.0, 0.0
     for t in range(1, steps + 1):
-        p = sigmoid(np.bincount(row, val * w[idx], len(fit)) + b)
-        err = (p - target) * cost / len(fit)
-        g, gb = np.bincount(idx, val * err[row], width) + l2 * w, err.sum()
+        g, gb = l2 * w, 0.0
+        for of, idx, val, row in parts:
+            p = sigmoid(np.bincount(row, val * w[idx], of.stop - of.start) + b)
+            err = (p - target[of]) * cost[of] / len(target)
+            g += np.bincount(idx, val * err[row], width)
+            gb += err.sum()
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         mb, vb = 0.9 * mb + 0.1 * gb, 0.999 * vb + 0.001 * gb * gb
         a = rate * (1 - t / (steps + 1))

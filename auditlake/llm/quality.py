@@ -111,7 +111,7 @@ def vectors(rows: DataFrame, make) -> tuple[list[tuple[np.ndarray, np.ndarray]],
 
     got = rows.select("doc_id", "text", "y").mapInArrow(run, "doc_id long, y int, i binary, v binary").collect()
     got.sort(key=lambda r: (r.doc_id * 0x9E3779B1 % (1 << 32), r.doc_id, r.i))
-    return [(np.frombuffer(r.i, "<i4"), np.frombuffer(r.v, "<f4").astype(float)) for r in got], np.array([r.y for r in got])
+    return [(np.frombuffer(r.i, "<i4"), np.frombuffer(r.v, "<f4")) for r in got], np.array([r.y for r in got])
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> logistic.Linear | None:
