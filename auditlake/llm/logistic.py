@@ -77,11 +77,13 @@ def train(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, width: int,
 
 
 def platt(raw: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope and shift by Newton steps, with Platt's smoothed targets."""
+    """Slope and shift by Newton steps on standardised scores, with Platt's smoothed targets."""
     good, bad = int(y.sum()), int(len(y) - y.sum())
     if not good or not bad:
         return 1.0, 0.0
     target = np.where(y > 0, (good + 1) / (good + 2), 1 / (bad + 2))
+    mid, spread = raw.mean(), raw.std() or 1.0
+    raw = (raw - mid) / spread
     a, b = 1.0, 0.0
     for _ in range(50):
         p = sigmoid(a * raw + b)
@@ -91,4 +93,4 @@ def platt(raw: np.ndarray, y: np.ndarray) -> tuple[float, float]:
         step = np.linalg.solve(h, g)
         step *= min(1.0, 2 / (np.abs(step).max() + 1e-12))
         a, b = a - step[0], b - step[1]
-    return (float(a), float(b)) if a > 0 else (1.0, 0.0)
+    return (float(a / spread), float(b - a * mid / spread)) if a > 0 else (1.0, 0.0)
