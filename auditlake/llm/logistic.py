@@ -33,13 +33,13 @@ def dot(rows: list[tuple[np.ndarray, np.ndarray]], weights: np.ndarray) -> np.nd
 
 
 def blocks(rows: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[tuple[slice, np.ndarray, np.ndarray, np.ndarray]]:
-    """Runs of rows with about BLOCK values: which rows, indices, values, and the place of each value's row in the run."""
+    """Runs of rows with about BLOCK values: which rows, indices, values, and how many values each row has."""
     ends = np.cumsum([len(i) for i, _ in rows])
     a = 0
     while a < len(rows):
         z = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + BLOCK, "right")))
         run = rows[a:z]
-        yield slice(a, z), np.concatenate([i for i, _ in run]), np.concatenate([v for _, v in run]).astype(np.float32), np.repeat(np.arange(len(run), dtype=np.int32), [len(i) for i, _ in run])
+        yield slice(a, z), np.concatenate([i for i, _ in run]), np.concatenate([v for _, v in run]).astype(np.float32), np.array([len(i) for i, _ in run])
         a = z
 
 
@@ -61,8 +61,9 @@ def train(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, width: int,
     w, b, m, v, mb, vb = np.zeros(width), 0.0, np.zeros(width), np.zeros(width), 0.0, 0.0
     for t in range(1, steps + 1):
         g, gb = l2 * w, 0.0
-        for of, idx, val, row in parts:
-            p = sigmoid(np.bincount(row, val * w[idx], of.stop - of.start) + b)
+        for of, idx, val, counts in parts:
+            row = np.repeat(np.arange(len(counts)), counts)
+            p = sigmoid(np.bincount(row, val * w[idx], len(counts)) + b)
             err = (p - target[of]) * cost[of] / len(target)
             g += np.bincount(idx, val * err[row], width)
             gb += err.sum()
