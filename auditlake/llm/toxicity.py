@@ -2,10 +2,13 @@
 
 1. A character language model (trigrams over a fixed alphabet of 64 classes) is
    counted over all documents; its size does not grow with them.
-2. Segments that may be disguised (letters mixed with look-alikes, spaced-out
-   letters, letters repeated three times or more) become character lattices;
-   Viterbi decoding under the model picks the likeliest reading.  A word of
-   plain letters has a lattice of one path and passes as it is.
+2. Segments that may be disguised (every token with a letter and a look-alike,
+   spaced-out letters and look-alikes, letters repeated three times or more)
+   become character lattices; Viterbi decoding under the model picks the
+   likeliest reading.  A word of plain letters has a lattice of one path and
+   passes as it is.  Not part of a token: !, | and ( at its end, three or more
+   equal signs there, and an opening bracket before it that is closed later.
+   E-mail addresses and host names are no disguise.
 3. Word-initial, word-final and whole-word features of the restored text are
    scored by a calibrated logistic regression.
 
@@ -38,12 +41,20 @@ CLASSES = 64
 LOOKALIKE = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e"}
 #: Log costs of the channel: writing a letter as a look-alike, putting a separator inside a word, repeating a letter.
 SWAP, SEPARATE, REPEAT, LITERAL = -2.5, -0.3, -0.7, -9.0
+#: A letter; signs that may stand for one; what stands alone in a spaced word.
+LETTER, SIGN = r"[^\W\d_]", "@$!|+(€"
+ALONE = rf"(?:{LETTER}|[{SIGN}013-57-9])"
+#: Host names end in one of these; other words with a full stop between them are two words.
+DOMAIN = r"(?:(?<=\.(?:co|io|ai|me|tv|eu|us|uk|de|fr|es|it|nl|ch|at|be|pl|se|no|dk|fi|ru|cn|jp|br|in|au|ca))|(?<=\.(?:com|org|net|edu|gov|biz|app|dev|xyz))|(?<=\.info))"
 DISGUISED = re.compile(
-    r"(?<![^\W\d_])[^\W\d_](?:([ .\-_*])[^\W\d_])(?:\1[^\W\d_])+(?![^\W\d_])"  # i d i o t
-    r"|(?<![\w@.])[@$!|+(€0-9]{0,2}[^\W\d_]+(?:[@$!|+(€0-9]{1,2}[^\W\d_]+)+(?:[@$0-9]{1,2})?(?![\w@.])"  # 1d10t
-    r"|(?<![\w@.])[@$!|0-9]{1,2}[^\W\d_]{2,}(?![\w@.])"
-    r"|\b[^\W\d_]*([^\W\d_])\2\2[^\W\d_]*\b"  # idiiiot
+    rf"(?<![^\W_])(?:(?P<spaced>(?<![{SIGN}]){ALONE}([ .\-_*])(?:{ALONE}\2)+(?:{LETTER}|[@$+€013-57-9])(?![^\W_]|[@$+€]))"  # i d 1 0 t
+    rf"|(?P<address>(?<![\w.%+@-])[{SIGN}]*+(?:[\w.%+-]++@[\w-]+(?:\.[\w-]+)+|[\w-]++(?:\.[\w-]++)++{DOMAIN}))"
+    rf"|(?P<token>(?<![{SIGN}])(?:(?![0-9])|(?<![0-9][.,]))(?=[{SIGN}0-9]*+{LETTER})(?={LETTER}*+[{SIGN}0-9])(?:{LETTER}++|[{SIGN}0-9]++)++)"  # 1d10t
+    rf"|\b{LETTER}*(?P<again>{LETTER})(?P=again)(?P=again){LETTER}*\b)"  # idiiiot
 )
+REPEATED = re.compile(rf"\b{LETTER}*({LETTER})\1\1{LETTER}*\b")
+DISGUISE = re.compile(rf"(?=.*{LETTER}).*[{SIGN}0-9]", re.S)
+BRACKET = re.compile(r"[()]")
 FOLD = "crc32(cast(doc_id as string)) % 5"
 
 
@@ -131,6 +142,23 @@ def decode(segment: str, model: CharModel) -> str:
     return "".join(reversed(out))
 
 
+def borders(found: re.Match) -> tuple[int, int]:
+    """Where in a token the word starts and ends, without the punctuation around it."""
+    token = found[0]
+    start, end = 0, len(token)
+    if token[0] == "(":
+        closing = BRACKET.search(found.string, found.end())
+        if closing and closing[0] == ")":
+            start = end - len(token.lstrip("("))
+    while end > start:
+        last = token[end - 1]
+        run = end - start - len(token[start:end].rstrip(last))
+        if last not in "!|(26" and (last not in SIGN or run < 3):
+            break
+        end -= run
+    return start, end
+
+
 class Restorer:
     """Restores texts; remembers up to ``most`` decoded segments, then starts afresh."""
 
@@ -138,7 +166,17 @@ class Restorer:
         self.model, self.seen, self.most = model, {}, most
 
     def one(self, found: re.Match) -> str:
-        segment = found[0]
+        segment, kind = found[0], found.lastgroup
+        if kind == "address":
+            return REPEATED.sub(self.one, segment)
+        if kind == "token":
+            start, end = borders(found)
+            core = segment[start:end]
+            core = self.read(core) if DISGUISE.match(core) else REPEATED.sub(self.one, core)
+            return segment[:start] + core + segment[end:]
+        return self.read(segment) if kind != "spaced" or any(map(str.isalpha, segment)) else segment
+
+    def read(self, segment: str) -> str:
         if len(segment) > 400:  # a run of letters that long is not a word; it is cut at its words
             return segment
         if segment not in self.seen:

@@ -72,6 +72,23 @@ def test_toxicity(spark, docs, labels):
     assert [restore(x) for x in ("1d10t", "m o r o n", "stuuuuupid", "tr4sh", "plain 42 a@b.co")] == ["idiot", "moron", "stupid", "trash", "plain 42 a@b.co"]
 
 
+def trained_on(text):
+    import numpy as np
+
+    k = toxicity.classes(np.array([ord(c) for c in text], np.uint32))
+    at, n = np.unique((k[:-2] * toxicity.CLASSES + k[1:-1]) * toxicity.CLASSES + k[2:], return_counts=True)
+    return toxicity.CharModel(at, n.astype(float))
+
+
+def test_disguised_words():
+    restore = toxicity.Restorer(trained_on("idiot moron stupid trash bastard asshole bitch ass shit idiots you are an " * 5))
+    disguised = {"you 1d10t.": "you idiot.", "5tupid.": "stupid.", "...1d10t!!": "...idiot!!", "(1d10t)": "(idiot)", "1d10t.You": "idiot.You", "b!+(h": "bitch", "b4574rd": "bastard", "4$$h0l3": "asshole"}
+    disguised |= {"a55": "ass", "a$$": "ass", "sh17": "shit", "sh!+": "shit", "1 d 1 0 t": "idiot", "b 4 5 7 4 r d!": "bastard!", "i.d.1.0.t": "idiot", "foo_m0r0n": "foo_moron"}
+    assert {x: restore(x) for x in disguised} == disguised
+    for plain in ("YOU ARE!!", "stupid$$$", "(you are) an", "mail x1@z.org, (x1@z.org)", "go to b4d.example.com.", "1 2 3 4", "1.5kg"):
+        assert restore(plain) == plain
+
+
 def base_spans(t):
     rules = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
     out = []
