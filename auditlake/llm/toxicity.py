@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +42,8 @@ CLASSES = 64
 LOOKALIKE = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e"}
 #: Log costs of the channel: writing a letter as a look-alike, putting a separator inside a word, repeating a letter.
 SWAP, SEPARATE, REPEAT, LITERAL = -2.5, -0.3, -0.7, -9.0
+#: Characters between two looks for what is settled in a long segment, and the longest segment worth remembering.
+SETTLE, REMEMBERED = 1024, 100
 #: A letter; signs that may stand for one; what stands alone in a spaced word.
 LETTER, SIGN = r"[^\W\d_]", "@$!|+(€"
 ALONE = rf"(?:{LETTER}|[{SIGN}013-57-9])"
@@ -102,44 +105,64 @@ def count_trigrams(docs: DataFrame) -> CharModel:
     return CharModel(np.array([r.code for r in got], np.int64), np.array([r.n for r in got], float))
 
 
-def lattice(segment: str) -> list[list[tuple[str, float]]]:
+def lattice(segment: str) -> Iterator[list[tuple[str, float]]]:
     """For each character the readings, '' for one that is noise, with their log costs."""
-    out, before, low = [], "", segment.lower()
+    before, low = "", segment.lower()
     for i, c in enumerate(low):
         if c.isalpha():
             run = c * 3 in low[max(0, i - 2) : i + 3]
-            out.append([(c, 0.0), ("", REPEAT)] if c == before and run else [(c, 0.0)])
+            yield [(c, 0.0), ("", REPEAT)] if c == before and run else [(c, 0.0)]
         elif c in LOOKALIKE:
-            out.append([(x, SWAP) for x in LOOKALIKE[c]] + [(c, LITERAL)])
+            yield [(x, SWAP) for x in LOOKALIKE[c]] + [(c, LITERAL)]
         else:
-            out.append([("", SEPARATE), (c, LITERAL)])
+            yield [("", SEPARATE), (c, LITERAL)]
         before = c
-    return out
+
+
+@lru_cache(1 << 16)
+def class_of(char: str) -> int:
+    return int(classes(np.array([ord(char)]))[0])
+
+
+def read_back(trail: list[dict], at: tuple) -> str:
+    out = []
+    for step in reversed(trail):
+        at, x = step[at]
+        out.append(x)
+    return "".join(reversed(out))
 
 
 def decode(segment: str, model: CharModel) -> str:
-    """The likeliest reading of a segment; states are the last two classes and the last letter."""
-    best = {(0, 0, ""): (0.0, None)}
-    trail = []
+    """The likeliest reading of a segment of any length; states are the last two classes and the last letter.
+
+    After SETTLE characters or more, what all paths have in common is written out, so that long segments need little memory."""
+    best = {(0, 0, ""): 0.0}
+    trail, out, look = [], [], SETTLE
     for readings in lattice(segment):
         new: dict = {}
-        for state, (score, _) in best.items():
+        back: dict = {}
+        for state, score in best.items():
             for x, cost in readings:
                 if x == "":
                     to, s = state, score + cost
                 else:
-                    k = int(classes(np.array([ord(x)]))[0]) if len(x) == 1 else 0
+                    k = class_of(x)
                     to, s = (state[1], k, x), score + cost + model(state[0], state[1], k)
-                if to not in new or s > new[to][0]:
-                    new[to] = (s, (state, x))
-        trail.append(new)
+                if to not in new or s > new[to]:
+                    new[to], back[to] = s, (state, x)
+        trail.append(back)
         best = new
-    at = max(best, key=lambda t: (best[t][0] + model(t[0], t[1], 0), t))
-    out = []
-    for step in reversed(trail):
-        at, x = step[at][1]
-        out.append(x)
-    return "".join(reversed(out))
+        if len(trail) >= look:
+            at, n = set(best), len(trail)
+            while len(at) > 1 and n:
+                n -= 1
+                at = {trail[n][t][0] for t in at}
+            if n:
+                out.append(read_back(trail[:n], at.pop()))
+                del trail[:n]
+            look = SETTLE + 2 * len(trail)
+    at = max(best, key=lambda t: (best[t] + model(t[0], t[1], 0), t))
+    return "".join(out) + read_back(trail, at)
 
 
 def borders(found: re.Match) -> tuple[int, int]:
@@ -160,7 +183,7 @@ def borders(found: re.Match) -> tuple[int, int]:
 
 
 class Restorer:
-    """Restores texts; remembers up to ``most`` decoded segments, then starts afresh."""
+    """Restores texts; remembers up to ``most`` decoded segments of up to REMEMBERED characters, then starts afresh."""
 
     def __init__(self, model: CharModel, most: int = 50_000):
         self.model, self.seen, self.most = model, {}, most
@@ -177,8 +200,8 @@ class Restorer:
         return self.read(segment) if kind != "spaced" or any(map(str.isalpha, segment)) else segment
 
     def read(self, segment: str) -> str:
-        if len(segment) > 400:  # a run of letters that long is not a word; it is cut at its words
-            return segment
+        if len(segment) > REMEMBERED:
+            return decode(segment, self.model)
         if segment not in self.seen:
             if len(self.seen) >= self.most:
                 self.seen.clear()

@@ -87,6 +87,8 @@ def test_disguised_words():
     assert {x: restore(x) for x in disguised} == disguised
     for plain in ("YOU ARE!!", "stupid$$$", "(you are) an", "mail x1@z.org, (x1@z.org)", "go to b4d.example.com.", "1 2 3 4", "1.5kg"):
         assert restore(plain) == plain
+    for n in (10, 100, 3000):
+        assert restore(" ".join("youareanidiot" * n)) == "youareanidiot" * n and restore("1d10t5" * n) == "idiots" * n and len(restore("a" * 20 * n)) < 20 * n
 
 
 def base_spans(t):
