@@ -145,6 +145,35 @@ def test_near_duplicates(spark):
     assert {r.page_id: r.partner_id for r in near_duplicates.first_matches(rows).collect()}[1] == 3  # they share band 0, which comes first
 
 
+def test_near_duplicates_in_large_buckets(spark, monkeypatch):
+    import random
+
+    rnd = random.Random(2)
+    base, rows = 0x1234567890ABCDEF, []
+    for i in range(300):
+        flips = sum(1 << b for b in rnd.sample(range(63), rnd.randrange(9)))
+        rows.append((i, f"u{i}", base ^ flips if i % 3 else base, rnd.choice(["same", None, f"h{i}"])))
+    frame = spark.createDataFrame(rows, "id long, url string, simhash long, content_hash string")
+    want, first = {}, {}
+    for i, _, s, _ in rows:
+        for k in range(4):
+            v = (k, s >> 16 * k & 65535)
+            first[v] = min(first.get(v, i), i)
+    pairs = set()
+    for i, _, s, h in rows:
+        for j, _, t, g in rows:
+            n = (s ^ t).bit_count()
+            for k in range(4):
+                v = (k, s >> 16 * k & 65535)
+                if i != j and h != g and n <= 6 and t >> 16 * k & 65535 == v[1]:
+                    pairs.add((k, min(i, j), max(i, j)))
+                    want[i] = min(want.get(i, (9**9,)), (first[v], k, min(i, j), max(i, j), j, int((1 - n / 64) * 100 + 0.5)))
+    for bucket in (2000, 20):
+        monkeypatch.setattr(near_duplicates, "BUCKET", bucket)
+        assert {r.page_id: (r.partner_id, r.similarity) for r in near_duplicates.first_matches(frame).collect()} == {i: w[4:] for i, w in want.items()}
+        assert sorted((r.band, r.a, r.b) for r in near_duplicates.pairs(frame, 0.9).collect()) == sorted(pairs)
+
+
 def test_imports_exports(spark, tmp_path):
     (tmp_path / "b.csv").write_bytes('﻿Target URL,Domain Rating,Referring domains\r\n"https://a/x","1,234",5\r\n,,\r\nhttps://a/x,7,8\r\n'.encode())
     got = imports.backlinks(imports.read_csv(spark, str(tmp_path / "b.csv")), "any").collect()
