@@ -2,18 +2,24 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..llm.store import cut
+
+
+def chains(pages: DataFrame, every: int = 10) -> DataFrame:
+    """id, url, chain (array of url, status), is_loop for every 3xx page.  A page never crawled ends a chain with status 0.
 
-def chains(pages: DataFrame, most: int = 50) -> DataFrame:
-    """id, url, chain (array of url, status), is_loop for every 3xx page.  A page never crawled ends a chain with status 0."""
+    Chains may have any length: a walk ends where it leaves the hops or meets a page again.  After every so many hops a written table cuts the lineage."""
     hops = pages.where("status between 300 and 399 and redirect_target is not null").select(F.col("url").alias("h_url"), F.col("redirect_target").alias("h_next"))
     status = pages.select(F.col("url").alias("s_url"), F.coalesce("status", F.lit(0)).alias("s_status")).dropDuplicates(["s_url"])
     link = hops.dropDuplicates(["h_url"]).join(status, F.col("h_next") == F.col("s_url"), "left").select("h_url", "h_next", F.coalesce("s_status", F.lit(0)).cast("int").alias("n_status"))
     walk = pages.where("status between 300 and 399 and redirect_target is not null").select("id", "url", F.col("url").alias("at"), F.array(F.struct("url", F.col("status").cast("int").alias("status"))).alias("chain"), F.lit(False).alias("is_loop"))
     done = None
-    for _ in range(most):
+    for hop in count(1):
         step = walk.join(link, F.col("at") == F.col("h_url"), "left")
         seen = F.exists("chain", lambda c: c["url"] == F.col("h_next"))
         ended = step.where("h_url is null").select("id", "url", "chain", "is_loop")
@@ -23,5 +29,6 @@ def chains(pages: DataFrame, most: int = 50) -> DataFrame:
         done = out if done is None else done.unionByName(out)
         walk = moved.where("not is_loop")
         if walk.isEmpty():
-            break
-    return done
+            return done
+        if hop % every == 0:
+            done, walk = cut(done, "redirects_done"), cut(walk, "redirects_walk")

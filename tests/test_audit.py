@@ -87,6 +87,15 @@ def test_redirects(spark):
     assert got["a"] == (["a", "b", "c"], False) and got["l"] == (["l", "m", "l"], True) and got["s"] == (["s", "s"], True) and got["u"] == (["u", "never"], False)
 
 
+def test_long_redirects(spark):
+    chain = [(f"c{i}", 301, f"c{i + 1}") for i in range(4)] + [("c4", 200, None)]
+    loop = [(f"l{i}", 302, f"l{(i + 1) % 4}") for i in range(4)]
+    rows = [{"url": u, "status": s, "redirect_target": t} for u, s, t in chain + loop]
+    got = {r.url: ([c.url for c in r.chain], r.is_loop) for r in redirects.chains(pages(spark, rows), 2).collect()}
+    want = {f"c{i}": ([f"c{j}" for j in range(i, 5)], False) for i in range(4)} | {f"l{i}": ([f"l{(i + j) % 4}" for j in range(5)], True) for i in range(4)}
+    assert got == want
+
+
 def test_migration(spark):
     old = spark.createDataFrame([("https://o/a", 200, "A", None), ("https://o/b", 200, "B", None), ("https://o/r", 200, "R", None), ("https://o/living-annuity", 200, "Living annuity", None)], "url string, status int, title string, canonical string")
     new = pages(spark, [{"url": "https://n/a", "title": "A"}, {"url": "https://n/b/", "title": "other"}, {"url": "https://n/r", "status": 301, "redirect_target": "https://n/dead"}, {"url": "https://n/living-annuity-guide", "title": "Living annuity guide"}])
