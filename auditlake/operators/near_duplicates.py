@@ -12,6 +12,8 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..llm.store import cut
+
 BUCKET = 2000
 #: Above this distance parts of the other 48 bits are too short to split by.
 SPLIT_MOST = 10
@@ -66,8 +68,9 @@ def first_matches(pages: DataFrame, threshold: float = 0.9) -> DataFrame:
 
     Within a band value that is the partner with the smallest id."""
     rows, most = prepared(pages, threshold)
+    rows = cut(rows, "simhashes")  # read many times
     firsts = two_least(rows, "id", "url", "content_hash").select(F.col("s").alias("t"), F.explode(F.array("x", "y")).alias("p")).where("p is not null")
-    found = near(rows, most).join(firsts, "t").select("s", "first", "band", "distance", "p.*")
+    found = cut(near(rows, most).join(firsts, "t").select("s", "first", "band", "distance", "p.*"), "near_duplicates")
     best = two_least(found, "first", "band", "id", "url", "content_hash", "distance")
     match = F.expr("if(content_hash <=> x.content_hash, y, x)").alias("m")
     similarity = F.floor((1 - F.col("m.distance") / 64) * 100 + 0.5).cast("int")
