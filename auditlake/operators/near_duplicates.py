@@ -12,7 +12,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..llm.store import cut
+from ..store import cut
 
 BUCKET = 2000
 #: Above this distance parts of the other 48 bits are too short to split by.

@@ -7,7 +7,7 @@ from itertools import count
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..llm.store import cut
+from ..store import cut
 
 
 def chains(pages: DataFrame, every: int = 10) -> DataFrame:
