@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 
 from . import words
 from .components import components
-from .store import cut, forget
+from ..store import cut, forget
 from .substrings import list_column, repeated
 
 SHINGLE, PERCENT, FRAGMENTS = 5, 75, 4

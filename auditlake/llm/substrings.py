@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words
-from .store import cut, forget
+from ..store import cut, forget
 
 WINDOW, START = 13, 7
 U64 = words.U64

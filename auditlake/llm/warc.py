@@ -26,7 +26,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .store import cut, new_path, shuffles_freed
+from ..store import cut, new_path, shuffles_freed
 
 MAGIC = "WARC/1.0\r\n"
 EOL, GAP = "\r\n", "\r\n\r\n"

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from auditlake.llm import decontamination, jaccard_join, packing, pii, quality
 from auditlake.llm.queries import table, tokenizer_path
-from auditlake.llm.store import cut
+from auditlake.store import cut
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
