@@ -1,18 +1,23 @@
 """Benchmark decontamination by spaced-seed hashing.
 
-A seed is a fixed mask over SPAN word positions of which some are ignored.  The
-hashes of all seeds of the benchmark are joined with those of every whole
-document; each hit fixes a diagonal, on which the words of item and document are
-compared one by one, so replaced words do not hide an overlap.  Words are
-compared without ASCII case and without punctuation around them.
+A seed is a fixed mask over word positions of which some are ignored.  Seed
+hashes of all items and of all documents are joined; for each document and item
+that share one, the words on every diagonal with a shared seed are compared one
+by one, so replaced words do not hide an overlap.  Words are compared without
+ASCII case and without punctuation around them.
 
-An overlap counts if, on one diagonal, a stretch with at least three quarters of
-its words equal has MIN_EQUAL equal words, or as many as MIN_SHARE of the item.
-Items shorter than SPAN words are looked for as a whole, exactly; items of fewer
-than MIN_ITEM words identify nothing and are left out.
+An overlap is a stretch of one diagonal with at least three quarters of its
+words equal that has MIN_EQUAL equal words, or as many as MIN_SHARE of the
+item's.  The MASKS are chosen so that every such stretch of an item of MIN_ITEM
+words or more holds a seed, wherever its replaced words stand (a test walks
+through all of them).  Of an item's stretches in a document the one with most
+equal words is reported, then the shortest, then the first.  Items of fewer than
+MIN_ITEM words are found only where they are a whole document.
 
-The benchmark goes to the tasks in blocks of about BLOCK_WORDS words, dealt by
-a hash of item id and text, so what a task holds is bounded at any size.
+Documents pass a gate of at most MAX_GATE bits, filled from the items' seeds,
+before anything is shuffled; a larger benchmark lets more seeds through and
+changes nothing else.  The items' side of a join is broadcast if it has
+BROADCAST_BYTES at most, and dealt over SALTS salts otherwise.
 
 Cases.  Null or empty texts and items match nothing.  Repeated rows and ids are
 judged one by one, and the result has the best overlap for each pair of ids.
@@ -28,13 +33,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..store import cut
 from . import words
 
 #: Fixed masks; 1 marks the positions that must be equal.
-MASKS = ("1110110111", "1101111011", "1011011111")
-SPAN = 10
+MASKS = ("1111", "11101", "11011", "10111", "100111")
 MIN_EQUAL, MIN_SHARE, MIN_ITEM = 13, 0.75, 5
-BLOCK_WORDS = 500_000
+MIN_GATE, MAX_GATE = 1 << 16, 1 << 24
+BROADCAST_BYTES, SALTS = 32 << 20, 16
+#: Items that one task compares with one copy of a document's text.
+ITEMS_A_ROW = 1000
 SCHEMA = "doc_id long, item_id long, start long, length long, n_equal long, item_words long"
 _PUNCT = np.zeros(256, bool)
 _PUNCT[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = True
@@ -53,6 +61,7 @@ def plain_hashes(data: np.ndarray, found: words.Words) -> np.ndarray:
 
 
 def seeded(h: np.ndarray, mask: str, seed: int) -> np.ndarray:
+    """The mask's hash at every place; borders of texts are ignored."""
     out = np.zeros(max(0, len(h) - len(mask) + 1), U64)
     with np.errstate(over="ignore"):
         for k, c in enumerate(words.constants(len(mask), 100 + seed)):
@@ -61,97 +70,192 @@ def seeded(h: np.ndarray, mask: str, seed: int) -> np.ndarray:
     return words.mix(out + U64(seed))
 
 
-class Index:
-    """Seed hashes of a block of items, sorted, with item and position."""
-
-    def __init__(self, ids: list, texts: list[str | None]):
-        self.ids, self.words = [], []
-        for i, t in zip(ids, texts, strict=True):
-            data, offsets = words.string_parts(pa.array([t], pa.string()))
-            h = plain_hashes(data, words.find_words(data, offsets))
-            if len(h) >= MIN_ITEM:
-                self.ids.append(i)
-                self.words.append(h)
-        self.tables = [self.table(m, k, [(i, h) for i, h in enumerate(self.words) if len(h) >= SPAN]) for k, m in enumerate(MASKS)]
-        lengths = sorted({len(h) for h in self.words if len(h) < SPAN})
-        self.tables += [self.table("1" * n, 50 + n, [(i, h) for i, h in enumerate(self.words) if len(h) == n]) for n in lengths]
-
-    @staticmethod
-    def table(mask: str, seed: int, items: list[tuple[int, np.ndarray]]):
-        got = [(seeded(h, mask, seed), i) for i, h in items]
-        key = np.concatenate([g for g, _ in got]) if got else np.zeros(0, U64)
-        item = np.repeat([i for _, i in got], [len(g) for g, _ in got]).astype(np.int64)
-        place = np.concatenate([np.arange(len(g)) for g, _ in got]) if got else np.zeros(0, np.int64)
-        order = np.argsort(key, kind="stable")
-        gate = np.zeros(1 << 18, bool)
-        gate[(key & U64((1 << 18) - 1)).astype(np.int64)] = True
-        return mask, seed, key[order], item[order], place[order], gate
-
-    def hits(self, h: np.ndarray, first: np.ndarray) -> np.ndarray:
-        """Distinct (document, item, diagonal) rows."""
-        doc = np.repeat(np.arange(len(first) - 1), np.diff(first))
-        out = [np.zeros((0, 3), np.int64)]
-        for mask, seed, key, item, place, gate in self.tables:
-            g = seeded(h, mask, seed)
-            at = np.flatnonzero(gate[(g & U64((1 << 18) - 1)).astype(np.int64)])
-            at = at[at + len(mask) <= first[doc[at] + 1]]
-            lo, hi = np.searchsorted(key, g[at], "left"), np.searchsorted(key, g[at], "right")
-            at, lo, n = at[hi > lo], lo[hi > lo], (hi - lo)[hi > lo]
-            which = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum()) if len(n) else np.zeros(0, np.int64)
-            at = np.repeat(at, n)
-            out.append(np.stack([doc[at], item[which], at - first[doc[at]] - place[which]], 1))
-        return np.unique(np.concatenate(out), axis=0)
+def whole_seeds(h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Texts of fewer than MIN_ITEM words, and the hash of all their words."""
+    counts, text, seed = np.diff(first), [np.zeros(0, np.int64)], [np.zeros(0, U64)]
+    for n in range(1, MIN_ITEM):
+        at = np.flatnonzero(counts == n)
+        text.append(at)
+        seed.append(seeded(h, "1" * n, 50 + n)[first[:-1][at]])
+    return np.concatenate(text), np.concatenate(seed)
+
+
+def mask_seeds(h: np.ndarray, first: np.ndarray, passes=None) -> tuple[np.ndarray, np.ndarray]:
+    """Texts, by position in the run, and their seeds that pass the gate."""
+    text, seed = [], []
+    doc = np.repeat(np.arange(len(first) - 1), np.diff(first))
+    for k, mask in enumerate(MASKS):
+        g = seeded(h, mask, k)
+        at = np.flatnonzero(passes(g)) if passes else np.arange(len(g))
+        at = at[at + len(mask) <= first[doc[at] + 1]]
+        text.append(doc[at])
+        seed.append(g[at])
+    return np.concatenate(text), np.concatenate(seed)
+
+
+def need(n: int) -> int:
+    """Equal words that an overlap with an item of n words must have."""
+    return min(MIN_EQUAL, int(np.ceil(MIN_SHARE * n)))
 
 
 def best_stretch(equal: np.ndarray) -> tuple[int, int, int]:
-    """Start, length and equal words of the stretch that is best when an equal word counts 1 and another -3."""
+    """Start, length and equal words of the stretch, three quarters equal at least, with most equal words, then the shortest, then the first.
+
+    In sums of +1 for an equal word and -3 for another such a stretch does not
+    fall; for each end the most equal words come with the first start that is no
+    higher, and with the equal words at both borders the stretch is shortest."""
+    at = np.flatnonzero(equal)
+    if not len(at):
+        return 0, 0, 0
     run = np.concatenate([[0], np.cumsum(np.where(equal, 1, -3))])
     low = np.minimum.accumulate(run)
-    z = int(np.argmax(run - low))
-    a = int(np.flatnonzero(run[: z + 1] == low[z])[-1])
-    return a, z - a, int(equal[a:z].sum())
+    count = np.concatenate([[0], np.cumsum(equal)])
+    end = at + 1
+    begin = np.searchsorted(-low, -run[end], "left")
+    begin = at[np.searchsorted(at, begin)]
+    n, length = count[end] - count[begin], end - begin
+    k = np.lexsort((begin, length, -n))[0]
+    return int(begin[k]), int(length[k]), int(n[k])
+
+
+def diagonals(doc: np.ndarray, item: np.ndarray) -> np.ndarray:
+    """Diagonals with a shared seed, in rising order; memory is that of the document, however often words repeat."""
+    hit = np.zeros(len(doc) + len(item), bool)
+    for k, mask in enumerate(MASKS):
+        d, i = seeded(doc, mask, k), seeded(item, mask, k)
+        order = np.argsort(i, kind="stable")
+        lo, hi = np.searchsorted(i[order], d, "left"), np.searchsorted(i[order], d, "right")
+        at = np.flatnonzero(hi > lo)
+        while len(at):
+            hit[at - order[lo[at]] + len(item)] = True
+            lo[at] += 1
+            at = at[hi[at] > lo[at]]
+    return np.flatnonzero(hit) - len(item)
 
 
-def verify(h: np.ndarray, item: np.ndarray, diagonal: int) -> tuple[int, int, int] | None:
-    a, z = max(0, -diagonal), min(len(item), len(h) - diagonal)
-    start, length, n = best_stretch(item[a:z] == h[a + diagonal : z + diagonal])
-    if n >= min(MIN_EQUAL, int(np.ceil(MIN_SHARE * len(item)))) and (len(item) >= SPAN or n == len(item)):
-        return a + diagonal + start, length, n
-    return None
+def verify(doc: np.ndarray, item: np.ndarray) -> tuple[int, int, int] | None:
+    """The best overlap of two texts' word hashes: start, length, equal words."""
+    if len(item) < MIN_ITEM:
+        return (0, len(item), len(item)) if len(item) and np.array_equal(doc, item) else None
+    best, least = None, need(len(item))
+    for d in diagonals(doc, item).tolist():
+        a, z = max(0, -d), min(len(item), len(doc) - d)
+        equal = item[a:z] == doc[a + d : z + d]
+        if int(equal.sum()) < (best[0] if best else least):
+            continue
+        start, length, n = best_stretch(equal)
+        row = (n, -length, -(a + d + start))
+        if n >= least and (best is None or row > best):
+            best = row
+            if n == len(item):  # later diagonals start later
+                break
+    return (-best[2], -best[1], best[0]) if best else None
 
 
-def overlaps_with(docs: DataFrame, index: Index) -> DataFrame:
+def item_table(benchmark: DataFrame) -> DataFrame:
+    """item (a key), item_id, w (hashes of its words) and seeds of every item with a word."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for sub, data, offsets in words.runs(batches):
             found = words.find_words(data, offsets)
-            h, ids, best = plain_hashes(data, found), sub.column(0).to_pylist(), {}
-            for d, i, diagonal in index.hits(h, found.first).tolist():
-                if got := verify(h[found.first[d] : found.first[d + 1]], index.words[i], diagonal):
-                    row = (got[2], -got[0], got[1], len(index.words[i]))
-                    best[d, i] = max(best.get((d, i), row), row)
-            rows = [(ids[d], index.ids[i], -s, length, n, size) for (d, i), (n, s, length, size) in best.items()]
+            h, first = plain_hashes(data, found), found.first
+            text, seed = mask_seeds(h, first)
+            long = found.counts[text] >= MIN_ITEM
+            short_text, short = whole_seeds(h, first)
+            text, seed = np.concatenate([text[long], short_text]), np.concatenate([seed[long], short])
+            per = [np.unique(seed[text == i]) for i in range(sub.num_rows)]
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(p) for p in per])]).astype(np.int32)), pa.array(np.concatenate([*per, np.zeros(0, U64)]).view(np.int64)))
+            own = pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(h.view(np.int64)))
+            yield pa.RecordBatch.from_arrays([sub.column(0), sub.column(1), own, lists], ["item", "item_id", "w", "seeds"])
+
+    rows = benchmark.select(F.xxhash64("item_id", "text").alias("item"), F.col("item_id").cast("long").alias("item_id"), "text").where("text is not null").dropDuplicates(["item"])
+    return rows.mapInArrow(run, "item long, item_id long, w array<long>, seeds array<long>").where("size(w) > 0")
+
+
+def gate_of(seeds: DataFrame, rows: int) -> np.ndarray:
+    """Bits of the seeds' places, packed: 32 bits a seed between MIN_GATE and MAX_GATE, the only thing that reaches the driver."""
+    bits = min(MAX_GATE, max(MIN_GATE, 1 << int(32 * max(1, rows) - 1).bit_length()))
+    place = F.col("seed").bitwiseAND(F.lit(bits - 1))
+    got = seeds.groupBy(F.shiftright(place, 5).alias("at")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(seed & 31 as int))")).alias("v")).toArrow()
+    gate = np.zeros(bits // 32, np.uint32)
+    gate[got.column(0).to_numpy()] = got.column(1).to_numpy().astype(np.uint32)
+    return gate
+
+
+def seeds_of(docs: DataFrame, gate: np.ndarray) -> DataFrame:
+    """key, seeds: the distinct seeds of each document that pass the gate, if it has any."""
+    shared = docs.sparkSession.sparkContext.broadcast(gate)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = shared.value
+        most = U64(len(bits) * 32 - 1)
+
+        def passes(g: np.ndarray) -> np.ndarray:
+            return (bits[((g & most) >> U64(5)).astype(np.int64)] >> (g & U64(31)).astype(np.uint32)) & np.uint32(1) != 0
+
+        for sub, data, offsets in words.runs(batches):
+            found = words.find_words(data, offsets)
+            h = plain_hashes(data, found)
+            text, seed = mask_seeds(h, found.first, passes)
+            short_text, short = whole_seeds(h, found.first)
+            ok = passes(short)
+            text, seed = np.concatenate([text, short_text[ok]]), np.concatenate([seed, short[ok]])
+            order = np.lexsort((seed, text))
+            text, seed = text[order], seed[order]
+            fresh = np.ones(len(text), bool)
+            fresh[1:] = (text[1:] != text[:-1]) | (seed[1:] != seed[:-1])
+            text, seed = text[fresh], seed[fresh]
+            at, border = np.unique(text, return_index=True)
+            lists = pa.ListArray.from_arrays(pa.array(np.append(border, len(text)).astype(np.int32)), pa.array(seed.view(np.int64)))
+            yield pa.RecordBatch.from_arrays([sub.column(0).take(pa.array(at)), lists], ["key", "seeds"])
+
+    return docs.select("key", "text").mapInArrow(run, "key long, seeds array<long>")
+
+
+def joined(left: DataFrame, right: DataFrame, on: str, size: int) -> DataFrame:
+    """An inner join with the items' side: broadcast if it is known to be small, else salted."""
+    if size <= BROADCAST_BYTES:
+        return left.join(F.broadcast(right), on)
+    salted = right.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return left.withColumn("__salt", F.pmod(F.xxhash64(*left.columns), F.lit(SALTS)).cast("int")).join(salted, [on, "__salt"]).drop("__salt")
+
+
+def compared(rows: DataFrame) -> DataFrame:
+    """rows (doc_id, text, items) to the overlaps of each text with its items."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for sub, data, offsets in words.runs(batches):
+            found, ids, out = words.find_words(data, offsets), sub.column(0).to_pylist(), []
+            h = plain_hashes(data, found)
+            for d, items in enumerate(sub.column(2)):
+                for row in items:
+                    item = np.array(row["w"].values).view(U64)
+                    if got := verify(h[found.first[d] : found.first[d + 1]], item):
+                        out.append((ids[d], row["item_id"].as_py(), *got, len(item)))
             names = [c.split()[0] for c in SCHEMA.split(", ")]
-            yield pa.RecordBatch.from_pydict({c: pa.array([r[k] for r in rows], pa.int64()) for k, c in enumerate(names)})
+            yield pa.RecordBatch.from_pydict({c: pa.array([r[k] for r in out], pa.int64()) for k, c in enumerate(names)})
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, SCHEMA)
+    return rows.select("doc_id", "text", "items").mapInArrow(run, SCHEMA)
 
 
-def overlaps(docs: DataFrame, benchmark: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
+def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """One row for each pair of a document and an item that overlap."""
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("text is not null")
-    sized = F.size(F.split("text", r"[\x20\x09-\x0D]+"))
-    total = items.agg(F.sum(sized)).first()[0] or 0
-    blocks = max(1, -(-total // block_words))
-    out = None
-    for b in range(blocks):
-        rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).orderBy("item_id", "text").collect()
-        got = overlaps_with(docs, Index([r.item_id for r in rows], [r.text for r in rows]))
-        out = got if out is None else out.unionAll(got)
-    best = F.max_by(F.struct("start", "length", "n_equal", "item_words"), F.struct("n_equal", -F.col("start"), "length")).alias("b")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null").withColumn("key", F.xxhash64("doc_id", "text"))
+    items = cut(item_table(benchmark), "items")
+    seeds = items.select("item", F.explode("seeds").alias("seed"))
+    n, total = (x or 0 for x in items.agg(F.sum(F.size("seeds")), F.sum(F.size("w") + 4)).first())
+    hits = seeds_of(docs, gate_of(seeds, n)).select("key", F.explode("seeds").alias("seed"))
+    pairs = cut(joined(hits, seeds, "seed", 16 * n).select("key", "item").distinct(), "pairs")
+    parts = pairs.groupBy("key").agg(F.ceil(F.count("*") / ITEMS_A_ROW).alias("parts"))
+    dealt = joined(pairs.join(parts, "key"), items.select("item", "item_id", "w"), "item", 8 * total)
+    dealt = dealt.groupBy("key", F.pmod(F.xxhash64("item"), F.col("parts")).alias("part")).agg(F.collect_list(F.struct("item_id", "w")).alias("items"))
+    dealt = cut(dealt.select("key", "items"), "dealt")
+    out = compared(docs.join(dealt, "key"))
+    best = F.max_by(F.struct("start", "length", "n_equal", "item_words"), F.struct("n_equal", -F.col("length"), -F.col("start"))).alias("b")
     return out.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "b.*")
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs without the documents that overlap a benchmark item; rows with a null id stay only if no such row overlaps."""
-    bad = overlaps(docs, benchmark).select(F.col("doc_id").alias("__leaked")).distinct()
+    bad = cut(overlaps(docs, benchmark).select(F.col("doc_id").alias("__leaked")).distinct(), "leaked")
     return docs.join(bad, docs["doc_id"].cast("long").eqNullSafe(F.col("__leaked")), "left_anti")

@@ -152,15 +152,75 @@ def test_chat(spark):
     assert chat.read_back(chat.format_turns(df.limit(0))).count() == 0
 
 
+def need_equal(n):
+    return min(13, -(-3 * n // 4))
+
+
+def test_masks_hit_every_overlap():
+    """No string of equal and replaced words that counts as an overlap avoids all masks, for items of any length (to 200)."""
+    span = max(map(len, decontamination.MASKS))
+    masks, full = [int(m, 2) for m in decontamination.MASKS], (1 << span) - 1
+    most, states = [0], {0: 0}  # most equal words in a string of each length without a seed; by the last words
+    for _ in range(200):
+        new = {}
+        for s, n in states.items():
+            for bit in (0, 1):
+                w = (s << 1 | bit) & full
+                if not (bit and any(w & m == m for m in masks)):
+                    new[w & full >> 1] = max(new.get(w & full >> 1, 0), n + bit)
+        states = new
+        most.append(max(states.values()))
+    for n in range(decontamination.MIN_ITEM, 201):
+        assert all(most[length] < max(need_equal(n), -(-3 * length // 4)) for length in range(1, n + 1))
+
+
+def brute_overlap(doc, item):
+    """The best stretch over all diagonals and windows."""
+    best = None
+    if len(item) < decontamination.MIN_ITEM:
+        return (len(item), len(item), 0) if doc == item and item else None
+    for d in range(-len(item), len(doc)):
+        eq = [0 <= i + d < len(doc) and doc[i + d] == item[i] for i in range(len(item))]
+        for a in range(len(item)):
+            n = 0
+            for z in range(a, len(item)):
+                n += eq[z]
+                if 0 <= a + d and z + d < len(doc) and 4 * n >= 3 * (z + 1 - a) and n >= need_equal(len(item)):
+                    best = max(best or (0,), (n, -(z + 1 - a), -(a + d)))
+    return best and (best[0], -best[1], -best[2])
+
+
+def test_decontamination_against_all_stretches(spark):
+    import random
+
+    rnd = random.Random(11)
+    items = [[f"v{rnd.randrange(60)}" for _ in range(n)] for n in (1, 3, 4, 5, 6, 8, 10, 13, 15, 18, 24, 40) for _ in range(3)] + [["same"] * 9]
+    rows = []
+    for item in items:
+        for share in (0.0, 0.05, 0.1, 0.2, 0.25):
+            for lead in (0, 4):
+                w = [f"x{rnd.randrange(9)}" if rnd.random() < share else x for x in item]
+                rows.append([f"v{rnd.randrange(60)}" for _ in range(lead)] + w[rnd.randrange(3) if lead else 0 :] + [f"v{rnd.randrange(60)}" for _ in range(lead)])
+    rows.append(["same"] * 700)
+    want = {(d, i): b for d, doc in enumerate(rows) for i, item in enumerate(items) if len(doc) < 100 and (b := brute_overlap(doc, item))}
+    want[len(rows) - 1, len(items) - 1] = (9, 9, 0)
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(rows)], "doc_id long, text string")
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id long, text string")
+    for limit in (decontamination.BROADCAST_BYTES, 0):
+        decontamination.BROADCAST_BYTES, before = limit, decontamination.BROADCAST_BYTES
+        got = {(r.doc_id, r.item_id): (r.n_equal, r.length, r.start) for r in decontamination.overlaps(docs, bench).collect()}
+        decontamination.BROADCAST_BYTES = before
+        assert got == want
+
+
 def test_decontamination(spark, docs):
     item = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon"
     w = item.split()
     swapped = " ".join("XX" if i in (4, 11) else x.upper() + "," for i, x in enumerate(w))
-    more = spark.createDataFrame([(101, f"start {swapped} end"), (102, " ".join(w[:9])), (103, item + " " + item), (104, "short but exact item here"), (105, None)], "doc_id long, text string")
+    more = spark.createDataFrame([(101, f"start {swapped} end"), (102, " ".join(w[:9])), (103, item + " " + item), (104, "short but exact item here"), (105, None), (106, "A b.")], "doc_id long, text string")
     bench = spark.createDataFrame([(1, item), (2, "short but exact item here"), (3, None), (4, "a b"), (5, "")], "item_id long, text string")
-    for block in (500_000, 5):
-        got = {(r.doc_id, r.item_id): r.n_equal for r in decontamination.overlaps(docs.select("doc_id", "text").union(more), bench, block).collect()}
-        assert got == {(101, 1): 18, (103, 1): 20, (104, 2): 5}
+    got = {(r.doc_id, r.item_id): r.n_equal for r in decontamination.overlaps(docs.select("doc_id", "text").union(more), bench).collect()}
+    assert got == {(101, 1): 18, (103, 1): 20, (104, 2): 5, (106, 4): 2}
     left = decontamination.clean(docs.select("doc_id", "text").union(more), bench)
     assert sorted(str(r.doc_id) for r in left.collect()) == sorted([str(i) for i, _ in TEXTS] + ["102", "105"])
     assert decontamination.overlaps(docs, bench.limit(0)).count() == 0 == decontamination.overlaps(docs.limit(0), bench).count()
