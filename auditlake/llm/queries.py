@@ -37,7 +37,7 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     chars = toxicity.count_trigrams(docs)
     model = toxicity.train(docs, table(spark, sf_dir, "labels"), chars)
     scored = toxicity.score(docs, model, chars)
-    return scored.select("doc_id", F.expr(f"{toxicity.FOLD} = 0").alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    return scored.select("doc_id", F.expr(f"coalesce({toxicity.FOLD} = 0, false)").alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def op4_contextual_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

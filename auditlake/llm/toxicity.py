@@ -9,12 +9,14 @@
    passes as it is.  Not part of a token: !, | and ( at its end, three or more
    equal signs there, and an opening bracket before it that is closed later.
    E-mail addresses and host names are no disguise.
-3. Word-initial, word-final and whole-word features of the restored text are
-   scored by a calibrated logistic regression.
+3. Word-initial and whole-word features of the restored text, their share and
+   whether they are there at all, are scored by a logistic regression, which is
+   calibrated by a rising step function of its scores of rows left out in turn:
+   a few wrong labels then move no threshold, as they would a fitted curve.
 
 Cases.  Null and empty texts restore to '' and get the score of a text without
 features.  Every row gives one row, repeated ids too.  Null labels are left
-out; without both labels every score is 0.  Input columns with the name of a
+out; without both labels every score is 0.  A null id is in no held-out fold.  Input columns with the name of a
 result column are replaced.  An empty table gives an empty result.
 """
 
@@ -83,9 +85,12 @@ class CharModel:
         bi /= bi.sum(1, keepdims=True)
         tri = c + 5 * bi[None]
         self.log = np.log(tri / tri.sum(2, keepdims=True)).astype(np.float32)
+        self.table: list[float] = []
 
     def __call__(self, a: int, b: int, c: int) -> float:
-        return float(self.log[a, b, c])
+        if not self.table:  # made where it is used, so that only the array is sent to tasks
+            self.table = self.log.ravel().tolist()
+        return self.table[(a * CLASSES + b) * CLASSES + c]
 
 
 def count_trigrams(docs: DataFrame) -> CharModel:
@@ -248,18 +253,23 @@ def sparse(data: np.ndarray, offsets: np.ndarray) -> list[tuple[np.ndarray, np.n
         for k, b in enumerate(kinds):
             u, c = np.unique(b[a:z], return_counts=True)
             idx += [u + 2 * k * BUCKETS, u + (2 * k + 1) * BUCKETS]
-            val += [c * (100.0 / (z - a + 20)), c / np.sqrt(z - a + 20.0)]
+            val += [c * (100.0 / (z - a + 20)), np.ones(len(u))]
         out.append((np.concatenate(idx), np.concatenate(val)))
     return out
 
 
-def score_runs(model: logistic.Linear | None, weights: np.ndarray | None, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+def score_runs(model: logistic.Stepped | None, weights: np.ndarray | None, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     if model is None:
         return np.zeros(len(offsets) - 1)
     kinds, first, _ = features(data, offsets)
     n, raw = np.diff(first), np.zeros(len(first) - 1)
+    doc = np.repeat(np.arange(len(n)), n)
     for k, b in enumerate(kinds):
-        raw += sums(weights[2 * k * BUCKETS :][b].astype(float), first) * (100.0 / (n + 20)) + sums(weights[(2 * k + 1) * BUCKETS :][b].astype(float), first) / np.sqrt(n + 20.0)
+        raw += sums(weights[2 * k * BUCKETS :][b].astype(float), first) * (100.0 / (n + 20))
+        there = weights[(2 * k + 1) * BUCKETS :][b]
+        at = np.flatnonzero(there)  # the model keeps few features
+        _, once = np.unique(doc[at] * BUCKETS + b[at], return_index=True)
+        raw += np.bincount(doc[at[once]], there[at[once]].astype(float), len(n))
     return model.probability(raw)
 
 
@@ -270,7 +280,7 @@ def restored_runs(restore: Restorer, data: np.ndarray, offsets: np.ndarray) -> t
     return texts, np.frombuffer(b"".join(parts), np.uint8), np.concatenate([[0], np.cumsum([len(p) for p in parts], dtype=np.int64)])
 
 
-def train(docs: DataFrame, labels: DataFrame, chars: CharModel, rows: int = TRAIN_ROWS) -> logistic.Linear | None:
+def train(docs: DataFrame, labels: DataFrame, chars: CharModel, rows: int = TRAIN_ROWS) -> logistic.Stepped | None:
     """Learns from the labels of ids whose fold is not 0."""
 
     def make(data: np.ndarray, offsets: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -292,7 +302,7 @@ def train(docs: DataFrame, labels: DataFrame, chars: CharModel, rows: int = TRAI
         at = np.minimum(np.searchsorted(pick, i), max(0, len(pick) - 1))
         ok = pick[at] == i if len(pick) else np.zeros(len(i), bool)
         small.append((at[ok], v[ok]))
-    fitted = logistic.train(small, y, max(1, len(pick)), l2=1e-3, steps=400) if len(pick) else logistic.train(small, y, 1, steps=1)
+    fitted = logistic.train_in_turn(small, y, max(1, len(pick)), l2=3e-3, steps=400)
     fitted.weights = (pick, fitted.weights)
     return fitted
 
@@ -303,7 +313,7 @@ def dense(weights: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
     return out
 
 
-def score(docs: DataFrame, model: logistic.Linear | None, chars: CharModel, texts: bool = False) -> DataFrame:
+def score(docs: DataFrame, model: logistic.Stepped | None, chars: CharModel, texts: bool = False) -> DataFrame:
     """docs with columns score and, if asked for, restored."""
     added = ["score", "restored"][: 1 + texts]
     keep = [c for c in docs.columns if c not in added]
