@@ -114,6 +114,34 @@ def test_pii(spark, docs):
     assert found[99] == "email:24:36"
 
 
+def test_pii_bootstraps(spark):
+    import random
+
+    rnd = random.Random(4)
+    def number(n):
+        return "".join(rnd.choice("123456789") for _ in range(n))
+    rows = [f"word{i % 7} write to user{i}@mail.example.com today" for i in range(60)]  # seeds of "to _ today"
+    rows += [f"x{i} to member#a{i}b{number(7)}zz today" for i in range(12)]  # found in the first round: new instances, of another shape
+    rows += [f"y{i} profile member#a{i}b{number(7)}qq here" for i in range(3)]  # found by the shape that the first round taught
+    rows += [f"call +1 ({number(3)}) 555-{number(4)} or" for i in range(12)] + ["ring (017) 555-4142 now"]  # the shape without its country code
+    rows += [f"version {i}.{i} of 20{10 + i}" for i in range(20)] + ["a " * 300 + "1.5 kg"]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    got = {r.doc_id: [(s.kind, rows[r.doc_id][s.start : s.end]) for s in r.found] for r in pii.extract(df).collect()}
+    for i, t in enumerate(rows):
+        want = [("email", w) for w in t.split() if "@" in w or w.startswith("member#")]
+        if "555-" in t:
+            want = [("phone", re.search(r"(\+1 )?\(.*[0-9]", t)[0])]
+        assert got[i] == want, t
+
+
+def test_pii_many_matches(spark):
+    text = " ".join(f"1.2.3.{i % 250} n{i}" for i in range(20000))
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    row = pii.extract(df).select(pii.named(pii.F.col("base")).alias("b")).first()
+    assert row.b == base_spans(text)
+    assert pii.redact(df).first().text == " ".join(f"[IP] n{i}" for i in range(20000))
+
+
 def test_substrings(spark, docs):
     again = [r for r in TEXTS if r[0] in (3, 11)] + [(11, LONG + " more")]  # repeated rows that lose words, and another text under their id
     rows = TEXTS + again
