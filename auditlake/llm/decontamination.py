@@ -33,8 +33,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..store import cut
+from ..store import cut, forget
 from . import words
+from .hot import hot_keys, join_around
 
 #: Fixed masks; 1 marks the positions that must be equal.
 MASKS = ("1111", "11101", "11011", "10111", "100111")
@@ -183,7 +184,7 @@ def gate_of(seeds: DataFrame, rows: int) -> np.ndarray:
 
 
 def seeds_of(docs: DataFrame, gate: np.ndarray) -> DataFrame:
-    """key, seeds: the distinct seeds of each document that pass the gate, if it has any."""
+    """key, doc_id, w (hashes of its words) and seeds (the distinct ones that pass the gate) of each document that has any."""
     shared = docs.sparkSession.sparkContext.broadcast(gate)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -207,9 +208,11 @@ def seeds_of(docs: DataFrame, gate: np.ndarray) -> DataFrame:
             text, seed = text[fresh], seed[fresh]
             at, border = np.unique(text, return_index=True)
             lists = pa.ListArray.from_arrays(pa.array(np.append(border, len(text)).astype(np.int32)), pa.array(seed.view(np.int64)))
-            yield pa.RecordBatch.from_arrays([sub.column(0).take(pa.array(at)), lists], ["key", "seeds"])
+            own = [h[found.first[i] : found.first[i + 1]] for i in at]
+            held = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(x) for x in own])]).astype(np.int32)), pa.array(np.concatenate([*own, np.zeros(0, U64)]).view(np.int64)))
+            yield pa.RecordBatch.from_arrays([sub.column(0).take(pa.array(at)), sub.column(1).take(pa.array(at)), held, lists], ["key", "doc_id", "w", "seeds"])
 
-    return docs.select("key", "text").mapInArrow(run, "key long, seeds array<long>")
+    return docs.select("key", "doc_id", "text").mapInArrow(run, "key long, doc_id long, w array<long>, seeds array<long>")
 
 
 def joined(left: DataFrame, right: DataFrame, on: str, size: int) -> DataFrame:
@@ -221,21 +224,21 @@ def joined(left: DataFrame, right: DataFrame, on: str, size: int) -> DataFrame:
 
 
 def compared(rows: DataFrame) -> DataFrame:
-    """rows (doc_id, text, items) to the overlaps of each text with its items."""
+    """rows (doc_id, w, items) to the overlaps of each document with its items."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for sub, data, offsets in words.runs(batches):
-            found, ids, out = words.find_words(data, offsets), sub.column(0).to_pylist(), []
-            h = plain_hashes(data, found)
-            for d, items in enumerate(sub.column(2)):
+        for batch in batches:
+            ids, out = batch.column(0).to_pylist(), []
+            for d, (held, items) in enumerate(zip(batch.column(1), batch.column(2), strict=True)):
+                doc = np.array(held.values).view(U64)
                 for row in items:
                     item = np.array(row["w"].values).view(U64)
-                    if got := verify(h[found.first[d] : found.first[d + 1]], item):
+                    if got := verify(doc, item):
                         out.append((ids[d], row["item_id"].as_py(), *got, len(item)))
             names = [c.split()[0] for c in SCHEMA.split(", ")]
             yield pa.RecordBatch.from_pydict({c: pa.array([r[k] for r in out], pa.int64()) for k, c in enumerate(names)})
 
-    return rows.select("doc_id", "text", "items").mapInArrow(run, SCHEMA)
+    return rows.select("doc_id", "w", "items").mapInArrow(run, SCHEMA)
 
 
 def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -244,13 +247,16 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     items = cut(item_table(benchmark), "items")
     seeds = items.select("item", F.explode("seeds").alias("seed"))
     n, total = (x or 0 for x in items.agg(F.sum(F.size("seeds")), F.sum(F.size("w") + 4)).first())
-    hits = seeds_of(docs, gate_of(seeds, n)).select("key", F.explode("seeds").alias("seed"))
-    pairs = cut(joined(hits, seeds, "seed", 16 * n).select("key", "item").distinct(), "pairs")
+    # documents with a hit are written with the hashes of their words: no other row is shuffled
+    hits = cut(seeds_of(docs, gate_of(seeds, n)), "hits")
+    pairs = cut(joined(hits.select("key", F.explode("seeds").alias("seed")), seeds, "seed", 16 * n).select("key", "item").distinct(), "pairs")
     parts = pairs.groupBy("key").agg(F.ceil(F.count("*") / ITEMS_A_ROW).alias("parts"))
     dealt = joined(pairs.join(parts, "key"), items.select("item", "item_id", "w"), "item", 8 * total)
     dealt = dealt.groupBy("key", F.pmod(F.xxhash64("item"), F.col("parts")).alias("part")).agg(F.collect_list(F.struct("item_id", "w")).alias("items"))
     dealt = cut(dealt.select("key", "items"), "dealt")
-    out = compared(docs.join(dealt, "key"))
+    forget(pairs)
+    again = hot_keys(hits, "key", F.monotonically_increasing_id())  # one row many times over
+    out = compared(join_around(hits.select("key", "doc_id", "w"), dealt, "key", again))
     best = F.max_by(F.struct("start", "length", "n_equal", "item_words"), F.struct("n_equal", -F.col("length"), -F.col("start"))).alias("b")
     return out.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "b.*")
 
