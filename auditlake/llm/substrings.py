@@ -5,7 +5,7 @@ starts in a document with a smaller id.  Short windows are counted first; only
 what is repeated at one length is extended to twice that length, up to the
 window asked for, or until no candidate survives.
 
-Below the last length a window of WINDOW words is stood for by its anchor: of
+The lengths are START, twice that, and so on, the last one WINDOW.  Below the last length a window of WINDOW words is stood for by its anchor: of
 the shorter windows inside it, the one with the smallest hash.  Equal windows
 have equal anchors, so a window can only repeat if its anchor does, and a
 fraction of all positions is shuffled.  Documents with equal words are folded
@@ -32,9 +32,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words
+from .hot import hot_keys, join_around, parted
 from ..store import cut, forget
 
-WINDOW, START = 13, 7
+WINDOW, START = 13, 4
 U64 = words.U64
 NOTHING = hashlib.sha256(b"").hexdigest()
 
@@ -90,9 +91,15 @@ def scan(docs: DataFrame, window: int, length: int) -> DataFrame:
 
 
 def repeated(rows: DataFrame, by: list[str], who: str) -> DataFrame:
-    """Rows whose key ``by`` has more than one ``who``; a key's rows are summed up before they are shuffled, and joined with AQE's splitting of hot keys."""
-    alive = rows.groupBy(*by).agg(F.min(who).alias("low"), F.max(who).alias("high")).where("low < high")
-    return rows.join(alive.select(*by, F.col("low").alias("least")), by)
+    """Rows whose key ``by`` has more than one ``who``, with the least of these; a key's rows are summed up before they are shuffled, and those of hot keys not shuffled at all."""
+
+    def within(part: DataFrame, few: bool) -> DataFrame:
+        alive = part.groupBy(*by).agg(F.min(who).alias("least"), F.max(who).alias("most")).where("least < most").drop("most")
+        return part.join(F.broadcast(alive) if few else alive, by)
+
+    hot = hot_keys(rows, by[0], F.col(who))
+    rest, often = parted(rows, by[0], hot)
+    return within(rest, False) if often is None else within(rest, False).unionByName(within(often, True))
 
 
 def extend(cands: DataFrame, before: int, length: int, window: int) -> DataFrame:
@@ -159,13 +166,17 @@ def dedup(docs: DataFrame, window: int = WINDOW, start: int = START, texts: bool
     cands = cut(docs.select(F.col("doc_id").cast("long"), "text").join(found.join(reps, "k"), "doc_id").select("doc_id", "k", "text", "h"), "candidates")
     forget(found)
     for before, length in zip(steps, steps[1:], strict=False):
+        if cands.isEmpty():  # nothing is left to be extended
+            length = window
         rows = cut(extend(cands, before, length, window), f"windows{length}")
-        if length < window:
-            found = repeated(rows, ["g"], "k").groupBy("doc_id", "k").agg(F.collect_set("g").alias("h"))
-            longer = cut(cands.drop("h").join(found, ["doc_id", "k"]).select("doc_id", "k", "text", "h"), "candidates")
-            forget(rows)
-            forget(cands)
-            cands = longer
+        if length == window:
+            break
+        found = cut(repeated(rows, ["g"], "k").groupBy("doc_id", "k").agg(F.collect_set("g").alias("h")), "anchors")
+        forget(rows)
+        longer = cut(cands.drop("h").join(found, ["doc_id", "k"]).select("doc_id", "k", "text", "h"), "candidates")
+        forget(cands)
+        forget(found)
+        cands = longer
     if len(steps) == 1:  # the window itself was the first length
         rows = cut(extend(cands, window, window, window), "windows")
     # texts are read from docs again, so that no copy of them lies beside the shuffles of windows
@@ -177,7 +188,7 @@ def dedup(docs: DataFrame, window: int = WINDOW, start: int = START, texts: bool
     changed = cut((changed if texts else changed.drop("kept")).dropDuplicates(["doc_id", "k"]), "removed")
     forget(late)
     copy = F.col("doc_id") > F.col("first_id")
-    out = slim.join(own, "sha", "left").join(changed, ["doc_id", "k"], "left")
+    out = join_around(slim, own, "sha", hot_keys(slim, "sha", F.col("doc_id")), "left").join(changed, ["doc_id", "k"], "left")
     whole = copy & (F.col("n_words") >= window)
     return out.select(
         "doc_id", "n_words",
