@@ -42,6 +42,7 @@ from pyspark.sql import functions as F
 from . import words
 from .components import components
 from ..store import cut, forget
+from .hot import hot_keys, join_around
 from .substrings import list_column, repeated
 
 SHINGLE, PERCENT, FRAGMENTS = 5, 75, 4
@@ -103,7 +104,7 @@ def whole_sets(cands: DataFrame, n: int) -> DataFrame:
             ids = sub.column(0).filter(pa.array(ok))
             yield pa.RecordBatch.from_arrays([ids, pa.array(np.array([len(s) for s in sets], np.int64)), list_column(flat.view(np.int64), np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int64))], ["id", "n", "s"])
 
-    return cands.select("id", "key", "text").mapInArrow(run, "id long, n long, s array<long>").dropDuplicates(["id"])
+    return cands.select("id", "key", "text").mapInArrow(run, "id long, n long, s array<long>").dropDuplicates(["id"])  # repeated rows; ids are those of sets
 
 
 def fragment(token):
@@ -146,14 +147,15 @@ def links(classes: DataFrame) -> DataFrame:
     """classes: id, n, s (whole sets), to (node, component) of those that link with another."""
     rows = classes.select("id", "n", F.explode("s").alias("g"))
     freq = rows.groupBy("g").agg(F.count("*").alias("df")).where("df > 1")
-    shared = rows.join(freq, "g").groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("df", "g"))).alias("s"))
+    hot = hot_keys(rows, "g", F.col("id"))
+    shared = join_around(rows, freq, "g", hot).groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("df", "g"))).alias("s"))
     least = F.ceil(F.col("n") * PERCENT / 100).cast("int")
     shared = cut(shared.where(F.size("s") >= least), "shared")
     head = shared.select("id", "n", F.size("s").alias("l"), F.posexplode(F.slice("s", F.lit(1), F.size("s") - least + 1)).alias("i", "x")).select("id", "n", F.col("x.g").alias("g"), (F.col("l") - F.col("i")).alias("l"))
     parts = [cut(part_of(shared, f), f"fragment{f}") for f in range(FRAGMENTS)]
 
     pivot = head.groupBy("g").agg(F.min(F.struct(F.xxhash64("id").alias("r"), "id", "n", "l")).alias("p"), F.count("*").alias("c")).where("c > 1").select("g", "p")
-    pairs = head.join(pivot, "g").where((F.col("id") != F.col("p.id")) & may_link("l", "p.l", "n", "p.n"))
+    pairs = join_around(head, pivot, "g", hot).where((F.col("id") != F.col("p.id")) & may_link("l", "p.l", "n", "p.n"))
     pairs = pairs.select(F.least("id", "p.id").alias("a"), F.greatest("id", "p.id").alias("b")).distinct()
     found = cut(verify(pairs, parts), "links")
     first = components(found)
@@ -164,15 +166,25 @@ def links(classes: DataFrame) -> DataFrame:
         sizes = marked.groupBy("g", "c", F.pmod(F.xxhash64("g", "id"), F.lit(pivots)).alias("slot")).agg(F.count("*").alias("m"), F.min(drawn).alias("p"))
         sizes = sizes.groupBy("g", "c").agg(F.sum("m").alias("m"), F.collect_list("p").alias("ps"))
         sizes = sizes.groupBy("g").agg(F.max(F.struct("m", "c", "ps")).alias("top"), F.count("*").alias("cs")).where("cs > 1")
-        few = marked.join(sizes.select("g", "top"), "g").where("c != top.c").select("id", "n", "l", F.explode("top.ps").alias("p"))
+        few = join_around(marked, sizes.select("g", "top"), "g", hot).where("c != top.c").select("id", "n", "l", F.explode("top.ps").alias("p"))
         found, first = merged(few.where(may_link("l", "p.l", "n", "p.n")).select("id", F.col("p.id").alias("i")), parts, found, first)
         forget(marked)
 
     marked = cut(head.join(first, head["id"] == first["node"], "left").select("id", "n", "l", "g", F.coalesce("component", "id").alias("c")), "marked")
     top = marked.groupBy("g", "c").agg(F.count("*").alias("m")).groupBy("g").agg(F.max_by("c", F.struct("m", "c")).alias("top"), F.count("*").alias("cs")).where("cs > 1")
-    mixed = cut(marked.join(top.select("g", "top"), "g"), "mixed")
-    few = mixed.where("c != top").select("g", F.col("id").alias("i"), F.col("n").alias("m"), F.col("l").alias("k"), F.col("c").alias("d"))
-    return merged(few.join(mixed, "g").where((F.col("c") != F.col("d")) & may_link("l", "k", "n", "m")), parts, found, first)[1]
+    mixed = cut(join_around(marked, top.select("g", "top"), "g", hot), "mixed")
+    forget(marked)
+    # of two sets that link, the smaller one has at least this share of its shared shingles from the first common one on
+    short = mixed.where(f"{100 + PERCENT} * l >= {2 * PERCENT} * n")
+    other = lambda df: df.select("g", F.col("id").alias("i"), F.col("n").alias("m"), F.col("l").alias("k"), F.col("c").alias("d"))
+    size, size_other = F.struct("n", "id"), F.struct("m", "i")
+    apart = (F.col("c") != F.col("d")) & may_link("l", "k", "n", "m")
+    pairs = short.where("c != top").join(other(mixed), "g").where(apart & (size < size_other))
+    pairs = pairs.select("id", "i").union(mixed.where("c != top").join(other(short), "g").where(apart & (size > size_other)).select("id", "i"))
+    out = merged(pairs, parts, found, first)[1]
+    for df in (mixed, *parts, shared):
+        forget(df)
+    return out
 
 
 def merged(pairs: DataFrame, parts: DataFrame, found: DataFrame, first: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -189,13 +201,19 @@ def join(docs: DataFrame, n: int = SHINGLE) -> DataFrame:
     """doc_id, n_shingles, component_id of every row."""
     scanned = cut(scan(docs, n), "scan")
     slim = scanned.select("doc_id", "n_shingles", "key", "k", "need")
-    classes = slim.where("n_shingles > 0 and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("id"), F.min("k").alias("k"), F.min("need").alias("need"))
+    # a class is known by 64 bits of its set's digest; one of its documents stands for it
+    classes = slim.where("n_shingles > 0 and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.min("k").alias("k"), F.min("need").alias("need"))
     rows = scanned.where("doc_id is not null").select("k", F.explode("h").alias("g"))
     alive = repeated(rows, ["g"], "k").groupBy("k").agg(F.count_distinct("g").alias("c"))
     # written before texts are shuffled, so that the shuffles of prefixes are gone by then
-    left = cut(classes.join(alive, "k").where("c >= need").select("id", "key"), "left")
-    sets = cut(whole_sets(docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(left, "id"), n), "sets")
-    found = links(sets)
-    named = classes.join(found, classes["id"] == found["node"], "left").select("key", F.coalesce("component", "id").alias("component"))
-    out = slim.join(named, "key", "left")
+    left = cut(classes.join(alive, "k").where("c >= need").select("doc_id", F.col("k").alias("id"), "key"), "left")
+    sets = cut(whole_sets(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(left, "doc_id"), n), "sets")
+    forget(left)
+    found = cut(links(sets), "components")
+    forget(sets)
+    linked = cut(classes.join(found, classes["k"] == found["node"]).select("key", "doc_id", "component"), "linked")
+    lowest = linked.groupBy("component").agg(F.min("doc_id").alias("low"))
+    linked = join_around(linked, lowest, "component", hot_keys(linked, "component", F.col("key"))).select("key", "low")
+    named = classes.select("key", "doc_id").join(linked, "key", "left").select("key", F.coalesce("low", "doc_id").alias("component"))
+    out = join_around(slim, named, "key", hot_keys(slim, "key", F.col("doc_id")), "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
