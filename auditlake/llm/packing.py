@@ -4,9 +4,11 @@ Texts become token ids (their path names the vocabulary file) and an end id;
 what is longer than a sequence is cut into pieces of its length.  Pieces are
 dealt by a hash to groups of about GROUP pieces.  In each group best-fit
 decreasing gives a first packing; then a local search moves one piece, exchanges
-one for one or two for one between underfull bins whenever that raises the sum
-of squared fills, and drops bins that get empty.  Pieces of bins that are still
-underfull meet in fewer, again bounded groups, and are packed once more.
+one for one or two for one between underfull bins, raising the sum of squared
+fills, and drops bins that get empty, until no step is left or the bins are as
+few as the lengths allow.  Pieces of bins with more than SLACK free meet in
+fewer, again bounded groups, and are packed once more; in the last of them
+every bin with any room takes part.
 
 Cases.  Null and empty texts are the end id alone, a piece of length 1.
 Repeated rows and ids give a piece row each; null ids stay null.  Other columns
@@ -16,8 +18,9 @@ are ignored.  An empty table gives an empty result.
 from __future__ import annotations
 
 import zlib
-from bisect import bisect_left, bisect_right, insort
+from bisect import bisect_left, insort
 from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pandas as pd
@@ -55,7 +58,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: int =
 
 
 def best_fit(lengths: np.ndarray, capacity: int) -> list[list[int]]:
-    """Bins of indices; lengths come in falling order."""
+    """Bins of indices, each piece in the fullest bin that has room for it, in the order in which they come."""
     free: list[list[int]] = [[] for _ in range(capacity + 1)]  # bins by free room
     open_rooms: list[int] = []
     bins: list[list[int]] = []
@@ -77,59 +80,123 @@ def best_fit(lengths: np.ndarray, capacity: int) -> list[list[int]]:
     return bins
 
 
-def search(lengths: np.ndarray, bins: list[list[int]], capacity: int, rounds: int = 4) -> list[list[int]]:
-    """Local search among underfull bins; every step raises the sum of squared fills."""
-    size = lengths.tolist()
-    fill = [sum(size[i] for i in b) for b in bins]
-    for _ in range(rounds):
-        weak = sorted((b for b in range(len(bins)) if 0 < fill[b] < capacity), key=lambda b: (fill[b], b))
-        if len(weak) < 2:
-            break
-        items = sorted((size[i], i, b) for b in weak for i in bins[b])
-        keys, where = [s for s, _, _ in items], {i: b for _, i, b in items}
-        by_room = sorted((capacity - fill[b], b) for b in weak)
-        rooms, changed = [r for r, _ in by_room], False
-        largest = max(rooms)
-
-        def give(i: int, a: int, b: int) -> None:
-            bins[a].remove(i)
-            bins[b].append(i)
-            fill[a] -= size[i]
-            fill[b] += size[i]
-            where[i] = b
-
-        for a in weak:
-            for i in sorted(bins[a], key=lambda i: -size[i]):  # move one piece into the fullest bin that has room
-                for k in range(bisect_left(rooms, size[i]), min(len(rooms), bisect_left(rooms, size[i]) + 8)):
-                    b = by_room[k][1]
-                    if b != a and size[i] <= capacity - fill[b] and fill[b] + size[i] > fill[a]:
-                        give(i, a, b)
-                        changed = True
-                        break
-            pairs = [(size[i], (i,)) for i in bins[a]]
-            own = sorted(bins[a], key=lambda i: -size[i])[:12]
-            pairs += [(size[i] + size[j], (i, j)) for x, i in enumerate(own) for j in own[x + 1 :]]
-            for total, out in sorted(pairs, reverse=True):  # one for one, two for one: the fuller bin gains total - its piece
-                if any(where[i] != a for i in out):
+class Search:
+    """Local search among bins with more free room than ``slack``.
+
+    A step takes a bin, the emptiest first, and looks for the best of its moves:
+    a piece to another bin, a piece for a smaller one of another bin, or two
+    pieces for one that is smaller than both together; each fits, and each makes
+    the other bin fuller than both bins were, so the sum of squared fills rises.
+    For a given difference partners are found by bisection among all pieces of
+    bins with room, so none is left out.  Steps go on until no bin has one, or
+    until the bins are as few as the sum of lengths allows."""
+
+    def __init__(self, lengths: np.ndarray, bins: list[list[int]], capacity: int, slack: int = 0):
+        self.size, self.capacity, self.full = lengths.tolist(), capacity, capacity - slack
+        self.bins = [list(b) for b in bins]
+        self.fill = [sum(self.size[i] for i in b) for b in self.bins]
+        done = [f for f in self.fill if f >= self.full]
+        self.least = len(done) + -(-(sum(self.fill) - sum(done)) // capacity)
+        self.where = {i: b for b, inside in enumerate(self.bins) for i in inside}
+        open_bins = [b for b, f in enumerate(self.fill) if 0 < f < self.full]
+        self.rooms = sorted((capacity - self.fill[b], b) for b in open_bins)
+        self.items = sorted((self.size[i], i) for b in open_bins for i in self.bins[b])
+
+    def put(self, moves: list[tuple[int, int]]) -> set[int]:
+        """Moves pieces to bins; gives the bins that changed."""
+        touched = {self.where[i] for i, _ in moves} | {b for _, b in moves}
+        for b in touched:
+            self.listed(b, False)
+        for i, b in moves:
+            a = self.where[i]
+            self.bins[a].remove(i)
+            self.bins[b].append(i)
+            self.fill[a] -= self.size[i]
+            self.fill[b] += self.size[i]
+            self.where[i] = b
+        for b in touched:
+            self.listed(b, True)
+        return touched
+
+    def listed(self, b: int, there: bool) -> None:
+        """Adds a bin with room, and its pieces, to the sorted lists, or takes them out."""
+        if not 0 < self.fill[b] < self.full:
+            return
+        rows = [(self.rooms, (self.capacity - self.fill[b], b))] + [(self.items, (self.size[i], i)) for i in self.bins[b]]
+        for table, row in rows:
+            if there:
+                insort(table, row)
+            else:
+                del table[bisect_left(table, row)]
+
+    def step(self, a: int) -> list[tuple[int, int]] | None:
+        """The move out of bin a that fills its partner most."""
+        best, fullest = None, self.fill[a]
+        own = sorted(self.bins[a], key=lambda i: (-self.size[i], i))
+        for n, i in self.distinct(own):
+            at = bisect_left(self.rooms, (n, -1))
+            at += at < len(self.rooms) and self.rooms[at][1] == a
+            if at < len(self.rooms) and (f := self.capacity - self.rooms[at][0] + n) > fullest:
+                best, fullest = [(i, self.rooms[at][1])], f
+                if f == self.capacity:
+                    return best
+        pairs = [(n, (i,)) for n, i in self.distinct(own)]
+        sizes = self.distinct(own)
+        for x, (n, i) in enumerate(sizes):
+            for m, j in sizes[x + 1 :]:
+                pairs.append((n + m, (i, j)))
+            twin = next((j for j in own if j != i and self.size[j] == n), None)
+            if twin is not None:
+                pairs.append((2 * n, (i, twin)))
+        for total, out in pairs:
+            # each partner's piece s gives fill + total - s, at most the capacity: look from the largest room down
+            at = bisect_left(self.items, (total, -1)) - 1
+            while at >= 0:
+                s, j = self.items[at]
+                at -= 1
+                if total - s > self.rooms[-1][0]:
+                    break  # no bin has so much room
+                b = self.where[j]
+                f = self.fill[b] + total - s
+                if b != a and fullest < f <= self.capacity and f > self.fill[b]:
+                    best, fullest = [*((i, b) for i in out), (j, a)], f
+                    if f == self.capacity:
+                        return best
+        return best
+
+    def distinct(self, own: list[int]) -> list[tuple[int, int]]:
+        """One piece of each length."""
+        out: dict[int, int] = {}
+        for i in own:
+            out.setdefault(self.size[i], i)
+        return list(out.items())
+
+    def run(self) -> list[list[int]]:
+        used, changed = sum(f > 0 for f in self.fill), True
+        while changed and used > self.least:
+            changed = False
+            todo = [(f, b) for b, f in enumerate(self.fill) if 0 < f < self.full]
+            heapify(todo)
+            while todo and used > self.least:
+                f, a = heappop(todo)
+                if f != self.fill[a] or not 0 < f < self.full:
                     continue
-                top = bisect_right(keys, total - 1)
-                for k in range(top - 1, max(-1, bisect_left(keys, total - largest) - 1, top - 9), -1):
-                    s, j, _ = items[k]
-                    b = where[j]
-                    if b != a and fill[b] + total - s > max(fill[a], fill[b]) and fill[b] + total - s <= capacity and j not in out:
-                        for i in out:
-                            give(i, a, b)
-                        give(j, b, a)
-                        changed = True
-                        break
-        if not changed:
-            break
-    return [b for b in bins if b]
-
-
-def pack_group(lengths: np.ndarray, capacity: int = CAPACITY) -> list[list[int]]:
+                if move := self.step(a):
+                    changed = True
+                    for b in self.put(move):
+                        used -= self.fill[b] == 0
+                        heappush(todo, (self.fill[b], b))
+        return [b for b in self.bins if b]
+
+
+def search(lengths: np.ndarray, bins: list[list[int]], capacity: int, slack: int = 0) -> list[list[int]]:
+    return Search(lengths, bins, capacity, slack).run()
+
+
+def pack_group(lengths: np.ndarray, capacity: int = CAPACITY, slack: int = 0) -> list[list[int]]:
+    """Best fit by falling length, then local search."""
     order = np.argsort(-lengths, kind="stable")
-    return [[int(order[i]) for i in b] for b in search(lengths[order], best_fit(lengths[order], capacity), capacity)]
+    return search(lengths, [order[b].tolist() for b in best_fit(lengths[order], capacity)], capacity, slack)
 
 
 def pack(found: DataFrame, capacity: int = CAPACITY, group: int = GROUP) -> DataFrame:
@@ -145,7 +212,7 @@ def pack(found: DataFrame, capacity: int = CAPACITY, group: int = GROUP) -> Data
             rows = rows.sort_values(["length", "doc_id", "piece", "ids_crc32"], kind="stable").reset_index(drop=True)
             seq, off = np.full(len(rows), -1, np.int64), np.zeros(len(rows), np.int64)
             size = rows["length"].to_numpy()
-            for k, b in enumerate(pack_group(size, capacity)):
+            for k, b in enumerate(pack_group(size, capacity, 0 if keep_all else SLACK)):
                 if keep_all or size[b].sum() >= capacity - SLACK:
                     seq[b] = (level << 60) | (int(key[0]) << 24) | k
                     off[b] = np.cumsum([0, *size[b][:-1]])
