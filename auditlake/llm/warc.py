@@ -5,12 +5,14 @@ a response, the others are revisits of it.  Rows are written by Spark's text
 writer, whose line separator is the end of a record, so any store that Spark
 writes will do and failed tasks leave nothing behind.
 
-Reading: files are split at the magic line, wherever it stands.  Each piece
-states a candidate record and the offset of its successor, from its header's
-length.  Pieces that end where the next begins are contracted to runs; pointer
-jumping from each file's start then keeps the runs that can be reached, so magic
-inside a payload starts no record.  Payloads that hold such lines are put
-together again from their pieces.
+Reading: files are split at the magic line, wherever it stands.  A task sums up
+the bytes that it has passed, so each piece has its offset in the file, which
+every later read finds again.  Each piece states a candidate record and the
+offset of its successor, from its header's length.  Pieces that end where the
+next begins are contracted to runs within ranges of RANGE bytes; pointer jumping
+from each file's start then keeps the runs that can be reached, so magic inside
+a payload starts no record.  Payloads that hold such lines are put together
+again from the pieces in their range of offsets.
 
 Cases.  Null payloads are empty; empty payloads count as equal if min_bytes is
 0.  A null id makes a response of its own, with no id when read back.  Repeated
@@ -21,10 +23,13 @@ No pages give no records.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..store import cut, new_path, shuffles_freed
 
@@ -33,6 +38,8 @@ EOL, GAP = "\r\n", "\r\n\r\n"
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 PROFILE = "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"
 DATE = "1970-01-01T00:00:00Z"
+#: Bytes of a file whose pieces one task orders, and of a bin in which broken records look for their pieces.
+RANGE, BIN = 64 << 20, 1 << 20
 
 
 def base32(sha: str) -> Column:
@@ -83,9 +90,29 @@ def field(head: Column, name: str) -> Column:
 
 
 def pieces(spark: SparkSession, path: str) -> DataFrame:
-    """What stands between magic lines: file, split, seq (order in it) and value."""
+    """What stands between magic lines: file, split (its first byte), bytes and value, in order within each split."""
     rows = spark.read.option("lineSep", MAGIC).text(path)
-    return rows.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("seq"), "value")
+    return rows.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.octet_length("value").alias("bytes"), "value")
+
+
+def with_offsets(rows: DataFrame) -> DataFrame:
+    """rows as they are read, with within: bytes of the split before them.  Batches stream through, so nothing is held but a sum."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, before = None, 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys = pa.StructArray.from_arrays([batch.column(0), batch.column(1)], ["file", "split"]).to_pylist()
+            size, within = batch.column(2).to_pylist(), []
+            for key, n in zip(keys, size, strict=True):
+                if key != last:
+                    last, before = key, 0
+                within.append(before)
+                before += n + len(MAGIC)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(within, pa.int64())], [*batch.schema.names, "within"])
+
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField("within", T.LongType())]))
 
 
 def parsed(rows: DataFrame) -> DataFrame:
@@ -100,29 +127,41 @@ def parsed(rows: DataFrame) -> DataFrame:
     return rows.withColumns({"sha": F.sha1("payload"), "size": F.octet_length("payload"), "whole": F.when(F.col("ok"), whole), "head": F.when(F.col("ok"), F.col("head"))}).drop("block", "payload", "ok")
 
 
-def candidates(spark: SparkSession, path: str) -> DataFrame:
-    """Slim rows of all pieces: file, seq, at (offset of the magic), next (offset of the successor that the header claims), full (the piece is a whole record)."""
-    rows = parsed(pieces(spark, path).withColumn("bytes", F.octet_length("value")))
+def bases(found: DataFrame) -> DataFrame:
+    """file, split, base: bytes of the file before each split, from one sum a split."""
+    total = found.groupBy("file", "split").agg((F.sum(F.col("bytes") + len(MAGIC))).alias("total"))
+    before = Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
+    return total.select("file", "split", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("base"))
+
+
+def placed(found: DataFrame, base: DataFrame) -> DataFrame:
+    """found with at: the offset of the magic before each piece."""
+    return found.join(base, ["file", "split"]).withColumn("at", F.col("base") + F.col("within") - len(MAGIC)).drop("split", "base", "within")
+
+
+def candidates(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Slim rows of all pieces: file, at (offset of the magic), next (offset of the successor that the header claims), full (the piece is a whole record); and the splits' bases."""
+    rows = parsed(pieces(spark, path))
     full = F.col("whole") == F.col("bytes")
-    rows = rows.select("file", "split", "seq", "bytes", "head", "whole", F.coalesce(full, F.lit(False)).alias("full"), F.when(full, F.col("sha")).alias("sha"), F.when(full, F.col("size")).alias("size"))
-    before = Window.partitionBy("file").orderBy("split", "seq").rowsBetween(Window.unboundedPreceding, -1)
-    start = F.coalesce(F.sum(F.col("bytes") + len(MAGIC)).over(before), F.lit(0))
-    rows = rows.withColumn("at", start - len(MAGIC)).withColumn("next", F.col("at") + len(MAGIC) + F.col("whole"))
-    return cut(rows, "candidates")
+    rows = rows.select("file", "split", "bytes", "head", "whole", F.coalesce(full, F.lit(False)).alias("full"), F.when(full, F.col("sha")).alias("sha"), F.when(full, F.col("size")).alias("size"))
+    found = cut(with_offsets(rows), "pieces")
+    base = cut(bases(found), "bases")
+    return placed(found, base).withColumn("next", F.col("at") + len(MAGIC) + F.col("whole")), base
 
 
 def reachable(found: DataFrame) -> DataFrame:
     """The candidates on the chain from each file's start."""
-    jumps = found.where("whole is not null and not full").select("file", F.col("next").alias("at")).distinct().withColumn("target", F.lit(True))
-    w = Window.partitionBy("file").orderBy("at")
-    rows = found.where("at >= 0").join(jumps, ["file", "at"], "left")
+    jumps = cut(found.where("whole is not null and not full").select("file", F.col("next").alias("at")).distinct().withColumn("target", F.lit(True)), "targets")
+    w = Window.partitionBy("file", "range").orderBy("at")
+    rows = found.where("at >= 0").withColumn("range", F.floor(F.col("at") / RANGE)).join(jumps, ["file", "at"], "left")
+    # a range's first piece begins a run, too: it may be that of a jump from the range before
     fresh = F.coalesce("target", F.lit(False)) | ~F.coalesce(F.lag("full").over(w), F.lit(False)) | ~F.col("full") & F.col("whole").isNull()
     rows = rows.withColumn("fresh", fresh.cast("int")).withColumn("run", F.sum("fresh").over(w))
     rows = cut(rows.where("whole is not null"), "runs")
-    nodes = rows.groupBy("file", "run").agg(F.min("at").alias("at"), F.max_by("next", "at").alias("next"))
-    heads = cut(nodes.select("file", "at"), "heads")
+    nodes = cut(rows.groupBy("file", "range", "run").agg(F.min("at").alias("at"), F.max_by("next", "at").alias("next")), "nodes")
+    heads = nodes.select("file", "at")
     reached = cut(nodes.where("at = 0").select("file", "at"), "reached")
-    jump = cut(nodes.select("file", "at", "next"), "jumps")
+    jump = nodes.select("file", "at", "next")
     while True:
         new = jump.join(reached, ["file", "at"]).select("file", F.col("next").alias("at")).join(heads, ["file", "at"], "left_semi").join(reached, ["file", "at"], "left_anti").distinct()
         grown = cut(reached.union(new), "reached")
@@ -130,20 +169,24 @@ def reachable(found: DataFrame) -> DataFrame:
             break
         hop = jump.select("file", F.col("at").alias("next"), F.col("next").alias("far"))
         reached, jump = grown, cut(jump.join(hop, ["file", "next"]).select("file", "at", F.col("far").alias("next")), "jumps")
-    kept = nodes.join(grown, ["file", "at"], "left_semi").select("file", "run")
-    return rows.join(kept, ["file", "run"], "left_semi")
+    kept = nodes.join(grown, ["file", "at"], "left_semi").select("file", "range", "run")
+    return rows.join(kept, ["file", "range", "run"], "left_semi")
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
     """Records: page_id, record_type, payload_bytes, payload_digest, refers_to, target_uri, digest_ok."""
-    found = candidates(spark, path)
+    found, base = candidates(spark, path)
     good = cut(reachable(found), "records")
     out = good.where("full").select("file", "at", "head", "sha", "size")
     broken = good.where("not full").select("file", "at", "next")
     if not broken.isEmpty():
-        inside = found.select("file", "seq", F.col("at").alias("piece_at"))
-        spread = inside.join(broken, "file").where("piece_at >= at and piece_at < next")
-        parts = pieces(spark, path).join(spread, ["file", "seq"]).groupBy("file", "at", "next").agg(F.array_sort(F.collect_list(F.struct("piece_at", "value"))).alias("v"))
+        # pieces and broken records meet by ranges of offsets, not by whole files
+        bin_of = lambda c: F.floor(F.col(c) / BIN)
+        spans = broken.withColumn("bin", F.explode(F.sequence(bin_of("at"), F.floor((F.col("next") - 1) / BIN))))
+        inside = found.select("file", F.col("at").alias("piece_at")).withColumn("bin", bin_of("piece_at"))
+        spread = cut(inside.join(spans, ["file", "bin"]).where("piece_at >= at and piece_at < next").select("file", "piece_at", "at", "next"), "inside")
+        values = placed(with_offsets(pieces(spark, path)), base).select("file", F.col("at").alias("piece_at"), "value")
+        parts = values.join(spread, ["file", "piece_at"]).groupBy("file", "at", "next").agg(F.array_sort(F.collect_list(F.struct("piece_at", "value"))).alias("v"))
         value = F.array_join(F.transform("v", lambda x: x["value"]), MAGIC)
         out = out.unionByName(parsed(parts.select("file", "at", value.alias("value"))).select(out.columns))
     out = out.withColumn("digest", base32("sha"))
