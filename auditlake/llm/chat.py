@@ -2,7 +2,8 @@
 
 A turn's content is a list of typed parts.  A visitor flattens them in order:
 text is escaped, images, audio and documents become numbered placeholders, their
-references are recorded and the tokens that they will expand to are counted.
+references are recorded and the tokens that they will expand to are counted
+(text not among them).  A placeholder names its kind, turn and number there.
 
 Each turn becomes one segment: <|turn|>role, line feed, body, <|end|>, line
 feed.  Control strings inside texts and roles get a '~' after their first
@@ -55,7 +56,10 @@ def unescape_role(role: str) -> str:
 class Flattener:
     """Visits the parts of one turn."""
 
+    #: What stands before a placeholder's number: the turn, so that numbers are told apart within a conversation.
+    turn: str = ""
     out: list[str] = field(default_factory=list)
+    counts: dict[str, int] = field(default_factory=dict)
     attachments: list[dict] = field(default_factory=list)
     #: Tokens of an attachment: image patches of 28 x 28, 25 a second of audio, 600 a page.
     patch, per_second, per_page = 28, 25, 600
@@ -81,13 +85,14 @@ class Flattener:
         self.attach("document", part, max(1, (part.get("pages") or 0) * self.per_page))
 
     def attach(self, kind: str, part: dict, tokens: int) -> None:
-        index = sum(a["kind"] == kind for a in self.attachments)
+        index = self.counts.get(kind, 0)
+        self.counts[kind] = index + 1
         self.attachments.append({"kind": kind, "index": index, "ref": part.get("ref") or "", "tokens": tokens})
-        self.out.append(f"<|{kind}:{index}|>")
+        self.out.append(f"<|{kind}:{self.turn}{index}|>")
 
 
-def segment(role: str | None, parts: list[dict]) -> dict:
-    flat = Flattener()
+def segment(role: str | None, parts: list[dict], turn: int | None = None) -> dict:
+    flat = Flattener("" if turn is None else f"{turn}.")
     for p in parts:
         flat.visit(p)
     head, body = f"{OPEN}{escape_role(role or '')}\n", "".join(flat.out)
@@ -104,7 +109,7 @@ def format_turns(turns: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             conv, turn, role, content = (batch.column(i).to_pylist() for i in range(4))
-            made = [segment(r, (c or []) if typed else [{"type": "text", "text": c}]) for r, c in zip(role, content, strict=True)]
+            made = [segment(r, (c or []) if typed else [{"type": "text", "text": c}], t) for r, c, t in zip(role, content, turn, strict=True)]
             columns = {"conv_id": conv, "turn": turn, "role": role} | {k: [m[k] for m in made] for k in names[3:]}
             yield pa.RecordBatch.from_arrays([pa.array(columns[k], t) for k, t in zip(names, kinds, strict=True)], names)
 
@@ -123,8 +128,10 @@ DIGESTS = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, los
 
 
 def read_back(segments: DataFrame) -> DataFrame:
-    """Digests per conversation, read from the segments alone, which stream through tasks in order."""
-    ordered = segments.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "segment").select("conv_id", "segment", "loss_start", "loss_end")
+    """Digests per conversation, read from the segments alone, which stream through tasks in order: by turn, role and text, unescaped."""
+    body = F.substring("segment", F.instr("segment", "\n") + 1, F.length("segment"))
+    text = F.regexp_replace(F.substring(body, F.lit(1), F.length(body) - len(END) - 1), ESCAPED.pattern, "$1$2$3")
+    ordered = segments.repartition("conv_id").sortWithinPartitions("conv_id", "turn", F.coalesce("role", F.lit("")), text).select("conv_id", "segment", "loss_start", "loss_end")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [c.split()[0] for c in DIGESTS.split(", ")]

@@ -31,7 +31,7 @@ BUCKETS = 1 << 14
 THRESHOLD = 0.5
 MIN_WORDS, MAX_REPEAT_PERCENT = 10, 20
 SYMBOL = np.isin(np.arange(256), np.frombuffer(b"[#*$%&|<>]"[1:-1], np.uint8))
-COLUMNS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, p_good double, kept boolean"
+COLUMNS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, p_good double"
 NAMES = [c.split()[0] for c in COLUMNS.split(", ")]
 
 

@@ -5,28 +5,31 @@ their place on the Hilbert curve through these cells, and the order is cut into
 runs of equal length.  Neighbours on the curve are near in every dimension, so a
 shard covers a compact box and filters on any dimension skip most shards.
 
-Numbers are quantised at their approximate quantiles, strings at the quantiles
-of their first characters after the prefix that all of them share; both come
-from sketches of fixed size over all rows.  Ranks come from counts per cell: a
+Numbers are quantised at their approximate quantiles, from a sketch of fixed
+size over all rows, strings at the exact ones in their whole order.  Ranks come from counts per cell: a
 cell is split by a hash into parts of about PART rows, so no cell, however
 common, meets in one task, and only slim rows are shuffled.
 
 The law is `rows`: shard sizes differ by one at most.
 
 Cases.  Null texts have size 1 and the crc32 of ''.  Null dimensions are lowest.
-Rows are told apart by their values only: repeated rows take places next to each
-other.  Other columns are ignored.  An empty table gives an empty result.
+Rows of a cell go by a hash of their values and a written number.  Other columns are ignored.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..store import cut
 
 BITS, PART = 4, 50_000
-PREFIX = 8
+#: Repeated rows are dealt over so many numbers, as they cannot be told apart otherwise.
+SALTS = 64
+#: The curve's table has 2 ** (BITS * dimensions) rows and is broadcast.
+MOST_DIMENSIONS = 4
 
 
 def hilbert(point: tuple[int, ...], bits: int = BITS) -> int:
@@ -63,46 +66,48 @@ def curve(spark: SparkSession, dimensions: int, bits: int = BITS) -> DataFrame:
     return spark.createDataFrame(rows, "code int, cell int")
 
 
-def number(df: DataFrame, column: str) -> Column:
-    """A number that orders like the column."""
-    if df.schema[column].dataType.simpleString() != "string":
-        return F.col(column).cast("double")
-    low, high = df.agg(F.min(column), F.max(column)).first()
-    shared = 0
-    while low and high and shared < min(len(low), len(high)) and low[shared] == high[shared]:
-        shared += 1
-    rest = F.substring(F.col(column), shared + 1, PREFIX)
-    code = F.lit(0.0)
-    for i in range(PREFIX // 2):  # code points, 16 bits of each
-        code = code * 65536 + F.least(F.lit(65535), F.coalesce(F.ascii(F.substring(rest, i + 1, 1)), F.lit(0)))
-    return F.when(F.col(column).isNotNull(), code)
+def text_cuts(df: DataFrame, column: str, bits: int) -> list[str]:
+    """Values at which the rows' shares of a string column pass i / 2 ** bits, in the full order of strings.
+
+    Rows are summed per value, so a common one is a single row; values are dealt
+    by range and summed within each range, and the ranges' totals come first."""
+    values = df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("v")).agg(F.count("*").alias("n"))
+    ranged = cut(values.repartitionByRange(F.col("v")).select("v", "n", F.spark_partition_id().alias("p")), "values")
+    before = Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)
+    totals = ranged.groupBy("p").agg(F.sum("n").alias("t")).select("p", F.coalesce(F.sum("t").over(before), F.lit(0)).alias("base"))
+    upto = F.sum("n").over(Window.partitionBy("p").orderBy("v"))
+    rows = ranged.withColumn("upto", upto).join(F.broadcast(totals), "p").withColumn("upto", F.col("base") + F.col("upto"))
+    total = ranged.agg(F.sum("n")).first()[0] or 0
+    got = rows.agg(*[F.min(F.when(F.col("upto") * (1 << bits) >= i * total, F.col("v"))) for i in range(1, 1 << bits)]).first()
+    return sorted({x for x in got if x is not None}, key=lambda x: x.encode())
 
 
 def quantise(df: DataFrame, columns: list[str], bits: int = BITS) -> list[Column]:
-    numbers = [number(df, c) for c in columns]
+    """For each column the number of its cuts below a value: 0 to 2 ** bits - 1, nulls 0."""
+    text = {c for c in columns if df.schema[c].dataType.simpleString() == "string"}
+    numbers = [c for c in columns if c not in text]
     wanted = F.array(*[F.lit(i / (1 << bits)) for i in range(1, 1 << bits)])
-    cuts = df.agg(*[F.percentile_approx(x, wanted, 2000).alias(f"c{i}") for i, x in enumerate(numbers)]).first()
-    out = []
-    for x, edges in zip(numbers, cuts, strict=True):
-        steps = [F.when(x > e, 1).otherwise(0) for e in sorted(set(edges or []))]
-        out.append(sum(steps[1:], steps[0]) if steps else F.lit(0))
-    return out
+    found = df.agg(F.lit(0), *[F.percentile_approx(F.col(c).cast("double"), wanted, 2000).alias(f"c_{c}") for c in numbers]).first()
+    edges = {c: text_cuts(df, c, bits) if c in text else sorted(set(found[f"c_{c}"] or [])) for c in columns}
+    return [reduce(lambda a, e: a + F.when(F.col(c) > e, 1).otherwise(0), edges[c], F.lit(0)) for c in columns]
 
 
 def slim(docs: DataFrame) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
-    return docs.select(F.col("doc_id").cast("long"), "lang", "source", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"))
+    return docs.select(F.col("doc_id").cast("long"), "lang", "source", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int").alias("salt"))
 
 
 def shard(docs: DataFrame, shards: int = 16, dimensions: tuple[str, ...] = ("source", "lang", "size")) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard and cell (the curve index)."""
+    if len(dimensions) > MOST_DIMENSIONS:
+        raise ValueError(f"at most {MOST_DIMENSIONS} dimensions")
     rows = cut(slim(docs), "slim")
     cells = quantise(rows, list(dimensions))
     total = rows.count()
     parts = max(1, -(-total // PART))
     code = sum((c * (1 << BITS * i) for i, c in enumerate(cells[1:], 1)), cells[0])
     rows = rows.withColumn("code", code.cast("int")).join(F.broadcast(curve(docs.sparkSession, len(cells))), "code")
-    rows = rows.withColumn("part", F.pmod(F.xxhash64("doc_id", "text_crc32", "size"), F.lit(parts)))
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("doc_id", "text_crc32", "size", "salt"), F.lit(parts)))
     # cells are bounded in number, parts grow with the rows: one row for each PART of them at most, summed before it is shuffled
     counts = rows.groupBy("cell", "part").agg(F.count("*").alias("n"))
     per_cell = counts.groupBy("cell").agg(F.sum("n").alias("m"))
