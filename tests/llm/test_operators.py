@@ -6,7 +6,7 @@ import re
 import zlib
 
 import pytest
-from auditlake.llm import chat, decontamination, jaccard_join, packing, pii, quality, queries, sharding, substrings, toxicity, warc
+from auditlake.llm import chat, decontamination, hot, jaccard_join, packing, pii, quality, queries, sharding, substrings, toxicity, warc
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LONG = " ".join(f"w{i % 97}x{i % 89}" for i in range(6000))
@@ -157,9 +157,13 @@ def test_substrings(spark, docs):
         w = words(t)
         gone = {j for p in range(len(w) - 12) if i is not None and first[tuple(w[p : p + 13])] < i for j in range(p, p + 13)}
         want.append((str(i), len(w), len(gone), hashlib.sha256(" ".join(x for j, x in enumerate(w) if j not in gone).encode()).hexdigest()))
-    for start in (7, 3, 13):
+    for start in (4, 7, 13):
         got = [(str(r.doc_id), r.n_words, r.n_removed, r.kept_sha256) for r in substrings.dedup(docs, start=start).collect()]
         assert sorted(got) == sorted(want)
+    hot.LOOK, hot.LEAST, before = 1, 1, (hot.LOOK, hot.LEAST)
+    got = [(str(r.doc_id), r.n_words, r.n_removed, r.kept_sha256) for r in substrings.dedup(docs).collect()]
+    hot.LOOK, hot.LEAST = before
+    assert sorted(got) == sorted(want)
     assert substrings.dedup(docs.limit(0)).count() == 0
 
 
@@ -175,6 +179,14 @@ def test_chat(spark):
         assert (got[c].loss_chars, got[c].loss_sha256) == (len(loss), hashlib.sha256(loss.encode()).hexdigest())
     made = chat.segment("user", [{"type": "text", "text": "see"}, {"type": "image", "ref": "a.png", "width": 56, "height": 29}, {"type": "image", "ref": "b"}, {"type": "audio", "ref": "c", "seconds": 2}, {"type": "document", "ref": "d", "pages": 2}])
     assert made["segment"] == "<|turn|>user\nsee<|image:0|><|image:1|><|audio:0|><|document:0|><|end|>\n" and [a["tokens"] for a in made["attachments"]] == [4, 1, 50, 1200]
+    parts = "array<struct<type:string,text:string,ref:string,width:int,height:int>>"
+    typed = spark.createDataFrame([(5, 2, "user", [("text", "<|image:2.0|> ", None, None, None), ("image", None, "a.png", 28, 28)]), (5, 3, "assistant", [("text", "ok", None, None, None)]), (5, 4, "user", None)], f"conv_id long, turn long, role string, parts {parts}")
+    rows5 = {r.turn: r for r in chat.format_turns(typed).collect()}
+    assert rows5[2].segment == "<|turn|>user\n<~|image:2.0|> <|image:2.0|><|end|>\n" and [tuple(a) for a in rows5[2].attachments] == [("image", 0, "a.png", 1)]
+    assert rows5[4].segment == "<|turn|>user\n<|end|>\n" and chat.read_back(chat.format_turns(typed)).first().loss_chars == 2
+    ties = spark.createDataFrame([(1, 0, "user", t) for t in ("<}", "<|a", "a!", "a")] + [(1, 0, None, "z"), (1, 0, "", "b")], "conv_id long, turn long, role string, text string")
+    order = [("", "b"), ("", "z"), ("user", "<|a"), ("user", "<}"), ("user", "a"), ("user", "a!")]
+    assert chat.read_back(chat.format_turns(ties)).first().turns_sha256 == hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in order).encode()).hexdigest()
     with pytest.raises(ValueError):
         chat.segment("user", [{"type": "video"}])
     assert chat.read_back(chat.format_turns(df.limit(0))).count() == 0
@@ -279,6 +291,10 @@ def test_packing(spark, docs):
 
     bad = [[0, 1], [2, 3], [4]]  # local search empties a bin that a poor packing left
     assert len(packing.search(np.array([60, 20, 50, 20, 30]), bad, 100)) == 2
+    hard = np.random.default_rng(3).integers(500, 1100, 400)
+    found, falling = packing.pack_group(hard), np.sort(hard)[::-1]
+    assert sorted(i for b in found for i in b) == list(range(400)) and all(hard[b].sum() <= 2048 for b in found)
+    assert len(found) < len(packing.best_fit(falling, 2048))
 
 
 def test_warc(spark):
@@ -295,6 +311,39 @@ def test_warc(spark):
     assert len(got) == len(rows) and warc.round_trip(spark, pages.limit(0)).count() == 0
 
 
+def test_warc_over_many_splits(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "RANGE", 500)
+    monkeypatch.setattr(warc, "BIN", 64)
+    inner = "WARC/1.0\r\nWARC-Type: response\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n"
+    rows = [(i, f"http://h/{i}", ("x" * (i * 7 % 50)) + (inner * (i % 4) if i % 3 == 0 else "")) for i in range(60)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    warc.write(pages, str(tmp_path / "w"), 1 << 30, "none")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")
+    assert spark.read.text(str(tmp_path / "w")).rdd.getNumPartitions() > 4
+    got = {r.page_id: (r.payload_bytes, r.digest_ok) for r in warc.read(spark, str(tmp_path / "w")).collect()}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert got == {i: (len(h), True) for i, _, h in rows}
+
+
+def test_words_in_pieces():
+    import numpy as np
+    import pyarrow as pa
+    from auditlake.llm import words as w
+
+    texts = ["ab " * 9, None, "", "y" * 100 + " " + "z" * 65 + " z", "z" * 65 + " q", "é" * 40]
+    batch = pa.RecordBatch.from_pydict({"text": pa.array(texts), "i": pa.array(range(6))})
+    whole = [h for _, d, o in w.runs(iter([batch])) for h in w.find_words(d, o).hashes().tolist()]
+    for most in (1, 30, 200):
+        cut = list(w.runs(iter([batch]), most=most))
+        assert [i for b, _, _ in cut for i in b.column(1).to_pylist()] == list(range(6))
+        assert [h for _, d, o in cut for h in w.find_words(d, o).hashes().tolist()] == whole
+    assert whole[10] == whole[12] and len(set(whole)) == 6
+    big = pa.RecordBatch.from_pydict({"text": pa.array(["a" * 9_000_000 + " b", "c d"])})
+    assert [w.find_words(d, o).hashes().shape[0] for _, d, o in w.runs(iter([big]))] == [2, 2]
+    assert np.array_equal(w.Words(np.frombuffer(b"AB", np.uint8), np.array([0]), np.array([2]), np.array([0, 1])).hashes(lower=True), w.Words(np.frombuffer(b"ab", np.uint8), np.array([0]), np.array([2]), np.array([0, 1])).hashes())
+
+
 def brute_components(rows):
     low = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     sets = []
@@ -326,6 +375,10 @@ def test_jaccard_join(spark, docs):
             rows.append((1000 - len(rows), " ".join(w)))
     got = jaccard_join.join(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted((str(r.doc_id), r.n_shingles, r.component_id) for r in got) == brute_components(rows)
+    hot.LOOK, hot.LEAST, before = 1, 1, (hot.LOOK, hot.LEAST)  # every key counts as hot
+    again = jaccard_join.join(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    hot.LOOK, hot.LEAST = before
+    assert sorted(map(tuple, again)) == sorted(map(tuple, got))
     assert jaccard_join.join(docs.limit(0)).count() == 0
 
 
