@@ -40,7 +40,7 @@ from .hot import hot_keys, join_around
 #: Fixed masks; 1 marks the positions that must be equal.
 MASKS = ("1111", "11101", "11011", "10111", "100111")
 MIN_EQUAL, MIN_SHARE, MIN_ITEM = 13, 0.75, 5
-MIN_GATE, MAX_GATE = 1 << 16, 1 << 24
+GATE_BITS, MIN_GATE, MAX_GATE = 256, 1 << 16, 1 << 27
 BROADCAST_BYTES, SALTS = 32 << 20, 16
 #: Items that one task compares with one copy of a document's text.
 ITEMS_A_ROW = 1000
@@ -173,11 +173,17 @@ def item_table(benchmark: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "item long, item_id long, w array<long>, seeds array<long>").where("size(w) > 0")
 
 
+def probes(seed, mod, shift) -> list:
+    """The gate's places of a seed: three runs of its bits."""
+    return [mod(shift(seed, k)) for k in (0, 20, 37)]
+
+
 def gate_of(seeds: DataFrame, rows: int) -> np.ndarray:
-    """Bits of the seeds' places, packed: 32 bits a seed between MIN_GATE and MAX_GATE, the only thing that reaches the driver."""
-    bits = min(MAX_GATE, max(MIN_GATE, 1 << int(32 * max(1, rows) - 1).bit_length()))
-    place = F.col("seed").bitwiseAND(F.lit(bits - 1))
-    got = seeds.groupBy(F.shiftright(place, 5).alias("at")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(seed & 31 as int))")).alias("v")).toArrow()
+    """The gate's bits, packed: GATE_BITS a seed between MIN_GATE and MAX_GATE; nothing else reaches the driver."""
+    bits = min(MAX_GATE, max(MIN_GATE, 1 << int(GATE_BITS * max(1, rows) - 1).bit_length()))
+    places = probes(F.col("seed"), lambda x: x.bitwiseAND(F.lit(bits - 1)), lambda x, k: F.shiftrightunsigned(x, k))
+    place = seeds.select(F.explode(F.array(*places)).alias("place"))
+    got = place.groupBy(F.shiftright("place", 5).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(place & 31 as int))")).alias("v")).toArrow()
     gate = np.zeros(bits // 32, np.uint32)
     gate[got.column(0).to_numpy()] = got.column(1).to_numpy().astype(np.uint32)
     return gate
@@ -192,7 +198,13 @@ def seeds_of(docs: DataFrame, gate: np.ndarray) -> DataFrame:
         most = U64(len(bits) * 32 - 1)
 
         def passes(g: np.ndarray) -> np.ndarray:
-            return (bits[((g & most) >> U64(5)).astype(np.int64)] >> (g & U64(31)).astype(np.uint32)) & np.uint32(1) != 0
+            ok = np.arange(len(g))
+            for place in probes(g, lambda x: x & most, lambda x, k: x >> U64(k)):
+                at = place[ok]
+                ok = ok[(bits[(at >> U64(5)).astype(np.int64)] >> (at & U64(31)).astype(np.uint32)) & np.uint32(1) != 0]
+            out = np.zeros(len(g), bool)
+            out[ok] = True
+            return out
 
         for sub, data, offsets in words.runs(batches):
             found = words.find_words(data, offsets)
