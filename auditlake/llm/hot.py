@@ -2,10 +2,10 @@
 
 Hot keys are looked for among a share of the rows' groups, chosen by a hash; at
 most HOT of them are kept, those with no fewer rows than these have on average,
-and LEAST at least.
-Their side of a join is then that small too and is broadcast, so their rows are
-not shuffled; all other keys are joined as usual.  Which keys count as hot only
-decides how rows are dealt: the result is that of a plain join in any case.
+and LEAST at least.  Their rows are dealt over SALTS tasks, with as many copies
+of the few rows that the other side has for them; all other keys are joined as
+usual, in the same join.  Which keys count as hot only decides how rows are
+dealt: the result is that of a plain join in any case.
 """
 
 from __future__ import annotations
@@ -13,30 +13,24 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-HOT, LOOK, LEAST = 1000, 64, 16
+HOT, LOOK, LEAST, SALTS = 1000, 64, 16, 64
 
 
-def hot_keys(rows: DataFrame, on: str, by: Column) -> DataFrame | None:
-    """At most HOT values of a column; by: what rows are grouped by for the look.  None if there are none."""
+def hot_keys(rows: DataFrame, on: str, by: Column) -> list:
+    """At most HOT values of a column; by: what rows are grouped by for the look."""
     seen = rows.where(F.col(on).isNotNull() & (F.pmod(F.xxhash64(by), F.lit(LOOK)) == 0)).groupBy(on).agg(F.count("*").alias("n"))
     top = seen.orderBy(F.desc("n"), on).limit(HOT).collect()
     least = max(LEAST, sum(r.n for r in top) // max(1, len(top)))
-    keys = [(r[on],) for r in top if r.n >= least]
-    return rows.sparkSession.createDataFrame(keys, rows.select(on).schema) if keys else None
-
-
-def parted(rows: DataFrame, on: str, hot: DataFrame | None) -> tuple[DataFrame, DataFrame | None]:
-    """Rows without hot keys, and those with them."""
-    if hot is None:
-        return rows, None
-    return rows.join(F.broadcast(hot), on, "left_anti"), rows.join(F.broadcast(hot), on, "left_semi")
-
-
-def join_around(rows: DataFrame, side: DataFrame, on: str, hot: DataFrame | None, how: str = "inner") -> DataFrame:
-    """rows joined with a side that has each key once (or few times)."""
-    rest, often = parted(rows, on, hot)
-    out = rest.join(side, on, how)
-    if often is None:
-        return out
-    few = side.join(F.broadcast(hot), on, "left_semi")
-    return out.unionByName(often.join(F.broadcast(few), on, how))
+    return [r[on] for r in top if r.n >= least]
+
+
+def join_around(rows: DataFrame, side: DataFrame, on: str | list[str], hot: list, how: str = "inner") -> DataFrame:
+    """rows joined with a side that has each key once (or few times); hot: values of the first key column."""
+    keys = [on] if isinstance(on, str) else list(on)
+    if not hot:
+        return rows.join(side, keys, how)
+    own = [f.name for f in rows.schema if f.dataType.typeName() not in ("array", "map", "struct")]
+    often = F.col(keys[0]).isin(hot)
+    left = rows.withColumn("__salt", F.when(often, F.pmod(F.xxhash64(*own), F.lit(SALTS)).cast("int")).otherwise(0))
+    right = side.withColumn("__salt", F.explode(F.when(often, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))))
+    return left.join(right, [*keys, "__salt"], how).drop("__salt")

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words
-from .hot import hot_keys, join_around, parted
+from .hot import hot_keys, join_around
 from ..store import cut, forget
 
 WINDOW, START = 13, 4
@@ -91,15 +91,9 @@ def scan(docs: DataFrame, window: int, length: int) -> DataFrame:
 
 
 def repeated(rows: DataFrame, by: list[str], who: str) -> DataFrame:
-    """Rows whose key ``by`` has more than one ``who``, with the least of these; a key's rows are summed up before they are shuffled, and those of hot keys not shuffled at all."""
-
-    def within(part: DataFrame, few: bool) -> DataFrame:
-        alive = part.groupBy(*by).agg(F.min(who).alias("least"), F.max(who).alias("most")).where("least < most").drop("most")
-        return part.join(F.broadcast(alive) if few else alive, by)
-
-    hot = hot_keys(rows, by[0], F.col(who))
-    rest, often = parted(rows, by[0], hot)
-    return within(rest, False) if often is None else within(rest, False).unionByName(within(often, True))
+    """Rows whose key ``by`` has more than one ``who``, with the least of these; a key's rows are summed up before they are shuffled, and those of a hot key dealt over many tasks."""
+    alive = rows.groupBy(*by).agg(F.min(who).alias("least"), F.max(who).alias("most")).where("least < most").drop("most")
+    return join_around(rows, alive, by, hot_keys(rows, by[0], F.col(who)))
 
 
 def extend(cands: DataFrame, before: int, length: int, window: int) -> DataFrame:
