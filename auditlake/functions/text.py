@@ -1,9 +1,14 @@
-"""Text functions as column expressions; nothing here leaves the JVM."""
+"""Text functions as column expressions; all but simhash stay in the JVM."""
 
 from __future__ import annotations
 
+import re
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 #: Arial advance widths in thousandths of the font size, ASCII 32 to 126.
 WIDTHS = [int(x) for x in (
@@ -13,6 +18,15 @@ WIDTHS = [int(x) for x in (
 OTHER_WIDTH, TITLE_PX, DESC_PX = 600, 20, 14
 
 
+#: White space as browsers' scripts know it.
+SPACE = re.compile("[\\t\\n\\v\\f\\r \\u00a0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000\\ufeff]+")
+
+
+def pixels_of(text: str, font: int) -> int:
+    units = sum(WIDTHS[ord(c) - 32] if " " <= c <= "~" else OTHER_WIDTH for c in text)
+    return (units * font * 2 + 1000) // 2000
+
+
 def clean_text(c: Column) -> Column:
     return F.trim(F.regexp_replace(c, r"(?U)\s+", " "))
 
@@ -41,17 +55,41 @@ def fnv64(c: Column) -> Column:
     return F.aggregate(units, start, step)
 
 
+def shingle_hashes(words: list[str]) -> np.ndarray:
+    """FNV-1a of each run of three words (of all, if they are fewer), over UTF-16 units, all runs a step at a time."""
+    units = np.frombuffer(" ".join(words).encode("utf-16-le", "surrogatepass"), "<u2").astype(np.uint64)
+    size = np.array([len(w.encode("utf-16-le", "surrogatepass")) // 2 for w in words])
+    start = np.concatenate([[0], np.cumsum(size + 1)[:-1]])
+    n = max(1, len(words) - 2)
+    first, length = start[:n], start[np.minimum(np.arange(n) + 2, len(words) - 1)] + size[np.minimum(np.arange(n) + 2, len(words) - 1)] - start[:n]
+    order = np.argsort(-length, kind="stable")
+    first, length, h = first[order], length[order], np.full(n, 0xCBF29CE484222325, np.uint64)
+    left = n
+    with np.errstate(over="ignore"):
+        for k in range(int(length[0])):
+            while length[left - 1] <= k:
+                left -= 1
+            h[:left] = (h[:left] ^ units[first[:left] + k]) * np.uint64(0x100000001B3)
+    return h
+
+
+def simhash_of(text: str) -> int:
+    words = [w for w in SPACE.split(text.lower()) if w]
+    if not words:
+        return 0
+    bits = np.unpackbits(shingle_hashes(words).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    votes = 2 * bits.sum(0, dtype=np.int64) - len(bits)
+    return int(np.packbits(votes > 0, bitorder="little").view("<i8")[0])
+
+
+@F.pandas_udf(LongType())
+def _simhash(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: None if t is None else simhash_of(t)).astype("Int64")
+
+
 def simhash(c: Column) -> Column:
-    """64-bit simhash of 3-word shingles as a long; 0 for an empty text."""
-    words = F.filter(F.split(F.lower(c), r"(?U)\s+"), lambda w: w != "")
-    n = F.size(words)
-    shingles = F.when(n == 0, F.array().cast("array<string>")).when(n < 3, F.array(F.array_join(words, " "))).otherwise(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), n - 2)), lambda i: F.array_join(F.slice(words, i, 3), " ")))
-    hashes = F.transform(shingles, fnv64)
-    zero = F.array_repeat(F.lit(0), 64)
-    bit = lambda h, i: F.when(i < 32, F.call_function("shiftright", h["lo"], i)).otherwise(F.call_function("shiftright", h["hi"], i - 32)).bitwiseAND(F.lit(1).cast("long"))
-    places = F.sequence(F.lit(0), F.lit(63))
-    votes = F.aggregate(hashes, zero, lambda v, h: F.zip_with(v, places, lambda a, i: a + F.when(bit(h, i) == 1, 1).otherwise(-1)))
-    return F.aggregate(places, F.lit(0).cast("long"), lambda a, i: a.bitwiseOR(F.when(F.get(votes, i) > 0, F.call_function("shiftleft", F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long"))))
+    """64-bit simhash of 3-word shingles as a long; 0 for an empty text.  Arrow batches: 64 votes a shingle are out of reach of column expressions."""
+    return _simhash(c)
 
 
 def similarity(a: Column, b: Column) -> Column:

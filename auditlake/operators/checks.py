@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.views import counts, duplicated, html_pages, with_counts
+from .. import schema
 from ..project import Project
 from . import near_duplicates, redirects
 
@@ -91,7 +92,7 @@ def canonicals(p: Project) -> list[DataFrame]:
     linked = p["links"].where("link_type = 'ahref'").select("dst_url").distinct()
     return [
         emit(h.where("canonical is null and canonical_header is null and indexable = 1"), "canonical-missing"),
-        emit(h.where("size(array_distinct(canonical_all)) > 1"), "canonical-multiple-conflicting", "array_join(array_distinct(canonical_all), ' | ')"),
+        emit(h.where("size(array_distinct(canonical_all)) > 1"), "canonical-multiple-conflicting", "array_join(canonical_all, ' | ')"),
         emit(h.where("canonical <> canonical_header"), "canonical-conflict-header", "concat(canonical, ' vs ', canonical_header)"),
         emit(both.where("t_status between 300 and 399"), "canonical-to-redirect", "concat(canonical, ' → ', t_status)"),
         emit(both.where("t_status <> 200 and not t_status between 300 and 399"), "canonical-to-non200", "concat(canonical, ' → ', t_status)"),
@@ -138,13 +139,13 @@ def images(p: Project) -> list[DataFrame]:
     both = refs.join(image, "image_id")
     per = lambda df: df.groupBy("page_id").agg(F.count("*").alias("n"))
     distinct = lambda df: df.groupBy("page_id").agg(F.count_distinct("image_id").alias("n"))
-    broken = both.where("status >= 400").groupBy("page_id").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_set("src")), ",").alias("srcs"))
-    kb = lambda n: f"' images over {n // 1024}KB'"
+    broken = both.where("status >= 400").groupBy("page_id").agg(F.count_distinct("image_id").alias("n"), F.array_join(F.array_sort(F.collect_set("src")), ",").alias("srcs"))
+    kb = lambda n: f"' images over {(n + 512) // 1024}KB'"
     return [
         emit(per(refs.where("alt is null or alt = ''")), "img-missing-alt", "concat(n, ' images without alt')", "page_id"), emit(per(refs.where("length(alt) > 100")), "img-alt-long", "concat(n, ' images')", "page_id"),
         emit(distinct(both.where(f"bytes > {c.image_warn} and bytes <= {c.image_critical}")), "img-over-warn", f"concat(n, {kb(c.image_warn)})", "page_id"),
         emit(distinct(both.where(f"bytes > {c.image_critical}")), "img-over-critical", f"concat(n, {kb(c.image_critical)})", "page_id"),
-        emit(broken, "img-broken", "substring(concat(n, ': ', srcs), 1, 300)", "page_id"), emit(per(refs.where("has_dimensions = 0")), "img-no-dimensions", "concat(n, ' images')", "page_id"),
+        emit(broken, "img-broken", "concat(n, ': ', substring(srcs, 1, 300))", "page_id"), emit(per(refs.where("has_dimensions = 0")), "img-no-dimensions", "concat(n, ' images')", "page_id"),
     ]
 
 
@@ -153,7 +154,7 @@ def content(p: Project) -> list[DataFrame]:
     h = html_pages(p)
     return [
         emit(h.where(f"indexable = 1 and word_count < {p.config.word_count_min}"), "content-thin", "concat(word_count, ' words')"), emit(duplicated(h.where("word_count > 30"), "content_hash"), "content-exact-duplicate"),
-        emit(h.where("indexable = 1 and text_ratio < 0.08 and word_count > 0"), "content-low-text-ratio", "concat(format_number(text_ratio * 100, '0.0'), '% text')"),
+        emit(h.where("indexable = 1 and text_ratio < 0.08 and word_count > 0"), "content-low-text-ratio", "concat(floor(text_ratio * 1000 + 0.5) div 10, if(floor(text_ratio * 1000 + 0.5) % 10 = 0, '', concat('.', floor(text_ratio * 1000 + 0.5) % 10)), '% text')"),
     ]
 
 
@@ -200,18 +201,23 @@ def site(p: Project) -> list[DataFrame]:
 def ai_crawlers(p: Project) -> DataFrame:
     from ..functions.robots import allowed
 
-    row = p["meta"].where("key = 'robots_txt'").select("value").first()
-    blocked = [b for b in AI_CRAWLERS if row and not allowed(row.value or "", b, "/")]
-    return p.spark.createDataFrame([("site-ai-crawlers", None, b) for b in blocked], "check_id string, page_id long, detail string")
+    meta = {r.key: r.value for r in p["meta"].where("key in ('robots_txt', 'robots_origin')").collect()}
+    known = meta.get("robots_txt") and meta.get("robots_origin")
+    blocked = [b for b in AI_CRAWLERS if known and not allowed(meta["robots_txt"], b, "/")]
+    return p.spark.createDataFrame([("site-ai-crawlers", None, f"{b} blocked by robots.txt") for b in blocked], "check_id string, page_id long, detail string")
 
 
 @check("Pagination", pagination_to_non200="medium", pagination_canonicalised="low")
 def pagination(p: Project) -> list[DataFrame]:
     h = html_pages(p).where("rel_next is not null or rel_prev is not null")
-    rels = h.select("id", F.explode(F.expr("filter(array(rel_next, rel_prev), r -> r is not null)")).alias("rel"))
-    target = p["pages"].where("fetched >= 1").select(F.col("url").alias("rel"), "status", "fetched")
-    bad = rels.join(target, "rel").where("fetched = 2 or status <> 200")
-    return [emit(bad, "pagination-to-non200", "concat(rel, if(fetched = 2, ' (no response)', concat(' (HTTP ', status, ')')))"), emit(h.where("rel_prev is not null and canonical <> url"), "pagination-canonicalised", "canonical")]
+    named = "array(named_struct('rel', 'next', 'target', rel_next), named_struct('rel', 'prev', 'target', rel_prev))"
+    rels = h.select("id", F.explode(F.expr(f"filter({named}, r -> r.target <> '')")).alias("r")).select("id", "r.*")
+    target = p["pages"].where("fetched >= 1").select(F.col("url").alias("target"), "status", "fetched")
+    bad = rels.join(target, "target").where("fetched = 2 or status <> 200")
+    return [
+        emit(bad, "pagination-to-non200", "concat('rel=', rel, ' → ', target, if(fetched = 2, ' (no response)', concat(' (', status, ')')))"),
+        emit(h.where("rel_prev <> '' and canonical <> '' and canonical <> url"), "pagination-canonicalised", "concat('canonical → ', canonical)"),
+    ]
 
 
 @check("Hreflang", hreflang_invalid_code="medium", hreflang_no_self="low", hreflang_no_xdefault="low", hreflang_missing_return="high", hreflang_to_broken="medium")
@@ -221,37 +227,55 @@ def hreflang(p: Project) -> list[DataFrame]:
     valid = "code = 'x-default' or code rlike '^[a-z]{2,3}(-[a-z]{4})?(-([a-z]{2}|[0-9]{3}))?$'"
     bad = rows.where(f"not ({valid})").groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("id", "lang"))).alias("b"))
     per = rows.groupBy("page_id").agg(F.bool_or(F.col("href") == F.col("url")).alias("own"), F.bool_or(F.col("code") == "x-default").alias("default"))
-    others = rows.where("href <> url and code <> 'x-default'")
+    away = rows.where("href <> url")
+    others = away.where("code <> 'x-default'")
     declares = rows.select(F.col("url").alias("t")).distinct()
     back = rows.select(F.col("url").alias("t"), F.col("href").alias("u")).distinct()
     lost = others.join(declares, others["href"] == declares["t"], "left_semi").join(back, (others["href"] == back["t"]) & (others["url"] == back["u"]), "left_anti")
-    lost = lost.groupBy("page_id").agg(F.array_sort(F.collect_set("href")).alias("b"))
+    lost = listed(lost, "href")
     target = p["pages"].where("fetched = 1 and status <> 200").select(F.col("url").alias("href"), "status")
-    broken = others.join(target, "href").groupBy("page_id").agg(F.array_sort(F.collect_set(F.expr("concat(href, ' (HTTP ', status, ')')"))).alias("b"))
+    broken = listed(away.join(target, "href"), "concat(href, ' (HTTP ', status, ')')")
     return [
         emit(bad, "hreflang-invalid-code", "array_join(array_distinct(transform(b, x -> x.lang)), ', ')", "page_id"), emit(per.where("not own"), "hreflang-no-self", page="page_id"),
         emit(per.where("not default"), "hreflang-no-xdefault", page="page_id"), emit(lost, "hreflang-missing-return", "array_join(b, ', ')", "page_id"), emit(broken, "hreflang-to-broken", "array_join(b, ', ')", "page_id"),
     ]
 
 
+def listed(df: DataFrame, value: str) -> DataFrame:
+    """page_id and b, each page's distinct values in order of their first row."""
+    first = df.groupBy("page_id", F.expr(value).alias("v")).agg(F.min("id").alias("id"))
+    return first.groupBy("page_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("id", "v"))), lambda x: x["v"]).alias("b"))
+
+
 def structured_rows(p: Project) -> DataFrame:
     """structured_data with the rule of its first type that has one: missing required and recommended properties."""
     rules = p.spark.createDataFrame([(k, [x.split("|") for x in r.split()], o.split()) for k, (r, o) in SD_RULES.items()], "rule string, required array<array<string>>, recommended array<string>")
-    sd = p["structured_data"].withColumns({"tokens": F.expr("filter(split(lower(coalesce(type, '')), '[,\\\\s]+'), t -> t <> '')"), "source": F.expr("if(format = 'microdata', coalesce(get_json_object(json, '$.properties'), '{}'), json)")})
+    sd = p["structured_data"].withColumns({"tokens": F.expr("filter(transform(split(coalesce(type, ''), ','), t -> lower(trim(t))), t -> t <> '')"), "source": F.expr("if(format = 'microdata', coalesce(get_json_object(json, '$.properties'), json), json)")})
     sd = sd.withColumn("rule", F.expr(f"get(filter(tokens, t -> array_contains(array({', '.join(repr(k) for k in SD_RULES)}), t)), 0)"))
     sd = sd.withColumn("keys", F.expr("filter(coalesce(json_object_keys(source), array()), k -> not startswith(k, '@'))"))
     return sd.join(F.broadcast(rules), "rule", "left").withColumns({"lost": F.expr("transform(filter(required, r -> not arrays_overlap(r, keys)), r -> concat(rule, ': ', array_join(r, '|')))"), "wanted": F.expr("transform(array_except(recommended, keys), r -> concat(rule, ': ', r))")})
 
 
+def with_findings(p: Project) -> DataFrame:
+    """structured_data with errors and warnings as the checks find them."""
+    rows = structured_rows(p).withColumns({
+        "errors": F.expr("if(type = 'PARSE_ERROR', array('Invalid JSON-LD syntax'), transform(coalesce(lost, array()), x -> concat('Missing required property: ', substring(x, length(rule) + 3))))"),
+        "warnings": F.expr("if(type = 'PARSE_ERROR', array(), transform(coalesce(wanted, array()), x -> concat('Missing recommended property: ', substring(x, length(rule) + 3))))"),
+    })
+    return schema.ensure_columns(rows, "structured_data")
+
+
 @check("Structured data", sd_parse_error="high", sd_missing_required="high", sd_missing_recommended="low", sd_deprecated_type="medium")
 def structured(p: Project) -> list[DataFrame]:
-    rows = structured_rows(p)
+    rows = structured_rows(p).where("type <> 'PARSE_ERROR'")
     gather = lambda c: rows.groupBy("page_id").agg(F.array_distinct(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("id", F.col(c).alias("v")))), lambda x: x["v"]))).alias("b")).where("size(b) > 0")
     once = lambda df: df.select("page_id").distinct()
-    old = "array({})".format(", ".join(repr(t) for t in SD_DEPRECATED))
+    # only the first type with a rule is looked at, and all deprecated ones have rules
+    old = rows.where("rule in ({})".format(", ".join(repr(t) for t in SD_DEPRECATED)))
+    old = listed(old, "get(filter(transform(split(type, ','), t -> trim(t)), t -> lower(t) = rule), 0)")
     return [
-        emit(once(rows.where("type = 'PARSE_ERROR'")), "sd-parse-error", page="page_id"), emit(gather("lost"), "sd-missing-required", "array_join(b, '; ')", "page_id"),
-        emit(gather("wanted"), "sd-missing-recommended", "array_join(slice(b, 1, 12), '; ')", "page_id"), emit(once(rows.where(f"arrays_overlap(tokens, {old})")), "sd-deprecated-type", page="page_id"),
+        emit(once(p["structured_data"].where("type = 'PARSE_ERROR'")), "sd-parse-error", page="page_id"), emit(gather("lost"), "sd-missing-required", "array_join(b, '; ')", "page_id"),
+        emit(gather("wanted"), "sd-missing-recommended", "array_join(slice(b, 1, 12), '; ')", "page_id"), emit(old, "sd-deprecated-type", "array_join(b, ', ')", "page_id"),
     ]
 
 
@@ -275,12 +299,13 @@ def rendering(p: Project) -> list[DataFrame]:
     t = lambda c: f"trim(coalesce({c}, ''))"
     shown = lambda c: f"if({t(c)} = '', '(none)', {t(c)})"
     robots = lambda c: f"array_sort(filter(transform(split(lower(coalesce({c}, '')), ','), x -> trim(x)), x -> x <> ''))"
+    words = ["coalesce(word_count, 0)", "coalesce(rendered_word_count, 0)"]
     diff = lambda a, b: f"concat('raw=', {shown(a)}, ' rendered=', {shown(b)})"
     return [
         emit(h.where("rendered = 2"), "render-failed", "render_error"), emit(r.where("size(console_errors) > 0"), "render-console-errors", "concat(size(console_errors), ' error(s): ', substring(console_errors[0], 1, 200))"),
         emit(r.where(f"{t('canonical')} <> {t('rendered_canonical')}"), "render-canonical-mismatch", diff("canonical", "rendered_canonical")), emit(r.where(f"{t('title')} <> {t('rendered_title')}"), "render-title-changed", diff("title", "rendered_title")),
         emit(r.where(f"{robots('meta_robots')} <> {robots('rendered_meta_robots')}"), "render-robots-changed", diff("meta_robots", "rendered_meta_robots")),
-        emit(r.where("rendered_word_count - word_count > 100 and rendered_word_count > 1.5 * word_count"), "render-content-delta", "concat(word_count, ' → ', rendered_word_count, ' words')"),
+        emit(r.where(f"{words[1]} - {words[0]} > 100 and {words[1]} > 1.5 * {words[0]}"), "render-content-delta", f"concat({words[0]}, ' raw vs ', {words[1]}, ' rendered words')"),
     ]
 
 
@@ -294,12 +319,15 @@ def accessibility(p: Project) -> list[DataFrame]:
     ]
 
 
-def run(p: Project) -> DataFrame:
-    """All issues, as one lazy union."""
-    parts: list[DataFrame] = []
-    for f in CHECKS:
-        got = f(p)
-        parts += got if isinstance(got, list) else [got]
-    return reduce(DataFrame.unionByName, parts)
+#: Names by which parts of the checks are asked for.
+MODULES = {f.__name__: f for f in CHECKS}
 
 
+def run(p: Project, modules: Iterable[str] = ()) -> DataFrame:
+    """All issues, or those of some modules, as one lazy union."""
+    parts: list[DataFrame] = []
+    for name, f in MODULES.items():
+        if not modules or name in modules:
+            got = f(p)
+            parts += got if isinstance(got, list) else [got]
+    return reduce(DataFrame.unionByName, parts)

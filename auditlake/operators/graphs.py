@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..store import cut
 from ..plans.views import counts, with_counts
 from ..project import Project
 
@@ -15,29 +16,59 @@ def nodes(p: Project, most: int = 1500) -> DataFrame:
     return df.orderBy(F.col("depth").asc_nulls_last(), F.col("inlinks").desc(), "id").limit(most).select("id", "url", "depth", "inlinks", "crawl_source")
 
 
-def edges(p: Project, kept: DataFrame, most: int = 25_000) -> DataFrame:
+def edges(p: Project, kept: DataFrame, most: int = 25_000, inside: bool = True) -> DataFrame:
+    """Distinct links between two of the pages kept, ``most`` of them; inside: only those marked internal."""
     ids = kept.select("id")
-    e = p["links"].where("is_internal = 1 and dst_id is not null and src_id <> dst_id").select("src_id", "dst_id")
+    e = p["links"].where("dst_id is not null and src_id <> dst_id" + " and is_internal = 1" * inside).select("src_id", "dst_id")
     e = e.join(ids, e["src_id"] == ids["id"], "left_semi").join(ids, e["dst_id"] == ids["id"], "left_semi").distinct()
     return e.orderBy("src_id", "dst_id").limit(most)
 
 
 def tree(pages: DataFrame) -> DataFrame:
-    """id, parent_id: the page it was found on, else the root (the first page); pages whose way up never ends hang on the root."""
-    root = pages.agg(F.min_by("id", F.struct(F.coalesce("depth", F.lit(1 << 30)), "id")).alias("root"))
+    """id, parent_id: the page it was found on, if that is in the set and another, else null (the root).  If any way up never ends, all pages hang on the root.
+
+    Ways up are followed by pointer jumping: each round doubles the length."""
     parent = pages.groupBy(F.col("url").alias("p_url")).agg(F.min("id").alias("up"))
-    df = pages.select("id", "url", "crawl_source").join(parent, (F.col("crawl_source") == F.col("p_url")) & (F.col("crawl_source") != F.col("url")), "left").join(F.broadcast(root))
-    return df.select("id", F.when(F.col("id") == F.col("root"), F.lit(None)).otherwise(F.coalesce("up", "root")).cast("long").alias("parent_id"))
+    df = pages.select("id", "url", "crawl_source").join(parent, (F.col("crawl_source") == F.col("p_url")) & (F.col("crawl_source") != F.col("url")), "left").select("id", F.col("up").alias("parent_id"))
+    df = cut(df, "tree")
+    jump, before, rounds = df, df.count() + 1, 0
+    while True:
+        open_ends = jump.where("parent_id is not null")
+        n = open_ends.count()
+        if n == 0:
+            return df
+        if n == before:
+            # a round that ends no way may still shorten one: ways of n pages end within log n rounds
+            rounds += 1
+            if 1 << rounds > n:
+                return df.withColumn("parent_id", F.lit(None).cast("long"))
+        else:
+            rounds = 0
+        before = n
+        far = jump.select(F.col("id").alias("parent_id"), F.col("parent_id").alias("far"))
+        jump = cut(jump.join(far, "parent_id", "left").select("id", F.col("far").alias("parent_id")), "tree")
+
 
+def frontier(seeds: DataFrame, links: DataFrame, max_depth: int, max_urls: int | None = None, follow_nofollow: bool = True, external_depth: int = 0) -> DataFrame:
+    """url, depth reached from the seeds: one join a level, known urls left out by anti-join, levels written.
 
-def frontier(seeds: DataFrame, links: DataFrame, max_depth: int) -> DataFrame:
-    """url, depth reached from the seeds, one join a level, known urls left out by anti-join."""
-    seen = seeds.select("url", F.lit(0).alias("depth"))
+    links: src_url, dst_url, and if there follow, is_internal and is_redirect.
+    Links marked nofollow are passed over unless followed; external pages are
+    reached but not left; a redirect's target keeps its depth; with max_urls the
+    first ones by depth, then url, are kept."""
+    have = set(links.columns)
+    step = links.where("follow = 1") if "follow" in have and not follow_nofollow else links
+    flag = lambda c, other: F.col(c) if c in have else F.lit(other)
+    step = cut(step.groupBy("src_url", "dst_url").agg(F.max(flag("is_internal", 1)).alias("inside"), F.min(flag("is_redirect", 0)).alias("moved")), "frontier_links")
+    seen = cut(seeds.select("url", F.lit(0).alias("depth"), F.lit(1).alias("inside")).distinct(), "frontier")
     level = seen
-    step = links.select("src_url", "dst_url").distinct()
-    for d in range(1, max_depth + 1):
-        level = level.join(step, level["url"] == step["src_url"]).select(F.col("dst_url").alias("url")).distinct().join(seen, "url", "left_anti").withColumn("depth", F.lit(d)).cache()
+    while True:
+        near = level.where("inside = 1").join(step, level["url"] == step["src_url"])
+        near = near.select(F.col("dst_url").alias("url"), (F.col("depth") + 1 - F.col("moved")).cast("int").alias("depth"), step["inside"])
+        near = near.where((F.col("depth") <= max_depth) & ((F.col("inside") == 1) | (F.col("depth") <= max(external_depth, 1))))
+        level = cut(near.groupBy("url").agg(F.min("depth").alias("depth"), F.max("inside").alias("inside")).join(seen, "url", "left_anti"), "frontier")
         if level.isEmpty():
             break
         seen = seen.unionByName(level)
-    return seen
+    out = seen.select("url", "depth")
+    return out.orderBy("depth", "url").limit(max_urls) if max_urls else out

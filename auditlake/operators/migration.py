@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..store import cut
+
 PATH = r"^[a-zA-Z]+://[^/?#]*([^#]*)"
 
 
@@ -19,29 +21,53 @@ def slash_variant(path):
     return F.concat(F.when(head.endswith("/") & (head != "/"), F.regexp_replace(head, "/$", "")).otherwise(F.concat(head, F.lit("/"))), query)
 
 
+def old_pages(pages: DataFrame) -> DataFrame:
+    """Of an old crawl, the pages worth mapping: internal, fetched, HTML, 2xx."""
+    return pages.where("is_internal = 1 and fetched = 1 and status between 200 and 299 and content_type ilike '%html%'").select("url", "status", "title", "canonical")
+
+
+def old_urls(urls: DataFrame) -> DataFrame:
+    """An old set from a list of urls (as of `imports.url_list`): nothing to compare but their fate."""
+    return urls.select("url", F.lit(None).cast("int").alias("status"), F.lit(None).cast("string").alias("title"), F.lit(None).cast("string").alias("canonical"))
+
+
 def compare(old: DataFrame, pages: DataFrame, hops: int = 10) -> DataFrame:
-    """old (url, status, title, canonical) against new pages: one row per old url with match_type and result."""
-    new = pages.where("is_internal = 1 and fetched = 1").select(F.col("url").alias("n_url"), F.col("status").alias("n_status"), F.col("title").alias("n_title"), F.col("canonical").alias("n_canonical"), F.col("redirect_target").alias("n_target"), "id")
-    new = new.withColumn("n_path", path_of("n_url"))
-    info = F.struct("n_url", "n_status", "n_title", "n_canonical", "n_target")
-    by_url = new.groupBy(F.col("n_url").alias("k")).agg(F.min_by(info, "id").alias("u"))
-    first = Window.partitionBy("n_path").orderBy(F.expr("n_status between 200 and 299").desc(), "id")
-    by_path = new.withColumn("r", F.row_number().over(first)).where("r = 1").select(F.col("n_path").alias("k"), info.alias("v"))
-    rows = old.select("url", "status", "title", "canonical").withColumn("path", path_of("url")).withColumn("other", slash_variant(F.col("path")))
-    rows = rows.join(by_url, rows["url"] == by_url["k"], "left").drop("k").withColumnRenamed("u", "m1")
-    rows = rows.join(by_path, rows["path"] == by_path["k"], "left").drop("k").withColumnRenamed("v", "m2")
-    rows = rows.join(by_path, rows["other"] == by_path["k"], "left").drop("k").withColumnRenamed("v", "m3")
-    rows = rows.withColumns({"m": F.coalesce("m1", "m2", "m3"), "match_type": F.expr("case when m1 is not null then 'exact' when m2 is not null then 'path' when m3 is not null then 'slash' else 'none' end")})
-    status = new.groupBy(F.col("n_url").alias("s_url")).agg(F.min_by(F.struct("n_status", "n_target"), "id").alias("s"))
-    rows = rows.withColumns({"end_url": F.col("m.n_url"), "end_status": F.col("m.n_status"), "next": F.when(F.col("m.n_status").between(300, 399), F.col("m.n_target"))})
+    """old (url, status, title, canonical) against new pages: one row per old url.
+
+    A url matches itself, else the page with its path and query (2xx pages first,
+    then the smallest id), else that of the path with its last slash toggled.
+    Redirects are followed for so many hops, to a page below 300; titles and
+    canonicals are those of the page where that ends."""
+    page = F.struct("url", "status", "title", "canonical", F.nullif("redirect_target", F.lit("")).alias("target"))
+    new = pages.where("is_internal = 1 and fetched >= 1").select("url", "id", F.expr("coalesce(status between 200 and 299, false)").alias("good"), page.alias("page"))
+    by_url = cut(new.groupBy(F.col("url").alias("k")).agg(F.min_by("page", "id").alias("v")), "pages_by_url")
+    by_path = new.where(F.col("url").rlike("(?i)^https?://[^/?#]")).groupBy(path_of("url").alias("k")).agg(F.min_by("page", F.struct(~F.col("good"), "id")).alias("v"))
+    rows = old.select("url", "status", "title", "canonical").withColumn("path", F.when(F.col("url").rlike("(?i)^https?://[^/?#]"), path_of("url"))).withColumn("other", slash_variant(F.col("path")))
+    for name, key, side in (("m1", "url", by_url), ("m2", "path", by_path), ("m3", "other", by_path)):
+        rows = rows.join(side.select(F.col("k").alias("__k"), F.col("v").alias(name)), F.col(key) == F.col("__k"), "left").drop("__k")
+    rows = rows.withColumns({"m": F.coalesce("m1", "m2", "m3"), "match_type": F.expr("case when m1 is not null then 'exact' when m2 is not null or m3 is not null then 'path' else 'none' end")}).drop("m1", "m2", "m3", "path", "other")
+    rows = cut(rows.withColumns({"at": F.col("m"), "target": F.lit(None).cast("string"), "walks": F.expr("coalesce(m.status between 300 and 399 and m.target is not null, false)"), "lost": F.lit(False)}), "matched")
+    walk, done = rows.where("walks"), rows.where("not walks")
     for _ in range(hops):
-        rows = rows.join(status, rows["next"] == status["s_url"], "left").withColumns({"end_url": F.coalesce("next", "end_url"), "end_status": F.when(F.col("next").isNotNull(), F.col("s.n_status")).otherwise(F.col("end_status"))}).withColumn("next", F.when(F.col("s.n_status").between(300, 399), F.col("s.n_target"))).drop("s", "s_url")
-    moved = F.col("m.n_status").between(300, 399)
-    result = F.when(F.col("m").isNull(), "missing").when(moved, F.when(F.col("end_status").between(200, 299), "redirected").otherwise("broken")).when(F.col("m.n_status").between(200, 299), "ok").otherwise("broken")
-    changed = lambda a, b: (F.col(a).isNotNull() & (F.col(a) != F.coalesce(F.col(b), F.lit("")))).cast("int")
-    return rows.select(
-        F.col("url").alias("old_url"), F.col("status").alias("old_status"), F.col("title").alias("old_title"), F.col("m.n_url").alias("matched_url"), "match_type", F.col("m.n_status").alias("new_status"), F.col("m.n_title").alias("new_title"),
-        F.when(moved, F.col("end_url")).alias("redirect_target"), F.when(moved, F.col("end_status").between(200, 299).cast("int")).alias("redirect_ok"), result.alias("result"), F.coalesce(changed("title", "m.n_title"), F.lit(0)).alias("title_changed"), F.coalesce(changed("canonical", "m.n_canonical"), F.lit(0)).alias("canonical_changed"),
+        step = walk.join(by_url.select(F.col("k").alias("__k"), F.col("v").alias("next")), F.col("at.target") == F.col("__k"), "left")
+        landed = F.col("next").isNull() | F.coalesce(F.col("next.status") < 300, F.lit(False)) | F.col("next.target").isNull()
+        step = step.withColumns({"target": F.col("at.target"), "lost": F.col("next").isNull(), "walks": ~landed}).withColumn("at", F.coalesce("next", "at")).drop("__k", "next")
+        step = cut(step.select(rows.columns), "walked")
+        done, walk = done.unionByName(step.where("not walks")), step.where("walks")
+        if walk.isEmpty():
+            break
+    done = done.unionByName(walk)
+    good = lambda c: F.expr(f"coalesce({c} between 200 and 299, false)")
+    moved = F.expr("coalesce(m.status between 300 and 399, false)")
+    # a redirect that leads nowhere, or back to where it began, ends on no page
+    end = F.when(good("m.status"), F.col("m")).when(moved & ~F.col("lost") & F.col("target").isNotNull() & (F.col("at.url") != F.col("m.url")), F.col("at"))
+    done = done.withColumn("end", end)
+    lands = moved & F.col("end").isNotNull() & good("end.status")
+    result = F.when(F.col("m").isNull(), "missing").when(good("m.status"), "ok").when(lands, "redirected").otherwise("broken")
+    changed = lambda c, known: (F.col("end").isNotNull() & F.col(known).isNotNull() & (F.coalesce(f"end.{c}", F.lit("")) != F.coalesce(c, F.lit("")))).cast("int")
+    return done.select(
+        F.col("url").alias("old_url"), F.col("status").alias("old_status"), F.col("title").alias("old_title"), F.col("m.url").alias("matched_url"), "match_type", F.col("m.status").alias("new_status"), F.col("end.title").alias("new_title"),
+        F.when(moved, F.col("target")).alias("redirect_target"), lands.cast("int").alias("redirect_ok"), result.alias("result"), changed("title", "title").alias("title_changed"), changed("canonical", "canonical").alias("canonical_changed"),
     )
 
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 import math
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..store import cut
@@ -63,6 +63,15 @@ def two_least(rows: DataFrame, *order: str) -> DataFrame:
     return x.join(y, "s", "left")
 
 
+def exact(pages: DataFrame, most: int | None = None) -> DataFrame:
+    """page_id, partner_id, partner_url: other pages with the same content_hash, the first ``most`` by id if asked for."""
+    other = pages.select(F.col("id").alias("partner_id"), F.col("url").alias("partner_url"), "content_hash")
+    both = pages.select(F.col("id").alias("page_id"), "content_hash").join(other, "content_hash").where("page_id <> partner_id").drop("content_hash")
+    if most is None:
+        return both
+    return both.withColumn("r", F.row_number().over(Window.partitionBy("page_id").orderBy("partner_id"))).where(f"r <= {most}").drop("r")
+
+
 def first_matches(pages: DataFrame, threshold: float = 0.9) -> DataFrame:
     """page_id, partner_id, partner_url, similarity (percent): each page's first match, in order of band value's first page, band, a, b.
 

@@ -1,34 +1,38 @@
-"""Redirect chains: a walk along redirect targets, one join a hop, until every walk ends or closes."""
+"""Redirect chains: paths along redirect targets, doubled in each round until every walk ends or closes."""
 
 from __future__ import annotations
 
-from itertools import count
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..store import cut
 
 
-def chains(pages: DataFrame, every: int = 10) -> DataFrame:
-    """id, url, chain (array of url, status), is_loop for every 3xx page.  A page never crawled ends a chain with status 0.
+def chains(pages: DataFrame) -> DataFrame:
+    """id, url, chain (array of url, status), is_loop for every 3xx page with a target.
 
-    Chains may have any length: a walk ends where it leaves the hops or meets a page again.  After every so many hops a written table cuts the lineage."""
-    hops = pages.where("status between 300 and 399 and redirect_target is not null").select(F.col("url").alias("h_url"), F.col("redirect_target").alias("h_next"))
-    status = pages.select(F.col("url").alias("s_url"), F.coalesce("status", F.lit(0)).alias("s_status")).dropDuplicates(["s_url"])
-    link = hops.dropDuplicates(["h_url"]).join(status, F.col("h_next") == F.col("s_url"), "left").select("h_url", "h_next", F.coalesce("s_status", F.lit(0)).cast("int").alias("n_status"))
-    walk = pages.where("status between 300 and 399 and redirect_target is not null").select("id", "url", F.col("url").alias("at"), F.array(F.struct("url", F.col("status").cast("int").alias("status"))).alias("chain"), F.lit(False).alias("is_loop"))
-    done = None
-    for hop in count(1):
-        step = walk.join(link, F.col("at") == F.col("h_url"), "left")
-        seen = F.exists("chain", lambda c: c["url"] == F.col("h_next"))
-        ended = step.where("h_url is null").select("id", "url", "chain", "is_loop")
-        moved = step.where("h_url is not null").select("id", "url", F.col("h_next").alias("at"), F.concat("chain", F.array(F.struct(F.col("h_next").alias("url"), F.col("n_status").alias("status")))).alias("chain"), seen.alias("is_loop"))
-        moved = moved.cache()
-        out = ended.unionByName(moved.where("is_loop").select("id", "url", "chain", "is_loop"))
-        done = out if done is None else done.unionByName(out)
-        walk = moved.where("not is_loop")
-        if walk.isEmpty():
-            return done
-        if hop % every == 0:
-            done, walk = cut(done, "redirects_done"), cut(walk, "redirects_walk")
+    A walk ends at a page that is no redirect (status 0 if it was never crawled)
+    or before a page that it has met, which makes it a loop.  Each round joins a
+    path with the path that starts at its end, so a chain of n hops takes log n
+    rounds; every round is written, so lost executors cost one round."""
+    found = pages.where("status between 300 and 399 and redirect_target is not null").select("id", "url", F.col("status").cast("int").alias("status"), "redirect_target")
+    hops = found.dropDuplicates(["url"]).select("url", "status", F.col("redirect_target").alias("next"))
+    status = pages.groupBy(F.col("url").alias("next")).agg(F.coalesce(F.max("status"), F.lit(0)).cast("int").alias("final"))
+    inner = hops.select(F.col("url").alias("next"), F.lit(True).alias("goes_on"))
+    first = hops.join(inner, "next", "left").join(status, "next", "left")
+    own = F.struct("url", "status")
+    last = F.struct(F.col("next").alias("url"), F.coalesce("final", F.lit(0)).alias("status"))
+    loop = F.col("next") == F.col("url")
+    paths = cut(first.select(
+        "url", F.when(F.col("goes_on").isNull(), F.array(own, last)).otherwise(F.array(own)).alias("chain"), loop.alias("is_loop"), F.when(F.col("goes_on") & ~loop, F.col("next")).alias("end"),
+    ), "redirects")
+    while not paths.where("end is not null").isEmpty():
+        more = paths.select(F.col("url").alias("end"), F.col("chain").alias("more"), F.col("is_loop").alias("closes"), F.col("end").alias("far"))
+        both = paths.where("end is not null").join(more, "end")
+        # where the second path first meets the first one; its length if it does not
+        both = both.withColumn("seen", F.transform("chain", lambda c: c["url"]))
+        both = both.withColumn("meets", F.array_position(F.transform("more", lambda c: F.array_contains("seen", c["url"])), True))
+        fresh = F.when(F.col("meets") > 0, F.slice("more", F.lit(1), F.col("meets").cast("int") - 1)).otherwise(F.col("more"))
+        step = both.select("url", F.concat("chain", fresh).alias("chain"), ((F.col("meets") > 0) | F.col("closes")).alias("is_loop"), F.when(F.col("meets") == 0, F.col("far")).alias("end"))
+        paths = cut(paths.where("end is null").unionByName(step), "redirects")
+    return found.select("id", "url").join(paths.select("url", "chain", "is_loop"), "url").select("id", "url", "chain", "is_loop")

@@ -2,11 +2,21 @@
 
 from __future__ import annotations
 
+import os
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..project import Project
+from ..store import cut
+from . import views
+from .reports import issue_summary
 from .views import H
 
+#: Pages that may be listed: indexable, and no copies of others.
+OWN = "indexable = 1 and (canonical is null or canonical = '' or canonical = url)"
+
 PER_FILE, IMAGES_PER_PAGE = 45_000, 1000
 
 
@@ -23,29 +33,96 @@ def csv_lines(df: DataFrame, guard: bool = True) -> DataFrame:
 
 
 def write_csv(df: DataFrame, path: str) -> None:
+    """Parts of lines without a header, for tables of any size."""
     csv_lines(df).write.option("lineSep", "\r\n").text(path)
 
 
+def labels(columns: Iterable[str]) -> list[str]:
+    """Column names as headings: status_text to Status Text."""
+    return [c.replace("_", " ").title() for c in columns]
+
+
+def csv_file(p: Project, view: str, path: str, filter_id: str | None = None, guard: bool = False) -> None:
+    """One CSV file of a view for a spreadsheet: byte order mark, headings, rows by id.  Rows stream to it a partition at a time."""
+    rows = views.rows(p, view, filter_id)
+    order = [F.col(c).asc_nulls_last() for c in ("id", "url", "src") if c in rows.columns]
+    columns = views.VIEWS[view].columns
+    with open(path, "w", encoding="utf-8", newline="") as out:
+        out.write("﻿" + ",".join(labels(columns)))
+        for r in csv_lines(rows.orderBy(*order).select(*columns), guard).toLocalIterator():
+            out.write("\r\n" + r.value)
+
+
+def populated(p: Project) -> list[str]:
+    """Views that have a row."""
+    return [r.view for r in views.overview(p).where("filter is null and n > 0").orderBy("view").collect()]
+
+
+def csv_folder(p: Project, issues: DataFrame, folder: str) -> list[str]:
+    """issues-summary.csv and a file for each populated view; gives the names."""
+    os.makedirs(folder, exist_ok=True)
+    summary = issue_summary(p, issues).select("check_id", "category", "severity", "n")
+    with open(os.path.join(folder, "issues-summary.csv"), "w", encoding="utf-8", newline="") as out:
+        out.write("﻿Check Id,Category,Severity,Count")
+        for r in csv_lines(summary).collect():  # one row a check
+            out.write("\r\n" + r.value)
+    names = populated(p)
+    for v in names:
+        csv_file(p, v, os.path.join(folder, f"{v}.csv"))
+    return ["issues-summary.csv", *[f"{v}.csv" for v in names]]
+
+
 def xml_escape(c: Column) -> Column:
     for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&apos;")):
         c = F.replace(c, F.lit(a), F.lit(b))
     return c
 
 
-def sitemap_entries(pages: DataFrame) -> DataFrame:
-    """file, url, xml of indexable self-canonical pages, PER_FILE a file in order of url.
+def sitemap_entries(pages: DataFrame, per_file: int = PER_FILE) -> DataFrame:
+    """file (from 1), url, xml of indexable self-canonical pages in order of url, so many a file.
 
-    Files are cut by a rank from range-partitioned counts, so no task sorts all urls."""
-    ok = pages.where(H).where("indexable = 1 and (canonical is null or canonical = '' or canonical = url)").select("url", "id")
-    bucket = F.substring(F.sha1("url"), 1, 2)
-    w = Window.partitionBy("b").orderBy("url", "id")
-    ranked = ok.withColumn("b", bucket).withColumn("r", F.row_number().over(w) - 1)
+    Urls are dealt by range and ranked within their range; the ranges' sizes,
+    one row each, give each range its first rank, so no task sorts all urls."""
+    ok = pages.where(H).where(OWN).select("url", "id")
+    ranged = cut(ok.repartitionByRange("url", "id").withColumn("p", F.spark_partition_id()), "sitemap")
+    before = F.sum("n").over(Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1))
+    sizes = ranged.groupBy("p").agg(F.count("*").alias("n")).select("p", F.coalesce(before, F.lit(0)).alias("base"))
+    rank = F.row_number().over(Window.partitionBy("p").orderBy("url", "id")) - 1
     entry = F.concat(F.lit("<url><loc>"), xml_escape(F.col("url")), F.lit("</loc></url>"))
-    return ranked.select(F.concat_ws("-", "b", F.floor(F.col("r") / PER_FILE).cast("string")).alias("file"), "url", entry.alias("xml"))
+    ranked = ranged.withColumn("r", rank).join(F.broadcast(sizes), "p").withColumn("r", F.col("base") + F.col("r"))
+    return ranked.select((F.floor(F.col("r") / per_file) + 1).alias("file"), "url", entry.alias("xml"))
+
+
+def sitemap_files(p: Project, base_url: str, folder: str, per_file: int = PER_FILE) -> list[str]:
+    """sitemap.xml, or several files and an index of them, and image-sitemap.xml if there are images; gives the names."""
+    os.makedirs(folder, exist_ok=True)
+    root, space = base_url.rstrip("/"), "http://www.sitemaps.org/schemas/sitemap/0.9"
+    entries = cut(sitemap_entries(p["pages"], per_file), "entries")
+    files = [r.file for r in entries.select("file").distinct().orderBy("file").collect()] or [1]
+    names = ["sitemap.xml"] if len(files) == 1 else [f"sitemap-{f}.xml" for f in files]
+
+    def write(name: str, kind: str, rows: Iterable[str], more: str = "") -> None:
+        with open(os.path.join(folder, name), "w", encoding="utf-8") as out:
+            out.write(f'<?xml version="1.0" encoding="UTF-8"?>\n<{kind} xmlns="{space}"{more}>\n')
+            out.writelines(f"  {row}\n" for row in rows)
+            out.write(f"</{kind}>\n")
+
+    for f, name in zip(files, names, strict=True):
+        write(name, "urlset", (r.xml for r in entries.where(F.col("file") == f).orderBy("url").toLocalIterator()))
+    if len(files) > 1:
+        write("sitemap.xml", "sitemapindex", (f"<sitemap><loc>{root}/{n}</loc></sitemap>" for n in names))
+        names.append("sitemap.xml")
+    images = image_entries(p["pages"], p["image_refs"], p["images"].where("is_internal = 1"))
+    per_page = images.groupBy("url").agg(F.array_join(F.array_sort(F.collect_list("xml")), "").alias("xml")).orderBy("url")
+    if not per_page.isEmpty():
+        rows = (f"<url><loc>{r.loc}</loc>{r.xml}</url>" for r in per_page.select(xml_escape(F.col("url")).alias("loc"), "xml").toLocalIterator())
+        write("image-sitemap.xml", "urlset", rows, ' xmlns:image="http://www.google.com/schemas/sitemap-image/1.1"')
+        names.append("image-sitemap.xml")
+    return names
 
 
 def image_entries(pages: DataFrame, refs: DataFrame, images: DataFrame) -> DataFrame:
-    ok = pages.where(H).where("indexable = 1").select(F.col("id").alias("page_id"), "url")
+    ok = pages.where(H).where(OWN).select(F.col("id").alias("page_id"), "url")
     src = refs.join(images.select(F.col("id").alias("image_id"), "src"), "image_id").join(ok, "page_id").groupBy("url", "src").agg(F.min("id").alias("first"))
     w = Window.partitionBy("url").orderBy("first")
     return src.withColumn("r", F.row_number().over(w)).where(f"r <= {IMAGES_PER_PAGE}").select("url", "src", F.concat(F.lit("<image:image><image:loc>"), xml_escape(F.col("src")), F.lit("</image:loc></image:image>")).alias("xml"))

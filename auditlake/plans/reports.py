@@ -26,6 +26,11 @@ def category_health(p: Project, issues: DataFrame) -> DataFrame:
     return per.join(F.broadcast(pages)).select("category", "issues", F.greatest(F.lit(0), F.floor(100 - F.col("penalty") / F.col("pages") * 100 + 0.5)).cast("long").alias("score"))
 
 
+def site_health(p: Project, issues: DataFrame) -> DataFrame:
+    """The rounded mean of the categories' scores."""
+    return category_health(p, issues).agg(F.floor(F.avg("score") + 0.5).cast("long").alias("score"))
+
+
 def totals(p: Project) -> DataFrame:
     return p["pages"].where("fetched >= 1").agg(F.count("*").alias("pages"), F.count_if(F.expr("is_internal = 1")).alias("internal"), F.count_if(F.expr("is_internal = 0")).alias("external"), F.count_if(F.expr("indexable = 1")).alias("indexable"))
 

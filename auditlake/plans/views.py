@@ -205,16 +205,54 @@ def total(p: Project, view: str, filter_id: str | None = None, search: str | Non
     return 0 if df is None else df.count()
 
 
+_RENDERED = {f"{c}_changed": f"rendered = 1 and coalesce({a}, '') <> coalesce(rendered_{a}, '')" for c, a in (("title", "title"), ("canonical", "canonical"), ("robots", "meta_robots"))}
+_A11Y = {f"a11y_{i}": f"size(filter(coalesce(a11y_violations, array()), v -> v.impact = '{i}'))" for i in ("critical", "serious")}
+#: Views whose counts need nothing but a page's own row: what their rows fulfil.
+OF_PAGES = {
+    "internal": "is_internal = 1 and fetched >= 1", "external": "is_internal = 0", "response_codes": "fetched >= 1", "directives": "is_internal = 1 and fetched >= 1",
+    **{v: H for v in ("titles", "meta_descriptions", "h1", "h2", "content", "canonicals", "hreflang", "structured_data", "js_rendering")}, "accessibility": f"{H} and rendered = 1",
+}
+#: Their filters in terms of columns that pages have; the others are joins.
+_OWN = {
+    "response_codes": {"redirect-chain": "size(coalesce(redirect_chain, array())) > 1"}, "h1": {"missing": "size(coalesce(h1, array())) = 0", "multiple": "size(h1) > 1"}, "h2": {"missing": "size(coalesce(h2, array())) = 0"},
+    "js_rendering": {"rendered": "rendered = 1", "canonical-mismatch": _RENDERED["canonical_changed"], "js-errors": "size(coalesce(console_errors, array())) > 0", "spa": "spa_framework is not null", "render-failed": "rendered = 2"},
+    "accessibility": {"with-violations": "size(coalesce(a11y_violations, array())) > 0", "critical": f"{_A11Y['a11y_critical']} > 0", "serious": f"{_A11Y['a11y_serious']} > 0", "clean": "size(coalesce(a11y_violations, array())) = 0"}, "hreflang": {}, "structured_data": {},
+}
+#: Filters on repeated values: one grouping each.
+_REPEATED = {("titles", "duplicate"): ("title", "title <> ''"), ("meta_descriptions", "duplicate"): ("meta_description", "meta_description <> ''"), ("h1", "duplicate"): ("get(h1, 0)", "true"), ("content", "exact-duplicate"): ("content_hash", "true")}
+
+
 def overview(p: Project) -> DataFrame:
-    """view, filter, n for every view and filter: one conditional aggregation per view; only filters that are joins take one more."""
-    parts = []
+    """view, filter, n for every view and filter.
+
+    All that a page's own row decides is counted in one pass over pages; repeated
+    values take one grouping a column, issue filters one join, every other view
+    one aggregation, and only filters that are joins one more."""
+    plain = lambda v: {f: k for f, k in VIEWS[v].filters.items() if not callable(k)}
+    wanted = {(v, None): where for v, where in OF_PAGES.items()}
+    wanted |= {(v, f): f"({where}) and ({k})" for v, where in OF_PAGES.items() for f, k in _OWN.get(v, plain(v)).items()}
+    pairs = lambda found: F.array(*[F.struct(F.lit(v).alias("view"), F.lit(f).cast("string").alias("filter"), F.col(f"c{i}").alias("n")) for i, (v, f) in enumerate(found)])
+    one = p["pages"].agg(*[F.count_if(F.expr(k)).alias(f"c{i}") for i, k in enumerate(wanted.values())])
+    parts = [one.select(F.explode(pairs(wanted)).alias("x")).select("x.*")]
+    done = set(wanted)
+    for (v, f), (value, keep) in _REPEATED.items():
+        groups = html_pages(p).where(keep).groupBy(F.expr(value).alias("v")).agg(F.count("*").alias("m")).where("m > 1 and v is not null")
+        parts.append(groups.agg(F.coalesce(F.sum("m"), F.lit(0)).alias("n")).select(F.lit(v).alias("view"), F.lit(f).alias("filter"), "n"))
+        done.add((v, f))
+    marks = {"content-thin": "thin", "content-near-duplicate": "near-duplicate"}
+    hits = p["issues"].where(F.col("check_id").isin(list(marks))).select("check_id", F.col("page_id").alias("id")).distinct().join(html_pages(p).select("id"), "id")
+    both = hits.agg(*[F.count_if(F.col("check_id") == c).alias(f"c{i}") for i, c in enumerate(marks)])
+    parts.append(both.select(F.explode(pairs([("content", f) for f in marks.values()])).alias("x")).select("x.*"))
+    done |= {("content", f) for f in marks.values()}
     for name, v in VIEWS.items():
-        plain = {f: k for f, k in v.filters.items() if not callable(k) and not (name == "sitemaps" or (name == "gsc" and f == "orphan"))}
-        wanted = [F.count("*").alias("c")] + [F.count_if(F.expr(k)).alias(f"c{i}") for i, k in enumerate(plain.values())]
-        got = v.base(p, None).agg(*wanted)
-        pairs = [F.struct(F.lit(None).cast("string").alias("filter"), F.col("c").alias("n"))] + [F.struct(F.lit(f).alias("filter"), F.col(f"c{i}").alias("n")) for i, f in enumerate(plain)]
-        parts.append(got.select(F.lit(name).alias("view"), F.explode(F.array(*pairs)).alias("x")).select("view", "x.filter", "x.n"))
-        parts += [rows(p, name, f).agg(F.count("*").alias("n")).select(F.lit(name).alias("view"), F.lit(f).alias("filter"), "n") for f in v.filters if f not in plain]
+        apart = [f for f in v.filters if name == "sitemaps" or (name, f) == ("gsc", "orphan")]
+        rest = {f: k for f, k in plain(name).items() if (name, f) not in done and f not in apart}
+        if (name, None) not in done or rest:
+            found = {None: "true"} | rest
+            got = v.base(p, None).agg(*[F.count_if(F.expr(k)).alias(f"c{i}") for i, k in enumerate(found.values())])
+            rows_ = got.select(F.explode(pairs([(name, f) for f in found])).alias("x")).select("x.*")
+            parts.append(rows_ if (name, None) not in done else rows_.where("filter is not null"))
+        parts += [rows(p, name, f).agg(F.count("*").alias("n")).select(F.lit(name).alias("view"), F.lit(f).alias("filter"), "n") for f in apart]
     out = parts[0]
     for d in parts[1:]:
         out = out.unionAll(d)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass, field
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 from . import schema
@@ -26,8 +27,10 @@ class Config:
     desc_px: int = 920
     max_url_length: int = 100
     segments: tuple[tuple[str, str], ...] = ()
-    extractors: tuple[tuple[str, str], ...] = ()
-    searches: tuple[tuple[str, str], ...] = ()
+    #: Mappings: id, type (css, xpath or regex), expression, extract (text, html or attr), attribute.
+    extractors: tuple[dict, ...] = ()
+    #: Mappings: id, pattern, is_regex.
+    searches: tuple[dict, ...] = ()
 
 
 @dataclass
@@ -51,7 +54,19 @@ class Project:
     def save(self, path: str) -> None:
         """Every table is overwritten on its own; absent ones become empty."""
         for name in schema.DDL:
-            schema.ensure_columns(self[name], name).write.mode("overwrite").parquet(f"{path}/{name}")
+            table = self[name]
+            if name == "meta":  # the version by which a later reader knows what to add
+                version = self.spark.createDataFrame([("schema_version", str(schema.SCHEMA_VERSION))], schema.DDL["meta"])
+                table = table.where("key <> 'schema_version'").unionByName(version)
+            schema.ensure_columns(table, name).write.mode("overwrite").parquet(f"{path}/{name}")
+
+    @classmethod
+    def valid(cls, spark: SparkSession, path: str) -> bool:
+        """Whether a folder holds a project: its pages can be read and have urls."""
+        try:
+            return "url" in spark.read.parquet(f"{path}/pages").columns
+        except AnalysisException:
+            return False
 
     @classmethod
     def open(cls, spark: SparkSession, path: str, config: Config = Config()) -> Project:
@@ -64,7 +79,7 @@ class Project:
         if not re.match(r"\s*(select|with)\b", query, re.I) or ";" in query.rstrip().rstrip(";"):
             raise ValueError("only one SELECT or WITH statement")
         for name in schema.DDL:
-            if re.search(rf"\b{name}\b", query):
+            if re.search(rf"\b{name}\b", query, re.I):
                 self[name].createOrReplaceTempView(name)
         out = self.spark.sql(query.rstrip().rstrip(";"))
         return out.limit(max(1, min(limit, 1000)))

@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions import text
-from .operators import checks, graphs, migration, near_duplicates, redirects, segments
-from .plans import reports, views
+from . import site_queries
+from .operators import checks, graphs, migration, redirects, segments
+from .plans import exports, reports, views
 from .sources import imports
 from .sources.virtual_crawl import project
 
@@ -52,7 +52,6 @@ def view(name: str, view_id: str, filter_id: str | None, columns: str, sql: str)
 
 
 view("titles_duplicate", "titles", "duplicate", "id, url, title", "SELECT id, url, title FROM h WHERE title IN (SELECT title FROM h WHERE title <> '' GROUP BY title HAVING count(*) > 1)")
-view("titles_over_chars", "titles", "over-chars", "id, title_chars", "SELECT id, CAST(length(title) AS INT) AS title_chars FROM h WHERE length(title) > 60")
 view("titles_under_chars", "titles", "under-chars", "id, title_chars", "SELECT id, CAST(length(title) AS INT) AS title_chars FROM h WHERE title <> '' AND length(title) < 30")
 view("h1_duplicate", "h1", "duplicate", "id, h1_1", "SELECT id, h1 AS h1_1 FROM h WHERE h1 IN (SELECT h1 FROM h GROUP BY h1 HAVING count(*) > 1)")
 view("view_internal", "internal", None, "id, url, status, idx, inlinks, outlinks, depth", """SELECT p.id, p.url, p.status, CASE indexable WHEN 1 THEN 'Yes' ELSE 'No' END AS idx,
@@ -60,7 +59,6 @@ view("view_internal", "internal", None, "id, url, status, idx, inlinks, outlinks
 view("view_internal_non_indexable", "internal", "non-indexable", "id, status", "SELECT id, status FROM p WHERE indexable = 0 OR indexable IS NULL")
 for _f, _k in {"success": "status BETWEEN 200 AND 299", "redirect": "status BETWEEN 300 AND 399", "client_error": "status BETWEEN 400 AND 499", "server_error": "status >= 500", "no_response": "fetched = 2", "blocked": "fetched = 3"}.items():
     view(f"response_codes_{_f}", "response_codes", _f.replace("_", "-"), "id, url, status, redirect_target", f"SELECT id, url, status, redirect_target FROM p WHERE {_k}")
-view("content_exact_duplicate", "content", "exact-duplicate", "id, content_hash", "SELECT id, sha1(html) AS content_hash FROM h WHERE sha1(html) IN (SELECT sha1(html) FROM h GROUP BY 1 HAVING count(*) > 1)")
 view("canonicals_missing", "canonicals", "missing", "id", "SELECT id FROM h")
 view("directives_blocked", "directives", "blocked", "id", "SELECT id FROM p WHERE fetched = 3")
 view("sitemaps_in_sitemap", "sitemaps", "in-sitemap", "url, id, status", "SELECT sm.url, p.id, p.status FROM sm LEFT JOIN p ON p.url = sm.url")
@@ -69,13 +67,6 @@ view("sitemaps_not_in_sitemap", "sitemaps", "not-in-sitemap", "id, url", "SELECT
 view("sitemaps_non_indexable", "sitemaps", "non-indexable", "url, id", "SELECT sm.url, p.id FROM sm JOIN p ON p.url = sm.url WHERE p.indexable = 0")
 view("gsc_with_data", "gsc", "with-data", "id, clicks, impressions", "SELECT p.id, clicks, impressions FROM p JOIN gsc ON gsc.url = p.url WHERE fetched = 1")
 view("gsc_no_data", "gsc", "no-data", "id", "SELECT id FROM p WHERE fetched = 1 AND url NOT IN (SELECT url FROM gsc)")
-view("gsc_orphans", "gsc", "orphan", "url, clicks", "SELECT url, clicks FROM gsc WHERE url NOT IN (SELECT url FROM p)")
-
-
-@query("SELECT id, url, status FROM p WHERE fetched >= 1 AND url ILIKE '%page%' ORDER BY status DESC NULLS LAST, id LIMIT 50 OFFSET 10")
-def paging_sort_nulls_last(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = views.rows(project(spark, sf_dir), "response_codes", None, "page")
-    return df.orderBy(F.col("status").desc_nulls_last(), "id").offset(10).limit(50).select("id", "url", "status")
 
 
 @query("SELECT dst_url, count(*) AS inlinks, CAST(count(dst_id) AS BIGINT) AS resolved FROM lk GROUP BY dst_url")
@@ -83,49 +74,22 @@ def inlinks_by_url(spark: SparkSession, sf_dir: str) -> DataFrame:
     return project(spark, sf_dir)["links"].groupBy("dst_url").agg(F.count("*").alias("inlinks"), F.count("dst_id").alias("resolved"))
 
 
-@query()
-def overview_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return views.overview(project(spark, sf_dir).cached())
-
-
 @query("""SELECT CAST(count(*) AS BIGINT) AS pages, CAST(count(*) AS BIGINT) AS internal, CAST(0 AS BIGINT) AS "external", CAST(sum(indexable) AS BIGINT) AS indexable FROM p WHERE fetched >= 1""")
 def crawl_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.totals(project(spark, sf_dir))
 
 
-@query()
-def all_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return checks.run(project(spark, sf_dir).cached())
-
-
-@query()
-def issue_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = project(spark, sf_dir).cached()
-    return reports.issue_summary(p, checks.run(p))
-
-
-@query()
-def category_health(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = project(spark, sf_dir).cached()
-    return reports.category_health(p, checks.run(p))
-
-
 def checked(name: str, module: Callable, check_id: str, sql: str) -> None:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return next(d for d in module(project(spark, sf_dir)) if check_id in _ids(d)).select("page_id", "detail")
+        return checks.run(project(spark, sf_dir), [module.__name__]).where(F.col("check_id") == check_id).select("page_id", "detail")
 
     run.__name__ = name
     query(sql)(run)
 
 
-def _ids(d: DataFrame) -> str:
-    return d._jdf.queryExecution().analyzed().toString()
-
-
 checked("check_broken_internal", checks.response, "response-broken-internal", "SELECT id AS page_id, status || ' — ' || (SELECT count(*) FROM lk WHERE lk.dst_id = p.id) || ' inlinks' AS detail FROM p WHERE status BETWEEN 400 AND 499")
 checked("check_302", checks.response, "response-302-internal", "SELECT id AS page_id, CAST(status AS VARCHAR) AS detail FROM p WHERE status IN (302, 307)")
 checked("check_not_https", checks.security, "security-not-https", "SELECT id AS page_id, CAST(NULL AS VARCHAR) AS detail FROM h WHERE url LIKE 'http:%'")
-checked("check_http_links", checks.security, "security-http-links", "SELECT p.id AS page_id, count(*) || ' links' AS detail FROM lk JOIN p ON p.id = lk.src_id WHERE p.url LIKE 'https:%' AND dst_url LIKE 'http://%' GROUP BY p.id")
 checked("check_url_params", checks.urls, "url-params", r"SELECT id AS page_id, regexp_extract(url, '(\?[^#]+)', 1) AS detail FROM h WHERE regexp_extract(url, '(\?[^#]+)', 1) <> ''")
 checked("check_deep_pages", checks.site, "site-deep-pages", "SELECT id AS page_id, 'depth ' || depth AS detail FROM h WHERE depth > 3")
 checked("check_sitemap_non200", checks.sitemaps, "sitemap-non200", "SELECT p.id AS page_id, 'HTTP ' || status AS detail FROM sm JOIN p ON p.url = sm.url WHERE fetched = 1 AND status <> 200")
@@ -134,21 +98,11 @@ checked("check_sitemap_missing_indexable", checks.sitemaps, "sitemap-missing-ind
 
 @query()
 def exact_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.sha2("text", 256).alias("t"))
-    n = docs.groupBy("t").agg(F.count("*").alias("n")).where("n > 1")
-    return docs.join(n, "t").select("doc_id", "n")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("id"), F.sha2("text", 256).alias("content_hash"))
+    return views.duplicated(docs, "content_hash").select(F.col("id").alias("doc_id"), "content_hash")
 
 
-ORACLE_SQL["exact_duplicates"] = "SELECT doc_id, n FROM (SELECT doc_id, count(*) OVER (PARTITION BY text) AS n FROM documents) WHERE n > 1"
-
-
-@query()
-def near_duplicate_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raw = project(spark, sf_dir)["pages"].where(views.H)
-    html = spark.read.parquet(f"{sf_dir}/pages.parquet").select(F.col("page_id").alias("id"), "html")
-    visible = text.clean_text(F.regexp_replace("html", "<[^>]+>", " "))
-    both = raw.select("id", "url", "content_hash").join(html, "id").withColumn("simhash", text.simhash(visible))
-    return near_duplicates.first_matches(both.drop("html"))
+ORACLE_SQL["exact_duplicates"] = "SELECT doc_id, sha256(text) AS content_hash FROM documents WHERE text IN (SELECT text FROM documents GROUP BY text HAVING count(*) > 1)"
 
 
 @query()
@@ -158,10 +112,10 @@ def redirect_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLE_SQL["redirect_chains"] = PRELUDE.rstrip() + """,
-w(id, here, path, seen, is_loop) AS (SELECT id, url, url || ' ' || status, [url], false FROM p WHERE redirect_target IS NOT NULL
-  UNION ALL SELECT w.id, q.redirect_target, path || ' > ' || q.redirect_target || ' ' || coalesce(z.status, 0), list_append(seen, q.redirect_target), list_contains(seen, q.redirect_target)
-  FROM w JOIN p q ON q.url = w.here AND q.redirect_target IS NOT NULL LEFT JOIN p z ON z.url = q.redirect_target WHERE NOT w.is_loop)
-SELECT id, arg_max(path, len(seen)) AS path, arg_max(is_loop, len(seen)) AS is_loop FROM w GROUP BY id"""
+w(id, here, path, seen, is_loop, done) AS (SELECT id, redirect_target, url || ' ' || status, [url], false, false FROM p WHERE redirect_target IS NOT NULL
+  UNION ALL SELECT w.id, q.redirect_target, CASE WHEN list_contains(seen, here) THEN path ELSE path || ' > ' || here || ' ' || coalesce(q.status, 0) END, list_append(seen, here), list_contains(seen, here), list_contains(seen, here) OR q.redirect_target IS NULL
+  FROM w LEFT JOIN p q ON q.url = w.here WHERE NOT done)
+SELECT id, path, is_loop FROM w WHERE done"""
 
 
 @query("""SELECT id, CASE WHEN regexp_matches(url, '(?i)\\?page=') THEN 'paged' WHEN regexp_matches(url, '(?i)utm_') THEN 'campaign' WHEN regexp_matches(url, '(?i)^https:') THEN 'secure' END AS segment FROM p""".replace("\\\\", "\\"))
@@ -175,12 +129,6 @@ def graph_top_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graphs.nodes(project(spark, sf_dir), 100).select("id", "url", "inlinks", "depth")
 
 
-@query("SELECT DISTINCT src_id, dst_id FROM lk JOIN p a ON a.id = src_id JOIN p b ON b.id = dst_id WHERE src_id <> dst_id AND a.fetched = 1 AND b.fetched = 1")
-def graph_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = project(spark, sf_dir)
-    return graphs.edges(p, p["pages"].where("is_internal = 1 and fetched = 1"), 1_000_000_000)
-
-
 @query("SELECT h.id, h.url, count(lk.dst_id) AS inlinks, depth FROM h LEFT JOIN lk ON lk.dst_id = h.id GROUP BY ALL ORDER BY inlinks DESC, depth, h.id LIMIT 10")
 def psi_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.psi_selection(project(spark, sf_dir))
@@ -196,24 +144,45 @@ def status_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.status_buckets(project(spark, sf_dir))
 
 
-@query()
-def worst_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = project(spark, sf_dir).cached()
-    return reports.worst_pages(p, checks.run(p))
+COMPARED = """, o AS (SELECT id AS old_id, CASE WHEN id % 7 = 0 THEN url || '/old-page' WHEN id % 7 = 1 THEN regexp_replace(url, '^https?://[^/?#]*', 'https://old.example') ELSE url END AS url, status, CASE WHEN id % 3 = 0 THEN title || '!' ELSE title END AS title FROM p),
+pp AS (SELECT *, regexp_extract(url, '^https?://[^/?#]*([^#]*)', 1) AS path FROM p),
+bp AS (SELECT path, arg_min(id, struct_pack(a := NOT coalesce(status BETWEEN 200 AND 299, false), b := id)) AS id FROM pp GROUP BY path),
+m AS (SELECT o.*, x.id AS exact, y.id AS by_path FROM o LEFT JOIN p x ON x.url = o.url LEFT JOIN bp y ON y.path = regexp_extract(o.url, '^https?://[^/?#]*([^#]*)', 1)),
+g AS (SELECT m.old_id, m.url AS old_url, m.status AS old_status, m.title AS old_title, CASE WHEN exact IS NOT NULL THEN 'exact' WHEN by_path IS NOT NULL THEN 'path' ELSE 'none' END AS match_type, p.* FROM m LEFT JOIN p ON p.id = coalesce(exact, by_path)),
+e AS (SELECT g.*, CASE WHEN g.status BETWEEN 300 AND 399 THEN coalesce(s2.redirect_target, s1.redirect_target, g.redirect_target) END AS target, CASE WHEN g.status BETWEEN 200 AND 299 THEN g.id WHEN g.status BETWEEN 300 AND 399 THEN coalesce(s3.id, s2.id, s1.id) END AS end_id
+  FROM g LEFT JOIN p s1 ON g.status BETWEEN 300 AND 399 AND s1.url = g.redirect_target LEFT JOIN p s2 ON s1.status BETWEEN 300 AND 399 AND s2.url = s1.redirect_target LEFT JOIN p s3 ON s2.status BETWEEN 300 AND 399 AND s3.url = s2.redirect_target),
+c AS (SELECT e.old_id, old_url, old_status, old_title, e.url AS matched_url, match_type, e.status AS new_status, f.title AS new_title, target AS redirect_target, CASE WHEN e.status BETWEEN 300 AND 399 AND f.status BETWEEN 200 AND 299 THEN 1 ELSE 0 END AS redirect_ok,
+  CASE WHEN match_type = 'none' THEN 'missing' WHEN e.status BETWEEN 200 AND 299 THEN 'ok' WHEN e.status BETWEEN 300 AND 399 AND f.status BETWEEN 200 AND 299 THEN 'redirected' ELSE 'broken' END AS result,
+  CASE WHEN f.id IS NOT NULL AND f.title <> old_title THEN 1 ELSE 0 END AS title_changed, 0 AS canonical_changed FROM e LEFT JOIN p f ON f.id = e.end_id)
+"""
 
 
 @query()
 def compare_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = project(spark, sf_dir)["pages"]
-    old = pages.select(F.when(F.col("id") % 7 == 0, F.concat("url", F.lit("/old-page"))).otherwise(F.col("url")).alias("url"), "status", "title", "canonical")
+    url = F.when(F.col("id") % 7 == 0, F.concat("url", F.lit("/old-page"))).when(F.col("id") % 7 == 1, F.regexp_replace("url", "^https?://[^/?#]*", "https://old.example")).otherwise(F.col("url"))
+    old = pages.select(url.alias("url"), "status", F.when(F.col("id") % 3 == 0, F.concat("title", F.lit("!"))).otherwise(F.col("title")).alias("title"), "canonical")
     return migration.compare(old, pages)
 
 
+ORACLE_SQL["compare_sites"] = PRELUDE.rstrip() + COMPARED + "SELECT * EXCLUDE (old_id) FROM c"
+
+
 @query()
 def redirect_suggestions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return migration.suggest(compare_sites(spark, sf_dir), project(spark, sf_dir)["pages"])
 
 
+WORDS = r"list_distinct(list_filter(regexp_split_to_array(lower({}), '[^\p{{L}}\p{{N}}]+'), lambda t: length(t) > 1))"
+SLUG = r"regexp_replace(regexp_extract(regexp_replace(regexp_extract({}, '^[a-zA-Z]+://[^/?#]*([^?#]*)', 1), '/+$', ''), '([^/]*)$', 1), '\.[A-Za-z0-9]{{1,5}}$', '')"
+SHARE = "CASE WHEN len({0}) = 0 OR len({1}) = 0 THEN 0.0 ELSE len(list_intersect({0}, {1}))::DOUBLE / (len({0}) + len({1}) - len(list_intersect({0}, {1}))) END"
+ORACLE_SQL["redirect_suggestions"] = PRELUDE.rstrip() + COMPARED + f""", lost AS (SELECT old_url, {WORDS.format(SLUG.format("old_url"))} AS os, {WORDS.format("coalesce(old_title, '')")} AS ot FROM c WHERE result IN ('missing', 'broken')),
+cand AS (SELECT id, url, {WORDS.format(SLUG.format("url"))} AS cs, {WORDS.format("title")} AS ct FROM h WHERE indexable = 1),
+sc AS (SELECT old_url, id, url, 0.7 * {SHARE.format("os", "cs")} + 0.3 * {SHARE.format("ot", "ct")} AS score FROM lost, cand),
+be AS (SELECT old_url, arg_max(url, struct_pack(a := score, b := -id)) AS target, floor(max(score) * 100 + 0.5) / 100 AS score FROM sc GROUP BY old_url)
+SELECT old_url, CASE WHEN score >= 0.3 THEN target END AS target, score, CASE WHEN score >= 0.6 THEN 'high' WHEN score >= 0.3 THEN 'medium' ELSE 'none' END AS tier FROM be"""
+
+
 @query("""WITH r AS (SELECT '/p' || (user_id % 50) || CASE WHEN event_id % 2 = 0 THEN '/' ELSE '' END AS path, 1 AS sessions, value / 1000 AS rate FROM events)
 SELECT regexp_replace(path, '/$', '') AS path, CAST(sum(sessions) AS INT) AS sessions, floor(sum(rate * sessions) / sum(sessions) * 1000 + 0.5) / 1000 AS engagement_rate FROM r GROUP BY 1""")
 def ga4_weighted_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -222,22 +191,41 @@ def ga4_weighted_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return imports.ga4(rows, pages).select(F.regexp_replace("url", "https://a.example", "").alias("path"), "sessions", "engagement_rate")
 
 
-@query(r"SELECT id, CAST(length(html) - length(replace(html, 'href', '')) AS BIGINT) // 4 AS literal, CAST(len(regexp_extract_all(html, '<p>')) AS BIGINT) AS patterns FROM p")
-def custom_search_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raw = spark.read.parquet(f"{sf_dir}/pages.parquet")
-    literal = ((F.length("html") - F.length(F.replace("html", F.lit("href"), F.lit("")))) / 4).cast("long")
-    return raw.select(F.col("page_id").alias("id"), literal.alias("literal"), F.regexp_count("html", F.lit("<p>")).cast("long").alias("patterns"))
-
-
-@query(r"SELECT id, unnest(list_slice(regexp_extract_all(html, '<a href=\"([^\"]*)\"', 1), 1, 50)) AS value FROM p".replace('\\"', '"'))
-def regex_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raw = spark.read.parquet(f"{sf_dir}/pages.parquet")
-    return raw.select(F.col("page_id").alias("id"), F.explode(F.slice(F.regexp_extract_all("html", F.lit('<a href="([^"]*)"'), F.lit(1)), 1, 50)).alias("value"))
-
-
 @query("SELECT date_trunc('hour', ts) AS hour, count(*) AS n, count(*) / 3600 AS per_second FROM events GROUP BY 1")
 def throughput(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .streaming.progress import urls_per_second
 
     got = urls_per_second(spark.read.parquet(f"{sf_dir}/events.parquet"), 3600, 3600)
     return got.select(F.col("start").alias("hour"), "n", "per_second")
+
+
+@query("SELECT DISTINCT url FROM pages")
+def url_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    return imports.url_list(raw.select("url", F.concat(F.lit(" "), "url").alias("again"), F.substring("html", 1, 3).alias("no")))
+
+
+@query("SELECT CASE WHEN contains(url, ',') THEN chr(34) || url || chr(34) ELSE url END || ',,' || CASE WHEN id % 2 = 0 THEN chr(39) || '=' ELSE '-' END || id AS value FROM p")
+def csv_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cell = F.concat(F.when(F.col("id") % 2 == 0, "=").otherwise("-"), F.col("id").cast("string"))
+    return exports.csv_lines(project(spark, sf_dir)["pages"].select("url", F.lit(None).cast("string").alias("empty"), cell.alias("cell")))
+
+
+@query("SELECT CAST(floor((row_number() OVER (ORDER BY url) - 1) / 50) + 1 AS BIGINT) AS file, '<url><loc>' || replace(url, '&', '&amp;') || '</loc></url>' AS xml FROM h WHERE indexable = 1")
+def sitemap_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exports.sitemap_entries(project(spark, sf_dir)["pages"], 50).select("file", "xml")
+
+
+@query("SELECT url, clicks, impressions, floor(clicks * 10000.0 / impressions + 0.5) / 100 AS ctr FROM gsc")
+def search_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = project(spark, sf_dir)["api_gsc"].withColumns({"ctr": F.col("clicks") / F.col("impressions"), "position": F.lit(1.0)})
+    return imports.gsc(rows).select("url", "clicks", "impressions", "ctr")
+
+
+@query("SELECT id, status FROM p WHERE status = 404")
+def read_only_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return project(spark, sf_dir).sql("select id, status from PAGES where status = 404", 1000)
+
+
+QUERIES |= site_queries.QUERIES
+ORACLE_SQL |= site_queries.ORACLE_SQL

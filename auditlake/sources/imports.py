@@ -5,16 +5,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Header names of backlink exports, lower-cased.
+#: Header names of backlink exports, lower-cased; the first that a file has is taken.
 ALIASES = {
-    "url": ("url", "target url", "target", "page url", "referring page url", "targeturl"),
-    "domain_rating": ("domain rating", "dr", "domain authority", "da", "trustflow", "trust flow"),
-    "url_rating": ("url rating", "ur", "page authority", "pa", "citationflow", "citation flow"),
-    "ref_domains": ("referring domains", "ref domains", "linking domains", "root domains linking to page", "refdomains", "linking root domains"),
-    "backlinks": ("backlinks", "external backlinks", "inbound links", "total links", "extbacklinks", "links to page"),
+    "url": ["target url", "url", "page url", "item", "target"],
+    "domain_rating": ["domain rating", "dr", "domain authority", "da", "trust flow", "trustflow"],
+    "url_rating": ["url rating", "ur", "page authority", "pa", "citation flow", "citationflow"],
+    "ref_domains": ["referring domains", "ref domains", "ref. domains", "linking root domains", "refdomains", "ref domain", "referring domain"],
+    "backlinks": ["backlinks", "inbound links", "total backlinks", "extbacklinks", "external backlinks"],
 }
 
 
+def provider_of(columns: list[str]) -> str:
+    """Whose export a file is, by its header."""
+    names = {c.strip().lower() for c in columns}
+    if names & {"domain rating", "dr", "url rating", "ur"}:
+        return "ahrefs"
+    if names & {"domain authority", "da", "page authority", "pa"}:
+        return "moz"
+    return "majestic" if any("trust flow" in n for n in names) or names & {"trustflow", "citationflow"} else "generic"
+
+
 def number(c: str):
     """'1,234' to 1234; blank or no number to null."""
     return F.regexp_replace(F.trim(c), r"[,\s]", "").try_cast("double")
@@ -27,14 +37,21 @@ def read_csv(spark: SparkSession, path: str) -> DataFrame:
     return df.where(F.concat_ws("", *[F.trim(F.col(f"`{c}`")) for c in df.columns]) != "")
 
 
-def backlinks(rows: DataFrame, provider: str, order: str | None = None) -> DataFrame:
+def skipped(rows: DataFrame) -> int:
+    """Rows of a backlink export without a url."""
+    names = {c.strip().lower(): c for c in rows.columns}
+    url = next(names[a] for a in ALIASES["url"] if a in names)
+    return rows.where(F.coalesce(F.trim(F.col(f"`{url}`")), F.lit("")) == "").count()
+
+
+def backlinks(rows: DataFrame, provider: str | None = None, order: str | None = None) -> DataFrame:
     """One row a url, the last of the input; order names a column that gives the input's order."""
     names = {c.strip().lower(): c for c in rows.columns}
     pick = {k: next((names[a] for a in v if a in names), None) for k, v in ALIASES.items()}
     if not pick["url"]:
         raise ValueError("no column with urls")
     get = lambda k: number(f"`{pick[k]}`") if pick[k] else F.lit(None).cast("double")
-    out = rows.select(F.trim(F.col(f"`{pick['url']}`")).alias("url"), F.lit(provider).alias("provider"), get("domain_rating").alias("domain_rating"), get("url_rating").alias("url_rating"), get("ref_domains").cast("int").alias("ref_domains"), get("backlinks").cast("int").alias("backlinks"), (F.col(order) if order else F.monotonically_increasing_id()).alias("__at"))
+    out = rows.select(F.trim(F.col(f"`{pick['url']}`")).alias("url"), F.lit(provider or provider_of(rows.columns)).alias("provider"), get("domain_rating").alias("domain_rating"), get("url_rating").alias("url_rating"), get("ref_domains").cast("int").alias("ref_domains"), get("backlinks").cast("int").alias("backlinks"), (F.col(order) if order else F.monotonically_increasing_id()).alias("__at"))
     last = Window.partitionBy("url").orderBy(F.desc("__at"))
     return out.where("url <> ''").withColumn("__r", F.row_number().over(last)).where("__r = 1").drop("__r", "__at")
 
