@@ -26,6 +26,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -103,13 +104,17 @@ def with_offsets(rows: DataFrame) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            keys = pa.StructArray.from_arrays([batch.column(0), batch.column(1)], ["file", "split"]).to_pylist()
-            size, within = batch.column(2).to_pylist(), []
-            for key, n in zip(keys, size, strict=True):
-                if key != last:
-                    last, before = key, 0
-                within.append(before)
-                before += n + len(MAGIC)
+            size, ends = batch.column(2).to_numpy().astype(np.int64) + len(MAGIC), [(batch.column(0)[i].as_py(), batch.column(1)[i].as_py()) for i in (0, -1)]
+            if ends[0] == ends[1]:  # splits come one after the other, so all rows are of one
+                before = before if ends[0] == last else 0
+                sums = np.cumsum(size)
+                within, last, before = before + sums - size, ends[0], before + int(sums[-1])
+            else:
+                within = np.zeros(len(size), np.int64)
+                for i, key in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
+                    last, before = key, before if key == last else 0
+                    within[i] = before
+                    before += int(size[i])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(within, pa.int64())], [*batch.schema.names, "within"])
 
     return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField("within", T.LongType())]))
