@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontamination, jaccard_join, packing, pii, quality, sharding, substrings, toxicity, warc
+from . import chat, decontamination, forest, jaccard_join, packing, pii, quality, resampling, sharding, substrings, toxicity, warc, whitening
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -76,6 +76,19 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.join(table(spark, sf_dir, "documents"))
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_minhash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return forest.dedup(table(spark, sf_dir, "documents"))
+
+
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # deviation is exact in the operator; null here where a long can't hold it
+    return whitening.whiten(table(spark, sf_dir, "embeddings")).withColumn("deviation", F.expr("try_cast(deviation AS bigint)"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -83,11 +96,29 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality_rules, op2_hilbert_sharding, op3_toxicity, op4_contextual_pii, op5_substring_dedup, op6_chat_format, op7_decontamination, op8_packing, op9_warc, op10_jaccard_join, pipeline)
+    f.__name__: f for f in (op1_quality_rules, op2_hilbert_sharding, op3_toxicity, op4_contextual_pii, op5_substring_dedup, op6_chat_format, op7_decontamination, op8_packing, op9_warc, op10_jaccard_join, op11_importance_resampling, op12_minhash_forest, op13_embedding_whitening, pipeline)
 }
 
 WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
 
+LOWERED = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+def similarity_sql(shingle: int, percent: int, columns: str) -> str:
+    """All pairs of sets by their shared shingles, then reachability; columns: of doc_id, n and low."""
+    return f"""
+WITH RECURSIVE d AS (SELECT doc_id, coalesce({WORDS.format(LOWERED)}, []::VARCHAR[]) AS w FROM documents),
+s AS (SELECT doc_id, md5(array_to_string(w[i:i+{shingle - 1}], ' ')) AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - {shingle - 2})) AS i FROM d WHERE len(w) >= {shingle}) GROUP BY ALL
+  UNION ALL SELECT doc_id, md5(array_to_string(w, ' ')) FROM d WHERE len(w) BETWEEN 1 AND {shingle - 1}),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+o AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS o FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM o JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * o >= {percent} * (x.n + y.n - o)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r(x, y) AS (SELECT doc_id, doc_id FROM d UNION SELECT r.x, e.b FROM r JOIN e ON e.a = r.y),
+z AS (SELECT x AS doc_id, CAST(coalesce(any_value(n), 0) AS BIGINT) AS n_shingles, min(y) AS component_id FROM r LEFT JOIN n ON n.doc_id = r.x GROUP BY x)
+SELECT {columns} FROM z"""
+
+
 ORACLE_SQL = {
     "op5_substring_dedup": f"""
 WITH d AS (SELECT doc_id, coalesce({WORDS.format("text")}, []::VARCHAR[]) AS w FROM documents),
@@ -118,14 +149,23 @@ q AS (SELECT page_id, n, array_to_string(list_transform(range(0, 8), lambda i: a
 f AS (SELECT *, min(page_id) OVER (PARTITION BY d, n) AS first FROM q)
 SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, d AS payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
   CASE WHEN page_id <> first THEN first END AS refers_to FROM f""",
-    "op10_jaccard_join": f"""
-WITH RECURSIVE d AS (SELECT doc_id, coalesce({WORDS.format("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")}, []::VARCHAR[]) AS w FROM documents),
-s AS (SELECT doc_id, md5(array_to_string(w[i:i+4], ' ')) AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM d WHERE len(w) >= 5) GROUP BY ALL
-  UNION ALL SELECT doc_id, md5(array_to_string(w, ' ')) FROM d WHERE len(w) BETWEEN 1 AND 4),
-n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
-o AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS o FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
-l AS (SELECT a, b FROM o JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * o >= 75 * (x.n + y.n - o)),
-e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
-r(x, y) AS (SELECT doc_id, doc_id FROM d UNION SELECT r.x, e.b FROM r JOIN e ON e.a = r.y)
-SELECT x AS doc_id, CAST(coalesce(any_value(n), 0) AS BIGINT) AS n_shingles, min(y) AS component_id FROM r LEFT JOIN n ON n.doc_id = r.x GROUP BY x""",
+    "op10_jaccard_join": similarity_sql(5, 75, "*"),
+    "op11_importance_resampling": rf"""
+WITH byte AS (SELECT list(c ORDER BY k) AS tab FROM (SELECT k, list_reduce(list_prepend(k, range(8)), lambda a, b: xor(a >> 1, 3988292384 * (a & 1))) AS c FROM range(256) AS t(k))),
+d AS (SELECT doc_id, true AS own, regexp_extract_all({LOWERED}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+  UNION ALL SELECT item_id, false, regexp_extract_all({LOWERED}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') FROM benchmark),
+f AS (SELECT own, doc_id, unnest(w) AS f FROM d UNION ALL SELECT own, doc_id, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) FROM d),
+h AS (SELECT f, hex(encode(f)) AS x FROM (SELECT DISTINCT f FROM f)),
+b AS (SELECT f, xor(list_reduce(list_prepend(4294967295, list_transform(range(1, length(x), 2), lambda i: CAST('0x' || substr(x, i, 2) AS BIGINT))),
+  lambda a, y: xor(a >> 8, tab[1 + (xor(a, y) & 255)])), 4294967295) % 10000 AS b FROM h, byte),
+g AS (SELECT own, doc_id, b FROM f JOIN b USING (f)),
+t AS (SELECT b, count(*) FILTER (own) AS s, count(*) FILTER (NOT own) AS t FROM g GROUP BY b),
+a AS (SELECT CAST(sum(s) AS DOUBLE) AS s, CAST(sum(t) AS DOUBLE) AS t FROM t),
+gain AS (SELECT b, floor(1000 * ln((t.t + 1) * (a.s + 10000) / ((t.s + 1) * (a.t + 10000)))) AS gain FROM t, a),
+w AS (SELECT doc_id, count(*) AS n, CAST(floor(sum(gain) / count(*)) AS BIGINT) AS weight FROM g JOIN gain USING (b) WHERE own GROUP BY doc_id),
+q AS (SELECT doc_id, coalesce(len(d.w), 0) AS words, coalesce(n, 0) AS n_features, coalesce(weight, 0) AS weight,
+  coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('7:' || doc_id), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296::DOUBLE))) AS BIGINT) AS score FROM d LEFT JOIN w USING (doc_id) WHERE own),
+k AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank, count(*) OVER () AS n FROM q WHERE words >= 20)
+SELECT q.doc_id, CAST(n_features AS BIGINT) AS n_features, weight, score, CASE WHEN rank <= 25 * n // 100 THEN rank END AS rank FROM q LEFT JOIN k USING (doc_id)""",
+    "op12_minhash_forest": similarity_sql(2, 80, "*, doc_id = component_id AS kept"),
 }
