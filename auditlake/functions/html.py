@@ -18,6 +18,7 @@ from xml.etree import ElementTree as ET
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from . import url as urls
 from .text import DESC_PX, SPACE, TITLE_PX, pixels_of, simhash_of
@@ -239,7 +240,7 @@ def parse_page(html: str, page_url: str) -> dict:
     visible = clean(text_of(body, HIDDEN))
     return {
         "title": title, "title_count": len(titles), "title_px": pixels_of(title, TITLE_PX) if title else None, "meta_description": desc, "meta_description_count": len(descs), "meta_description_px": pixels_of(desc, DESC_PX) if desc else None,
-        "meta_robots": ", ".join(robots) or None, "canonical": canonicals[0] if canonicals else None, "canonical_all": canonicals, "viewport": next((n.get("content") for n in metas if n.get("name") == "viewport"), None),
+        "meta_robots": ", ".join(robots) or None, "canonical": canonicals[0] if canonicals else None, "canonical_all": canonicals if len(canonicals) > 1 else None, "viewport": next((n.get("content") for n in metas if n.get("name") == "viewport"), None),
         "h1": [clean(text_of(n))[:300] for n in root.iter("h1")], "h2": [clean(text_of(n))[:300] for n in root.iter("h2")],
         "rel_next": next((u for r, u in pages if r == "next" and u), None), "rel_prev": next((u for r, u in pages if r == "prev" and u), None), "og": og,
         "word_count": len(visible.split(" ")) if visible else 0, "text_ratio": units(visible) / units(html) if html else 0.0, "content_hash": hashlib.sha1(visible.encode("utf-8", "replace")).hexdigest(), "simhash": f"{simhash_of(visible) % (1 << 64):x}", "spa_framework": spa_of(html),
@@ -248,18 +249,42 @@ def parse_page(html: str, page_url: str) -> dict:
     }
 
 
+#: What the second version of a page, as a browser has left it, adds.
+RENDERED = "rendered_title string, rendered_meta_description string, rendered_canonical string, rendered_meta_robots string, rendered_h1 array<string>, rendered_word_count int, render_links array<struct<href:string,anchor:string,rel:string,follow:int>>"
+
+
+UNSEEN = {x.split(" ")[0]: None for x in RENDERED.split(", ")}
+
+
+def compare_rendered(first: dict, html: str, page_url: str) -> dict:
+    """The columns RENDERED of a page whose stored version is parsed already: links whose target the stored version has are left out, repeats of new ones stay."""
+    second = parse_page(html, page_url)
+    known = {x["href"] for x in first["links"]}
+    own = {f"rendered_{c}": second[c] for c in ("title", "meta_description", "canonical", "meta_robots", "h1", "word_count")}
+    return own | {"render_links": [x for x in second["links"] if x["href"] not in known]}
+
+
 def parsed(raw: DataFrame) -> DataFrame:
-    """raw (id, url, html) to the columns PARSED, a row each; a null page is empty."""
+    """raw (id, url, html, and rendered_html if it is known) to the columns PARSED and RENDERED, a row each.
+
+    Both versions of a page are parsed in one pass over the table and compared where
+    they are.  A null page is empty; without a rendered version the columns RENDERED
+    are null."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = [{"id": i} | parse_page(h or "", u) for i, u, h in zip(batch["id"], batch["url"], batch["html"], strict=True)]
-            yield pd.DataFrame(rows, columns=[c for c in FIELDS])
+            rows = []
+            for i, u, h, r in zip(batch["id"], batch["url"], batch["html"], batch["rendered_html"], strict=True):
+                first = parse_page(h or "", u)
+                rows.append({"id": i} | first | (compare_rendered(first, r, u) if r is not None else UNSEEN))
+            table = pd.DataFrame(rows, columns=[c for c in FIELDS])
+            yield table.assign(rendered_word_count=table["rendered_word_count"].astype("Int32"))
 
-    return raw.select("id", "url", "html").mapInPandas(run, PARSED)
+    second = raw["rendered_html"] if "rendered_html" in raw.columns else F.lit(None).cast("string").alias("rendered_html")
+    return raw.select("id", "url", "html", second).mapInPandas(run, f"{PARSED}, {RENDERED}")
 
 
-FIELDS = [x.strip().split(" ")[0] for x in re.split(r",\s(?=[a-z0-9_]+ )", PARSED)]
+FIELDS = [x.strip().split(" ")[0] for x in re.split(r",\s(?=[a-z0-9_]+ )", f"{PARSED}, {RENDERED}")]
 
 MATCHES, LONGEST = 50, 2000
 _SIMPLE = re.compile(r"""(?P<tag>[\w-]+|\*)|\#(?P<id>[\w-]+)|\.(?P<cls>[\w-]+)|\[(?P<attr>[\w:-]+)\s*(?:(?P<op>[~|^$*]?=)\s*(?:"(?P<dq>[^"]*)"|'(?P<sq>[^']*)'|(?P<raw>[^\]\s]+)))?\s*\]|:(?P<pseudo>first-child|last-child|nth-child\((?P<n>\d+)\))""")

@@ -109,6 +109,11 @@ def _a11y(p: Project, f: str | None) -> DataFrame:
     return html_pages(p).where("rendered = 1").withColumns({"a11y_total": F.expr("size(coalesce(a11y_violations, array()))")} | per)
 
 
+def _compare(p: Project, f: str | None) -> DataFrame:
+    yes = lambda c: F.expr(f"if({c} = 1, 'Yes', '')")
+    return p["compare_results"].withColumns({"url": F.col("old_url"), "title_changed": yes("title_changed"), "canonical_changed": yes("canonical_changed")})
+
+
 def _joined(name: str) -> Callable[[Project, str | None], DataFrame]:
     def base(p: Project, f: str | None) -> DataFrame:
         t = p[name]
@@ -143,30 +148,32 @@ def _issue(check: str) -> Callable[[DataFrame, Project], DataFrame]:
 
 
 _URL, _STATUS, _INDEX = ("url",), ("status", "status_text"), ("idx", "indexability_reason")
+#: A canonical that the rendered page states and the stored one does not, or states otherwise.
+_MISMATCH = "rendered = 1 and rendered_canonical is not null and coalesce(canonical, '') <> rendered_canonical"
 _ANY = "coalesce(meta_robots, '') ilike '%{0}%' or coalesce(x_robots, '') ilike '%{0}%'"
 VIEWS: dict[str, View] = {
     "internal": View("crawl", _internal, (*_URL, *_STATUS, *_INDEX, "content_type", "title", "segment", "word_count", "depth", "inlinks", "outlinks", "response_ms", "size"), {"html": "content_type ilike '%html%'", "indexable": "indexable = 1", "non-indexable": "indexable = 0 or indexable is null", "rendered": "rendered = 1"}, issues=True),
     "external": View("crawl", _external, (*_URL, *_STATUS, "content_type", "inlinks", "crawl_source"), {"broken": "status >= 400", "redirect": "status between 300 and 399", "error": "fetched = 2"}, issues=True),
-    "response_codes": View("technical", _responses, (*_URL, *_STATUS, "internal", "redirect_target", "chain_length", "crawl_source"), {"success": "status between 200 and 299", "redirect": "status between 300 and 399", "redirect-chain": "chain_length > 1", "client-error": "status between 400 and 499", "server-error": "status >= 500", "no-response": "fetched = 2", "blocked": "fetched = 3"}, issues=True),
-    "titles": View("onpage", _pages(title_chars="length(title)"), (*_URL, "title", "title_chars", "title_px", "title_count", "idx"), {"missing": "title is null or title = ''", "duplicate": _dup("title", "title <> ''"), "over-chars": "length(title) > 60", "under-chars": "title <> '' and length(title) < 30", "over-px": "title_px > 600", "multiple": "title_count > 1"}, "concat_ws(' ', url, title)", True),
-    "meta_descriptions": View("onpage", _pages(desc_chars="length(meta_description)"), (*_URL, "meta_description", "desc_chars", "meta_description_px", "idx"), {"missing": "meta_description is null or meta_description = ''", "duplicate": _dup("meta_description", "meta_description <> ''"), "over-chars": "length(meta_description) > 160", "under-chars": "meta_description <> '' and length(meta_description) < 70", "over-px": "meta_description_px > 920", "multiple": "meta_description_count > 1"}, "concat_ws(' ', url, meta_description)", True),
-    "h1": View("onpage", _pages(h1_1="get(h1, 0)", h1_2="get(h1, 1)", h1_count="size(coalesce(h1, array()))"), (*_URL, "h1_1", "h1_2", "h1_count", "idx"), {"missing": "h1_count = 0", "multiple": "h1_count > 1", "duplicate": _dup("h1_1")}, "concat_ws(' ', url, h1_1)", True),
-    "h2": View("onpage", _pages(h2_1="get(h2, 0)", h2_count="size(coalesce(h2, array()))"), (*_URL, "h2_1", "h2_count", "idx"), {"missing": "h2_count = 0"}, "concat_ws(' ', url, h2_1)", True),
-    "content": View("onpage", _pages(ratio="round(coalesce(text_ratio, 0), 3)"), (*_URL, "word_count", "ratio", "content_hash", "idx"), {"thin": _issue("content-thin"), "exact-duplicate": _dup("content_hash"), "near-duplicate": _issue("content-near-duplicate")}, issues=True),
+    "response_codes": View("technical", _responses, (*_URL, *_STATUS, "internal", "redirect_target", "chain_length", "redirect_chain", "crawl_source"), {"success": "status between 200 and 299", "redirect": "status between 300 and 399", "redirect-chain": "chain_length > 1", "client-error": "status between 400 and 499", "server-error": "status >= 500", "no-response": "fetched = 2", "blocked": "fetched = 3"}, issues=True),
+    "titles": View("onpage", _pages(title_chars="length(coalesce(title, ''))"), (*_URL, "title", "title_chars", "title_px", "title_count", *_INDEX), {"missing": "title is null or title = ''", "duplicate": _dup("title", "title <> ''"), "over-chars": "length(title) > 60", "under-chars": "title <> '' and length(title) < 30", "over-px": "title_px > 600", "multiple": "title_count > 1"}, issues=True),
+    "meta_descriptions": View("onpage", _pages(desc_chars="length(coalesce(meta_description, ''))"), (*_URL, "meta_description", "desc_chars", "meta_description_px", *_INDEX), {"missing": "meta_description is null or meta_description = ''", "duplicate": _dup("meta_description", "meta_description <> ''"), "over-chars": "length(meta_description) > 160", "under-chars": "meta_description <> '' and length(meta_description) < 70", "over-px": "meta_description_px > 920", "multiple": "meta_description_count > 1"}, issues=True),
+    "h1": View("onpage", _pages(h1_1="get(h1, 0)", h1_2="get(h1, 1)", h1_count="size(coalesce(h1, array()))"), (*_URL, "h1_1", "h1_2", "h1_count", "idx"), {"missing": "h1_count = 0", "multiple": "h1_count > 1", "duplicate": _dup("h1_1")}, issues=True),
+    "h2": View("onpage", _pages(h2_1="get(h2, 0)", h2_count="size(coalesce(h2, array()))"), (*_URL, "h2_1", "h2_count", "idx"), {"missing": "h2_count = 0"}, issues=True),
+    "content": View("onpage", _pages(ratio="round(coalesce(text_ratio, 0), 3)"), (*_URL, "word_count", "ratio", "content_hash", *_INDEX), {"thin": _issue("content-thin"), "exact-duplicate": _dup("content_hash"), "near-duplicate": _issue("content-near-duplicate")}, issues=True),
     "images": View("onpage", _images, ("src", "status", "bytes", "content_type", "refs", "missing_alt"), {"over-warn": "bytes >= 204800", "over-critical": "bytes >= 512000", "missing-alt": "missing_alt > 0", "broken": "status >= 400"}, "src"),
     "canonicals": View("technical", _pages(), (*_URL, "canonical", "canonical_header", *_INDEX), {"missing": "canonical is null and canonical_header is null", "self": "canonical = url", "canonicalised": "canonical <> url", "multiple": "canonical_all is not null or canonical <> canonical_header"}, issues=True),
     "directives": View("technical", lambda p, f: p["pages"].where("is_internal = 1 and fetched >= 1").withColumn("idx", F.expr(_IDX_SQL)), (*_URL, "meta_robots", "x_robots", *_INDEX), {"noindex": _ANY.format("noindex"), "nofollow": _ANY.format("nofollow"), "blocked": "fetched = 3"}, issues=True),
     "hreflang": View("technical", _hreflang, (*_URL, "hreflang_count", "langs"), {"with": "hreflang_count > 0"}, issues=True),
     "structured_data": View("technical", _structured, (*_URL, "sd_count", "sd_types", "sd_errors", "sd_warnings"), {"with": "sd_count > 0", "missing": "sd_count = 0", "errors": "sd_errors > 0", "warnings": "sd_warnings > 0"}, issues=True),
     "sitemaps": View("technical", _sitemaps, ("url", "sitemap", "status", "idx"), {"in-sitemap": "true", "orphan": "true", "not-in-sitemap": "true", "non-indexable": "true"}),
-    "js_rendering": View("technical", _rendering, (*_URL, "spa_framework", "title_changed", "canonical_changed", "robots_changed", "word_delta", "render_links", "console_error_count", "render_error"), {"rendered": "rendered = 1", "changed": "title_changed = 'Yes' or canonical_changed = 'Yes' or robots_changed = 'Yes' or render_links > 0", "canonical-mismatch": "canonical_changed = 'Yes'", "js-errors": "console_error_count > 0", "spa": "spa_framework is not null", "render-failed": "rendered = 2"}, issues=True),
+    "js_rendering": View("technical", _rendering, (*_URL, "spa_framework", "title_changed", "canonical_changed", "robots_changed", "word_delta", "render_links", "console_error_count", "render_error"), {"rendered": "rendered = 1", "changed": "title_changed = 'Yes' or canonical_changed = 'Yes' or robots_changed = 'Yes' or render_links > 0", "canonical-mismatch": _MISMATCH, "js-errors": "console_error_count > 0", "spa": "spa_framework is not null", "render-failed": "rendered = 2"}, issues=True),
     "accessibility": View("technical", _a11y, (*_URL, "a11y_total", "a11y_critical", "a11y_serious", "a11y_moderate", "a11y_minor"), {"with-violations": "a11y_total > 0", "critical": "a11y_critical > 0", "serious": "a11y_serious > 0", "clean": "a11y_total = 0"}, issues=True),
-    "extraction": View("data", _joined("extractions"), (*_URL, "extractor", "value"), {}, "concat_ws(' ', url, value)"),
+    "extraction": View("data", _joined("extractions"), (*_URL, "extractor", "value"), {}),
     "search": View("data", _joined("search_hits"), (*_URL, "search_name", "hits"), {"contains": "hits > 0", "not-contains": "hits = 0"}),
-    "compare": View("data", lambda p, f: p["compare_results"].withColumn("url", F.col("old_url")), ("url", "result", "matched_url", "old_status", "new_status", "redirect_target", "title_changed", "canonical_changed"), {"ok": "result = 'ok'", "redirected": "result = 'redirected'", "broken": "result = 'broken'", "missing": "result = 'missing'", "title-changed": "title_changed = 1", "canonical-changed": "canonical_changed = 1"}),
+    "compare": View("data", _compare, ("url", "result", "matched_url", "old_status", "new_status", "redirect_target", "title_changed", "canonical_changed"), {"ok": "result = 'ok'", "redirected": "result = 'redirected'", "broken": "result = 'broken'", "missing": "result = 'missing'", "title-changed": "title_changed = 'Yes'", "canonical-changed": "canonical_changed = 'Yes'"}),
     "gsc": View("api", _api("api_gsc", True), (*_URL, "clicks", "impressions", "ctr", "position"), {"with-data": "__there = 1", "no-data": "__there is null", "orphan": "true"}),
     "ga4": View("api", _api("api_ga4"), (*_URL, "sessions", "engaged_sessions", "engagement_rate", "conversions", "total_users"), {"with-data": "__there = 1"}),
-    "psi": View("api", _api("api_psi"), (*_URL, "performance", "lcp_ms", "cls", "field_lcp_ms", "field_inp_ms", "field_cls", "seo"), {"with-data": "__there = 1", "poor-lcp": "coalesce(field_lcp_ms, lcp_ms) > 2500", "poor-inp": "coalesce(field_inp_ms, inp_ms) > 200", "poor-cls": "coalesce(field_cls, cls) > 0.1"}),
+    "psi": View("api", _api("api_psi"), (*_URL, "performance", "lcp_ms", "cls", "field_lcp_ms", "field_inp_ms", "field_cls", "seo"), {"with-data": "__there = 1", "poor-lcp": "coalesce(field_lcp_ms, lcp_ms) > 2500", "poor-inp": "field_inp_ms > 200", "poor-cls": "coalesce(field_cls, cls) > 0.1"}),
     "backlinks": View("api", _api("backlinks"), (*_URL, "provider", "domain_rating", "url_rating", "ref_domains", "backlinks"), {"with-data": "__there = 1"}),
 }
 
@@ -205,7 +212,6 @@ def total(p: Project, view: str, filter_id: str | None = None, search: str | Non
     return 0 if df is None else df.count()
 
 
-_RENDERED = {f"{c}_changed": f"rendered = 1 and coalesce({a}, '') <> coalesce(rendered_{a}, '')" for c, a in (("title", "title"), ("canonical", "canonical"), ("robots", "meta_robots"))}
 _A11Y = {f"a11y_{i}": f"size(filter(coalesce(a11y_violations, array()), v -> v.impact = '{i}'))" for i in ("critical", "serious")}
 #: Views whose counts need nothing but a page's own row: what their rows fulfil.
 OF_PAGES = {
@@ -215,7 +221,7 @@ OF_PAGES = {
 #: Their filters in terms of columns that pages have; the others are joins.
 _OWN = {
     "response_codes": {"redirect-chain": "size(coalesce(redirect_chain, array())) > 1"}, "h1": {"missing": "size(coalesce(h1, array())) = 0", "multiple": "size(h1) > 1"}, "h2": {"missing": "size(coalesce(h2, array())) = 0"},
-    "js_rendering": {"rendered": "rendered = 1", "canonical-mismatch": _RENDERED["canonical_changed"], "js-errors": "size(coalesce(console_errors, array())) > 0", "spa": "spa_framework is not null", "render-failed": "rendered = 2"},
+    "js_rendering": {"rendered": "rendered = 1", "canonical-mismatch": _MISMATCH, "js-errors": "size(coalesce(console_errors, array())) > 0", "spa": "spa_framework is not null", "render-failed": "rendered = 2"},
     "accessibility": {"with-violations": "size(coalesce(a11y_violations, array())) > 0", "critical": f"{_A11Y['a11y_critical']} > 0", "serious": f"{_A11Y['a11y_serious']} > 0", "clean": "size(coalesce(a11y_violations, array())) = 0"}, "hreflang": {}, "structured_data": {},
 }
 #: Filters on repeated values: one grouping each.

@@ -13,7 +13,7 @@ from .functions.text import DESC_PX, OTHER_WIDTH, TITLE_PX, WIDTHS
 from .operators import checks, detail, graphs, near_duplicates
 from .plans import reports, views
 from .project import Project
-from .sources.annotated_crawl import MARKS, project
+from .sources.annotated_crawl import MARKS, RENDER_MARKS, project
 from .store import cut
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -31,9 +31,12 @@ PRELUDE = (
     r"""
 WITH RECURSIVE b AS (SELECT page_id AS id, regexp_replace(url, '#.*$', '') AS url, html, regexp_extract(url, '^(https?://[^/?#]+)', 1) AS origin FROM pages),
 n AS (SELECT b.*, x.url AS t1, y.url AS t4, z.url AS p1 FROM b LEFT JOIN b x ON x.id = b.id + 1 LEFT JOIN b y ON y.id = b.id + 4 LEFT JOIN b z ON z.id = b.id - 1),
-m AS (SELECT *, """
+m0 AS (SELECT *, """
     + ", ".join(f"{v} AS {k}" for k, v in MARKS.items())
-    + r""", CASE id % 50 WHEN 17 THEN 2 WHEN 19 THEN 3 ELSE 1 END AS fetched, CASE WHEN id % 33 = 32 THEN 0 ELSE 1 END AS is_internal, CAST(id % 6 AS INT) AS depth FROM n),
+    + """ FROM n),
+m AS (SELECT *, """
+    + ", ".join(f"{v} AS {k}" for k, v in RENDER_MARKS.items())
+    + r""", CASE id % 50 WHEN 17 THEN 2 WHEN 19 THEN 3 ELSE 1 END AS fetched, CASE WHEN id % 33 = 32 THEN 0 ELSE 1 END AS is_internal, CAST(id % 6 AS INT) AS depth FROM m0),
 s AS (SELECT *, CASE WHEN fetched <> 1 THEN NULL ELSE CASE id % 20 WHEN 3 THEN 404 WHEN 7 THEN 301 WHEN 11 THEN 302 WHEN 13 THEN 500 ELSE 200 END END AS status,
   CASE WHEN id % 3 = 0 THEN 1 ELSE 0 END AS in_sitemap, CASE WHEN fetched = 1 THEN robots END AS meta_robots, x_robots_at AS x_robots, CASE WHEN fetched = 1 THEN canonical_1 END AS canonical,
   CASE WHEN fetched = 1 THEN """ + "trim(" + ENTITIES.format("regexp_extract(html, '<title>([^<]*)</title>', 1)") + r""") END AS title,
@@ -46,7 +49,10 @@ q AS (SELECT *, trim(body) AS visible, CASE WHEN fetched = 1 THEN CAST(len(strin
 p AS (SELECT *, CASE WHEN reason IS NULL THEN 1 ELSE 0 END AS indexable, sha1(visible) AS content_hash, CASE WHEN fetched = 1 THEN description END AS descr FROM q),
 h AS (SELECT * FROM p WHERE """ + H + r"""),
 nav AS (SELECT id AS src_id, origin || unnest(regexp_extract_all(html, '<a href="([^"]*)"', 1)) AS dst_url, 1 AS follow FROM p WHERE fetched = 1),
-l AS (SELECT * FROM nav UNION ALL SELECT id, link_1, 1 FROM p WHERE fetched = 1 AND link_1 IS NOT NULL UNION ALL SELECT id, link_2, 0 FROM p WHERE fetched = 1 AND link_2 IS NOT NULL),
+stored AS (SELECT * FROM nav UNION ALL SELECT id, link_1, 1 FROM p WHERE fetched = 1 AND link_1 IS NOT NULL UNION ALL SELECT id, link_2, 0 FROM p WHERE fetched = 1 AND link_2 IS NOT NULL),
+shown AS (SELECT id AS src_id, unnest([render_link_1, render_link_2, render_link_2]) AS dst_url, 1 AS follow FROM h WHERE rendered_at = 1),
+rl AS (SELECT * FROM shown WHERE dst_url IS NOT NULL AND NOT EXISTS (SELECT 1 FROM stored WHERE stored.src_id = shown.src_id AND stored.dst_url = shown.dst_url)),
+l AS (SELECT * FROM stored UNION ALL SELECT * FROM rl),
 lk AS (SELECT l.*, p.id AS dst_id FROM l LEFT JOIN p ON p.url = l.dst_url),
 sm AS (SELECT url FROM p WHERE id % 3 = 0 UNION ALL SELECT url || '-gone' FROM p WHERE id % 25 = 0),
 img AS (SELECT id AS page_id, image_1 AS src, '' AS alt, 0 AS dims FROM p WHERE fetched = 1 AND image_1 IS NOT NULL UNION ALL SELECT id, image_2, 'b', 1 FROM p WHERE fetched = 1 AND image_2 IS NOT NULL UNION ALL SELECT id, image_3, repeat('x', 101), 1 FROM p WHERE fetched = 1 AND image_3 IS NOT NULL),
@@ -136,10 +142,10 @@ UNION ALL SELECT 'sitemap-orphan', NULL, sm.url FROM sm LEFT JOIN p USING (url)
 UNION ALL SELECT 'sitemap-missing-indexable', id, NULL FROM h WHERE indexable = 1 AND in_sitemap = 0""",
     "rendering": """SELECT 'render-failed' AS check_id, id AS page_id, 'timeout' AS detail FROM h WHERE rendered_at = 2
 UNION ALL SELECT 'render-console-errors', id, '2 error(s): boom' FROM h WHERE rendered_at = 1 AND id % 15 = 0
-UNION ALL SELECT 'render-canonical-mismatch', id, 'raw=' || coalesce(canonical, '(none)') || ' rendered=' || CASE WHEN id % 9 <> 0 THEN coalesce(canonical, '(none)') ELSE '(none)' END FROM h WHERE rendered_at = 1 AND id % 9 = 0
-UNION ALL SELECT 'render-title-changed', id, 'raw=' || title || ' rendered=' || CASE WHEN id % 10 = 0 THEN 'Rendered' ELSE '(none)' END FROM h WHERE rendered_at = 1
+UNION ALL SELECT 'render-canonical-mismatch', id, 'raw=' || coalesce(canonical, '(none)') || ' rendered=' || coalesce(render_canonical, '(none)') FROM h WHERE rendered_at = 1 AND coalesce(canonical, '') <> coalesce(render_canonical, '')
+UNION ALL SELECT 'render-title-changed', id, 'raw=' || title || ' rendered=' || 'Rendered' FROM h WHERE rendered_at = 1 AND id % 10 = 0 AND title <> 'Rendered'
 UNION ALL SELECT 'render-robots-changed', id, 'raw=' || coalesce(meta_robots, '(none)') || ' rendered=' || CASE WHEN meta_robots IS NULL THEN 'noindex' ELSE 'nofollow , noindex' END FROM h WHERE rendered_at = 1 AND (meta_robots = 'none' OR meta_robots IS NULL AND id % 25 = 0)
-UNION ALL SELECT 'render-content-delta', id, word_count || ' raw vs ' || (id % 4 * 400) || ' rendered words' FROM h WHERE rendered_at = 1 AND id % 4 * 400 - word_count > 100 AND id % 4 * 400 > 1.5 * word_count""",
+UNION ALL SELECT 'render-content-delta', id, word_count || ' raw vs ' || (word_count + render_words) || ' rendered words' FROM h WHERE rendered_at = 1 AND render_words > 100 AND render_words > 0.5 * word_count""",
     "accessibility": """SELECT 'a11y-critical' AS check_id, id AS page_id, '1 critical: Needs a name' AS detail FROM h WHERE rendered_at = 1 AND id % 20 = 0
 UNION ALL SELECT 'a11y-serious', id, '1 serious violation(s)' FROM h WHERE rendered_at = 1 AND id % 20 = 0
 UNION ALL SELECT 'a11y-minor', id, '1 moderate/minor violation(s)' FROM h WHERE rendered_at = 1 AND id % 20 = 10""",
@@ -231,7 +237,7 @@ SELECT id AS page_id, data_type AS type, data_json AS json, CAST(CASE WHEN data_
 query("custom_extraction", lambda p: p["extractions"].select("page_id", "extractor_id", "value"), r"""
 SELECT id AS page_id, 'first' AS extractor_id, unnest(regexp_extract_all(html, '<li><a href="([^"]*)"', 1)) AS value FROM h0 UNION ALL SELECT id, 'heads', h1_1 FROM h0 WHERE h1_1 <> '' UNION ALL SELECT id, 'heads', h1_2 FROM h0 WHERE h1_2 IS NOT NULL UNION ALL SELECT id, 'marks', unnest(regexp_extract_all(html, '(?i)part (\d)', 1)) FROM h0 UNION ALL SELECT id, 'marks', regexp_extract(h2_1, 'Part (\d)', 1) FROM h0 WHERE h2_1 IS NOT NULL""".strip())
 query("custom_search", lambda p: p["search_hits"].select("page_id", "search_id", "hits"), """
-SELECT id AS page_id, 'literal' AS search_id, CAST(len(string_split(html, 'href')) - 1 + (CASE WHEN canonical_1 IS NULL THEN 0 ELSE 1 END) + (CASE WHEN canonical_2 IS NULL THEN 0 ELSE 1 END) + (CASE WHEN next_at IS NULL THEN 0 ELSE 1 END) + (CASE WHEN prev_at IS NULL THEN 0 ELSE 1 END)
+SELECT id AS page_id, 'literal' AS search_id, CAST(len(string_split(html, 'href')) - 1 + (CASE WHEN CASE WHEN rendered_at = 1 THEN render_canonical ELSE canonical_1 END IS NULL THEN 0 ELSE 1 END) + CASE WHEN rendered_at = 1 THEN (CASE WHEN render_link_1 IS NULL THEN 0 ELSE 1 END) + 2 * (CASE WHEN render_link_2 IS NULL THEN 0 ELSE 1 END) ELSE 0 END + (CASE WHEN canonical_2 IS NULL THEN 0 ELSE 1 END) + (CASE WHEN next_at IS NULL THEN 0 ELSE 1 END) + (CASE WHEN prev_at IS NULL THEN 0 ELSE 1 END)
   + 2 * (CASE WHEN href_1 IS NULL THEN 0 ELSE 1 END) + 2 * (CASE WHEN href_2 IS NULL THEN 0 ELSE 1 END) + 2 * (CASE WHEN href_3 IS NULL THEN 0 ELSE 1 END) + (CASE WHEN link_1 IS NULL THEN 0 ELSE 1 END) + (CASE WHEN link_2 IS NULL THEN 0 ELSE 1 END) AS INT) AS hits FROM h0
 UNION ALL SELECT id, 'pattern', CAST(len(regexp_extract_all(html, '(?i)<p>')) AS INT) FROM h0 UNION ALL SELECT id, 'broken', 0 FROM h0""".strip())
 query("link_canonicals_and_status", lambda p: p["pages"].select("id", "status_text", "segment"), """
@@ -252,8 +258,9 @@ query("segment_summary", reports.segments, "SELECT segment, count(*) AS pages, C
 ISSUE = "id IN (SELECT page_id FROM i WHERE check_id = '{}')"
 DUP = "{0} IN (SELECT {0} FROM h WHERE {0} <> '' GROUP BY 1 HAVING count(*) > 1)"
 ROBOTS = "(coalesce(meta_robots, '') LIKE '%{0}%' OR coalesce(x_robots, '') LIKE '%{0}%')"
-RENDER = "rendered_at = 1 AND id % 9 = 0"
-TITLE_CHANGED, ROBOTS_CHANGED = "rendered_at = 1", "(rendered_at = 1 AND (meta_robots IS NOT NULL OR id % 25 = 0))"
+RENDER = "(rendered_at = 1 AND coalesce(canonical, '') <> coalesce(render_canonical, ''))"
+TITLE_CHANGED, ROBOTS_CHANGED = "(rendered_at = 1 AND id % 10 = 0 AND title <> 'Rendered')", "(rendered_at = 1 AND coalesce(meta_robots, '') <> coalesce(render_robots, ''))"
+RENDER_LINKS = "(SELECT count(*) FROM rl WHERE src_id = h.id)"
 COUNTS = {
     "internal": ("p WHERE is_internal = 1", {"html": "true", "indexable": "indexable = 1", "non-indexable": "indexable = 0", "rendered": "rendered_at = 1"}),
     "external": ("p WHERE is_internal = 0", {"broken": "status >= 400", "redirect": "status BETWEEN 300 AND 399", "error": "fetched = 2"}),
@@ -264,15 +271,15 @@ COUNTS = {
     "h2": ("h WHERE true", {"missing": "h2_1 IS NULL"}),
     "content": ("h WHERE true", {"thin": ISSUE.format("content-thin"), "exact-duplicate": DUP.format("content_hash"), "near-duplicate": ISSUE.format("content-near-duplicate")}),
     "images": ("(SELECT src, any_value(bytes) AS bytes, any_value(status) AS status, count(*) FILTER (alt = '') AS missing FROM im GROUP BY src) WHERE true", {"over-warn": "bytes >= 204800", "over-critical": "bytes >= 512000", "missing-alt": "missing > 0", "broken": "status >= 400"}),
-    "canonicals": ("h WHERE true", {"missing": "canonical IS NULL AND link_header IS NULL", "self": "canonical = url", "canonicalised": "canonical <> url", "multiple": "true"}),
+    "canonicals": ("h WHERE true", {"missing": "canonical IS NULL AND link_header IS NULL", "self": "canonical = url", "canonicalised": "canonical <> url", "multiple": "canonical_2 IS NOT NULL OR canonical <> link_header"}),
     "directives": ("p WHERE is_internal = 1", {"noindex": ROBOTS.format("noindex"), "nofollow": ROBOTS.format("nofollow"), "blocked": "fetched = 3"}),
     "hreflang": ("h WHERE true", {"with": "id IN (SELECT page_id FROM hl)"}),
     "structured_data": ("h WHERE true", {"with": "data_type IS NOT NULL", "missing": "data_type IS NULL", "errors": "data_type <> 'FAQPage'", "warnings": "data_type IN ('Product', 'Recipe', 'Event,Thing')"}),
     "sitemaps": ("sm WHERE true", {"in-sitemap": "true", "orphan": "url NOT IN (SELECT url FROM p)", "non-indexable": "url IN (SELECT url FROM p WHERE indexable = 0)"}),
-    "js_rendering": ("h WHERE true", {"rendered": "rendered_at = 1", "changed": f"{TITLE_CHANGED} OR {RENDER} OR {ROBOTS_CHANGED}", "canonical-mismatch": RENDER, "js-errors": "id % 15 = 0", "spa": "false", "render-failed": "rendered_at = 2"}),
+    "js_rendering": ("h WHERE true", {"rendered": "rendered_at = 1", "changed": f"{TITLE_CHANGED} OR {RENDER} OR {ROBOTS_CHANGED} OR {RENDER_LINKS} > 0", "canonical-mismatch": f"{RENDER} AND render_canonical IS NOT NULL", "js-errors": "id % 15 = 0", "spa": "false", "render-failed": "rendered_at = 2"}),
     "accessibility": ("h WHERE rendered_at = 1", {"with-violations": "id % 20 IN (0, 10)", "critical": "id % 20 = 0", "serious": "id % 20 = 0", "clean": "id % 20 NOT IN (0, 10)"}),
     "search": ("(SELECT unnest([1, 1, 0]) AS hits FROM h) WHERE true", {"contains": "hits > 0", "not-contains": "hits = 0"}),
-    "compare": ("p WHERE false", {f: "false" for f in ("ok", "redirected", "broken", "missing", "title-changed", "canonical-changed")}),
+    "compare": ("p WHERE id % 6 < 5", {"ok": "id % 6 IN (0, 4)", "redirected": "id % 6 = 1", "broken": "id % 6 = 2", "missing": "id % 6 = 3", "title-changed": "id % 6 = 0 AND id % 4 = 0", "canonical-changed": "id % 6 IN (0, 4) AND id % 8 = 4"}),
     "gsc": ("p WHERE is_internal = 1 AND fetched = 1", {"with-data": "id % 7 = 0 AND id % 35 <> 0", "no-data": "id % 7 <> 0 OR id % 35 = 0"}),
     "ga4": ("p WHERE is_internal = 1 AND fetched = 1", {"with-data": "id % 5 = 0"}),
     "psi": ("p WHERE is_internal = 1 AND fetched = 1", {"with-data": "id % 4 = 0", "poor-lcp": "id % 4 = 0 AND id % 50 * 100 > 2500", "poor-inp": "id % 8 = 0 AND id % 7 * 100 > 200", "poor-cls": "id % 4 = 0 AND id % 3 > 1"}),
@@ -290,14 +297,14 @@ def view(name: str, columns: str, sql: str, filter_id: str | None = None, issues
 
 
 view("external", "id, url, inlinks", "SELECT id, url, (SELECT count(*) FROM l WHERE dst_url = p.url) AS inlinks FROM p WHERE is_internal = 0")
-view("meta_descriptions", "id, meta_description, desc_chars", "SELECT id, descr AS meta_description, CAST(length(descr) AS INT) AS desc_chars FROM h")
+view("meta_descriptions", "id, meta_description, desc_chars", "SELECT id, descr AS meta_description, CAST(length(coalesce(descr, '')) AS INT) AS desc_chars FROM h")
 view("meta_descriptions", "id, desc_chars", "SELECT id, CAST(length(descr) AS INT) AS desc_chars FROM h WHERE length(descr) > 160", "over-chars")
 view("gsc", "url, clicks", "SELECT 'https://orphan.example/' || id AS url, CAST(id % 11 AS INT) AS clicks FROM p WHERE id % 35 = 0", "orphan")
 view("h2", "id, h2_1, h2_count", "SELECT id, h2_1, CASE WHEN h2_1 IS NULL THEN 0 ELSE 1 END AS h2_count FROM h")
 view("images", "src, refs, missing_alt, bytes, status", "SELECT src, count(*) AS refs, count(*) FILTER (alt = '') AS missing_alt, CAST(any_value(bytes) AS BIGINT) AS bytes, any_value(status) AS status FROM im GROUP BY src")
 view("hreflang", "id, hreflang_count, langs", "SELECT id, (SELECT count(*) FROM hl WHERE page_id = h.id) AS hreflang_count, (SELECT string_agg(DISTINCT lang, ',' ORDER BY lang) FROM hl WHERE page_id = h.id) AS langs FROM h")
 view("structured_data", "id, sd_count, sd_types, sd_errors", "SELECT id, CAST(CASE WHEN data_type IS NULL THEN 0 ELSE 1 END AS BIGINT) AS sd_count, data_type AS sd_types, CAST(CASE WHEN data_type <> 'FAQPage' THEN 1 ELSE 0 END AS BIGINT) AS sd_errors FROM h")
-view("js_rendering", "id, title_changed, canonical_changed, robots_changed, word_delta, console_error_count", f"SELECT id, CASE WHEN {TITLE_CHANGED} THEN 'Yes' ELSE '' END AS title_changed, CASE WHEN {RENDER} THEN 'Yes' ELSE '' END AS canonical_changed, CASE WHEN {ROBOTS_CHANGED} THEN 'Yes' ELSE '' END AS robots_changed, CASE WHEN rendered_at = 1 THEN CAST(id % 4 * 400 - word_count AS INT) END AS word_delta, CASE WHEN id % 15 = 0 THEN 2 ELSE 0 END AS console_error_count FROM h")
+view("js_rendering", "id, title_changed, canonical_changed, robots_changed, word_delta, render_links, console_error_count", f"SELECT id, CASE WHEN {TITLE_CHANGED} THEN 'Yes' ELSE '' END AS title_changed, CASE WHEN {RENDER} THEN 'Yes' ELSE '' END AS canonical_changed, CASE WHEN {ROBOTS_CHANGED} THEN 'Yes' ELSE '' END AS robots_changed, CASE WHEN rendered_at = 1 THEN CAST(render_words AS INT) END AS word_delta, {RENDER_LINKS} AS render_links, CASE WHEN id % 15 = 0 THEN 2 ELSE 0 END AS console_error_count FROM h")
 view("accessibility", "id, a11y_total, a11y_critical, a11y_serious, a11y_moderate, a11y_minor", "SELECT id, CASE id % 20 WHEN 0 THEN 2 WHEN 10 THEN 1 ELSE 0 END AS a11y_total, CASE WHEN id % 20 = 0 THEN 1 ELSE 0 END AS a11y_critical, CASE WHEN id % 20 = 0 THEN 1 ELSE 0 END AS a11y_serious, 0 AS a11y_moderate, CASE WHEN id % 20 = 10 THEN 1 ELSE 0 END AS a11y_minor FROM h WHERE rendered_at = 1")
 view("canonicals", "id, canonical, canonical_header, indexability_reason", "SELECT id, canonical, link_header AS canonical_header, reason AS indexability_reason FROM h WHERE canonical <> url", "canonicalised")
 view("directives", "id, meta_robots, x_robots", f"SELECT id, meta_robots, x_robots FROM p WHERE is_internal = 1 AND {ROBOTS.format('noindex')}", "noindex")
@@ -308,3 +315,19 @@ view("psi", "id, performance, lcp_ms, field_inp_ms", "SELECT id, CAST(id % 100 A
 view("backlinks", "id, provider, domain_rating, ref_domains", "SELECT id, 'moz' AS provider, CAST(id % 90 AS DOUBLE) AS domain_rating, CAST(id % 12 AS INT) AS ref_domains FROM p WHERE is_internal = 1 AND fetched = 1 AND id % 9 = 0", "with-data")
 view("titles", "id, title", EVERY + f"SELECT id, title FROM h WHERE {ISSUE.format('title-multiple')}", "issue:title-multiple", True)
 query("view_page_of_responses", lambda p: views.query(p, "response_codes", None, "PAGE", "status", True, 10, 50).select("url", "status"), "SELECT url, status FROM p WHERE url ILIKE '%page%' ORDER BY status DESC NULLS LAST, id LIMIT 50 OFFSET 10")
+view("titles", "id, title, title_chars, indexability_reason", "SELECT id, title, CAST(length(coalesce(title, '')) AS INT) AS title_chars, reason AS indexability_reason FROM h")
+view("content", "id, word_count, indexability_reason", "SELECT id, word_count, reason AS indexability_reason FROM h")
+view("canonicals", "id, canonical, canonical_header", "SELECT id, canonical, link_header AS canonical_header FROM h WHERE canonical_2 IS NOT NULL OR canonical <> link_header", "multiple")
+view("js_rendering", "id, render_links", f"SELECT id, {RENDER_LINKS} AS render_links FROM h WHERE {TITLE_CHANGED} OR {RENDER} OR {ROBOTS_CHANGED} OR {RENDER_LINKS} > 0", "changed")
+view("js_rendering", "id, canonical, rendered_canonical", f"SELECT id, canonical, render_canonical AS rendered_canonical FROM h WHERE {RENDER} AND render_canonical IS NOT NULL", "canonical-mismatch")
+view("psi", "id, inp_ms, field_inp_ms", "SELECT id, CAST(id % 6 * 100 AS DOUBLE) AS inp_ms, CAST(id % 7 * 100 AS DOUBLE) AS field_inp_ms FROM p WHERE is_internal = 1 AND fetched = 1 AND id % 8 = 0 AND id % 7 > 2", "poor-inp")
+view("compare", "url, result, matched_url, title_changed, canonical_changed", "SELECT url, ['ok', 'redirected', 'broken', 'missing', 'ok'][id % 6 + 1] AS result, CASE WHEN id % 6 <> 3 THEN url END AS matched_url, CASE WHEN id % 6 = 0 AND id % 4 = 0 THEN 'Yes' ELSE '' END AS title_changed, CASE WHEN id % 6 IN (0, 4) AND id % 8 = 4 THEN 'Yes' ELSE '' END AS canonical_changed FROM p WHERE id % 6 < 5")
+# a search is for the url alone, whatever else a view shows: 'part' is in headings, 'page' in descriptions and in urls
+SEARCHED = [(v, t, s) for v, t in (("titles", "h"), ("meta_descriptions", "h"), ("h1", "h"), ("h2", "h"), ("extraction", "found")) for s in ("Part", "page", "A")]
+FOUND = "found AS (SELECT x.*, p.url FROM (" + ORACLE_SQL["custom_extraction"][ORACLE_SQL["custom_extraction"].index("SELECT id AS page_id, 'first'"):] + ") x JOIN p ON p.id = x.page_id)\n"
+query("view_searches", lambda p: reduce(DataFrame.unionAll, [views.rows(p, v, None, s).select(F.lit(v).alias("view"), F.lit(s).alias("search"), F.col("url")) for v, _, s in SEARCHED]), ORACLE_SQL["custom_extraction"].split("SELECT id AS page_id, 'first'")[0].rstrip() + ", " + FOUND + " UNION ALL ".join(f"SELECT '{v}' AS view, '{s}' AS search, url FROM {t} WHERE url ILIKE '%{s}%'" for v, t, s in SEARCHED))
+
+# rendered pages
+query("rendered_pages", lambda p: p["pages"].where(views.H + " and rendered = 1").selectExpr("id", "rendered_title", "rendered_meta_description", "rendered_canonical", "rendered_meta_robots", "get(rendered_h1, 0) rendered_h1", "rendered_word_count"), """
+SELECT id, coalesce(render_title, title) AS rendered_title, descr AS rendered_meta_description, render_canonical AS rendered_canonical, render_robots AS rendered_meta_robots, h1_1 AS rendered_h1, CAST(word_count + render_words AS INT) AS rendered_word_count FROM h WHERE rendered_at = 1""".strip())
+query("render_only_links", lambda p: p["links"].where("from_render = 1").select("src_id", "dst_url", "dst_id", "follow", "is_internal"), "SELECT rl.src_id, rl.dst_url, p.id AS dst_id, rl.follow, CAST(regexp_extract(rl.dst_url, '^https?://([^/?#]+)', 1) = regexp_extract(s.url, '^https?://([^/?#]+)', 1) AS INT) AS is_internal FROM rl JOIN p s ON s.id = rl.src_id LEFT JOIN p ON p.url = rl.dst_url")

@@ -43,6 +43,15 @@ MARKS = {
     "link_header": "case when id % 18 in (7, 9) then 'https://canon.example/h' end",
     "rendered_at": "case when id % 5 = 0 then 1 when id % 5 = 1 then 2 else 0 end",
 }
+#: What a browser makes of pages with rendered_at = 1, in terms of the marks above.
+RENDER_MARKS = {
+    "render_title": "case when id % 10 = 0 then 'Rendered' end",
+    "render_canonical": "case when id % 15 = 5 then origin || '/app' when id % 9 <> 0 then canonical_1 end",
+    "render_robots": "case when robots is not null then 'nofollow , noindex' when id % 25 = 0 then 'noindex' end",
+    "render_words": "id % 4 * 400",
+    "render_link_1": "case when id % 3 = 0 then t1 end",
+    "render_link_2": "case when id % 20 = 15 then origin || '/rendered-only' end",
+}
 EXTRACTORS = ({"id": "first", "type": "css", "expression": "nav li > a", "extract": "attr", "attribute": "href"}, {"id": "heads", "type": "xpath", "expression": "//h1"}, {"id": "marks", "type": "regex", "expression": r"part (\d)"}, {"id": "bad", "type": "css", "expression": "a["})
 SEARCHES = ({"id": "literal", "pattern": "href"}, {"id": "pattern", "pattern": r"<P>", "is_regex": True}, {"id": "broken", "pattern": "(", "is_regex": True})
 ROBOTS = "User-agent: *\nAllow: /\nUser-agent: GPTBot\nUser-agent: ClaudeBot\nDisallow: /\n"
@@ -60,6 +69,7 @@ def annotated(raw: DataFrame) -> DataFrame:
         other = base.select((F.col("id") + step).alias("id"), F.col("url").alias(name))
         base = base.join(other, "id", "left")
     df = base.withColumns({k: F.expr(v) for k, v in MARKS.items()})
+    df = df.withColumns({k: F.expr(v) for k, v in RENDER_MARKS.items()})
     entity = lambda c: f"replace({c}, '&', '&amp;')"
     meta = lambda n, c: tag(c, f"'<meta name=\"{n}\" content=\"'", c, "'\">'")
     link = lambda r, c: tag(c, f"'<link rel=\"{r}\" href=\"'", entity(c), "'#top\">'")
@@ -71,21 +81,26 @@ def annotated(raw: DataFrame) -> DataFrame:
         tag("h1_2", "'<h1> '", "h1_2", "'</h1>'"), tag("h2_1", "'<h2>'", "h2_1", "'</h2>'"), tag("link_1", "'<a href=\"'", entity("link_1"), "'#x\">next one</a>'"), tag("link_2", "'<a rel=\"NoFollow\" href=\"'", "link_2", "'\">out</a>'"),
         tag("image_1", "'<img src=\"'", "image_1", "'\" alt=\"\">'"), tag("image_2", "'<img src=\"'", "image_2", "'\" width=1 height=1 alt=b>'"), tag("image_3", "'<img data-src=\"/big.png\" width=2 height=2 alt=\"'", "repeat('x', 101)", "'\">'"),
     ]
-    page = F.expr(f"replace(replace(html, '</head>', concat({', '.join(head)}, '</head>')), '<footer>', concat({', '.join(body)}, '<footer>'))")
+    later = {meta("robots", "robots"): meta("robots", "render_robots"), link("canonical", "canonical_1"): link("canonical", "render_canonical")}
+    more = [*[tag(f"render_link_{i}", "'<a href=\"'", entity(f"render_link_{i}"), "'\"></a>'") for i in (1, 2, 2)], "'<div>'", "repeat(' word', cast(render_words as int))", "'</div>'"]
+    composed = lambda html, head, body: f"replace(replace({html}, '</head>', concat({', '.join(head)}, '</head>')), '<footer>', concat({', '.join(body)}, '<footer>'))"
+    page = F.expr(composed("html", head, body))
+    retitled = "if(render_title is null, html, regexp_replace(html, '<title>[^<]*</title>', concat('<title>', render_title, '</title>')))"
+    shown = F.expr(f"if(rendered_at = 1 and status = 200 and is_internal = 1, {composed(retitled, [later.get(x, x) for x in head], body + more)}, null)")
     headers = F.expr("""map_filter(map('strict-transport-security', if(hsts, 'max-age=1', null), 'x-content-type-options', if(xcto, 'nosniff', null), 'x-frame-options', if(xfo, 'DENY', null),
       'content-security-policy', if(csp, if(frames, 'Frame-Ancestors none', 'default-src self'), null), 'referrer-policy', if(referrer, 'origin', null), 'x-robots-tag', x_robots_at, 'link', if(link_header is null, null, concat('<', link_header, '>; rel="canonical"'))), (k, v) -> v is not null)""")
     df = df.withColumns({
-        "html": page, "headers": headers, "is_internal": F.expr("if(id % 33 = 32, 0, 1)"), "fetched": F.expr("case id % 50 when 17 then 2 when 19 then 3 else 1 end"), "depth": F.expr("cast(id % 6 as int)"), "content_type": F.lit("text/html"), "response_ms": F.expr("cast(id * 37 % 900 as int)"),
+        "page": page, "headers": headers, "is_internal": F.expr("if(id % 33 = 32, 0, 1)"), "fetched": F.expr("case id % 50 when 17 then 2 when 19 then 3 else 1 end"), "depth": F.expr("cast(id % 6 as int)"), "content_type": F.lit("text/html"), "response_ms": F.expr("cast(id * 37 % 900 as int)"),
         "rendered": F.expr("cast(rendered_at as int)"), "render_error": F.expr("if(rendered_at = 2, 'timeout', null)"), "error": F.expr("if(id % 50 = 17, 'reset', null)"),
         "a11y_violations": F.expr("if(id % 20 = 0, array(named_struct('id', 'a', 'impact', 'critical', 'help', 'Needs a name', 'nodes', 1, 'sample', 's'), named_struct('id', 'b', 'impact', 'serious', 'help', 'h', 'nodes', 1, 'sample', 's')), if(id % 20 = 10, array(named_struct('id', 'c', 'impact', 'minor', 'help', 'h', 'nodes', 1, 'sample', 's')), if(id % 20 = 5, array(), null)))"),
         "console_errors": F.expr("if(id % 15 = 0, array('boom', 'bang'), null)"),
     })
     df = df.withColumn("status", F.expr("case when fetched <> 1 then null else case id % 20 when 3 then 404 when 7 then 301 when 11 then 302 when 13 then 500 else 200 end end"))
+    df = df.withColumn("rendered_html", shown).withColumn("html", F.col("page"))
     df = df.withColumns({
         "redirect_target": F.expr("if(status between 300 and 399, if(id % 40 = 7, t4, if(id % 40 = 11, url, if(id % 40 = 27, t4, p1))), null)"), "crawl_source": F.col("p1"),
-        "rendered_title": F.expr("if(rendered_at = 1, if(id % 10 = 0, 'Rendered', null), null)"), "rendered_canonical": F.expr("if(rendered_at = 1 and id % 9 <> 0, canonical_1, null)"), "rendered_meta_robots": F.expr("if(rendered_at = 1, if(robots is null, if(id % 25 = 0, 'noindex', null), 'nofollow , noindex'), null)"), "rendered_word_count": F.expr("if(rendered_at = 1, cast(id % 4 * 400 as int), null)"),
     })
-    keep = ["id", "url", "html", "headers", "is_internal", "fetched", "status", "depth", "content_type", "response_ms", "redirect_target", "crawl_source", "error", "rendered", "render_error", "rendered_title", "rendered_canonical", "rendered_meta_robots", "rendered_word_count", "a11y_violations", "console_errors"]
+    keep = ["id", "url", "html", "headers", "is_internal", "fetched", "status", "depth", "content_type", "response_ms", "redirect_target", "crawl_source", "error", "rendered", "render_error", "rendered_html", "a11y_violations", "console_errors"]
     return df.select(*keep)
 
 
@@ -98,9 +113,10 @@ def project(spark: SparkSession, sf_dir: str, config: Config | None = None) -> P
     src = src.withColumn("content_type", F.lit("image/png"))
     meta = spark.createDataFrame([("robots_txt", ROBOTS), ("robots_origin", "https://a.example")], "key string, value string")
     ids = raw.select("id", "url")
-    psi = ids.where("id % 4 = 0").selectExpr("url", "cast(id % 100 as int) performance", "double(id % 50 * 100) lcp_ms", "if(id % 8 = 0, double(id % 7 * 100), null) field_inp_ms", "double(id % 3) / 10 cls")
+    psi = ids.where("id % 4 = 0").selectExpr("url", "cast(id % 100 as int) performance", "double(id % 50 * 100) lcp_ms", "double(id % 6 * 100) inp_ms", "if(id % 8 = 0, double(id % 7 * 100), null) field_inp_ms", "double(id % 3) / 10 cls")
     ga4 = ids.where("id % 5 = 0").selectExpr("url", "cast(id % 9 as int) sessions", "double(id % 10) / 10 engagement_rate")
     backlinks = ids.where("id % 9 = 0").selectExpr("url", "'moz' provider", "double(id % 90) domain_rating", "cast(id % 12 as int) ref_domains")
     gsc = ids.where("id % 7 = 0").selectExpr("if(id % 35 = 0, concat('https://orphan.example/', id), url) url", "cast(id % 11 as int) clicks", "cast(id % 111 as int) impressions")
+    compared = raw.where("id % 6 < 5").selectExpr("id", "url old_url", "element_at(array('ok', 'redirected', 'broken', 'missing', 'ok'), cast(id % 6 as int) + 1) result", "if(id % 6 = 3, null, url) matched_url", "if(id % 6 = 0, cast(id % 4 = 0 as int), null) title_changed", "if(id % 6 in (0, 4), cast(id % 8 = 4 as int), 0) canonical_changed")
     config = config or Config(extractors=EXTRACTORS, searches=SEARCHES, segments=(("paged", r"\?page="), ("campaign", "utm_"), ("secure", "^https:")))
-    return site.extracted(site.build(spark, raw, listed, src, meta, config, api_psi=psi, api_ga4=ga4, backlinks=backlinks, api_gsc=gsc))
+    return site.extracted(site.build(spark, raw, listed, src, meta, config, api_psi=psi, api_ga4=ga4, backlinks=backlinks, api_gsc=gsc, compare_results=compared))

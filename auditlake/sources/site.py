@@ -16,8 +16,9 @@ ROOM = 20
 
 
 def row_id(page: str, place: str) -> Column:
-    """An id that depends on nothing but the page and the place in it."""
-    return F.shiftleft(F.col(page), ROOM) + F.col(place)
+    """An id that depends on nothing but the page and the place in it.  Ids and places that would run into each other are refused."""
+    fits = F.col(page).between(0, (1 << 63 - ROOM) - 1) & (F.col(place) < 1 << ROOM)
+    return F.when(fits, F.shiftleft(F.col(page), ROOM) + F.col(place)).otherwise(F.raise_error(F.concat(F.lit("no room for rows of page "), F.col(page).cast("string"))))
 
 
 def indexability(df: DataFrame) -> DataFrame:
@@ -37,15 +38,18 @@ def spread(parsed: DataFrame, column: str) -> DataFrame:
 
 
 def build(spark: SparkSession, raw: DataFrame, sitemap_urls: DataFrame | None = None, resources: DataFrame | None = None, meta: DataFrame | None = None, config: Config = Config(), **others: DataFrame) -> Project:
-    """raw: id, url, html and any further columns of `pages` that the crawl knows; resources: src, bytes, status, content_type of probed images; others: further tables.
+    """raw: id, url, html, rendered_html of pages that a browser has rendered, and any further columns of `pages` that the crawl knows; resources: src, bytes, status, content_type of probed images; others: further tables.
 
     Only pages that were fetched are parsed; a link, image or alternate has the
     id of its page and place, an image that of a hash of its source."""
     from ..operators.checks import with_findings
 
-    known = [c for c in raw.columns if c != "html"]
+    known = [c for c in raw.columns if c not in ("html", "rendered_html")]
+    # a page counts as rendered where the crawl says so
+    shown = F.expr("if(rendered = 1, rendered_html, null)") if {"rendered", "rendered_html"} <= set(raw.columns) else F.lit(None).cast("string")
+    raw = raw.withColumn("rendered_html", shown)
     parsed = cut(html.parsed(raw.where("fetched = 1 and html is not null")), "parsed")
-    own = [c for c in parsed.columns if c not in ("id", "links", "images", "hreflang", "structured") and c not in known]
+    own = [c for c in parsed.columns if c not in ("id", "links", "render_links", "images", "hreflang", "structured") and c not in known]
     pages = raw.select(*known).join(parsed.select("id", *own), "id", "left")
     header = lambda name: F.try_element_at("headers", F.lit(name)) if "headers" in known else F.lit(None).cast("string")
     pages = pages.withColumns({"x_robots": header("x-robots-tag"), "canonical_header": url.link_canonical(header("link")), "status_text": url.status_text(F.col("status"))})
@@ -60,15 +64,17 @@ def build(spark: SparkSession, raw: DataFrame, sitemap_urls: DataFrame | None =
 
     target = pages.groupBy(F.col("url").alias("dst_url")).agg(F.min("id").alias("dst_id"))
     source = pages.select(F.col("id").alias("page_id"), url.base_domain(url.host(F.col("url"))).alias("domain"))
-    links = spread(parsed, "links").withColumnRenamed("href", "dst_url").join(source, "page_id").join(target, "dst_url", "left")
+    marked = "transform(coalesce({0}, array()), x -> named_struct('from_render', {1}, 'href', x.href, 'anchor', x.anchor, 'rel', x.rel, 'follow', x.follow))"
+    found = F.expr(f"concat({marked.format('links', 0)}, {marked.format('render_links', 1)})")
+    links = spread(parsed.withColumn("links", found), "links").withColumnRenamed("href", "dst_url").join(source, "page_id").join(target, "dst_url", "left")
     inside = (url.base_domain(url.host(F.col("dst_url"))) == F.col("domain")).cast("int")
-    links = links.withColumnRenamed("page_id", "src_id").withColumns({"link_type": F.lit("ahref"), "is_internal": inside, "from_render": F.lit(0)})
+    links = links.withColumnRenamed("page_id", "src_id").withColumns({"link_type": F.lit("ahref"), "is_internal": inside})
     images = spread(parsed, "images").withColumn("image_id", F.xxhash64("src"))
     own_images = images.join(source, "page_id").groupBy("image_id").agg(F.min("src").alias("src"), F.min_by((url.base_domain(url.host(F.col("src"))) == F.col("domain")).cast("int"), "id").alias("is_internal")).withColumnRenamed("image_id", "id")
     if resources is not None:
         own_images = own_images.join(resources.withColumn("checked", F.lit(1)), "src", "left")
     tables = {
-        "pages": pages, "html": raw.select(F.col("id").alias("page_id"), F.col("html").alias("raw_html")), "links": links, "images": own_images, "image_refs": images, "hreflang": spread(parsed, "hreflang").withColumn("source", F.lit("html")),
+        "pages": pages, "html": raw.select(F.col("id").alias("page_id"), F.col("html").alias("raw_html"), "rendered_html"), "links": links, "images": own_images, "image_refs": images, "hreflang": spread(parsed, "hreflang").withColumn("source", F.lit("html")),
         "structured_data": spread(parsed, "structured"), "sitemap_urls": listed, **({"meta": meta} if meta is not None else {}), **others,
     }
     tables = {k: v if k == "pages" else schema.ensure_columns(v, k) for k, v in tables.items()}
