@@ -11,15 +11,21 @@ on the full sets, so none is wrong; components take the smallest doc_id.
    are a region; regions of one class are dropped.
 3. Every tree is sorted by label, over all its regions at once by ranges, so that a
    region of any size is spread over tasks.  Neighbours in that order have the
-   longest common prefix: each class takes the closest of those before it and the
-   closest centre, that is the class that a run's majority of sketch bits is
-   nearest to.  These links join what is dense: two pairs a class.
+   longest common prefix: each class takes the closest of those before it and a
+   centre, that is the class that a run's majority of sketch bits is nearest to,
+   of all trees' centres the one that most runs' members have.  These links join
+   what is dense: two pairs a class.
 4. What is still in different components of a region is compared in full: all
    outside a region's largest component with all in others.  Depth adapts to the
    region: one with more than ROOM classes is cut at the next minimum, and its parts
    again, down to DEPTH.
 
-A pair's size bound and sketch decide whether it is confirmed.  Of two texts with
+A pair's size bound and sketch decide whether it is confirmed.  In groups where all
+are near one text but few near each other, pairs would be as many as the group's
+square; so where the full sets of a class and its centre were compared, what the one
+has and the other has not is kept as two bitmaps.  Of two classes with the same
+centre they bound the overlap from above, and pairs that can't link by that bound
+are not confirmed.  Of two texts with
 similarity 0.8, the chance to share no region is (1 - 0.8 ** 4) ** 40 = 7e-10 where
 regions are small, (1 - 0.8 ** 5) ** 40 = 1e-7 and (1 - 0.8 ** 6) ** 40 = 5e-6 where
 they are cut once and twice; the sketch (of 240 bits, at most FAR may differ where
@@ -43,7 +49,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import words
-from ..store import cut, forget
+from ..store import cut, few_per_batch, forget
 from .components import components
 from .hot import hot_keys, join_around
 from .jaccard_join import set_key, shingles
@@ -55,6 +61,10 @@ TREES, DEPTH, LEAST, ROOM = 40, 6, 4, 64
 FAR = 52
 #: Words of a sketch, and rows of a run that choose a centre together.
 PARTS, BLOCK, LONE = 4, 2048, 8
+#: Bits of a bitmap of differences, in words of 64.
+SPREAD = 8
+#: Pairs of sets in a batch for Python.
+SETS = 500
 U32, U64 = np.uint32, np.uint64
 LONG_ROWS = 2048
 
@@ -132,8 +142,29 @@ def apart(left: str, right: str) -> Column:
     return sum((F.bit_count(F.element_at(left, i).bitwiseXOR(F.element_at(right, i))) for i in range(2, PARTS + 1)), F.bit_count(F.element_at(left, 1).bitwiseXOR(F.element_at(right, 1))))
 
 
+def bitmap(s: np.ndarray) -> np.ndarray:
+    bits = np.zeros(64 * SPREAD, np.uint8)
+    bits[(words.mix(s) % U64(64 * SPREAD)).astype(np.int64)] = 1
+    return np.packbits(bits).view(np.int64)
+
+
+def common_at_most(left: str, right: str, which: str) -> Column:
+    """A bound on the common elements of two sets by their bitmaps: positions that both use, and what the fuller positions of one may hide."""
+    both = [F.bit_count(F.element_at(f"{left}.{which}", i).bitwiseAND(F.element_at(f"{right}.{which}", i))) for i in range(1, SPREAD + 1)]
+    return sum(both[1:], both[0]) + F.least(f"{left}.{which}_hidden", f"{right}.{which}_hidden")
+
+
+def may_overlap(left: str, right: str, n: str, m: str) -> Column:
+    """Whether two classes can link, for all that their differences from one centre tell; true if they have not the same centre.
+
+    Of the centre, all is common but what either lacks; of the rest, what both have added."""
+    common = F.col(f"{left}.size") - F.col(f"{left}.lacks_n") - F.col(f"{right}.lacks_n") + common_at_most(left, right, "lacks") + common_at_most(left, right, "adds")
+    told = (F.col(f"{left}.center") == F.col(f"{right}.center")) & ((100 + PERCENT) * common < PERCENT * (F.col(n) + F.col(m)))
+    return ~F.coalesce(told, F.lit(False))
+
+
 def neighbours(members: DataFrame) -> DataFrame:
-    """members (g, r, id, n, w) to pairs (id, other, kind): per class the closest neighbour before it (kind 0) and the closest centre (kind 1) of all trees.
+    """members (g, r, id, n, w) to pairs (id, other, kind): per class the closest neighbour before it (kind 0) and the commonest centre (kind 1) of all trees.
 
     Runs are cut where ranges or batches end; what that leaves out is compared later."""
 
@@ -169,7 +200,12 @@ def neighbours(members: DataFrame) -> DataFrame:
 
     order = ["g", "r", "id"]
     found = members.select("g", "r", "id", "n", "w").repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(run, "id long, other long, kind int, far int")
-    return found.groupBy("id", "kind").agg(F.min(F.struct("far", "other")).alias("best")).select("id", F.col("best.other").alias("other"))
+    found = cut(found, "neighbours")
+    # of the centres met in all trees the one that stands for most: a group's members name the same one, whatever regions they meet it in
+    votes = found.where("kind = 1").groupBy("other").agg((-F.count("*")).cast("int").alias("rank"))
+    centers = join_around(found.where("kind = 1"), votes, "other", hot_keys(found.where("kind = 1"), "other", F.col("id")))
+    each = found.where("kind = 0").withColumn("rank", F.col("far")).unionByName(centers)
+    return each.groupBy("id", "kind").agg(F.min(F.struct("rank", "other")).alias("best")).select("id", F.col("best.other").alias("other"), "kind")
 
 
 def adapted(mixed: DataFrame) -> DataFrame:
@@ -185,8 +221,10 @@ def adapted(mixed: DataFrame) -> DataFrame:
     return cut_once.where("g1 is null").drop("g1", "n0").unionByName(deep)
 
 
-def across(members: DataFrame, labelled: DataFrame) -> DataFrame:
-    """Pairs (id, other) in one region and different components that size and sketch allow."""
+def across(members: DataFrame, labelled: DataFrame, judged: DataFrame) -> DataFrame:
+    """Pairs (id, other) in one region and different components that size, sketch and differences from a centre allow."""
+    parts = ["center", "size", "lacks", "lacks_n", "lacks_hidden", "adds", "adds_hidden"]
+    near = judged.where("kind = 1").select(F.col("id").alias("__id"), F.struct(F.col("other").alias("center"), *parts[1:]).alias("x"))
 
     def split(rows: DataFrame) -> DataFrame:
         """Rows of regions with several components, with the largest of them as top."""
@@ -194,30 +232,53 @@ def across(members: DataFrame, labelled: DataFrame) -> DataFrame:
         return join_around(rows, sizes.where("cs > 1").select("g", "top"), "g", hot_keys(rows, "g", F.col("id")))
 
     rows = members.join(labelled, members["id"] == labelled["node"], "left").select("g", "r", "id", "n", "w", F.coalesce("component", "id").alias("c"))
+    rows = rows.join(near, rows["id"] == near["__id"], "left").drop("__id")
     mixed = cut(split(rows).drop("top"), "mixed")
     cands = cut(split(adapted(mixed)), "regions")
     forget(mixed)
-    few = cands.where("c != top").select("g", "id", "n", "w", "c")
-    other = cands.select("g", F.col("id").alias("other"), F.col("n").alias("m"), F.col("w").alias("v"), F.col("c").alias("d"), (F.col("c") == F.col("top")).alias("in_top"))
+    few = cands.where("c != top").select("g", "id", "n", "w", "c", "x")
+    other = cands.select("g", F.col("id").alias("other"), F.col("n").alias("m"), F.col("w").alias("v"), F.col("c").alias("d"), F.col("x").alias("y"), (F.col("c") == F.col("top")).alias("in_top"))
     # of two outside the largest component, each pair once
     once = F.col("in_top") | (F.col("id") < F.col("other"))
-    pairs = few.join(other, "g").where((F.col("c") != F.col("d")) & once & may_link("n", "m") & (apart("w", "v") <= FAR)).select("id", "other")
+    pairs = few.join(other, "g").where((F.col("c") != F.col("d")) & once & may_link("n", "m") & (apart("w", "v") <= FAR) & may_overlap("x", "y", "n", "m")).select("id", "other")
     out = cut(pairs.distinct(), "pairs")
     forget(cands)
     return out
 
 
+JUDGED = "id long, other long, kind int, linked boolean, size int, lacks array<long>, lacks_n int, lacks_hidden int, adds array<long>, adds_hidden int"
+
+
+def judge(rows: DataFrame) -> DataFrame:
+    """Pairs with both sets (id, other, kind, s, t) to JUDGED: whether they link, and what s lacks of t and adds to it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for s, t in zip(batch.column(3), batch.column(4), strict=True):
+                s, t = np.asarray(s.values).view(U64), np.asarray(t.values).view(U64)
+                lacks, adds = np.setdiff1d(t, s, assume_unique=True), np.setdiff1d(s, t, assume_unique=True)
+                common = len(t) - len(lacks)
+                a, b = bitmap(lacks), bitmap(adds)
+                hidden = [len(x) - int(np.bitwise_count(y.view(U64)).sum()) for x, y in ((lacks, a), (adds, b))]
+                out.append((100 * common >= PERCENT * (len(s) + len(t) - common), len(t), a.tolist(), len(lacks), hidden[0], b.tolist(), hidden[1]))
+            kinds = [pa.bool_(), pa.int32(), pa.list_(pa.int64()), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.int32()]
+            columns = [pa.array([r[j] for r in out], kind) for j, kind in enumerate(kinds)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), *columns], [c.split(" ")[0] for c in JUDGED.split(", ")])
+
+    return rows.select("id", "other", "kind", "s", "t").mapInArrow(run, JUDGED)
+
+
 def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, n: int) -> DataFrame:
-    """Pairs (id, other) whose full sets link, as (a, b)."""
-    pairs = cut(pairs.select("id", "other"), "pairs")
+    """Pairs (id, other, kind) judged by their full sets."""
+    pairs = cut(pairs.select("id", "other", "kind"), "pairs")
     named = pairs.select("id").union(pairs.select(F.col("other").alias("id"))).distinct().join(classes.select("id", "doc_id", "key"), "id")
     sets = cut(whole_sets(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(named, "doc_id"), n), "sets")
     # the side with ever new classes first, then the one where a centre stands in many pairs
-    one = pairs.join(sets, "id").select("id", "other", "n", "s")
-    two = sets.select(F.col("id").alias("other"), F.col("n").alias("m"), F.col("s").alias("t"))
-    both = join_around(one, two, "other", hot_keys(pairs, "other", F.col("id")))
-    shared = both.select("id", "other", "n", "m", F.size(F.array_intersect("s", "t")).alias("o"))
-    out = cut(shared.where(100 * F.col("o") >= PERCENT * (F.col("n") + F.col("m") - F.col("o"))).select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct(), "links")
+    one = pairs.join(sets, "id").select("id", "other", "kind", "s")
+    two = sets.select(F.col("id").alias("other"), F.col("s").alias("t"))
+    with few_per_batch(docs.sparkSession, SETS):
+        out = cut(judge(join_around(one, two, "other", hot_keys(pairs, "other", F.col("id")))), "judged")
     for df in (pairs, sets):
         forget(df)
     return out
@@ -233,11 +294,15 @@ def dedup(docs: DataFrame, n: int = SHINGLE) -> DataFrame:
     shared = repeated(trees, ["g"], "id").select("id", "g", "t")
     members = cut(shared.join(classes.select("id", "n", "r", "w"), "id").select("g", F.element_at("r", F.col("t") + 1).alias("r"), "id", "n", "w"), "members")
 
-    links = confirmed(neighbours(members), classes, docs, n)
+    first = confirmed(neighbours(members), classes, docs, n)
+    links = first.where("linked").select(F.col("id").alias("a"), F.col("other").alias("b"))
     found = components(links)
-    more = confirmed(across(members, found), classes, docs, n)
-    if not more.isEmpty():
-        found = components(links.union(more))
+    rest = across(members, found, first)
+    if not rest.isEmpty():
+        late = confirmed(rest.withColumn("kind", F.lit(2)), classes, docs, n)
+        more = late.where("linked").select(F.col("id").alias("a"), F.col("other").alias("b"))
+        if not more.isEmpty():
+            found = components(links.union(more))
     forget(members)
 
     linked = cut(classes.select("id", "key", "doc_id").join(found, classes["id"] == found["node"]).select("key", "doc_id", "component"), "linked")
