@@ -3,6 +3,12 @@
 from __future__ import annotations
 
 import re
+from urllib.parse import quote
+
+
+def agent_name(agent: str) -> str:
+    """The name by which groups are found: lower case, without a version."""
+    return agent.lower().split("/")[0].strip()
 
 
 def groups(text: str) -> list[tuple[list[str], list[tuple[bool, str]]]]:
@@ -14,7 +20,7 @@ def groups(text: str) -> list[tuple[list[str], list[tuple[bool, str]]]]:
         if key == "user-agent":
             if not fresh:
                 out.append(([], []))
-            out[-1][0].append(value.lower())
+            out[-1][0].append(agent_name(value))
             fresh = True
         elif key in ("allow", "disallow"):
             fresh = False
@@ -23,13 +29,36 @@ def groups(text: str) -> list[tuple[list[str], list[tuple[bool, str]]]]:
     return out
 
 
-def allowed(text: str, agent: str, path: str) -> bool:
-    parsed, name = groups(text), agent.lower()
+def written(rule: str) -> str:
+    """A rule as paths are written: what an url would encode is encoded."""
+    return quote(rule, safe="!#$%&'()*+,/:;=?@[]~-._")
+
+
+def literal(rule: str) -> str:
+    """What a path must begin with for a rule to match."""
+    return re.split(r"[*$]", rule, maxsplit=1)[0]
+
+
+def pattern(rule: str) -> str | None:
+    """A regular expression for rules that are more than their beginning; null for plain ones."""
+    if "*" not in rule and not rule.endswith("$"):
+        return None
+    end = "$" if rule.endswith("$") else ""
+    return "^" + "".join(".*" if c == "*" else re.escape(c) for c in rule.removesuffix("$")) + end
+
+
+def rules_for(parsed: list, agent: str) -> list[tuple[bool, str]]:
+    """The rules of an agent's own groups, else of the groups for all."""
+    name = agent_name(agent)
     mine = [r for a, r in parsed if name in a] or [r for a, r in parsed if "*" in a]
+    return [x for r in mine for x in r]
+
+
+def allowed(text: str, agent: str, path: str) -> bool:
     best = (-1, True)
-    for allow, rule in (x for r in mine for x in r):
-        pattern = "".join(".*" if c == "*" else re.escape(c) for c in rule.rstrip("$")) + ("$" if rule.endswith("$") else "")
-        if re.match(pattern, path):
+    for allow, rule in rules_for(groups(text), agent):
+        rule = written(rule)
+        if path.startswith(literal(rule)) and ((p := pattern(rule)) is None or re.match(p, path)):
             best = max(best, (len(rule), allow))
     return best[1]
 

@@ -157,6 +157,19 @@ def normalized(url: Column, base: Column | None = None) -> Column:
     return _normalize(url, F.lit(None).cast("string") if base is None else base)
 
 
+def parameters(url: Column, policy: str = "crawl", names: Iterable[str] = ()) -> Column:
+    """apply_params for a column; nothing runs in Python where queries are kept."""
+    if policy == "crawl":
+        return url
+    names = tuple(names)
+
+    @F.pandas_udf(StringType())
+    def apply(urls: pd.Series) -> pd.Series:
+        return urls.map(lambda u: None if u is None else apply_params(u, policy, names))
+
+    return apply(url)
+
+
 def host(url: Column) -> Column:
     """The host of a normalised URL."""
     return F.regexp_extract(url, r"^https?://(?:[^/?#@]*@)?(\[[^\]]*\]|[^/:?#]*)", 1)

@@ -6,8 +6,9 @@ joined; a view's plan is one DataFrame, so Catalyst prunes what isn't asked for.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass
+from functools import partial
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -228,8 +229,50 @@ _OWN = {
 _REPEATED = {("titles", "duplicate"): ("title", "title <> ''"), ("meta_descriptions", "duplicate"): ("meta_description", "meta_description <> ''"), ("h1", "duplicate"): ("get(h1, 0)", "true"), ("content", "exact-duplicate"): ("content_hash", "true")}
 
 
-def overview(p: Project) -> DataFrame:
-    """view, filter, n for every view and filter.
+@dataclass(frozen=True)
+class Part:
+    """Some counts of the overview, and the tables that they hang on."""
+
+    name: str
+    tables: tuple[str, ...]
+    counts: Callable[[Project], DataFrame]
+
+
+#: Tables that a view reads; views that only read pages are not named.
+READS = {
+    "internal": ("pages", "links"), "external": ("pages", "links"), "images": ("images", "image_refs"), "hreflang": ("pages", "hreflang"), "structured_data": ("pages", "structured_data"), "sitemaps": ("pages", "sitemap_urls"), "js_rendering": ("pages", "links"),
+    "extraction": ("pages", "extractions"), "search": ("pages", "search_hits"), "compare": ("compare_results",), "gsc": ("pages", "api_gsc"), "ga4": ("pages", "api_ga4"), "psi": ("pages", "api_psi"), "backlinks": ("pages", "backlinks"),
+}
+
+
+def union(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for d in parts[1:]:
+        out = out.unionAll(d)
+    return out
+
+
+def _pairs(found: Iterable[tuple[str, str | None]]) -> Column:
+    return F.explode(F.array(*[F.struct(F.lit(v).alias("view"), F.lit(f).cast("string").alias("filter"), F.col(f"c{i}").alias("n")) for i, (v, f) in enumerate(found)])).alias("x")
+
+
+def _counted(df: DataFrame, wanted: dict[tuple[str, str | None], str]) -> DataFrame:
+    """view, filter, n of many conditions in one aggregation."""
+    return df.agg(*[F.count_if(F.expr(k)).alias(f"c{i}") for i, k in enumerate(wanted.values())]).select(_pairs(wanted)).select("x.*")
+
+
+def _repeated(p: Project, view: str, filter_id: str, value: str, keep: str) -> DataFrame:
+    groups = html_pages(p).where(keep).groupBy(F.expr(value).alias("v")).agg(F.count("*").alias("m")).where("m > 1 and v is not null")
+    return groups.agg(F.coalesce(F.sum("m"), F.lit(0)).alias("n")).select(F.lit(view).alias("view"), F.lit(filter_id).alias("filter"), "n")
+
+
+def _marked(p: Project, marks: dict[str, str]) -> DataFrame:
+    hits = p["issues"].where(F.col("check_id").isin(list(marks))).select("check_id", F.col("page_id").alias("id")).distinct().join(html_pages(p).select("id"), "id")
+    return _counted(hits, {("content", f): f"check_id = '{c}'" for c, f in marks.items()})
+
+
+def overview_parts() -> list[Part]:
+    """The overview's counts (view, filter, n), in parts; a part's plan is made when it is asked for.
 
     All that a page's own row decides is counted in one pass over pages; repeated
     values take one grouping a column, issue filters one join, every other view
@@ -237,29 +280,23 @@ def overview(p: Project) -> DataFrame:
     plain = lambda v: {f: k for f, k in VIEWS[v].filters.items() if not callable(k)}
     wanted = {(v, None): where for v, where in OF_PAGES.items()}
     wanted |= {(v, f): f"({where}) and ({k})" for v, where in OF_PAGES.items() for f, k in _OWN.get(v, plain(v)).items()}
-    pairs = lambda found: F.array(*[F.struct(F.lit(v).alias("view"), F.lit(f).cast("string").alias("filter"), F.col(f"c{i}").alias("n")) for i, (v, f) in enumerate(found)])
-    one = p["pages"].agg(*[F.count_if(F.expr(k)).alias(f"c{i}") for i, k in enumerate(wanted.values())])
-    parts = [one.select(F.explode(pairs(wanted)).alias("x")).select("x.*")]
-    done = set(wanted)
-    for (v, f), (value, keep) in _REPEATED.items():
-        groups = html_pages(p).where(keep).groupBy(F.expr(value).alias("v")).agg(F.count("*").alias("m")).where("m > 1 and v is not null")
-        parts.append(groups.agg(F.coalesce(F.sum("m"), F.lit(0)).alias("n")).select(F.lit(v).alias("view"), F.lit(f).alias("filter"), "n"))
-        done.add((v, f))
     marks = {"content-thin": "thin", "content-near-duplicate": "near-duplicate"}
-    hits = p["issues"].where(F.col("check_id").isin(list(marks))).select("check_id", F.col("page_id").alias("id")).distinct().join(html_pages(p).select("id"), "id")
-    both = hits.agg(*[F.count_if(F.col("check_id") == c).alias(f"c{i}") for i, c in enumerate(marks)])
-    parts.append(both.select(F.explode(pairs([("content", f) for f in marks.values()])).alias("x")).select("x.*"))
-    done |= {("content", f) for f in marks.values()}
+    parts = [Part("pages", ("pages",), lambda p: _counted(p["pages"], wanted))]
+    parts += [Part(f"{v}/{f}", ("pages",), partial(_repeated, view=v, filter_id=f, value=value, keep=keep)) for (v, f), (value, keep) in _REPEATED.items()]
+    parts.append(Part("content/issues", ("pages", "issues"), lambda p: _marked(p, marks)))
+    done = {*wanted, *_REPEATED, *[("content", f) for f in marks.values()]}
     for name, v in VIEWS.items():
+        reads = READS.get(name, ("pages",))
         apart = [f for f in v.filters if name == "sitemaps" or (name, f) == ("gsc", "orphan")]
-        rest = {f: k for f, k in plain(name).items() if (name, f) not in done and f not in apart}
-        if (name, None) not in done or rest:
-            found = {None: "true"} | rest
-            got = v.base(p, None).agg(*[F.count_if(F.expr(k)).alias(f"c{i}") for i, k in enumerate(found.values())])
-            rows_ = got.select(F.explode(pairs([(name, f) for f in found])).alias("x")).select("x.*")
-            parts.append(rows_ if (name, None) not in done else rows_.where("filter is not null"))
-        parts += [rows(p, name, f).agg(F.count("*").alias("n")).select(F.lit(name).alias("view"), F.lit(f).alias("filter"), "n") for f in apart]
-    out = parts[0]
-    for d in parts[1:]:
-        out = out.unionAll(d)
-    return out
+        rest = {(name, f): k for f, k in plain(name).items() if (name, f) not in done and f not in apart}
+        if (name, None) not in done:
+            rest = {(name, None): "true"} | rest
+        if rest:
+            parts.append(Part(name, reads, lambda p, v=v, rest=rest: _counted(v.base(p, None), rest)))
+        parts += [Part(f"{name}/{f}", reads, lambda p, name=name, f=f: rows(p, name, f).agg(F.count("*").alias("n")).select(F.lit(name).alias("view"), F.lit(f).alias("filter"), "n")) for f in apart]
+    return parts
+
+
+def overview(p: Project) -> DataFrame:
+    """view, filter, n for every view and filter; `Stored.overview` keeps them by version."""
+    return union([part.counts(p) for part in overview_parts()])

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import site_queries
+from . import file_queries, site_queries
 from .operators import checks, graphs, migration, redirects, segments
 from .plans import exports, reports, views
 from .sources import imports
@@ -227,5 +227,5 @@ def read_only_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
     return project(spark, sf_dir).sql("select id, status from PAGES where status = 404", 1000)
 
 
-QUERIES |= site_queries.QUERIES
-ORACLE_SQL |= site_queries.ORACLE_SQL
+QUERIES |= site_queries.QUERIES | file_queries.QUERIES
+ORACLE_SQL |= site_queries.ORACLE_SQL | file_queries.ORACLE_SQL

@@ -11,7 +11,8 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _KEY = "spark.checkpoint.dir"
 _FREE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
@@ -46,6 +47,70 @@ def shuffles_freed(spark: SparkSession) -> Iterator[None]:
             spark.conf.set(_FREE, before)
 
 
+@contextlib.contextmanager
+def few_per_batch(spark: SparkSession, rows: int = 8) -> Iterator[None]:
+    """While it holds, batches for Python have few rows: for columns of whole files."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
+
+
+def numbered(df: DataFrame, order: list[Column], name: str, start: int = 0) -> DataFrame:
+    """df with its place in an order, from start: sorted by ranges and written; each range begins after the rows of those before.
+
+    One row a range goes through the driver.  The order should tell all rows apart, or a hot value makes one large range."""
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__at", F.monotonically_increasing_id())
+    ranged = cut(ranged, name)
+    part, place = F.shiftrightunsigned("__at", 33), F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))
+    begins, at = [], start
+    for p, n in sorted((r.part, r.n) for r in ranged.groupBy(part.alias("part")).agg(F.count("*").alias("n")).collect()):
+        begins.append((p, at))
+        at += n
+    begin = df.sparkSession.createDataFrame(begins, "__part long, __begin long")
+    return ranged.withColumn("__part", part).join(F.broadcast(begin), "__part").withColumn("place", F.col("__begin") + place).drop("__part", "__begin", "__at")
+
+
+def file_system(spark: SparkSession, path: str) -> tuple[object, object]:
+    """The file system of a path and the path, as Hadoop has them."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+def names_in(spark: SparkSession, folder: str) -> list[str]:
+    """Names of the files in a folder; none if there is no such folder."""
+    fs, at = file_system(spark, folder)
+    return sorted(f.getPath().getName() for f in fs.listStatus(at)) if fs.exists(at) else []
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    fs, at = file_system(spark, path)
+    stream = fs.open(at)
+    try:
+        return bytes(stream.readAllBytes()).decode()
+    finally:
+        stream.close()
+
+
+def write_once(spark: SparkSession, path: str, text: str) -> None:
+    """A small file that is there as a whole or not at all, and never a second time."""
+    folder, _, name = path.rpartition("/")
+    fs, at = file_system(spark, path)
+    _, draft = file_system(spark, f"{folder}/.{name}-{uuid.uuid4().hex}")
+    stream = fs.create(draft)
+    stream.write(bytearray(text.encode()))
+    stream.close()
+    if fs.exists(at) or not fs.rename(draft, at):
+        fs.delete(draft, False)
+        raise FileExistsError(path)
+
+
 def cut(df: DataFrame, name: str) -> DataFrame:
     """df written as Parquet to the shared folder and read again.
 
@@ -66,6 +131,5 @@ def forget(df: DataFrame) -> None:
 
 def drop(spark: SparkSession, path: str) -> None:
     """Removes what new_path or cut has made."""
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    fs, at = file_system(spark, path)
+    fs.delete(at, True)
