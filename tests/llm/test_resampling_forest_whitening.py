@@ -134,7 +134,7 @@ def test_forest(spark, monkeypatch):
 def test_forest_without_neighbours(spark, monkeypatch):
     """What the first pass misses, the comparison across components finds."""
     rows = groups(random.Random(4), 12, 4)
-    monkeypatch.setattr(forest, "neighbours", lambda members: members.select("id", members["id"].alias("other")).limit(0))
+    monkeypatch.setattr(forest, "neighbours", lambda members: members.selectExpr("id", "id as other", "0 as kind").limit(0))
     got = forest.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted((str(r.doc_id), r.n_shingles, r.component_id, r.kept) for r in got) == components(rows)
 
