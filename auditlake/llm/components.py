@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..store import cut
+from ..store import cut, forget
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -24,6 +24,9 @@ def components(links: DataFrame) -> DataFrame:
         step = cut(step, "step")
         far = step.select(F.col("node").alias("at"), F.col("now").alias("far"))
         new = cut(step.join(far, step["now"] == far["at"], "left").select("node", F.col("label").alias("old"), F.least("now", F.coalesce("far", "now")).alias("label")), "labels")
+        forget(step)
+        forget(labels)
         if new.where("old != label").isEmpty():
+            forget(both)
             return new.select("node", F.col("label").alias("component"))
         labels = new.select("node", "label")

@@ -24,6 +24,18 @@ def hot_keys(rows: DataFrame, on: str, by: Column) -> list:
     return [r[on] for r in top if r.n >= least]
 
 
+def folded(rows: DataFrame, on: str, row: str) -> DataFrame:
+    """rows without the later copies of common values: of each hot one only the row with the least number stays.
+
+    For work that a second row of a value adds nothing to; which values count as
+    hot decides only how many copies are left.  Nothing is shuffled but counts."""
+    hot = hot_keys(rows.select(on, row), on, F.col(row))
+    if not hot:
+        return rows
+    first = [r.n for r in rows.where(F.col(on).isin(hot)).groupBy(on).agg(F.min(row).alias("n")).collect()]
+    return rows.where(~F.col(on).isin(hot) | F.col(row).isin(first))
+
+
 def join_around(rows: DataFrame, side: DataFrame, on: str | list[str], hot: list, how: str = "inner") -> DataFrame:
     """rows joined with a side that has each key once (or few times); hot: values of the first key column."""
     keys = [on] if isinstance(on, str) else list(on)

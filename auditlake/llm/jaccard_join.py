@@ -2,7 +2,7 @@
 
 Texts, with A-Z lowered, become sets of distinct shingles of SHINGLE words; two
 link when their Jaccard similarity is at least PERCENT / 100.  The result is
-exact but for hash collisions among 64 bits within one pair.
+exact but for hash collisions among 64 bits within one pair of linked sets.
 
 1. Equal sets are folded into one class (128 bits of a digest); links are sought
    between classes only, and copies take their class's component.
@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 from . import words
 from .components import components
 from ..store import cut, forget
-from .hot import hot_keys, join_around
+from .hot import folded, hot_keys, join_around
 from .substrings import list_column, repeated
 
 SHINGLE, PERCENT, FRAGMENTS = 5, 75, 4
@@ -199,19 +199,21 @@ def merged(pairs: DataFrame, parts: DataFrame, found: DataFrame, first: DataFram
 
 def join(docs: DataFrame, n: int = SHINGLE) -> DataFrame:
     """doc_id, n_shingles, component_id of every row."""
-    scanned = cut(scan(docs, n), "scan")
+    scanned = cut(scan(docs, n).withColumn("row", F.monotonically_increasing_id()), "scan")
     slim = scanned.select("doc_id", "n_shingles", "key", "k", "need")
-    # a class is known by 64 bits of its set's digest; one of its documents stands for it
+    # a class is known by its set's digest, of which 64 bits go with its shingles; one of its documents stands for it
     classes = slim.where("n_shingles > 0 and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.min("k").alias("k"), F.min("need").alias("need"))
-    rows = scanned.where("doc_id is not null").select("k", F.explode("h").alias("g"))
+    rows = folded(scanned.where("doc_id is not null"), "key", "row").select("k", F.explode("h").alias("g"))
     alive = repeated(rows, ["g"], "k").groupBy("k").agg(F.count_distinct("g").alias("c"))
     # written before texts are shuffled, so that the shuffles of prefixes are gone by then
-    left = cut(classes.join(alive, "k").where("c >= need").select("doc_id", F.col("k").alias("id"), "key"), "left")
+    # and numbered, so that classes whose 64 bits are equal stay two
+    left = cut(classes.join(alive, "k").where("c >= need").select("doc_id", F.monotonically_increasing_id().alias("id"), "key"), "left")
     sets = cut(whole_sets(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(left, "doc_id"), n), "sets")
-    forget(left)
     found = cut(links(sets), "components")
     forget(sets)
-    linked = cut(classes.join(found, classes["k"] == found["node"]).select("key", "doc_id", "component"), "linked")
+    linked = cut(left.join(found, left["id"] == found["node"]).select("key", "doc_id", "component"), "linked")
+    forget(left)
+    forget(found)
     lowest = linked.groupBy("component").agg(F.min("doc_id").alias("low"))
     linked = join_around(linked, lowest, "component", hot_keys(linked, "component", F.col("key"))).select("key", "low")
     named = classes.select("key", "doc_id").join(linked, "key", "left").select("key", F.coalesce("low", "doc_id").alias("component"))

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words
-from .hot import hot_keys, join_around
+from .hot import folded, hot_keys, join_around
 from ..store import cut, forget
 
 WINDOW, START = 13, 4
@@ -150,11 +150,12 @@ def remove(cands: DataFrame, window: int) -> DataFrame:
 def dedup(docs: DataFrame, window: int = WINDOW, start: int = START, texts: bool = False) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256, and with ``texts`` kept (null where nothing was removed)."""
     steps = lengths(window, start)
-    scanned = cut(scan(docs, window, steps[0]), "scan")
+    scanned = cut(scan(docs, window, steps[0]).withColumn("row", F.monotonically_increasing_id()), "scan")
     slim = scanned.select("doc_id", "n_words", "sha", "k")
     own = slim.where("doc_id is not null").groupBy("sha").agg(F.min("doc_id").alias("first_id"))
     reps = slim.where(f"n_words >= {window} and doc_id is not null").groupBy("sha").agg(F.min("doc_id").alias("doc_id"), F.min("k").alias("k")).select("doc_id", "k")
-    rows = scanned.where("doc_id is not null").select("k", F.explode("h").alias("g"))
+    # a text that thousands of documents have puts its anchors down once
+    rows = folded(scanned.where("doc_id is not null"), "sha", "row").select("k", F.explode("h").alias("g"))
     # written before texts are shuffled, so that the shuffles of anchors are gone by then
     found = cut(repeated(rows, ["g"], "k").groupBy("k").agg(F.collect_set("g").alias("h")), "anchors")
     cands = cut(docs.select(F.col("doc_id").cast("long"), "text").join(found.join(reps, "k"), "doc_id").select("doc_id", "k", "text", "h"), "candidates")
