@@ -169,7 +169,8 @@ def item_table(benchmark: DataFrame) -> DataFrame:
             own = pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(h.view(np.int64)))
             yield pa.RecordBatch.from_arrays([sub.column(0), sub.column(1), own, lists], ["item", "item_id", "w", "seeds"])
 
-    rows = benchmark.select(F.xxhash64("item_id", "text").alias("item"), F.col("item_id").cast("long").alias("item_id"), "text").where("text is not null").dropDuplicates(["item"])
+    rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("text is not null").distinct()
+    rows = rows.select(F.monotonically_increasing_id().alias("item"), "item_id", "text")  # written by the caller, so the numbers stay
     return rows.mapInArrow(run, "item long, item_id long, w array<long>, seeds array<long>").where("size(w) > 0")
 
 
