@@ -23,6 +23,7 @@ No pages give no records.
 
 from __future__ import annotations
 
+import contextlib
 from collections.abc import Iterator
 from functools import reduce
 
@@ -33,6 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..store import cut, new_path, shuffles_freed
+from .hot import hot_keys, join_around
 
 MAGIC = "WARC/1.0\r\n"
 EOL, GAP = "\r\n", "\r\n\r\n"
@@ -59,7 +61,8 @@ def marked(pages: DataFrame, min_bytes: int) -> DataFrame:
     out = out.withColumn("digest", base32("sha")).drop("sha")
     slim = cut(out.select("page_id", "digest", "size"), "digests")
     first = slim.where((F.col("size") >= min_bytes) & F.col("page_id").isNotNull()).groupBy("digest", "size").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1")
-    later = slim.join(first, ["digest", "size"]).where("page_id > first").select("page_id", "digest", "first").distinct()
+    # a payload that very many pages have is dealt over many tasks
+    later = join_around(slim, first, ["digest", "size"], hot_keys(slim, "digest", F.col("page_id"))).where("page_id > first").select("page_id", "digest", "first").distinct()
     return out.join(later, ["page_id", "digest"], "left")
 
 
@@ -178,8 +181,26 @@ def reachable(found: DataFrame) -> DataFrame:
     return rows.join(kept, ["file", "range", "run"], "left_semi")
 
 
+@contextlib.contextmanager
+def same_splits(spark: SparkSession) -> Iterator[None]:
+    """While it holds, files are split alike in every read, whatever executors come and go."""
+    key = "spark.sql.files.minPartitionNum"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, before or str(spark.sparkContext.defaultParallelism))
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+
+
 def read(spark: SparkSession, path: str) -> DataFrame:
     """Records: page_id, record_type, payload_bytes, payload_digest, refers_to, target_uri, digest_ok."""
+    with same_splits(spark):
+        return records(spark, path)
+
+
+def records(spark: SparkSession, path: str) -> DataFrame:
     found, base = candidates(spark, path)
     good = cut(reachable(found), "records")
     out = good.where("full").select("file", "at", "head", "sha", "size")
@@ -192,6 +213,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
         spread = cut(inside.join(spans, ["file", "bin"]).where("piece_at >= at and piece_at < next").select("file", "piece_at", "at", "next"), "inside")
         values = placed(with_offsets(pieces(spark, path)), base).select("file", F.col("at").alias("piece_at"), "value")
         parts = values.join(spread, ["file", "piece_at"]).groupBy("file", "at", "next").agg(F.array_sort(F.collect_list(F.struct("piece_at", "value"))).alias("v"))
+        parts = cut(parts, "parts")
         value = F.array_join(F.transform("v", lambda x: x["value"]), MAGIC)
         out = out.unionByName(parsed(parts.select("file", "at", value.alias("value"))).select(out.columns))
     out = out.withColumn("digest", base32("sha"))
