@@ -94,12 +94,13 @@ def sparse(data: np.ndarray, offsets: np.ndarray) -> list[tuple[np.ndarray, np.n
 
 
 def labelled(docs: DataFrame, labels: DataFrame, column: str, most: int, which=None) -> DataFrame:
-    """At most ``most`` rows (text, y), of the ids with the smallest hashes.  The ids are few by that bound, so they are broadcast."""
+    """At most ``most`` rows (doc_id, text, y), one an id, of the ids with the smallest hashes; of an id's texts that with the least hash.  The ids are few by that bound, so they are broadcast."""
     chosen = labels.select("doc_id", F.col(column).alias("y")).where("y in (0, 1) and doc_id is not null")
     if which is not None:
         chosen = chosen.where(which)
     chosen = chosen.groupBy("doc_id").agg(F.min("y").cast("int").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").where("text is not null")
+    found = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").where("text is not null")
+    return found.groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"), F.min("y").alias("y"))
 
 
 def vectors(rows: DataFrame, make) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray]:
