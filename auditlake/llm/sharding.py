@@ -23,7 +23,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..store import cut
+from ..store import cut, forget
 
 BITS, PART = 4, 50_000
 #: Repeated rows are dealt over so many numbers, as they cannot be told apart otherwise.
@@ -79,22 +79,26 @@ def text_cuts(df: DataFrame, column: str, bits: int) -> list[str]:
     rows = ranged.withColumn("upto", upto).join(F.broadcast(totals), "p").withColumn("upto", F.col("base") + F.col("upto"))
     total = ranged.agg(F.sum("n")).first()[0] or 0
     got = rows.agg(*[F.min(F.when(F.col("upto") * (1 << bits) >= i * total, F.col("v"))) for i in range(1, 1 << bits)]).first()
-    return sorted({x for x in got if x is not None}, key=lambda x: x.encode())
+    return sorted((x for x in got if x is not None), key=lambda x: x.encode())
 
 
 def quantise(df: DataFrame, columns: list[str], bits: int = BITS) -> list[Column]:
-    """For each column the number of its cuts below a value: 0 to 2 ** bits - 1, nulls 0."""
+    """For each column the number of its cuts below a value: 0 to 2 ** bits - 1, nulls 0.
+
+    A value that is several cuts counts as many, so a column of few values still has codes from the whole range: its values differ in the curve's high bits."""
     text = {c for c in columns if df.schema[c].dataType.simpleString() == "string"}
     numbers = [c for c in columns if c not in text]
     wanted = F.array(*[F.lit(i / (1 << bits)) for i in range(1, 1 << bits)])
     found = df.agg(F.lit(0), *[F.percentile_approx(F.col(c).cast("double"), wanted, 2000).alias(f"c_{c}") for c in numbers]).first()
-    edges = {c: text_cuts(df, c, bits) if c in text else sorted(set(found[f"c_{c}"] or [])) for c in columns}
-    return [reduce(lambda a, e: a + F.when(F.col(c) > e, 1).otherwise(0), edges[c], F.lit(0)) for c in columns]
+    edges = {c: text_cuts(df, c, bits) if c in text else sorted(found[f"c_{c}"] or []) for c in columns}
+    counted = {c: {e: edges[c].count(e) for e in edges[c]} for c in columns}
+    return [reduce(lambda a, e: a + F.when(F.col(c) > e[0], e[1]).otherwise(0), counted[c].items(), F.lit(0)) for c in columns]
 
 
 def slim(docs: DataFrame) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
-    return docs.select(F.col("doc_id").cast("long"), "lang", "source", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int").alias("salt"))
+    own = ["__row"] if "__row" in docs.columns else []
+    return docs.select(*own, F.col("doc_id").cast("long"), "lang", "source", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int").alias("salt"))
 
 
 def shard(docs: DataFrame, shards: int = 16, dimensions: tuple[str, ...] = ("source", "lang", "size")) -> DataFrame:
@@ -121,13 +125,16 @@ def shard(docs: DataFrame, shards: int = 16, dimensions: tuple[str, ...] = ("sou
     shard_of = F.when(F.col("rank") < edge, F.floor(F.col("rank") / (small + 1))).otherwise(larger + F.floor((F.col("rank") - edge) / max(1, small)))
     first = F.when(F.col("shard") < larger, F.col("shard") * (small + 1)).otherwise(edge + (F.col("shard") - larger) * small)
     out = ranked.withColumn("shard", shard_of.cast("int")).withColumn("slot", (F.col("rank") - first).cast("long"))
-    return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), F.col("cell").cast("int").alias("cell"))
+    own = ["__row"] if "__row" in docs.columns else []
+    return out.select(*own, "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), F.col("cell").cast("int").alias("cell"))
 
 
 def write_shards(docs: DataFrame, path: str, shards: int = 16) -> None:
-    """Writes docs with their shard as partition directories, each sorted by slot; joined to the plan by id and text."""
-    plan = shard(docs, shards).dropDuplicates(["doc_id", "text_crc32", "size"]).select(F.col("doc_id").alias("__id"), F.col("text_crc32").alias("__crc"), F.col("size").alias("__size"), F.col("shard").alias("__shard"), F.col("slot").alias("__slot"))
-    text = F.coalesce("text", F.lit(""))
-    keyed = docs.withColumns({"__c": F.crc32(text), "__s": F.octet_length(text) + 1})
-    both = keyed.join(plan, keyed["doc_id"].eqNullSafe(plan["__id"]) & (keyed["__c"] == plan["__crc"]) & (keyed["__s"] == plan["__size"]))
+    """Writes docs with their shard as partition directories, each sorted by slot.
+
+    Rows are numbered in a copy of their own, so that repeated ones each have their place in the plan."""
+    rows = cut(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
+    plan = shard(rows, shards).select("__row", F.col("shard").alias("__shard"), F.col("slot").alias("__slot"))
+    both = rows.join(plan, "__row")
     both.select(*docs.columns, "__shard", "__slot").repartition("__shard", F.floor(F.col("__slot") / PART)).sortWithinPartitions("__shard", "__slot").drop("__slot").withColumnRenamed("__shard", "shard").write.partitionBy("shard").parquet(path)
+    forget(rows)
