@@ -46,7 +46,7 @@ def op4_contextual_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     def count(kind: str):
         return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
 
-    return found.select("doc_id", *[count(k) for k in pii.KINDS], F.sha2(pii.named(F.col("base")), 256).alias("base_sha256"), pii.named(F.col("found")).alias("spans"))
+    return found.select("doc_id", *[count(k) for k in pii.KINDS], F.sha2(pii.named(F.col("base")), 256).alias("base_sha256"), pii.named(F.filter("found", lambda s: s["kind"].isin(list(pii.KINDS)))).alias("spans"))
 
 
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
