@@ -20,10 +20,10 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest id; repeated rows of it go too.  Rows without an id are in no group and stay."""
+    """Of each group of near-duplicates the document with the smallest id; repeated rows of it go too, other texts under its id stay.  Rows without an id are in no group and stay."""
     groups = jaccard_join.join(docs).where("doc_id = component_id").select(F.col("doc_id").alias("__keep")).distinct()
     one = docs.where("doc_id is not null").join(groups, docs["doc_id"] == groups["__keep"], "left_semi")
-    return one.dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null"))
+    return one.dropDuplicates(["doc_id", "text"]).unionByName(docs.where("doc_id is null"))
 
 
 def keep_uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,7 +43,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality rules", keep_good), ("n-gram Jaccard join", keep_one_of_each), ("benchmark decontamination", keep_uncontaminated), ("PII", blank_personal_data), ("best-fit packing", pack)]
 
-#: Training and packing can't be said in SQL; tests hold each stage against a brute-force version.
+#: Training and packing can't be said in SQL; the tests of the operators and of this pipeline hold the stages against brute force.
 ORACLE_SQL = None
 
 
