@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.views import counts, duplicated, html_pages, with_counts
+from ..plans.views import H, counts, duplicated, html_pages, with_counts
 from .. import schema
 from ..project import Project
 from . import near_duplicates, redirects
@@ -38,7 +39,7 @@ SD_RULES = {
 }
 SD_DEPRECATED = ("howto", "faqpage")
 REGISTRY: dict[str, tuple[str, str]] = {}
-CHECKS: list[Callable[[Project], DataFrame | list[DataFrame]]] = []
+CHECKS: list[Callable[[Project], DataFrame | list]] = []
 _NOINDEX = "coalesce(meta_robots, '') ilike '%noindex%' or coalesce(x_robots, '') ilike '%noindex%'"
 
 
@@ -51,19 +52,34 @@ def check(category: str, **severities: str):
     return add
 
 
+@dataclass(frozen=True)
+class Rule:
+    """A check that a page's own row decides: a condition and the detail; in the condition ``good`` says that the page is internal, fetched well and HTML."""
+
+    where: str
+    check_id: str
+    detail: str = "cast(null as string)"
+
+
+def ruled(pages: DataFrame, rules: list[Rule]) -> DataFrame:
+    """The rows of all rules, from one pass over pages: each page makes an array of what it breaks."""
+    found = [F.when(F.expr(r.where), F.struct(F.lit(r.check_id).alias("check_id"), F.expr(r.detail).cast("string").alias("detail"))) for r in rules]
+    rows = pages.withColumn("good", F.expr(H)).select("id", F.filter(F.array(*found), lambda x: x.isNotNull()).alias("found"))
+    return rows.select(F.col("id").cast("long").alias("page_id"), F.explode("found").alias("x")).select("x.check_id", "page_id", "x.detail")
+
+
 def emit(df: DataFrame, check_id: str, detail: str = "cast(null as string)", page: str = "id") -> DataFrame:
     return df.select(F.lit(check_id).alias("check_id"), F.expr(page).cast("long").alias("page_id"), F.expr(detail).cast("string").alias("detail"))
 
 
 @check("Response", response_broken_internal="high", response_broken_external="medium", response_5xx="critical", response_no_response="high", response_302_internal="low")
-def response(p: Project) -> list[DataFrame]:
+def response(p: Project) -> list[DataFrame | Rule]:
     pages = p["pages"]
     inner = with_counts(pages.where("is_internal = 1 and status between 400 and 499"), counts(p["links"], "dst_id", "n"), "n")
     outer = with_counts(pages.where("is_internal = 0 and status >= 400"), counts(p["links"], "dst_url", "n"), "n", "url")
     return [
         emit(inner, "response-broken-internal", "concat(status, ' — ', n, ' inlinks')"), emit(outer, "response-broken-external", "concat(status, ' — linked from ', n, ' pages')"),
-        emit(pages.where("is_internal = 1 and status >= 500"), "response-5xx", "status"), emit(pages.where("is_internal = 1 and fetched = 2"), "response-no-response", "error"),
-        emit(pages.where("is_internal = 1 and status in (302, 307)"), "response-302-internal", "status"),
+        Rule("is_internal = 1 and status >= 500", "response-5xx", "status"), Rule("is_internal = 1 and fetched = 2", "response-no-response", "error"), Rule("is_internal = 1 and status in (302, 307)", "response-302-internal", "status"),
     ]
 
 
@@ -74,61 +90,59 @@ def redirect_chains(p: Project) -> list[DataFrame]:
 
 
 @check("Directives", directives_noindex="medium", directives_nofollow_page="medium", directives_robots_blocked="medium", directives_noindex_in_sitemap="high")
-def directives(p: Project) -> list[DataFrame]:
-    own = p["pages"].where("is_internal = 1 and fetched = 1")
+def directives(p: Project) -> list[Rule]:
+    own = "is_internal = 1 and fetched = 1"
     return [
-        emit(own.where(f"{_NOINDEX} or meta_robots ilike '%none%'"), "directives-noindex", "coalesce(meta_robots, x_robots)"),
-        emit(own.where("coalesce(meta_robots, '') ilike '%nofollow%' or coalesce(x_robots, '') ilike '%nofollow%'"), "directives-nofollow-page", "meta_robots"),
-        emit(p["pages"].where("is_internal = 1 and fetched = 3"), "directives-robots-blocked"), emit(p["pages"].where(f"in_sitemap = 1 and ({_NOINDEX})"), "directives-noindex-in-sitemap"),
+        Rule(f"{own} and ({_NOINDEX} or meta_robots ilike '%none%')", "directives-noindex", "coalesce(meta_robots, x_robots)"),
+        Rule(f"{own} and (coalesce(meta_robots, '') ilike '%nofollow%' or coalesce(x_robots, '') ilike '%nofollow%')", "directives-nofollow-page", "meta_robots"),
+        Rule("is_internal = 1 and fetched = 3", "directives-robots-blocked"), Rule(f"in_sitemap = 1 and ({_NOINDEX})", "directives-noindex-in-sitemap"),
     ]
 
 
 @check("Canonicals", canonical_missing="low", canonical_multiple_conflicting="high", canonical_conflict_header="high", canonical_to_redirect="medium", canonical_to_non200="high", canonical_to_noindex="high", canonical_unlinked="low")
-def canonicals(p: Project) -> list[DataFrame]:
-    h = html_pages(p)
+def canonicals(p: Project) -> list[DataFrame | Rule]:
     target = p["pages"].where("fetched = 1").select(F.col("url").alias("t_url"), F.col("status").alias("t_status"), F.expr(_NOINDEX).alias("t_noindex"))
     away = p["pages"].where("is_internal = 1 and fetched = 1 and canonical <> url")
     both = away.join(target, away["canonical"] == target["t_url"])
     linked = p["links"].where("link_type = 'ahref'").select("dst_url").distinct()
     return [
-        emit(h.where("canonical is null and canonical_header is null and indexable = 1"), "canonical-missing"),
-        emit(h.where("size(array_distinct(canonical_all)) > 1"), "canonical-multiple-conflicting", "array_join(canonical_all, ' | ')"),
-        emit(h.where("canonical <> canonical_header"), "canonical-conflict-header", "concat(canonical, ' vs ', canonical_header)"),
+        Rule("good and canonical is null and canonical_header is null and indexable = 1", "canonical-missing"),
+        Rule("good and size(array_distinct(canonical_all)) > 1", "canonical-multiple-conflicting", "array_join(canonical_all, ' | ')"),
+        Rule("good and canonical <> canonical_header", "canonical-conflict-header", "concat(canonical, ' vs ', canonical_header)"),
         emit(both.where("t_status between 300 and 399"), "canonical-to-redirect", "concat(canonical, ' → ', t_status)"),
         emit(both.where("t_status <> 200 and not t_status between 300 and 399"), "canonical-to-non200", "concat(canonical, ' → ', t_status)"),
         emit(both.where("t_noindex"), "canonical-to-noindex", "canonical"), emit(away.join(linked, away["canonical"] == linked["dst_url"], "left_anti"), "canonical-unlinked", "canonical"),
     ]
 
 
-def _text_checks(p: Project, column: str, prefix: str, low: int, high: int, px: int, noun: str, missing: str, dup_detail: str) -> list[DataFrame]:
-    h = html_pages(p)
+def _text_checks(p: Project, column: str, prefix: str, low: int, high: int, px: int, noun: str, missing: str, dup_detail: str) -> list[DataFrame | Rule]:
     size = f"length(coalesce({column}, ''))"
     return [
-        emit(h.where(f"({column} is null or {column} = '') {missing}"), f"{prefix}-missing"), emit(duplicated(h.where(f"{column} <> ''"), column), f"{prefix}-duplicate", dup_detail),
-        emit(h.where(f"{size} > {high}"), f"{prefix}-over-chars", f"concat({size}, ' chars')"), emit(h.where(f"{column} <> '' and {size} < {low}"), f"{prefix}-under-chars", f"concat({size}, ' chars')"),
-        emit(h.where(f"{column}_px > {px}"), f"{prefix}-over-px", f"concat({column}_px, 'px')"), emit(h.where(f"{column}_count > 1"), f"{prefix}-multiple", f"concat({column}_count, ' {noun}')"),
+        Rule(f"good and ({column} is null or {column} = '') {missing}", f"{prefix}-missing"), emit(duplicated(html_pages(p).where(f"{column} <> ''"), column), f"{prefix}-duplicate", dup_detail),
+        Rule(f"good and {size} > {high}", f"{prefix}-over-chars", f"concat({size}, ' chars')"), Rule(f"good and {column} <> '' and {size} < {low}", f"{prefix}-under-chars", f"concat({size}, ' chars')"),
+        Rule(f"good and {column}_px > {px}", f"{prefix}-over-px", f"concat({column}_px, 'px')"), Rule(f"good and {column}_count > 1", f"{prefix}-multiple", f"concat({column}_count, ' {noun}')"),
     ]
 
 
 @check("Titles", title_missing="high", title_duplicate="medium", title_over_chars="low", title_under_chars="low", title_over_px="low", title_multiple="medium")
-def titles(p: Project) -> list[DataFrame]:
+def titles(p: Project) -> list[DataFrame | Rule]:
     c = p.config
     return _text_checks(p, "title", "title", c.title_min, c.title_max, c.title_px, "title tags", "", "title")
 
 
 @check("Descriptions", desc_missing="medium", desc_duplicate="low", desc_over_chars="low", desc_under_chars="low", desc_over_px="low", desc_multiple="low")
-def descriptions(p: Project) -> list[DataFrame]:
+def descriptions(p: Project) -> list[DataFrame | Rule]:
     c = p.config
     return _text_checks(p, "meta_description", "desc", c.desc_min, c.desc_max, c.desc_px, "meta descriptions", "and indexable = 1", "cast(null as string)")
 
 
 @check("Headings", h1_missing="medium", h1_multiple="low", h1_duplicate="low", h2_missing="low")
-def headings(p: Project) -> list[DataFrame]:
-    h = html_pages(p).withColumn("first", F.expr("get(h1, 0)"))
-    none = "size(coalesce({}, array())) = 0"
+def headings(p: Project) -> list[DataFrame | Rule]:
+    first = html_pages(p).withColumn("first", F.expr("get(h1, 0)")).where("first <> ''")
+    none = "good and size(coalesce({}, array())) = 0"
     return [
-        emit(h.where(none.format("h1") + " and indexable = 1"), "h1-missing"), emit(h.where("size(h1) > 1"), "h1-multiple", "concat(size(h1), ' H1 tags')"),
-        emit(duplicated(h.where("first <> ''"), "first"), "h1-duplicate", "first"), emit(h.where(none.format("h2") + " and word_count > 300"), "h2-missing"),
+        Rule(none.format("h1") + " and indexable = 1", "h1-missing"), Rule("good and size(h1) > 1", "h1-multiple", "concat(size(h1), ' H1 tags')"),
+        emit(duplicated(first, "first"), "h1-duplicate", "first"), Rule(none.format("h2") + " and word_count > 300", "h2-missing"),
     ]
 
 
@@ -150,11 +164,10 @@ def images(p: Project) -> list[DataFrame]:
 
 
 @check("Content", content_thin="medium", content_exact_duplicate="high", content_low_text_ratio="low")
-def content(p: Project) -> list[DataFrame]:
-    h = html_pages(p)
+def content(p: Project) -> list[DataFrame | Rule]:
     return [
-        emit(h.where(f"indexable = 1 and word_count < {p.config.word_count_min}"), "content-thin", "concat(word_count, ' words')"), emit(duplicated(h.where("word_count > 30"), "content_hash"), "content-exact-duplicate"),
-        emit(h.where("indexable = 1 and text_ratio < 0.08 and word_count > 0"), "content-low-text-ratio", "concat(floor(text_ratio * 1000 + 0.5) div 10, if(floor(text_ratio * 1000 + 0.5) % 10 = 0, '', concat('.', floor(text_ratio * 1000 + 0.5) % 10)), '% text')"),
+        Rule(f"good and indexable = 1 and word_count < {p.config.word_count_min}", "content-thin", "concat(word_count, ' words')"), emit(duplicated(html_pages(p).where("word_count > 30"), "content_hash"), "content-exact-duplicate"),
+        Rule("good and indexable = 1 and text_ratio < 0.08 and word_count > 0", "content-low-text-ratio", "concat(floor(text_ratio * 1000 + 0.5) div 10, if(floor(text_ratio * 1000 + 0.5) % 10 = 0, '', concat('.', floor(text_ratio * 1000 + 0.5) % 10)), '% text')"),
     ]
 
 
@@ -165,36 +178,36 @@ def near_duplicate(p: Project) -> DataFrame:
 
 
 @check("URL", url_too_long="low", url_uppercase="low", url_underscores="low", url_params="low", url_non_ascii="low")
-def urls(p: Project) -> list[DataFrame]:
-    u = p["pages"].where("is_internal = 1 and fetched = 1 and status = 200").withColumns({"path": F.regexp_extract("url", r"^[a-z]+://[^/?#]*([^?#]*)", 1), "search": F.regexp_extract("url", r"(\?[^#]+)", 1)})
+def urls(p: Project) -> list[Rule]:
+    own = "is_internal = 1 and fetched = 1 and status = 200 and"
+    path, search = "regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1)", "regexp_extract(url, '([?][^#]+)', 1)"
     units = "octet_length(encode(url, 'UTF-16BE')) div 2"
     return [
-        emit(u.where(f"{units} > {p.config.max_url_length}"), "url-too-long", f"concat({units}, ' chars')"), emit(u.where("path rlike '[A-Z]'"), "url-uppercase"), emit(u.where("contains(path, '_')"), "url-underscores"),
-        emit(u.where("search <> ''"), "url-params", "search"), emit(u.where("concat(path, search) rlike '[^\\\\x00-\\\\x7F]'"), "url-non-ascii"),
+        Rule(f"{own} {units} > {p.config.max_url_length}", "url-too-long", f"concat({units}, ' chars')"), Rule(f"{own} {path} rlike '[A-Z]'", "url-uppercase"), Rule(f"{own} contains({path}, '_')", "url-underscores"),
+        Rule(f"{own} {search} <> ''", "url-params", search), Rule(f"{own} concat({path}, {search}) rlike '[^\\\\x00-\\\\x7F]'", "url-non-ascii"),
     ]
 
 
 @check("Security", security_not_https="critical", security_missing_hsts="low", security_missing_xcto="low", security_missing_xfo="low", security_missing_csp="low", security_missing_referrer="low", security_http_links="medium", security_mixed_content="high")
-def security(p: Project) -> list[DataFrame]:
-    own = p["pages"].where("is_internal = 1 and fetched = 1 and status = 200")
-    https = own.where("url like 'https:%'").withColumn("hd", F.expr("coalesce(headers, map())"))
-    lacks = lambda k: f"coalesce(try_element_at(hd, '{k}'), '') = ''"
+def security(p: Project) -> list[DataFrame | Rule]:
+    own = "is_internal = 1 and fetched = 1 and status = 200"
+    https = f"{own} and url like 'https:%'"
+    lacks = lambda k: f"coalesce(try_element_at(headers, '{k}'), '') = ''"
     secure = p["pages"].where("url like 'https:%'").select(F.col("id").alias("page_id"))
     links = p["links"].where("dst_url like 'http://%' and link_type = 'ahref'").select(F.col("src_id").alias("page_id")).join(secure, "page_id").groupBy("page_id").agg(F.count("*").alias("n"))
     image = p["images"].where("src like 'http://%'").select(F.col("id").alias("image_id"))
     mixed = p["image_refs"].join(image, "image_id").join(secure, "page_id").groupBy("page_id").agg(F.count("*").alias("n"))
     plain = {"hsts": "strict-transport-security", "xcto": "x-content-type-options", "csp": "content-security-policy", "referrer": "referrer-policy"}
     return [
-        emit(own.where("url like 'http:%'"), "security-not-https"), *[emit(https.where(lacks(v)), f"security-missing-{k}") for k, v in plain.items()],
-        emit(https.where(lacks("x-frame-options") + " and not coalesce(try_element_at(hd, 'content-security-policy'), '') ilike '%frame-ancestors%'"), "security-missing-xfo"),
+        Rule(f"{own} and url like 'http:%'", "security-not-https"), *[Rule(f"{https} and {lacks(v)}", f"security-missing-{k}") for k, v in plain.items()],
+        Rule(f"{https} and {lacks('x-frame-options')} and not coalesce(try_element_at(headers, 'content-security-policy'), '') ilike '%frame-ancestors%'", "security-missing-xfo"),
         emit(links, "security-http-links", "concat(n, ' links')", "page_id"), emit(mixed, "security-mixed-content", "concat(n, ' images')", "page_id"),
     ]
 
 
 @check("Site", mobile_viewport_missing="medium", site_deep_pages="low")
-def site(p: Project) -> list[DataFrame]:
-    h = html_pages(p)
-    return [emit(h.where("viewport is null or viewport = ''"), "mobile-viewport-missing"), emit(h.where("depth > 3"), "site-deep-pages", "concat('depth ', depth)")]
+def site(p: Project) -> list[Rule]:
+    return [Rule("good and (viewport is null or viewport = '')", "mobile-viewport-missing"), Rule("good and depth > 3", "site-deep-pages", "concat('depth ', depth)")]
 
 
 @check("Site", site_ai_crawlers="info")
@@ -208,7 +221,7 @@ def ai_crawlers(p: Project) -> DataFrame:
 
 
 @check("Pagination", pagination_to_non200="medium", pagination_canonicalised="low")
-def pagination(p: Project) -> list[DataFrame]:
+def pagination(p: Project) -> list[DataFrame | Rule]:
     h = html_pages(p).where("rel_next is not null or rel_prev is not null")
     named = "array(named_struct('rel', 'next', 'target', rel_next), named_struct('rel', 'prev', 'target', rel_prev))"
     rels = h.select("id", F.explode(F.expr(f"filter({named}, r -> r.target <> '')")).alias("r")).select("id", "r.*")
@@ -216,7 +229,7 @@ def pagination(p: Project) -> list[DataFrame]:
     bad = rels.join(target, "target").where("fetched = 2 or status <> 200")
     return [
         emit(bad, "pagination-to-non200", "concat('rel=', rel, ' → ', target, if(fetched = 2, ' (no response)', concat(' (', status, ')')))"),
-        emit(h.where("rel_prev <> '' and canonical <> '' and canonical <> url"), "pagination-canonicalised", "concat('canonical → ', canonical)"),
+        Rule("good and rel_prev <> '' and canonical <> '' and canonical <> url", "pagination-canonicalised", "concat('canonical → ', canonical)"),
     ]
 
 
@@ -293,29 +306,28 @@ def sitemaps(p: Project) -> list[DataFrame]:
 
 
 @check("Rendering", render_failed="medium", render_console_errors="low", render_canonical_mismatch="high", render_title_changed="low", render_robots_changed="high", render_content_delta="info")
-def rendering(p: Project) -> list[DataFrame]:
-    h = html_pages(p)
-    r = h.where("rendered = 1")
+def rendering(p: Project) -> list[Rule]:
+    shown_page = "good and rendered = 1 and"
     t = lambda c: f"trim(coalesce({c}, ''))"
     shown = lambda c: f"if({t(c)} = '', '(none)', {t(c)})"
     robots = lambda c: f"array_sort(filter(transform(split(lower(coalesce({c}, '')), ','), x -> trim(x)), x -> x <> ''))"
     words = ["coalesce(word_count, 0)", "coalesce(rendered_word_count, 0)"]
     diff = lambda a, b: f"concat('raw=', {shown(a)}, ' rendered=', {shown(b)})"
     return [
-        emit(h.where("rendered = 2"), "render-failed", "render_error"), emit(r.where("size(console_errors) > 0"), "render-console-errors", "concat(size(console_errors), ' error(s): ', substring(console_errors[0], 1, 200))"),
-        emit(r.where(f"{t('canonical')} <> {t('rendered_canonical')}"), "render-canonical-mismatch", diff("canonical", "rendered_canonical")), emit(r.where(f"{t('title')} <> {t('rendered_title')}"), "render-title-changed", diff("title", "rendered_title")),
-        emit(r.where(f"{robots('meta_robots')} <> {robots('rendered_meta_robots')}"), "render-robots-changed", diff("meta_robots", "rendered_meta_robots")),
-        emit(r.where(f"{words[1]} - {words[0]} > 100 and {words[1]} > 1.5 * {words[0]}"), "render-content-delta", f"concat({words[0]}, ' raw vs ', {words[1]}, ' rendered words')"),
+        Rule("good and rendered = 2", "render-failed", "render_error"), Rule(f"{shown_page} size(console_errors) > 0", "render-console-errors", "concat(size(console_errors), ' error(s): ', substring(get(console_errors, 0), 1, 200))"),
+        Rule(f"{shown_page} {t('canonical')} <> {t('rendered_canonical')}", "render-canonical-mismatch", diff("canonical", "rendered_canonical")), Rule(f"{shown_page} {t('title')} <> {t('rendered_title')}", "render-title-changed", diff("title", "rendered_title")),
+        Rule(f"{shown_page} {robots('meta_robots')} <> {robots('rendered_meta_robots')}", "render-robots-changed", diff("meta_robots", "rendered_meta_robots")),
+        Rule(f"{shown_page} {words[1]} - {words[0]} > 100 and {words[1]} > 1.5 * {words[0]}", "render-content-delta", f"concat({words[0]}, ' raw vs ', {words[1]}, ' rendered words')"),
     ]
 
 
 @check("Accessibility", a11y_critical="high", a11y_serious="medium", a11y_minor="low")
-def accessibility(p: Project) -> list[DataFrame]:
+def accessibility(p: Project) -> list[Rule]:
     n = lambda *i: "size(filter(a11y_violations, v -> v.impact in ({})))".format(", ".join(repr(x) for x in i))
-    r = html_pages(p).where("rendered = 1 and a11y_violations is not null").withColumns({"c": F.expr(n("critical")), "s": F.expr(n("serious")), "m": F.expr(n("moderate", "minor"))})
+    seen, critical, serious, minor = "good and rendered = 1 and a11y_violations is not null and", n("critical"), n("serious"), n("moderate", "minor")
     return [
-        emit(r.where("c > 0"), "a11y-critical", "substring(concat(c, ' critical: ', coalesce(element_at(filter(a11y_violations, v -> v.impact = 'critical'), -1).help, '')), 1, 250)"),
-        emit(r.where("s > 0"), "a11y-serious", "concat(s, ' serious violation(s)')"), emit(r.where("m > 0"), "a11y-minor", "concat(m, ' moderate/minor violation(s)')"),
+        Rule(f"{seen} {critical} > 0", "a11y-critical", f"substring(concat({critical}, ' critical: ', coalesce(try_element_at(filter(a11y_violations, v -> v.impact = 'critical'), -1).help, '')), 1, 250)"),
+        Rule(f"{seen} {serious} > 0", "a11y-serious", f"concat({serious}, ' serious violation(s)')"), Rule(f"{seen} {minor} > 0", "a11y-minor", f"concat({minor}, ' moderate/minor violation(s)')"),
     ]
 
 
@@ -324,10 +336,12 @@ MODULES = {f.__name__: f for f in CHECKS}
 
 
 def run(p: Project, modules: Iterable[str] = ()) -> DataFrame:
-    """All issues, or those of some modules, as one lazy union."""
-    parts: list[DataFrame] = []
+    """All issues, or those of some modules, as one lazy union: what rows decide for themselves in one pass over pages, and a plan for each check that compares rows."""
+    found: list[DataFrame | Rule] = []
     for name, f in MODULES.items():
         if not modules or name in modules:
             got = f(p)
-            parts += got if isinstance(got, list) else [got]
-    return reduce(DataFrame.unionByName, parts)
+            found += got if isinstance(got, list) else [got]
+    rules = [x for x in found if isinstance(x, Rule)]
+    parts = [x for x in found if not isinstance(x, Rule)]
+    return reduce(DataFrame.unionByName, ([ruled(p["pages"], rules)] if rules else []) + parts)
