@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.views import H
 from ..store import cut
 
 PATH = r"^[a-zA-Z]+://[^/?#]*([^#]*)"
@@ -71,29 +72,79 @@ def compare(old: DataFrame, pages: DataFrame, hops: int = 10) -> DataFrame:
     )
 
 
-def tokens(c):
-    return F.array_distinct(F.filter(F.split(F.lower(c), r"[^\p{L}\p{N}]+"), lambda t: F.length(t) > 1))
+#: Tokens that more candidates than this have are looked at only where rarer ones leave the choice open.
+RARE = 200
 
 
-def slug(c: str):
-    """Last path segment without its extension."""
-    path = F.regexp_replace(F.regexp_extract(c, r"^[a-zA-Z]+://[^/?#]*([^?#]*)", 1), "/+$", "")
-    return F.regexp_replace(F.regexp_extract(path, "([^/]*)$", 1), r"\.[A-Za-z0-9]{1,5}$", "")
+def tokens(c) -> Column:
+    """The distinct words of ASCII letters and digits, of two at least, without the ending of a file of pages."""
+    plain = F.regexp_replace(F.lower(c), r"\.(html?|php|aspx?)$", "")
+    return F.array_distinct(F.filter(F.split(plain, "[^a-z0-9]+"), lambda t: F.length(t) > 1))
 
 
-def jaccard(a: str, b: str):
+def old_path(url: str) -> Column:
+    """Path and query of an url; what is no url stays whole."""
+    path = F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*([^#]*)", 1)
+    return F.when(F.col(url).rlike(r"^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]"), F.when(path.startswith("/"), path).otherwise(F.concat(F.lit("/"), path))).otherwise(F.col(url))
+
+
+def slug(path: Column) -> Column:
+    """The last segment of a path that is not empty."""
+    return F.coalesce(F.try_element_at(F.filter(F.split(F.regexp_extract(path, r"^([^?]*)", 1), "/"), lambda x: x != ""), F.lit(-1)), F.lit(""))
+
+
+def jaccard(a: str, b: str) -> Column:
     both = F.size(F.array_intersect(a, b))
     return F.when((F.size(a) == 0) | (F.size(b) == 0), 0.0).otherwise(both / (F.size(a) + F.size(b) - both))
 
 
+def at_most(shared: str, a: str, b: str) -> Column:
+    """The similarity of two sets by their sizes, if only so many elements of the first may be common."""
+    both = F.least(F.col(shared), F.size(b))
+    return F.when((F.size(a) == 0) | (F.size(b) == 0), 0.0).otherwise(both / (F.size(a) + F.size(b) - both))
+
+
+def exploded(df: DataFrame, a: str, b: str) -> DataFrame:
+    """df with a row for each token k of the slug or the title."""
+    marked = lambda kind, c: F.transform(c, lambda t: F.concat(F.lit(kind), t))
+    return df.withColumn("k", F.explode(F.concat(marked("s ", a), marked("t ", b))))
+
+
+def best_of(pairs: DataFrame) -> DataFrame:
+    """l, best (score, minus, target) of pairs with all tokens: the best score, then the smallest id.  Summed up before anything is shuffled."""
+    score = 0.7 * jaccard("os", "cs") + 0.3 * jaccard("ot", "ct")
+    return pairs.groupBy("l").agg(F.max(F.struct(score.alias("score"), (-F.col("id")).alias("minus"), "target")).alias("best"))
+
+
 def suggest(results: DataFrame, pages: DataFrame) -> DataFrame:
-    """old_url, target, score, tier for missing and broken urls: candidates share a token, the best score wins, then the smaller id."""
-    lost = results.where("result in ('missing', 'broken')").select("old_url", tokens(slug("old_url")).alias("os"), tokens(F.coalesce("old_title", F.lit(""))).alias("ot"))
-    cand = pages.where("is_internal = 1 and fetched = 1 and status = 200 and indexable = 1").select("id", F.col("url").alias("target"), tokens(slug("url")).alias("cs"), tokens(F.coalesce("title", F.lit(""))).alias("ct"))
-    keyed = lambda df, a, b: df.withColumn("k", F.explode(F.concat(F.transform(a, lambda t: F.concat(F.lit("s "), t)), F.transform(b, lambda t: F.concat(F.lit("t "), t)))))
-    pairs = keyed(lost, "os", "ot").select("old_url", "k").join(keyed(cand, "cs", "ct").select("id", "k"), "k").select("old_url", "id").distinct()
-    scored = pairs.join(lost, "old_url").join(cand, "id").withColumn("score", 0.7 * jaccard("os", "cs") + 0.3 * jaccard("ot", "ct"))
-    best = scored.groupBy("old_url").agg(F.max_by(F.struct("target", "score"), F.struct("score", -F.col("id"))).alias("b"))
-    out = lost.select("old_url").join(best, "old_url", "left").withColumn("score", F.floor(F.coalesce(F.col("b.score"), F.lit(0.0)) * 100 + 0.5) / 100)
+    """old_url, old_path, target, score, tier, reason for missing and broken urls.
+
+    The score weighs the tokens of the last path segment 0.7 and of the title 0.3; the
+    best page wins, then the smaller id.  Urls and pages with equal tokens are judged
+    once.  First an url meets the pages that share a rare token with it.  A page that
+    shares none can only have tokens that are common; what these can bring bounds its
+    score, so only urls whose bound reaches their best so far meet pages by common
+    tokens, and of these only the pages whose sizes allow as much."""
+    lost = results.where("result in ('missing', 'broken')").withColumn("old_path", old_path("old_url"))
+    lost = lost.select("old_url", "old_path", F.col("result").alias("reason"), F.array_sort(tokens(slug(F.col("old_path")))).alias("os"), F.array_sort(tokens(F.coalesce("old_title", F.lit("")))).alias("ot"))
+    cand = pages.where(H).where("indexable = 1").select("id", F.col("url").alias("target"), F.array_sort(tokens(slug(old_path("url")))).alias("cs"), F.array_sort(tokens(F.coalesce("title", F.lit("")))).alias("ct"))
+    cand = cand.groupBy("cs", "ct").agg(F.min(F.struct("id", "target")).alias("x")).select("cs", "ct", "x.*")
+    kinds = cut(lost.select("os", "ot").distinct().withColumn("l", F.monotonically_increasing_id()), "lost_tokens")
+    by_token = exploded(cand, "cs", "ct")
+    often = by_token.groupBy("k").agg(F.count("*").alias("df")).where(F.col("df") > RARE).select("k")
+    wanted = exploded(kinds, "os", "ot")
+    first = best_of(wanted.join(often, "k", "left_anti").join(by_token.join(often, "k", "left_anti"), "k"))
+    # of each url the tokens that are common, and what a page with only these can reach
+    common = wanted.join(often, "k", "left_semi").groupBy("l").agg(F.count_if(F.col("k").startswith("s ")).alias("a"), F.count_if(F.col("k").startswith("t ")).alias("b"))
+    share = lambda n, c: F.when(F.size(c) > 0, F.col(n) / F.size(c)).otherwise(0.0)
+    state = kinds.join(first, "l", "left").join(common, "l", "left").withColumn("bound", F.coalesce(0.7 * share("a", "os") + 0.3 * share("b", "ot"), F.lit(0.0)))
+    state = cut(state, "first_matches")
+    least = F.coalesce("best.score", F.lit(0.0))
+    # rounding must not rule out what is exactly as good
+    again = exploded(state.where((F.col("bound") > 0) & (F.col("bound") >= least - 1e-9)), "os", "ot").join(often, "k", "left_semi")
+    pairs = again.join(by_token, "k").where(0.7 * at_most("a", "os", "cs") + 0.3 * at_most("b", "ot", "ct") >= least - 1e-9)
+    second = best_of(pairs.select("l", "os", "ot", "cs", "ct", "id", "target"))
+    found = state.select("l", "os", "ot", "best").join(second.withColumnRenamed("best", "other"), "l", "left").withColumn("b", F.greatest("best", "other"))
+    out = lost.join(found.select("os", "ot", "b"), ["os", "ot"], "left").withColumn("score", F.floor(F.coalesce(F.col("b.score"), F.lit(0.0)) * 100 + 0.5) / 100)
     tier = F.expr("case when score >= 0.6 then 'high' when score >= 0.3 then 'medium' else 'none' end")
-    return out.withColumn("tier", tier).select("old_url", F.when(F.col("tier") != "none", F.col("b.target")).alias("target"), "score", "tier")
+    return out.withColumn("tier", tier).select("old_url", "old_path", F.when(F.col("tier") != "none", F.col("b.target")).alias("target"), "score", "tier", "reason")

@@ -173,14 +173,29 @@ def redirect_suggestions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return migration.suggest(compare_sites(spark, sf_dir), project(spark, sf_dir)["pages"])
 
 
-WORDS = r"list_distinct(list_filter(regexp_split_to_array(lower({}), '[^\p{{L}}\p{{N}}]+'), lambda t: length(t) > 1))"
-SLUG = r"regexp_replace(regexp_extract(regexp_replace(regexp_extract({}, '^[a-zA-Z]+://[^/?#]*([^?#]*)', 1), '/+$', ''), '([^/]*)$', 1), '\.[A-Za-z0-9]{{1,5}}$', '')"
+WORDS = r"list_distinct(list_filter(regexp_split_to_array(regexp_replace(lower({}), '\.(html?|php|aspx?)$', ''), '[^a-z0-9]+'), lambda t: length(t) > 1))"
+OLD_PATH = "regexp_extract({}, '^[a-zA-Z]+://[^/?#]*([^#]*)', 1)"
+SLUG = "coalesce(list_extract(list_filter(string_split(regexp_extract(" + OLD_PATH + ", '^([^?]*)', 1), '/'), lambda x: x <> ''), -1), '')"
 SHARE = "CASE WHEN len({0}) = 0 OR len({1}) = 0 THEN 0.0 ELSE len(list_intersect({0}, {1}))::DOUBLE / (len({0}) + len({1}) - len(list_intersect({0}, {1}))) END"
-ORACLE_SQL["redirect_suggestions"] = PRELUDE.rstrip() + COMPARED + f""", lost AS (SELECT old_url, {WORDS.format(SLUG.format("old_url"))} AS os, {WORDS.format("coalesce(old_title, '')")} AS ot FROM c WHERE result IN ('missing', 'broken')),
+ORACLE_SQL["redirect_suggestions"] = PRELUDE.rstrip() + COMPARED + f""", lost AS (SELECT old_url, result AS reason, {OLD_PATH.format("old_url")} AS old_path, {WORDS.format(SLUG.format("old_url"))} AS os, {WORDS.format("coalesce(old_title, '')")} AS ot FROM c WHERE result IN ('missing', 'broken')),
 cand AS (SELECT id, url, {WORDS.format(SLUG.format("url"))} AS cs, {WORDS.format("title")} AS ct FROM h WHERE indexable = 1),
 sc AS (SELECT old_url, id, url, 0.7 * {SHARE.format("os", "cs")} + 0.3 * {SHARE.format("ot", "ct")} AS score FROM lost, cand),
 be AS (SELECT old_url, arg_max(url, struct_pack(a := score, b := -id)) AS target, floor(max(score) * 100 + 0.5) / 100 AS score FROM sc GROUP BY old_url)
-SELECT old_url, CASE WHEN score >= 0.3 THEN target END AS target, score, CASE WHEN score >= 0.6 THEN 'high' WHEN score >= 0.3 THEN 'medium' ELSE 'none' END AS tier FROM be"""
+SELECT old_url, old_path, CASE WHEN score >= 0.3 THEN target END AS target, score, CASE WHEN score >= 0.6 THEN 'high' WHEN score >= 0.3 THEN 'medium' ELSE 'none' END AS tier, reason FROM be JOIN lost USING (old_url)"""
+
+
+@query()
+def redirect_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines of each kind of redirect file."""
+    found = redirect_suggestions(spark, sf_dir)
+    return views.union([exports.redirect_lines(found, k).select(F.lit(k).alias("kind"), "old_url", "value") for k in exports.REDIRECT_HEADS])
+
+
+_LINE = "CASE WHEN target IS NULL THEN '# TODO no target found: ' || old_path ELSE CASE WHEN tier = 'medium' THEN '# REVIEW (medium confidence)' || chr(10) ELSE '' END || {} END"
+_PATH = "regexp_extract(old_path, '^([^?]*)', 1)"
+ORACLE_SQL["redirect_files"] = "SELECT k AS kind, old_url, CASE k WHEN 'htaccess' THEN {} WHEN 'nginx' THEN {} ELSE {} END AS value FROM ({}), (SELECT unnest(['htaccess', 'nginx', 'csv']) AS k) WHERE k <> 'csv' OR target IS NOT NULL".format(
+    _LINE.format(f"'Redirect 301 ' || {_PATH} || ' ' || target"), _LINE.format(f"'location = ' || {_PATH} || ' {{ return 301 ' || target || '; }}'"), f"{_PATH} || ',' || target", ORACLE_SQL["redirect_suggestions"]
+)
 
 
 @query("""WITH r AS (SELECT '/p' || (user_id % 50) || CASE WHEN event_id % 2 = 0 THEN '/' ELSE '' END AS path, 1 AS sessions, value / 1000 AS rate FROM events)

@@ -254,9 +254,9 @@ def test_imports_exports(spark, tmp_path):
     p = Project(spark, {"pages": pages(spark, [{"url": f"https://a/{i}", "title": "x,y"} for i in range(3)]), "images": table(spark, "images", [{"id": 7, "src": "https://a/i.png", "is_internal": 1}]), "image_refs": table(spark, "image_refs", [{"id": 1, "page_id": 2, "image_id": 7}])})
     assert exports.sitemap_files(p, "https://a/", str(tmp_path / "s"), 2) == ["sitemap-1.xml", "sitemap-2.xml", "sitemap.xml", "image-sitemap.xml"]
     assert "<loc>https://a/sitemap-2.xml</loc>" in (tmp_path / "s" / "sitemap.xml").read_text() and "<loc>https://a/2</loc>" in (tmp_path / "s" / "sitemap-2.xml").read_text()
-    exports.csv_file(p, "titles", str(tmp_path / "t.csv"))
-    lines = (tmp_path / "t.csv").read_bytes().decode().split("\r\n")
-    assert lines[0] == "\ufeffUrl,Title,Title Chars,Title Px,Title Count,Idx" and lines[1] == 'https://a/0,"x,y",3,,1,Yes' and len(lines) == 4
+    parts = exports.csv_file(p, "titles", str(tmp_path / "t.csv"))
+    lines = "".join((tmp_path / "t.csv" / n).read_bytes().decode() for n in parts).removesuffix("\r\n").split("\r\n")
+    assert lines[0] == "\ufeffUrl,Title,Title Chars,Title Px,Title Count,Idx,Indexability Reason" and lines[1] == 'https://a/0,"x,y",3,,1,Yes,' and len(lines) == 4
 
 
 def test_project_and_reports(spark, tmp_path):
