@@ -12,9 +12,9 @@ on the full sets, so none is wrong; components take the smallest doc_id.
 3. Every tree is sorted by label, over all its regions at once by ranges, so that a
    region of any size is spread over tasks.  Neighbours in that order have the
    longest common prefix: each class takes the closest of those before it and a
-   centre, that is the class that a run's majority of sketch bits is nearest to,
-   of all trees' centres the one that most runs' members have.  These links join
-   what is dense: two pairs a class.
+   centre, that is the class that a run's majority of sketch bits is nearest to, of
+   all trees' centres the one that most classes meet, or that one's own centre
+   among centres.  These links join what is dense: two pairs a class.
 4. What is still in different components of a region is compared in full: all
    outside a region's largest component with all in others.  Depth adapts to the
    region: one with more than ROOM classes is cut at the next minimum, and its parts
@@ -163,8 +163,8 @@ def may_overlap(left: str, right: str, n: str, m: str) -> Column:
     return ~F.coalesce(told, F.lit(False))
 
 
-def neighbours(members: DataFrame) -> DataFrame:
-    """members (g, r, id, n, w) to pairs (id, other, kind): per class the closest neighbour before it (kind 0) and the commonest centre (kind 1) of all trees.
+def sorted_runs(members: DataFrame) -> DataFrame:
+    """members (g, r, id, n, w) in order of all trees to pairs (id, other, kind, far): of neighbours in a run (kind 0), and of a run's members with its centre (kind 1).
 
     Runs are cut where ranges or batches end; what that leaves out is compared later."""
 
@@ -200,12 +200,30 @@ def neighbours(members: DataFrame) -> DataFrame:
 
     order = ["g", "r", "id"]
     found = members.select("g", "r", "id", "n", "w").repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(run, "id long, other long, kind int, far int")
-    found = cut(found, "neighbours")
-    # of the centres met in all trees the one that stands for most: a group's members name the same one, whatever regions they meet it in
-    votes = found.where("kind = 1").groupBy("other").agg((-F.count("*")).cast("int").alias("rank"))
-    centers = join_around(found.where("kind = 1"), votes, "other", hot_keys(found.where("kind = 1"), "other", F.col("id")))
-    each = found.where("kind = 0").withColumn("rank", F.col("far")).unionByName(centers)
-    return each.groupBy("id", "kind").agg(F.min(F.struct("rank", "other")).alias("best")).select("id", F.col("best.other").alias("other"), "kind")
+    return cut(found, "runs")
+
+
+def chosen(found: DataFrame) -> DataFrame:
+    """id, other: of the centres that a class meets the one that most meet."""
+    rows = found.where("kind = 1").select("id", "other")
+    votes = rows.groupBy("other").agg(F.count("*").alias("votes"))
+    voted = join_around(rows, votes, "other", hot_keys(rows, "other", F.col("id")))
+    return voted.groupBy("id").agg(F.max(F.struct("votes", (-F.col("other")).alias("minus"))).alias("best")).select("id", (-F.col("best.minus")).alias("other"))
+
+
+def neighbours(members: DataFrame) -> DataFrame:
+    """Pairs (id, other, kind): per class the closest neighbour before it in any tree (kind 0) and a centre (kind 1).
+
+    A large region has a centre for each piece of it that a task has seen, so the
+    centres are sorted among themselves once more and have centres of their own; a
+    group's members then name the same one, however many tasks have dealt with them."""
+    found = sorted_runs(members)
+    near = found.where("kind = 0").groupBy("id").agg(F.min(F.struct("far", "other")).alias("best")).select("id", F.col("best.other").alias("other"), F.lit(0).alias("kind"))
+    first = cut(chosen(found), "centers")
+    few = members.join(first.select(F.col("other").alias("id")).distinct(), "id", "left_semi").select("g", "r", "id", "n", "w")
+    over = chosen(sorted_runs(few)).select(F.col("id").alias("other"), F.col("other").alias("over"))
+    centers = join_around(first, over, "other", hot_keys(first, "other", F.col("id")), "left").select("id", F.coalesce("over", "other").alias("other"), F.lit(1).alias("kind"))
+    return near.unionByName(centers.where("id != other"))
 
 
 def adapted(mixed: DataFrame) -> DataFrame:
@@ -236,13 +254,18 @@ def across(members: DataFrame, labelled: DataFrame, judged: DataFrame) -> DataFr
     mixed = cut(split(rows).drop("top"), "mixed")
     cands = cut(split(adapted(mixed)), "regions")
     forget(mixed)
-    few = cands.where("c != top").select("g", "id", "n", "w", "c", "x")
-    other = cands.select("g", F.col("id").alias("other"), F.col("n").alias("m"), F.col("w").alias("v"), F.col("c").alias("d"), F.col("x").alias("y"), (F.col("c") == F.col("top")).alias("in_top"))
+    # a pair is taken where it first meets: in the least of the regions that both are in
+    own = cut(cands.groupBy("id").agg(F.collect_list("g").alias("regions")).withColumnRenamed("id", "__id"), "own")
+    rows = cands.join(own, cands["id"] == own["__id"]).drop("__id")
+    few = rows.where("c != top").select("g", "id", "n", "w", "c", "x", "regions")
+    other = rows.select("g", F.col("id").alias("other"), F.col("n").alias("m"), F.col("w").alias("v"), F.col("c").alias("d"), F.col("x").alias("y"), (F.col("c") == F.col("top")).alias("in_top"), F.col("regions").alias("others"))
     # of two outside the largest component, each pair once
     once = F.col("in_top") | (F.col("id") < F.col("other"))
-    pairs = few.join(other, "g").where((F.col("c") != F.col("d")) & once & may_link("n", "m") & (apart("w", "v") <= FAR) & may_overlap("x", "y", "n", "m")).select("id", "other")
+    meets = F.array_min(F.array_intersect("regions", "others")) == F.col("g")
+    pairs = few.join(other, "g").where((F.col("c") != F.col("d")) & once & may_link("n", "m") & (apart("w", "v") <= FAR) & may_overlap("x", "y", "n", "m") & meets).select("id", "other")
     out = cut(pairs.distinct(), "pairs")
-    forget(cands)
+    for df in (cands, own):
+        forget(df)
     return out
 
 
