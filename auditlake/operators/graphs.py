@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import url as urls
 from ..store import cut
 from ..plans.views import counts, with_counts
 from ..project import Project
+from .segments import usable
 
 
 def nodes(p: Project, most: int = 1500) -> DataFrame:
@@ -49,16 +53,46 @@ def tree(pages: DataFrame) -> DataFrame:
         jump = cut(jump.join(far, "parent_id", "left").select("id", F.col("far").alias("parent_id")), "tree")
 
 
-def frontier(seeds: DataFrame, links: DataFrame, max_depth: int, max_urls: int | None = None, follow_nofollow: bool = True, external_depth: int = 0) -> DataFrame:
+@dataclass(frozen=True)
+class Scope:
+    """Which discovered links a crawl takes: what it does with queries, patterns of urls, and whether it follows links at all."""
+
+    parameters: str = "crawl"
+    names: tuple[str, ...] = ()
+    include: tuple[str, ...] = ()
+    exclude: tuple[str, ...] = ()
+    #: In list mode only the urls given are crawled, and where they redirect to.
+    list_mode: bool = False
+    external: bool = True
+    binaries: bool = True
+
+
+def in_scope(links: DataFrame, scope: Scope) -> DataFrame:
+    """links (src_url, dst_url, is_internal, is_redirect) that a crawl takes, internal targets written as it stores them."""
+    spark = links.sparkSession
+    inside = links.where("is_internal = 1").withColumn("dst_url", urls.parameters(F.col("dst_url"), scope.parameters, scope.names))
+    inside = inside.where(urls.in_scope(F.col("dst_url"), scope.include, scope.exclude, lambda p: usable(spark, p)))
+    if not scope.binaries:
+        inside = inside.where(~urls.looks_binary(F.col("dst_url")))
+    if scope.list_mode:
+        inside = inside.where("is_redirect = 1")
+    return inside.unionByName(links.where("is_internal = 0")) if scope.external else inside
+
+
+def frontier(seeds: DataFrame, links: DataFrame, max_depth: int, max_urls: int | None = None, follow_nofollow: bool = True, external_depth: int = 0, scope: Scope | None = None) -> DataFrame:
     """url, depth reached from the seeds: one join a level, known urls left out by anti-join, levels written.
 
     links: src_url, dst_url, and if there follow, is_internal and is_redirect.
-    Links marked nofollow are passed over unless followed; external pages are
-    reached but not left; a redirect's target keeps its depth; with max_urls the
-    first ones by depth, then url, are kept."""
+    Links marked nofollow are passed over unless followed, redirects are not;
+    external pages are reached but not left; a redirect's target keeps its depth;
+    with max_urls the first ones by depth, then url, are kept, and levels beyond them
+    are not asked for.  A scope decides which links count."""
     have = set(links.columns)
-    step = links.where("follow = 1") if "follow" in have and not follow_nofollow else links
     flag = lambda c, other: F.col(c) if c in have else F.lit(other)
+    step = links.where("follow = 1" + (" or is_redirect = 1" if "is_redirect" in have else "")) if "follow" in have and not follow_nofollow else links
+    if scope is not None:
+        step = in_scope(step.select("src_url", "dst_url", flag("is_internal", 1).alias("is_internal"), flag("is_redirect", 0).alias("is_redirect")), scope)
+        have = set(step.columns)
     step = cut(step.groupBy("src_url", "dst_url").agg(F.max(flag("is_internal", 1)).alias("inside"), F.min(flag("is_redirect", 0)).alias("moved")), "frontier_links")
     seen = cut(seeds.select("url", F.lit(0).alias("depth"), F.lit(1).alias("inside")).distinct(), "frontier")
     level = seen
@@ -70,5 +104,8 @@ def frontier(seeds: DataFrame, links: DataFrame, max_depth: int, max_urls: int |
         if level.isEmpty():
             break
         seen = seen.unionByName(level)
+        # a redirect keeps its depth, so only the depths below the deepest are complete
+        if max_urls and seen.where(F.col("depth") < level.agg(F.min("depth")).first()[0]).count() >= max_urls:
+            break
     out = seen.select("url", "depth")
     return out.orderBy("depth", "url").limit(max_urls) if max_urls else out
