@@ -19,23 +19,23 @@ WEIGHTS = {"critical": 5.0, "high": 3.0, "medium": 1.0, "low": 0.4, "info": 0.0}
 AI_CRAWLERS = ["GPTBot", "OAI-SearchBot", "ChatGPT-User", "ClaudeBot", "Claude-SearchBot", "PerplexityBot", "Google-Extended", "CCBot"]
 #: Properties that a type must and should have; alternatives are joined by '|'.
 SD_RULES = {
-    "article": ("", "headline image datePublished dateModified author publisher"),
-    "newsarticle": ("", "headline image datePublished dateModified author publisher"),
-    "blogposting": ("", "headline image datePublished dateModified author publisher"),
-    "product": ("name", "image description offers aggregateRating review brand sku"),
-    "recipe": ("name image", "author datePublished description prepTime cookTime totalTime recipeYield recipeIngredient recipeInstructions nutrition aggregateRating"),
-    "event": ("name startDate location", "endDate description image offers performer eventStatus eventAttendanceMode"),
-    "jobposting": ("title description datePosted hiringOrganization jobLocation", "baseSalary employmentType validThrough"),
-    "localbusiness": ("name address", "telephone openingHours geo priceRange image url"),
-    "organization": ("name", "url logo sameAs contactPoint"),
-    "breadcrumblist": ("itemListElement", ""),
-    "videoobject": ("name thumbnailUrl uploadDate", "description duration contentUrl embedUrl"),
-    "faqpage": ("mainEntity", ""),
-    "howto": ("name step", ""),
-    "review": ("itemReviewed reviewRating author", ""),
-    "aggregaterating": ("ratingValue reviewCount|ratingCount", ""),
-    "person": ("name", ""),
-    "website": ("", "name url potentialAction"),
+    "article": ([], ["headline", "image", "datePublished", "dateModified", "author", "publisher"]),
+    "newsarticle": ([], ["headline", "image", "datePublished", "dateModified", "author", "publisher"]),
+    "blogposting": ([], ["headline", "image", "datePublished", "dateModified", "author", "publisher"]),
+    "product": (["name"], ["image", "description", "offers", "aggregateRating", "review", "brand", "sku"]),
+    "recipe": (["name", "image"], ["author", "datePublished", "description", "prepTime", "cookTime", "totalTime", "recipeYield", "recipeIngredient", "recipeInstructions", "nutrition", "aggregateRating"]),
+    "event": (["name", "startDate", "location"], ["endDate", "description", "image", "offers", "performer", "eventStatus", "eventAttendanceMode"]),
+    "jobposting": (["title", "description", "datePosted", "hiringOrganization", "jobLocation"], ["baseSalary", "employmentType", "validThrough"]),
+    "localbusiness": (["name", "address"], ["telephone", "openingHours", "geo", "priceRange", "image", "url"]),
+    "organization": (["name"], ["url", "logo", "sameAs", "contactPoint"]),
+    "breadcrumblist": (["itemListElement"], []),
+    "videoobject": (["name", "thumbnailUrl", "uploadDate"], ["description", "duration", "contentUrl", "embedUrl"]),
+    "faqpage": (["mainEntity"], []),
+    "howto": (["name", "step"], []),
+    "review": (["itemReviewed", "reviewRating", "author"], []),
+    "aggregaterating": (["ratingValue", "reviewCount|ratingCount"], []),
+    "person": (["name"], []),
+    "website": ([], ["name", "url", "potentialAction"]),
 }
 SD_DEPRECATED = ("howto", "faqpage")
 REGISTRY: dict[str, tuple[str, str]] = {}
@@ -262,7 +262,7 @@ def listed(df: DataFrame, value: str) -> DataFrame:
 
 def structured_rows(p: Project) -> DataFrame:
     """structured_data with the rule of its first type that has one: missing required and recommended properties."""
-    rules = p.spark.createDataFrame([(k, [x.split("|") for x in r.split()], o.split()) for k, (r, o) in SD_RULES.items()], "rule string, required array<array<string>>, recommended array<string>")
+    rules = p.spark.createDataFrame([(k, [x.split("|") for x in required], recommended) for k, (required, recommended) in SD_RULES.items()], "rule string, required array<array<string>>, recommended array<string>")
     sd = p["structured_data"].withColumns({"tokens": F.expr("filter(transform(split(coalesce(type, ''), ','), t -> lower(trim(t))), t -> t <> '')"), "source": F.expr("if(format = 'microdata', coalesce(get_json_object(json, '$.properties'), json), json)")})
     sd = sd.withColumn("rule", F.expr(f"get(filter(tokens, t -> array_contains(array({', '.join(repr(k) for k in SD_RULES)}), t)), 0)"))
     sd = sd.withColumn("keys", F.expr("filter(coalesce(json_object_keys(source), array()), k -> not startswith(k, '@'))"))
