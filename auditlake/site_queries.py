@@ -221,6 +221,27 @@ _DETAIL = {
     "sitemaps": "sm JOIN p USING (url) WHERE p.id = {0}", "near_duplicates": "(SELECT other FROM nd WHERE r = 1 AND page_id = {0} UNION SELECT page_id FROM nd WHERE r = 1 AND other = {0})",
 }
 query("page_detail", details, EVERY + " UNION ALL ".join(f"SELECT {i} AS id, '{k}' AS part, count(*) AS n FROM {v.format(i)}" for i in (4, 65) for k, v in _DETAIL.items()), True)
+#: What is compared of each list of a page's detail: a value of its rows, and the same in SQL.
+_ROWS = {
+    "outlinks": ("concat_ws('|', dst_url, follow, from_render, coalesce(cast(status as string), 'none'))", "SELECT array_to_string(list_transform(string_split(x.dst_url, ''), lambda c: CASE WHEN ord(c) > 127 THEN url_encode(c) ELSE c END), '') || '|' || x.follow || '|' || x.shown || '|' || coalesce(CAST(t.status AS VARCHAR), 'none') FROM (SELECT *, 0 AS shown FROM stored UNION ALL SELECT *, 1 FROM rl) x LEFT JOIN p t ON t.url = x.dst_url WHERE x.src_id = {0}"),
+    "images": ("concat_ws('|', src, alt, has_dimensions, coalesce(bytes, 0), coalesce(status, 0))", "SELECT src || '|' || alt || '|' || dims || '|' || coalesce(bytes, 0) || '|' || coalesce(status, 0) FROM im WHERE page_id = {0}"),
+    "hreflang": ("concat_ws('|', lang, href)", "SELECT lang || '|' || href FROM hl WHERE page_id = {0}"),
+    "structured_data": ("type", "SELECT type FROM sd WHERE page_id = {0}"),
+    "issues": ("concat_ws('|', check_id, coalesce(detail, ''))", "SELECT check_id || '|' || coalesce(detail, '') FROM i WHERE page_id = {0}"),
+    "api_psi": ("concat_ws('|', performance, lcp_ms)", "SELECT (id % 100) || '|' || CAST(id % 50 * 100 AS DOUBLE) FROM p WHERE id = {0} AND id % 4 = 0"),
+    "inlinks": ("concat_ws('|', source, follow, coalesce(status, 0))", "SELECT p.url || '|' || follow || '|' || coalesce(p.status, 0) FROM lk JOIN p ON p.id = src_id WHERE dst_id = {0}"),
+    "sitemaps": ("sitemap", "SELECT 'sitemap.xml' FROM sm JOIN p USING (url) WHERE p.id = {0}"),
+}
+SHOWN_PAGES = (4, 30, 84)
+
+
+def detail_rows(p: Project) -> DataFrame:
+    """The rows of a page's tables, for some pages."""
+    parts = [df.select(F.lit(i).alias("id"), F.lit(name).alias("part"), F.expr(_ROWS[name][0]).alias("value")) for i in SHOWN_PAGES for name, df in detail.page(p, i).items() if name in _ROWS]
+    return reduce(DataFrame.unionAll, parts)
+
+
+query("page_detail_rows", detail_rows, EVERY + " UNION ALL ".join(f"SELECT {i} AS id, '{k}' AS part, value FROM ({v[1].format(i)}) x(value)" for i in SHOWN_PAGES for k, v in _ROWS.items()), True)
 query("graph_edges", lambda p: graphs.edges(p, p["pages"].where("is_internal = 1 and fetched = 1"), 1_000_000, inside=False), "SELECT DISTINCT src_id, dst_id FROM lk JOIN p a ON a.id = src_id JOIN p z ON z.id = dst_id WHERE src_id <> dst_id AND a.is_internal = 1 AND z.is_internal = 1 AND a.fetched = 1 AND z.fetched = 1")
 query("url_normalisation", lambda p: p["pages"].select("id", url.normalized(F.concat(F.lit(" HTTP://WWW.Example.com:80/a/../b c?q="), F.col("id").cast("string"), F.lit("#frag"))).alias("whole"), url.normalized(F.concat(F.lit("../x?"), F.col("id").cast("string")), F.lit("https://h.example/d/e/f")).alias("relative")), "SELECT id, 'http://www.example.com/b%20c?q=' || id AS whole, 'https://h.example/d/x?' || id AS relative FROM p")
 
