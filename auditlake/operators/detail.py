@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.views import html_pages
+from ..plans.views import of_page as is_of
 from ..project import Project
 from . import near_duplicates
 
@@ -41,6 +42,6 @@ def page(p: Project, page_id: int) -> dict[str, DataFrame]:
     both = there.unionByName(back).groupBy("partner_id", "partner_url").agg(F.max("similarity").alias("similarity")).where(F.col("partner_id") != page_id).join(copies.select("partner_id"), "partner_id", "left_anti")
     return {
         "page": own, "inlinks": first(inlinks, "inlinks"), "outlinks": first(outlinks, "outlinks"), "images": first(images, "images"), "hreflang": of_page("hreflang").orderBy("id"), "structured_data": of_page("structured_data").orderBy("id"), "issues": of_page("issues"),
-        "extractions": of_page("extractions"), "search_hits": of_page("search_hits"), **{k: p[k].join(url, "url", "left_semi") for k in ("api_gsc", "api_ga4", "api_psi", "backlinks")}, "sitemaps": p["sitemap_urls"].join(url, "url", "left_semi"),
+        "extractions": of_page("extractions"), "search_hits": of_page("search_hits"), **{k: p[k].join(url, "url", "left_semi").where(is_of("page_id", F.lit(page_id))) for k in ("api_gsc", "api_ga4", "api_psi", "backlinks")}, "sitemaps": p["sitemap_urls"].join(url, "url", "left_semi"),
         "duplicates": first(copies, "duplicates", "partner_id"), "near_duplicates": first(both, "near_duplicates", "partner_id"),
     }
