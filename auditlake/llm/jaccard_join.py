@@ -12,13 +12,17 @@ exact but for hash collisions among 64 bits within one pair of linked sets.
 3. For the classes left, shingles of one class only are dropped and the others
    ordered globally by class frequency, then hash.  A class with fewer than
    ceil(0.75 n) shared shingles is done.
-4. Candidates share a shingle in the rarest part of that order.  First every such
+4. Each class has a sketch, the parity of its shingles in BITS ranges of their
+   hashes.  Sketches differ in no more bits than sets in shingles, so a pair whose
+   sketches differ in too many is never made: members of one group of near copies
+   that do not link mostly go so, before they are a row.
+5. Candidates share a shingle in the rarest part of that order.  First every such
    shingle compares its classes with one pivot; where they are still in different
    components, those outside the largest are compared with PIVOTS of it that the
    shingle draws by hashes; those that are outside even then are compared with all
    in other components.  No pair within a component is needed or made, and none
    whose shared shingles from there on are too few for the overlap of a link.
-5. Vertical partitioning: the global order is cut into FRAGMENTS ranges of
+6. Vertical partitioning: the global order is cut into FRAGMENTS ranges of
    hashes, a table each; a pair's overlap is counted in each on its own and summed
    per pair, which goes when the fragments left can't make up for what is missing.
 
@@ -33,10 +37,11 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import words
@@ -46,6 +51,8 @@ from .hot import folded, hot_keys, join_around
 from .substrings import list_column, repeated
 
 SHINGLE, PERCENT, FRAGMENTS = 5, 75, 4
+#: Bits of a class's sketch.
+BITS = 1024
 #: Pivots that a shingle draws in each round before all that is still apart is compared.
 PIVOTS = (4, 16)
 U64 = words.U64
@@ -94,6 +101,12 @@ def scan(docs: DataFrame, n: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_shingles long, key string, k long, need long, h array<long>")
 
 
+def sketch(s: np.ndarray) -> list[int]:
+    """The parity of a set's hashes in each of BITS ranges, as words of 64 bits."""
+    odd = (np.bincount((words.mix(s) >> U64(64 - BITS.bit_length() + 1)).astype(np.int64), minlength=BITS) & 1).astype(np.uint8)
+    return np.packbits(odd).view("<i8").tolist()
+
+
 def whole_sets(cands: DataFrame, n: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for sub, data, offsets in words.runs(batches):
@@ -102,9 +115,9 @@ def whole_sets(cands: DataFrame, n: int) -> DataFrame:
             sets = [s for s, o in zip(sets, ok, strict=True) if o]
             flat = np.concatenate(sets) if sets else np.zeros(0, U64)
             ids = sub.column(0).filter(pa.array(ok))
-            yield pa.RecordBatch.from_arrays([ids, pa.array(np.array([len(s) for s in sets], np.int64)), list_column(flat.view(np.int64), np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int64))], ["id", "n", "s"])
+            yield pa.RecordBatch.from_arrays([ids, pa.array(np.array([len(s) for s in sets], np.int64)), pa.array([sketch(s) for s in sets], pa.list_(pa.int64())), list_column(flat.view(np.int64), np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int64))], ["id", "n", "sketch", "s"])
 
-    return cands.select("id", "key", "text").mapInArrow(run, "id long, n long, s array<long>").dropDuplicates(["id"])  # repeated rows; ids are those of sets
+    return cands.select("id", "key", "text").mapInArrow(run, "id long, n long, sketch array<long>, s array<long>").dropDuplicates(["id"])  # repeated rows; ids are those of sets
 
 
 def fragment(token):
@@ -143,8 +156,14 @@ def may_link(x: str, y: str, n: str, m: str):
     return may_reach(F.least(x, y), n, m)
 
 
+def near(x: str, y: str, n: str, m: str):
+    """Whether sets of n and m shingles with the sketches x and y can link: by the bits in which these differ."""
+    bits = reduce(Column.__add__, [F.bit_count(F.col(x)[i].bitwiseXOR(F.col(y)[i])) for i in range(BITS // 64)])
+    return (100 + PERCENT) * bits <= (100 - PERCENT) * (F.col(n) + F.col(m))
+
+
 def links(classes: DataFrame) -> DataFrame:
-    """classes: id, n, s (whole sets), to (node, component) of those that link with another."""
+    """classes: id, n, s (whole sets) and their sketch, to (node, component) of those that link with another."""
     rows = classes.select("id", "n", F.explode("s").alias("g"))
     freq = rows.groupBy("g").agg(F.count("*").alias("df")).where("df > 1")
     hot = hot_keys(rows, "g", F.col("id"))
@@ -172,13 +191,14 @@ def links(classes: DataFrame) -> DataFrame:
 
     marked = cut(head.join(first, head["id"] == first["node"], "left").select("id", "n", "l", "g", F.coalesce("component", "id").alias("c")), "marked")
     top = marked.groupBy("g", "c").agg(F.count("*").alias("m")).groupBy("g").agg(F.max_by("c", F.struct("m", "c")).alias("top"), F.count("*").alias("cs")).where("cs > 1")
-    mixed = cut(join_around(marked, top.select("g", "top"), "g", hot), "mixed")
+    mixed = join_around(marked, top.select("g", "top"), "g", hot)
+    mixed = cut(mixed.join(classes.select("id", "sketch"), "id"), "mixed")
     forget(marked)
     # of two sets that link, the smaller one has at least this share of its shared shingles from the first common one on
     short = mixed.where(f"{100 + PERCENT} * l >= {2 * PERCENT} * n")
-    other = lambda df: df.select("g", F.col("id").alias("i"), F.col("n").alias("m"), F.col("l").alias("k"), F.col("c").alias("d"))
+    other = lambda df: df.select("g", F.col("id").alias("i"), F.col("n").alias("m"), F.col("l").alias("k"), F.col("c").alias("d"), F.col("sketch").alias("drawn"))
     size, size_other = F.struct("n", "id"), F.struct("m", "i")
-    apart = (F.col("c") != F.col("d")) & may_link("l", "k", "n", "m")
+    apart = (F.col("c") != F.col("d")) & may_link("l", "k", "n", "m") & near("sketch", "drawn", "n", "m")
     pairs = short.where("c != top").join(other(mixed), "g").where(apart & (size < size_other))
     pairs = pairs.select("id", "i").union(mixed.where("c != top").join(other(short), "g").where(apart & (size > size_other)).select("id", "i"))
     out = merged(pairs, parts, found, first)[1]
