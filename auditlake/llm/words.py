@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-MAX_BYTES = 4 << 20
+MAX_BYTES = 1 << 20
 LONG = 64
 U64 = np.uint64
 IS_SPACE = np.zeros(256, bool)
