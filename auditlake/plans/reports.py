@@ -45,7 +45,8 @@ def worst_pages(p: Project, issues: DataFrame) -> DataFrame:
     """The 30 pages with most issues, of them the 10 with the largest sum of weights."""
     weighed = issues.where("page_id is not null").join(F.broadcast(registry(p)).select("check_id", "weight"), "check_id", "left")
     per = weighed.groupBy("page_id").agg(F.count("*").alias("issues"), F.sum(F.coalesce("weight", F.lit(0.4))).alias("weight")).orderBy(F.desc("issues"), "page_id").limit(30)
-    return per.orderBy(F.desc("weight"), F.desc("issues"), "page_id").limit(10).join(p["pages"].select(F.col("id").alias("page_id"), "url"), "page_id")
+    ten = per.orderBy(F.desc("weight"), F.desc("issues"), "page_id").limit(10)
+    return p["pages"].select(F.col("id").alias("page_id"), "url").join(F.broadcast(ten), "page_id").select("page_id", "issues", "weight", "url")
 
 
 def segments(p: Project) -> DataFrame:
