@@ -118,7 +118,10 @@ def vectors(rows: DataFrame, make) -> tuple[list[tuple[np.ndarray, np.ndarray]],
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> logistic.Linear | None:
     x, y = vectors(labelled(docs, labels, "quality", rows), sparse)
-    return logistic.train(x, y, 4 * BUCKETS) if len(set(y)) == 2 else None
+    model = logistic.train(x, y, 4 * BUCKETS) if len(set(y)) == 2 else None
+    del x, y
+    logistic.give_back()
+    return model
 
 
 def judge(docs: DataFrame, model: logistic.Linear | None, threshold: float = THRESHOLD) -> DataFrame:

@@ -1,5 +1,6 @@
 """Bounds, laws and hot groups of the earlier operators."""
 
+import numpy as np
 from auditlake.llm import decontamination, hot, jaccard_join, quality, sharding, substrings, warc
 
 
@@ -83,3 +84,22 @@ def test_common_payloads(spark, tmp_path, monkeypatch):
     got = {r.page_id: r for r in warc.round_trip(spark, pages).collect()}
     assert got[1].record_type == "response" and all(got[i].refers_to == 1 for i in range(2, 200)) and got[600].refers_to == 500
     assert spark.conf.get("spark.sql.files.minPartitionNum", None) is None
+
+
+def test_driver_gives_back_what_training_took(monkeypatch):
+    held = lambda: sum(int(x.split()[1]) for x in open("/proc/self/smaps_rollup") if x.startswith(("Pss_Anon", "Pss_Shmem"))) // 1024
+    kept = []
+
+    def vectors(*_):
+        rng = np.random.default_rng(1)
+        rows = []
+        for _ in range(2500):
+            rows.append((np.sort(rng.choice(4 * quality.BUCKETS, 4000, replace=False)).astype(np.int32), rng.random(4000, np.float32)))
+            kept.append(bytes(3000))  # other objects of the process lie between
+        return rows, np.arange(2500) % 2
+
+    monkeypatch.setattr(quality, "labelled", lambda *_: None)
+    monkeypatch.setattr(quality, "vectors", vectors)
+    before = held()
+    assert quality.train(None, None) is not None
+    assert held() - before < 40
