@@ -19,6 +19,8 @@ from ..stored import Stored
 
 def add(store: Stored, batch: DataFrame, name: str, number: int) -> int:
     """One batch of fetched pages (ts, url, html, and columns of pages) merged; gives the store's version.  Of an url's fetches the latest stays."""
+    if store.config.known_by != "url":
+        raise ValueError("fetches of a stream are known by url")
     if store.state()["batches"].get(name, -1) >= number:
         return store.state()["version"]
     columns = [c for c in batch.columns if c != "id"]
