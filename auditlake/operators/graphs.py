@@ -20,12 +20,12 @@ def nodes(p: Project, most: int = 1500) -> DataFrame:
     return df.orderBy(F.col("depth").asc_nulls_last(), F.col("inlinks").desc(), "id").limit(most).select("id", "url", "depth", "inlinks", "crawl_source")
 
 
-def edges(p: Project, kept: DataFrame, most: int = 25_000, inside: bool = True) -> DataFrame:
-    """Distinct links between two of the pages kept, ``most`` of them; inside: only those marked internal."""
+def edges(p: Project, kept: DataFrame, most: int | None = None, inside: bool = True) -> DataFrame:
+    """Distinct links between two of the pages kept, all or the first ``most`` of them; inside: only those marked internal."""
     ids = kept.select("id")
     e = p["links"].where("dst_id is not null and src_id <> dst_id" + " and is_internal = 1" * inside).select("src_id", "dst_id")
     e = e.join(ids, e["src_id"] == ids["id"], "left_semi").join(ids, e["dst_id"] == ids["id"], "left_semi").distinct()
-    return e.orderBy("src_id", "dst_id").limit(most)
+    return e if most is None else e.orderBy("src_id", "dst_id").limit(most)
 
 
 def tree(pages: DataFrame) -> DataFrame:
